@@ -5,10 +5,10 @@ run of one symbol, then names every adjacent pair whose left symbol drew "left"
 right symbol drew "right".  Names are hashes of what they stand for, so every executor gives
 equal substrings equal interior symbols without talking to the others.  Each symbol carries
 the *dependency interval* of words that fixes its existence; wherever those words stand,
-the symbol stands too.  A window of ``WINDOW`` words is found through any symbol whose
-dependency interval it holds; the few windows that hold none stand for themselves.  Spark
-then joins equal symbols across documents, and the windows around shared symbols are
-verified by a 128-bit hash of their words.
+the symbol stands too.  A window of ``WINDOW`` words is known by the symbols whose
+dependency intervals it holds; the few windows that hold none stand for themselves.  Spark
+then joins equal symbols across documents, and the windows all of whose symbols are
+shared are verified by a 128-bit hash of their words.
 
 Null text counts as empty, a null ``doc_id`` row is passed through untouched (it is neither a
 source nor a target), rows that repeat a ``doc_id`` are treated as parts of that document
@@ -198,39 +198,39 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def _scan(batches, width: int = WINDOW):
-    """doc_id, text -> tk, counts, digest of the unchanged words, and anchor keys with their window ranges."""
+    """doc_id, text -> tk, counts, digest of the unchanged words, and anchor keys."""
     for batch in batches:
         texts = as_bytes(batch.column("text"))
         for i, j in slices(texts, SLICE_BYTES):
-            raw, start, end, names, doc = _joined(texts[i:j])
+            _, _, _, names, doc = _joined(texts[i:j])
             n = np.bincount(doc, minlength=j - i)
-            key, first, last = anchors(names, doc, width=width)
+            key, first, _ = anchors(names, doc, width=width)
             owner = doc[first] if len(first) else np.zeros(0, np.int64)
             order = np.argsort(owner, kind="stable")
-            base = np.concatenate(([0], np.cumsum(n)))
             sizes = np.bincount(owner, minlength=j - i)
             digest = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts[i:j]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[i:j], batch.column("tk")[i:j], pa.array(n), pa.array(digest), _lists(_long(key[order]), sizes)]
-                + [_lists((x - base[owner])[order].astype(np.int32), sizes) for x in (first, last)],
-                names=["doc_id", "tk", "n_words", "sha", "keys", "first", "last"],
+                [batch.column("doc_id")[i:j], batch.column("tk")[i:j], pa.array(n), pa.array(digest), _lists(_long(key[order]), sizes)],
+                names=["doc_id", "tk", "n_words", "sha", "keys"],
             )
 
 
 def _windows(batches, width: int = WINDOW):
-    """Hashes of the windows in the given ranges of each text."""
+    """Hashes of each text's windows all of whose keys are among its ``shared`` keys."""
     for batch in batches:
-        texts, ranges = as_bytes(batch.column("text")), batch.column("ranges").to_pylist()
+        texts, shared = as_bytes(batch.column("text")), batch.column("shared")
         doc_id, tk = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("tk").to_numpy(zero_copy_only=False)
         for i, j in slices(texts, SLICE_BYTES):
             _, _, _, names, doc = _joined(texts[i:j])
             base = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=j - i))))
-            mark = np.zeros(len(names) + 1, np.int64)
-            for k in range(i, j):
-                for r in ranges[k]:
-                    mark[base[k - i] + r["first"]] += 1
-                    mark[base[k - i] + r["last"] + 1] -= 1
-            at = np.flatnonzero(np.cumsum(mark)[:-1])
+            key, first, last = anchors(names, doc, width=width)
+            part = shared.slice(i, j - i)
+            known = part.flatten().to_numpy()
+            # a key counts as shared by its own document's list
+            owner = np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
+            mine = np.isin(mix(_long(key).view(np.uint64) ^ doc[first].astype(np.uint64)), mix(known.view(np.uint64) ^ owner.astype(np.uint64)))
+            at = _held(first[mine], last[mine], len(names)) & ~_held(first[~mine], last[~mine], len(names))
+            at = np.flatnonzero(at)
             h, owner = window_hashes(names, width)[at], doc[at] + i
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_long(h[:, 0])), pa.array(_long(h[:, 1])), pa.array(doc_id[owner].astype(np.int64)), pa.array(tk[owner].astype(np.int64)), pa.array((at - base[doc[at]]).astype(np.int32))],
@@ -238,6 +238,10 @@ def _windows(batches, width: int = WINDOW):
             )
 
 
+def _held(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))[:n] > 0
+
+
 def _cut(batches, width: int = WINDOW):
     """Texts without the words that the windows starting at ``starts`` cover."""
     for batch in batches:
@@ -268,14 +272,14 @@ def repeated_words(docs: DataFrame, scratch: Scratch | None = None) -> tuple[Dat
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "recompression")
     rows = keyed(docs)
-    scan = scratch.save(rows.mapInArrow(_scan, "doc_id long, tk long, n_words long, sha string, keys array<long>, first array<int>, last array<int>"), "scan")
-    each = scan.where("doc_id is not null").select("doc_id", "tk", F.explode(F.arrays_zip("keys", "first", "last")).alias("a"))
-    shared = each.groupBy(F.col("a.keys").alias("key")).agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key")
-    ranges = (
-        each.select("doc_id", "tk", F.col("a.keys").alias("key"), F.struct("a.first", "a.last").alias("r"))
-        .join(shared, "key").groupBy("doc_id", "tk").agg(F.collect_list("r").alias("ranges"))
+    scan = scratch.save(rows.mapInArrow(_scan, "doc_id long, tk long, n_words long, sha string, keys array<long>"), "scan")
+    each = scan.where("doc_id is not null").select("doc_id", "tk", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key")
+    found = (
+        each.join(shared, "key")
+        .groupBy("doc_id", "tk").agg(F.collect_set("key").alias("shared"))
     )
-    near = scratch.save(rows.join(ranges, ["doc_id", "tk"]), "near")
+    near = scratch.save(rows.join(found, ["doc_id", "tk"]), "near")
     windows = scratch.save(near.mapInArrow(_windows, "h1 long, h2 long, doc_id long, tk long, p int"), "windows")
     source = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("h1", "h2", "m")
     starts = windows.join(source, ["h1", "h2"]).where("doc_id > m").groupBy("doc_id", "tk").agg(F.collect_list("p").alias("starts"))
