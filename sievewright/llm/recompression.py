@@ -148,20 +148,22 @@ def recompress(names: np.ndarray, doc: np.ndarray, levels: tuple[int, ...], run_
 
 
 def anchors(names: np.ndarray, doc: np.ndarray, levels: tuple[int, ...] = LEVELS, width: int = WINDOW):
-    """Keys through which every window of ``width`` words is found: key, first and last window start.
+    """Keys by which every window of ``width`` words is known: key, first and last window start, tier; tier of each window.
 
-    Windows are numbered by their first word; every window of a document holds one of its keys,
-    and two equal windows hold the same keys at the same offsets.
+    Windows are numbered by their first word. A key stands for the windows of its own tier between first and
+    last; equal windows have one tier and the same keys at the same offsets.
     """
     n = len(names)
+    tier_of = np.full(n, -1, np.int8)
     if n < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none, tier_of
     edge = np.flatnonzero(np.diff(doc)) + 1
     size = np.diff(np.concatenate(([0], edge, [n])))
     start = np.repeat(np.concatenate(([0], edge)), size)
     stop = np.repeat(np.append(edge, n), size)
     open_ = np.arange(n) + width <= stop  # windows not reached yet
-    keys, first, last = [], [], []
+    keys, first, last, tiers, tier = [], [], [], [], 0
     for name, lo, hi in recompress(names, doc, levels):
         at = np.clip(lo, 0, n - 1)
         ok = (hi - lo <= width) & (lo >= start[at]) & (hi <= stop[at])
@@ -173,12 +175,15 @@ def anchors(names: np.ndarray, doc: np.ndarray, levels: tuple[int, ...] = LEVELS
             total = np.concatenate(([0], np.cumsum(open_)))
             some = np.flatnonzero(among)
             some = some[total[z[some] + 1] > total[a[some]]]
-            keys.append(name[some]), first.append(a[some]), last.append(z[some])
-            cover = np.bincount(a[some], minlength=n + 1) - np.bincount(z[some] + 1, minlength=n + 1)
-            open_ &= np.cumsum(cover)[:n] == 0
+            keys.append(name[some]), first.append(a[some]), last.append(z[some]), tiers.append(np.full(len(some), tier))
+            new = open_ & _held(a[some], z[some], n)
+            tier_of[new] = tier
+            open_ &= ~new
+            tier += 1
     rest = np.flatnonzero(open_)
-    keys.append(window_hashes(names, width)[rest, 0]), first.append(rest), last.append(rest)
-    return np.concatenate(keys), np.concatenate(first), np.concatenate(last)
+    tier_of[rest] = tier
+    keys.append(window_hashes(names, width)[rest, 0]), first.append(rest), last.append(rest), tiers.append(np.full(len(rest), tier))
+    return np.concatenate(keys), np.concatenate(first), np.concatenate(last), np.concatenate(tiers), tier_of
 
 
 def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +209,7 @@ def _scan(batches, width: int = WINDOW):
         for i, j in slices(texts, SLICE_BYTES):
             _, _, _, names, doc = _joined(texts[i:j])
             n = np.bincount(doc, minlength=j - i)
-            key, first, _ = anchors(names, doc, width=width)
+            key, first, *_ = anchors(names, doc, width=width)
             owner = doc[first] if len(first) else np.zeros(0, np.int64)
             order = np.argsort(owner, kind="stable")
             sizes = np.bincount(owner, minlength=j - i)
@@ -223,14 +228,17 @@ def _windows(batches, width: int = WINDOW):
         for i, j in slices(texts, SLICE_BYTES):
             _, _, _, names, doc = _joined(texts[i:j])
             base = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=j - i))))
-            key, first, last = anchors(names, doc, width=width)
+            key, first, last, tier, tier_of = anchors(names, doc, width=width)
             part = shared.slice(i, j - i)
             known = part.flatten().to_numpy()
             # a key counts as shared by its own document's list
             owner = np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
             mine = np.isin(mix(_long(key).view(np.uint64) ^ doc[first].astype(np.uint64)), mix(known.view(np.uint64) ^ owner.astype(np.uint64)))
-            at = _held(first[mine], last[mine], len(names)) & ~_held(first[~mine], last[~mine], len(names))
-            at = np.flatnonzero(at)
+            found = np.zeros(len(names), bool)
+            for t in np.unique(tier[mine]):
+                yes, no = (tier == t) & mine, (tier == t) & ~mine
+                found |= (tier_of == t) & _held(first[yes], last[yes], len(names)) & ~_held(first[no], last[no], len(names))
+            at = np.flatnonzero(found)
             h, owner = window_hashes(names, width)[at], doc[at] + i
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_long(h[:, 0])), pa.array(_long(h[:, 1])), pa.array(doc_id[owner].astype(np.int64)), pa.array(tk[owner].astype(np.int64)), pa.array((at - base[doc[at]]).astype(np.int32))],
