@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linedup, nbsvm, packing, recompression, simhash
+from . import covertree, gumbel, linedup, nbsvm, packing, recompression, simhash, warc, webp, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark, sf_dir):
+    return wrappers.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op2_sentencepiece(spark, sf_dir):
+    return gumbel.sample_segmentations(_table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark, sf_dir):
+    return warc.archive_digest(_table(spark, sf_dir, "pages"))
+
+
+def op5_webp(spark, sf_dir):
+    return webp.media_digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_dedup(spark, sf_dir):
+    return covertree.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.dedup_digest(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +54,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op6_line_dedup, op7_packing, op9_substring_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_html, op2_sentencepiece, op3_warc, op4_simhash, op5_webp, op6_line_dedup, op7_packing, op8_embedding_dedup, op9_substring_dedup, op10_quality)}
 
 
 OP9_SQL = r"""
