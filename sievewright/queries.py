@@ -1,6 +1,9 @@
-"""Registry of the reference operators' queries and their SQL."""
+"""Registry of the screening operators' queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .operators import inputs, lexical, metrics, ranking, relational  # noqa: F401
+from .plans.catalogue import CATALOGUE
+
+QUERIES = {name: CATALOGUE.query(name) for name in CATALOGUE.plans}
+SQL = {name: CATALOGUE.oracle(name) for name in CATALOGUE.plans}
