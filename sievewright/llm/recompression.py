@@ -282,20 +282,20 @@ def repeated_words(docs: DataFrame, scratch: Scratch | None = None) -> tuple[Dat
     rows = keyed(docs)
     scan = scratch.save(rows.mapInArrow(_scan, "doc_id long, tk long, n_words long, sha string, keys array<long>"), "scan")
     each = scan.where("doc_id is not null").select("doc_id", "tk", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key")
-    found = (
-        each.join(shared, "key")
-        .groupBy("doc_id", "tk").agg(F.collect_set("key").alias("shared"))
-    )
-    near = scratch.save(rows.join(found, ["doc_id", "tk"]), "near")
+    # written, so that both sides of the joins below are dealt anew and a hot key's partition can be split
+    shared = scratch.save(each.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key"), "shared")
+    found = each.join(shared, "key").groupBy("doc_id", "tk").agg(F.collect_set("key").alias("shared"))
+    near = rows.join(found, ["doc_id", "tk"])
     windows = scratch.save(near.mapInArrow(_windows, "h1 long, h2 long, doc_id long, tk long, p int"), "windows")
+    del near, found
     source = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("h1", "h2", "m")
-    starts = windows.join(source, ["h1", "h2"]).where("doc_id > m").groupBy("doc_id", "tk").agg(F.collect_list("p").alias("starts"))
-    changed = scratch.save(
-        near.select("doc_id", "tk", "text").join(starts, ["doc_id", "tk"]).mapInArrow(_cut, "doc_id long, tk long, n_removed long, kept string"), "changed"
-    )
-    scratch.drop("near")
-    scratch.drop("windows")
+    source = scratch.save(source, "source")
+    later = windows.join(source, ["h1", "h2"]).where("doc_id > m")
+    starts = scratch.save(later.groupBy("doc_id", "tk").agg(F.collect_set("p").alias("starts")), "starts")
+    del later
+    for name in ("shared", "windows", "source"):
+        scratch.drop(name)
+    changed = scratch.save(rows.join(starts, ["doc_id", "tk"]).mapInArrow(_cut, "doc_id long, tk long, n_removed long, kept string"), "changed")
     return scan.select("doc_id", "tk", "n_words", "sha"), changed.dropDuplicates(["doc_id", "tk"])
 
 
