@@ -281,11 +281,15 @@ def repeated_words(docs: DataFrame, scratch: Scratch | None = None) -> tuple[Dat
     scratch = scratch or Scratch(spark, "recompression")
     rows = keyed(docs)
     scan = scratch.save(rows.mapInArrow(_scan, "doc_id long, tk long, n_words long, sha string, keys array<long>"), "scan")
-    each = scan.where("doc_id is not null").select("doc_id", "tk", F.explode("keys").alias("key"))
+    # a document whose whole word sequence starts a smaller document goes whole, and is no source that the smaller one isn't
+    first = scan.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("sha", "m")
+    copies = scan.select("doc_id", "tk", "sha", "n_words").join(first, "sha").where("doc_id > m").select("doc_id", "tk", F.col("n_words").alias("n_removed"))
+    copies = scratch.save(copies.dropDuplicates(["doc_id", "tk"]), "copies")
+    each = scan.select("doc_id", "tk", "keys").join(copies, ["doc_id", "tk"], "left_anti").where("doc_id is not null").select("doc_id", "tk", F.explode("keys").alias("key"))
     # written, so that both sides of the joins below are dealt anew and a hot key's partition can be split
     shared = scratch.save(each.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key"), "shared")
     found = each.join(shared, "key").groupBy("doc_id", "tk").agg(F.collect_set("key").alias("shared"))
-    near = rows.join(found, ["doc_id", "tk"])
+    near = rows.join(found, ["doc_id", "tk"])  # copies have no keys here
     windows = scratch.save(near.mapInArrow(_windows, "h1 long, h2 long, doc_id long, tk long, p int"), "windows")
     del near, found
     source = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("h1", "h2", "m")
@@ -296,7 +300,8 @@ def repeated_words(docs: DataFrame, scratch: Scratch | None = None) -> tuple[Dat
     for name in ("shared", "windows", "source"):
         scratch.drop(name)
     changed = scratch.save(rows.join(starts, ["doc_id", "tk"]).mapInArrow(_cut, "doc_id long, tk long, n_removed long, kept string"), "changed")
-    return scan.select("doc_id", "tk", "n_words", "sha"), changed.dropDuplicates(["doc_id", "tk"])
+    changed = changed.dropDuplicates(["doc_id", "tk"]).union(copies.select("doc_id", "tk", "n_removed", F.lit("").alias("kept")))
+    return scan.select("doc_id", "tk", "n_words", "sha"), changed
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
