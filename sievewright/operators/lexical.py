@@ -12,11 +12,11 @@ STEM = lambda d, x: d.sub(d.sub(d.sub(x, "ies$", "y"), "sses$", "ss"), "([^s])s$
 
 BM25 = lambda d: f"""WITH lens AS (SELECT paper_id, silo, {d.size('ts')} AS n FROM paper_tokens),
 pool AS (SELECT silo, count(*) AS docs, avg(n) AS avgdl FROM lens GROUP BY silo),
-tf AS (SELECT paper_id, silo, term, count(*) AS f FROM terms GROUP BY paper_id, silo, term),
-df AS (SELECT silo, term, count(*) AS df FROM tf GROUP BY silo, term),
 q AS (SELECT DISTINCT silo, {d.each(TOKENS(d, 'obj'))} AS term FROM briefs),
+tf AS (SELECT t.paper_id, t.silo, t.term, count(*) AS f FROM terms t JOIN q ON t.silo = q.silo AND t.term = q.term GROUP BY t.paper_id, t.silo, t.term),
+df AS (SELECT silo, term, count(*) AS df FROM tf GROUP BY silo, term),
 hit AS (SELECT tf.paper_id, sum(ln(1 + (docs - df.df + 0.5) / (df.df + 0.5)) * f * {K1 + 1} / (f + {K1} * (1 - {B} + {B} * l.n / avgdl))) AS s
-  FROM tf JOIN q ON tf.silo = q.silo AND tf.term = q.term JOIN df ON df.silo = tf.silo AND df.term = tf.term JOIN pool p ON p.silo = tf.silo JOIN lens l ON l.paper_id = tf.paper_id GROUP BY tf.paper_id)
+  FROM tf JOIN df ON df.silo = tf.silo AND df.term = tf.term JOIN pool p ON p.silo = tf.silo JOIN lens l ON l.paper_id = tf.paper_id GROUP BY tf.paper_id)
 SELECT l.silo, l.paper_id, {R('coalesce(s, 0)')} AS bm25 FROM lens l LEFT JOIN hit h ON l.paper_id = h.paper_id"""
 
 
