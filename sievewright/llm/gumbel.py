@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import slices
 from .recompression import mix
 
 SAMPLES, SEED, ALPHA, SLICE = 2, 20240101, 0.5, 1 << 20
-STORE_NODES = 1_500_000
+STORE_NODES = 2_000_000
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -51,12 +52,12 @@ class Vocabulary:
             weight -= np.log(np.exp(weight[usable]).sum())
         self.weight, self.unknown = weight, float(weight[usable].min() - 10)
         self.byte_ids = {sp.id_to_piece(i): i for i in range(n) if sp.is_byte(i)}
-        self.pieces = {}
+        self.pieces, self.bare = {}, {}
         self.bytes_of = [b""] * n
         for i in usable:
             p = sp.id_to_piece(i)
             self.pieces[p] = i
-            self.bytes_of[i] = p.encode()
+            self.bytes_of[i] = p.replace(SPACE, " ").encode()
         for p, i in self.byte_ids.items():
             self.bytes_of[i] = bytes([int(p[3:5], 16)])
         self.longest = max(map(len, self.pieces), default=1)
@@ -102,14 +103,58 @@ class Vocabulary:
             slot[open_] += 1
         return out
 
-    def fallback(self, char: int) -> list[int]:
-        return [self.byte_ids.get(f"<0x{b:02X}>", self.sp.unk_id()) for b in chr(char).encode()]
+    def fallback(self, char: int) -> np.ndarray:
+        if char not in self.bare:
+            self.bare[char] = np.array([self.byte_ids.get(f"<0x{b:02X}>", self.sp.unk_id()) for b in chr(char).encode()], np.int32)
+        return self.bare[char]
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """``ids`` with the byte pieces of characters (-1 - character) that have no piece."""
+        bare = np.flatnonzero(ids < 0).tolist()
+        if not bare:
+            return ids
+        parts, done = [], 0
+        for x in bare:
+            parts += [ids[done:x], self.fallback(-1 - int(ids[x]))]
+            done = x + 1
+        return np.concatenate([*parts, ids[done:]])
 
     def decode(self, ids: list[int]) -> bytes:
-        raw = b"".join([self.bytes_of[i] for i in ids]).replace(SPACE.encode(), b" ")
+        raw = b"".join(map(self.bytes_of.__getitem__, ids))
         return raw[1:] if raw[:1] == b" " else raw
 
 
+class Index(dict):
+    """Numbers words as they are met and keeps the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+class Column:
+    """A growing array: appends cost their own length."""
+
+    def __init__(self, dtype):
+        self.room, self.n = np.zeros(1 << 12, dtype), 0
+
+    def append(self, x: np.ndarray) -> np.ndarray:
+        """Adds ``x``; returns the whole column."""
+        stop = self.n + len(x)
+        if stop > len(self.room):
+            wider = np.zeros(max(stop, 2 * len(self.room)), self.room.dtype)
+            wider[:self.n] = self.room[:self.n]
+            self.room = wider
+        self.room[self.n:stop] = x
+        self.n = stop
+        return self.room[:stop]
+
+
 class Store:
     """Lattices of distinct words: for each node the range of its edges; for each edge id, length, probability."""
 
@@ -118,11 +163,14 @@ class Store:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.first = np.zeros(0, np.int64)  # node of a word's begin
-        self.begin = np.zeros(1, np.int64)  # first edge of a node
-        self.ids, self.steps = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.q, self.cdf = np.zeros(0), np.zeros(0)
+        self.index = Index()
+        # first: node of a word's begin; begin: first edge of a node
+        self.columns = {k: Column(t) for k, t in (("first", np.int64), ("begin", np.int64), ("ids", np.int32), ("steps", np.int32), ("q", float), ("cdf", float))}
+        self._append(first=(), begin=(), ids=(), steps=(), q=(), cdf=())
+
+    def _append(self, **parts) -> None:
+        for k, x in parts.items():
+            setattr(self, k, self.columns[k].append(x))
 
     def add(self, words: list[str]) -> None:
         v, text = self.v, "".join(words)
@@ -147,55 +195,51 @@ class Store:
         bare = np.ones(len(chars), bool)
         bare[src[size == 1]] = False
         bare = np.flatnonzero(bare)
-        src, size = np.concatenate((src, bare)), np.concatenate((size, np.ones(len(bare), np.int64)))
-        w = self.alpha * np.concatenate((v.weight[ids], np.full(len(bare), v.unknown)))
-        ids = np.concatenate((ids, -1 - chars[bare]))
-        order = np.lexsort((size, src))
+        # in the order of their lengths, so a stable sort by node is all that is left
+        src, size = np.concatenate((bare, src)), np.concatenate((np.ones(len(bare), np.int64), size))
+        w = self.alpha * np.concatenate((np.full(len(bare), v.unknown), v.weight[ids]))
+        ids = np.concatenate((-1 - chars[bare], ids))
+        order = np.argsort(src, kind="stable")
         src, ids, size, w = src[order], ids[order], size[order], w[order]
         begin = np.searchsorted(src, np.arange(len(chars) + 1))
         # backward pass over all words at once, by distance to the word's end
         logz = np.zeros(len(chars) + 1)
-        end_of = np.zeros(len(chars) + 1, bool)
-        end_of[stop] = True
-        far = room[src] - 0
-        by_room = np.argsort(far, kind="stable")
+        far = room[src]
+        by_room = np.argsort(far.astype(np.uint16) if lens.max() < 1 << 16 else far, kind="stable")
         cuts = np.searchsorted(far[by_room], np.arange(1, int(lens.max()) + 2)) if len(lens) else []
         total = np.zeros(len(src))
         for k in range(len(cuts) - 1):
             e = by_room[cuts[k]:cuts[k + 1]]
             if not len(e):
                 continue
-            last = room[src[e]] == size[e]
-            total[e] = w[e] + np.where(last, 0.0, logz[np.where(last, 0, src[e] + size[e])])
-            s, inv = np.unique(src[e], return_inverse=True)
-            top = np.full(len(s), -np.inf)
-            np.maximum.at(top, inv, total[e])
-            logz[s] = top + np.log(np.bincount(inv, np.exp(total[e] - top[inv])))
+            at, length = src[e], size[e]
+            last = length == k + 1
+            sums = w[e] + np.where(last, 0.0, logz[np.where(last, 0, at + length)])
+            head = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            top = np.maximum.reduceat(sums, head)
+            above = np.exp(sums - np.repeat(top, np.diff(np.append(head, len(at)))))
+            logz[at[head]] = top + np.log(np.add.reduceat(above, head))
+            total[e] = sums
         q = np.exp(total - logz[src])
-        cdf = np.cumsum(q)
-        cdf -= np.concatenate(([0.0], cdf))[begin[src]]
+        # in whole units of 2^-40, so that sums do not hang on the words before
+        units = np.cumsum(np.rint(q * 2.0**40).astype(np.int64))
+        cdf = (units - np.concatenate(([0], units))[begin[src]]) * 2.0**-40
         cdf[begin[1:][begin[1:] > begin[:-1]] - 1] = 2.0
-        base, edges = len(self.begin) - 1, len(self.ids)
-        for i, x in enumerate(words):
-            self.index[x] = len(self.first) + i
-        self.first = np.concatenate((self.first, start + base))
-        self.begin = np.concatenate((self.begin[:-1], begin + edges))
-        ends = np.where(np.repeat(stop, lens)[src] == src + size, 0, size)  # 0: the word ends
-        self.ids, self.steps = np.concatenate((self.ids, ids.astype(np.int32))), np.concatenate((self.steps, ends.astype(np.int32)))
-        self.q, self.cdf = np.concatenate((self.q, np.minimum(q, 1.0))), np.concatenate((self.cdf, cdf))
+        ends = np.where(far == size, 0, size)  # 0: the word ends
+        self._append(first=start + len(self.begin), begin=begin[:-1] + len(self.ids), ids=ids, steps=ends, q=np.minimum(q, 1.0), cdf=cdf)
 
     def words(self, docs: list[list[str]]) -> np.ndarray:
         """Numbers of all words of ``docs``, adding those not met before."""
-        new = [w for w in dict.fromkeys(x for d in docs for x in d) if w not in self.index]
-        if new:
-            if len(self.begin) > STORE_NODES:
-                self.clear()
-                new = list(dict.fromkeys(x for d in docs for x in d))
-            self.add(new)
-        get = self.index
-        return np.array([get[x] for d in docs for x in d], np.int64)
-
-    def walk(self, node: np.ndarray, key: np.ndarray, ban: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.begin) > STORE_NODES:
+            self.clear()
+        index = self.index
+        out = np.fromiter(map(index.__getitem__, chain.from_iterable(docs)), np.int64)
+        if index.new:
+            self.add(index.new)
+            index.new = []
+        return out
+
+    def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One sampled path from each node to its word's end: edges in path order, and how many each has."""
         who, at, edges, owner, places, count = np.arange(len(node)), node, [], [], [], np.zeros(len(node), np.int64)
         t = 0
@@ -218,6 +262,24 @@ class Store:
         return out, count
 
 
+    def tail(self, node: int, key: np.uint64) -> np.ndarray:
+        """walk() from a single node."""
+        out, draws = [], []
+        begin, cdf, steps = self.begin, self.cdf, self.steps
+        while True:
+            t = len(out)
+            if t == len(draws):
+                draws += uniform(key + np.arange(t, t + 8, dtype=np.uint64)).tolist()
+            e = int(begin[node])
+            while cdf[e] <= draws[t]:
+                e += 1
+            out.append(e)
+            step = int(steps[e])
+            if not step:
+                return np.array(out, np.int64)
+            node += step
+
+
 def uniform(key: np.ndarray) -> np.ndarray:
     return (mix(key) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
@@ -229,76 +291,110 @@ def truncated(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(phi), -np.inf, np.minimum(out, top))
 
 
-class Search:
-    """The perturbed A-star search over one text's segmentations."""
-
-    def __init__(self, store: Store, fresh: list[tuple[np.ndarray, np.ndarray]], key: int):
-        """fresh: for each sample to come, edges and each word's edge count."""
-        self.store, self.fresh, self.key = store, fresh, np.uint64(key)
-        self.regions: list[dict] = []
-
-    def draws(self, sample: int, n: int) -> np.ndarray:
-        return uniform(self.key ^ mix(np.arange(n, dtype=np.uint64) + (np.uint64(sample) << np.uint64(40)) + np.uint64(1 << 62)))
-
-    def _open(self, sample: int, path: np.ndarray, words: np.ndarray, since: int, top: float, banned: list[int]) -> dict:
-        """The regions that ``path`` leaves behind from place ``since`` on; ``banned`` edges are out at that place."""
-        q = self.store.q[path]
-        with np.errstate(divide="ignore"):
-            prefix = np.concatenate(([0.0], np.cumsum(np.log(q))))
-            rest = 1.0 - q
-            if banned:
-                rest[since] = 1.0 - q[since] - self.store.q[banned].sum()
-            rest[self.alone(path)] = 0.0
-            phi = prefix[:-1] + np.log(np.where(rest > 1e-15, rest, 0.0))
-        score = truncated(phi, top, self.draws(sample, len(path)))
-        score[:since] = -np.inf
-        return {"path": path, "words": words, "score": score, "since": since, "banned": banned, "log_prob": float(prefix[-1]), "top": top}
-
-    def alone(self, path: np.ndarray) -> np.ndarray:
-        """Whether an edge is its node's only one."""
-        cdf = self.store.cdf
-        return (cdf[path] == 2.0) & ((path == 0) | (cdf[path - 1] == 2.0))
-
-    def run(self, k: int):
-        """Up to k regions in the order of their perturbed scores, then the threshold."""
-        edges, words = self.fresh[0]
-        top = float(-np.log(-np.log(np.clip(self.draws(k + 1, 1)[0], 1e-300, 1 - 1e-16))))
-        out = [self._open(0, edges, words, 0, top, [])]
-        self.regions.append(out[0])
-        while True:
-            best = max(self.regions, key=lambda r: r["score"].max(initial=-np.inf))
-            bound = float(best["score"].max(initial=-np.inf))
-            if len(out) == k or np.isneginf(bound):
-                return out, bound
-            j = int(best["score"].argmax())
-            best["score"][j] = -np.inf
-            out.append(self._expand(len(out), best, j, bound))
-            self.regions.append(out[-1])
-
-    def _expand(self, sample: int, region: dict, j: int, top: float) -> dict:
-        """The best segmentation that begins like the region's path and takes another edge at place j."""
-        s, path = self.store, region["path"]
-        banned = [int(path[j]), *(region["banned"] if j == region["since"] else [])]
-        lo = int(path[j])
-        while lo and s.cdf[lo - 1] != 2.0:
-            lo -= 1
-        hi = int(path[j])
-        while s.cdf[hi] != 2.0:
-            hi += 1
-        choice = [e for e in range(lo, hi + 1) if e not in banned]
-        q = np.cumsum(s.q[choice])
-        u = self.draws(sample + 1000, 2)
-        edge = choice[min(int(np.searchsorted(q, u[0] * q[-1], side="right")), len(choice) - 1)]
-        word = int(np.searchsorted(np.cumsum(region["words"]), j, side="right"))
-        tail = np.zeros(0, np.int64)
-        if s.steps[edge]:
-            node = int(np.searchsorted(s.begin, edge, side="right")) - 1 + int(s.steps[edge])
-            tail, _ = s.walk(np.array([node]), np.array([mix(np.array([self.key + np.uint64(sample + 77)]))[0]]))
-        edges, words = self.fresh[sample]
-        after = int(words[: word + 1].sum())
-        before = int(region["words"][:word].sum())
-        count = np.concatenate((region["words"][:word], [j - before + 1 + len(tail)], words[word + 1:]))
-        return self._open(sample, np.concatenate((path[:j], [edge], tail, edges[after:])), count, j, top, banned)
+def _regions(store: Store, keys: np.ndarray, sample: int, paths: list[np.ndarray], since: np.ndarray, top: np.ndarray, banned: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Perturbed scores of the regions that each path leaves behind from place ``since`` on, and the paths' log-probabilities.
+
+    ``banned`` is the probability of the edges that are out at that place.
+    """
+    size = np.array([len(p) for p in paths])
+    stop = np.cumsum(size)
+    start = stop - size
+    path = np.concatenate(paths)
+    q = store.q[path]
+    log = np.log(q)
+    prefix = np.empty(len(path))
+    for a, z in zip(start.tolist(), stop.tolist(), strict=True):  # by text, so that the sums are the same in any task
+        np.cumsum(log[a:z], out=prefix[a:z])
+    rest = 1.0 - q
+    rest[start + since] -= banned
+    cdf = store.cdf
+    rest[(cdf[path] == 2.0) & ((path == 0) | (cdf[path - 1] == 2.0))] = 0.0  # a node's only edge
+    with np.errstate(divide="ignore"):
+        phi = prefix - log + np.log(np.where(rest > 1e-15, rest, 0.0))
+    place = np.arange(len(path)) - np.repeat(start, size)
+    score = truncated(phi, np.repeat(top, size), draws(np.repeat(keys, size), sample, place))
+    score[place < np.repeat(since, size)] = -np.inf
+    return np.split(score, stop[:-1]), prefix[stop - 1]
+
+
+def draws(keys: np.ndarray, sample: int, place) -> np.ndarray:
+    return uniform(keys ^ mix(np.atleast_1d(place).astype(np.uint64) + (np.uint64(sample) << np.uint64(40)) + np.uint64(1 << 62)))
+
+
+def search(store: Store, docs: list[np.ndarray], keys: np.ndarray, k: int) -> tuple[list[list[tuple]], np.ndarray]:
+    """The perturbed A-star search over the segmentations of each text, a row of words of ``docs`` (none empty).
+
+    Up to k (path, log-probability, perturbed score) for each text, in the order of their scores, and the
+    score of the next one. A round of all texts shares its array work; their frontiers are apart.
+    """
+    n = len(docs)
+    with np.errstate(divide="ignore"):
+        top = -np.log(-np.log(np.clip(draws(keys, k + 1, 0), 1e-300, 1 - 1e-16)))
+    out: list[list[tuple]] = [[] for _ in docs]
+    frontier: list[list[dict]] = [[] for _ in docs]
+    paths, ends = _fresh(store, docs, keys, np.zeros(n, np.int64), 0)
+    who, since, banned = np.arange(n), np.zeros(n, np.int64), [[] for _ in docs]
+    bound = np.full(n, -np.inf)
+    for sample in range(k + 1):
+        scores, log_prob = _regions(store, keys[who], sample, paths, since, top, np.array([store.q[x].sum() if x else 0.0 for x in banned])) if len(who) else ([], [])
+        for x, d in enumerate(who.tolist()):
+            out[d].append((paths[x], float(log_prob[x]), float(top[x])))
+            best = int(scores[x].argmax())
+            frontier[d].append({"path": paths[x], "ends": ends[x], "score": scores[x], "at": best, "best": float(scores[x][best]), "since": int(since[x]), "banned": banned[x]})
+        picked = [max(frontier[d], key=lambda r: r["best"]) for d in who.tolist()]
+        bound[who] = [r["best"] for r in picked]
+        if sample == k - 1:
+            break
+        alive = [x for x, r in enumerate(picked) if r["best"] > -np.inf]
+        who, picked = who[alive], [picked[x] for x in alive]
+        if not len(who):
+            break
+        top = bound[who]
+        turn = draws(keys[who], sample + 1001, 0).tolist()
+        tail_keys = mix(keys[who] + np.uint64(sample + 78))
+        heads, since, banned, after = [], np.array([r["at"] for r in picked]), [], []
+        for r, u, key in zip(picked, turn, tail_keys, strict=True):
+            head, out_here = _turn(store, r, u, key)
+            heads.append(head), banned.append(out_here)
+            after.append(int(np.searchsorted(r["ends"], r["at"], side="right")) + 1)
+            r["score"][r["at"]] = -np.inf
+            r["at"] = int(r["score"].argmax())
+            r["best"] = float(r["score"][r["at"]])
+        rest, rest_ends = _fresh(store, [docs[d][a:] for d, a in zip(who.tolist(), after, strict=True)], keys[who], np.array(after), sample + 1)
+        paths = [np.concatenate(x) for x in zip(heads, rest, strict=True)]
+        ends = [np.concatenate((r["ends"][:a - 1], [len(h)], e + len(h))) for r, a, h, e in zip(picked, after, heads, rest_ends, strict=True)]
+    return out, bound
+
+
+def _fresh(store: Store, docs: list[np.ndarray], keys: np.ndarray, place: np.ndarray, sample: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sampled paths through the words of each text, and the places where its words end; ``place`` numbers the first word."""
+    size = np.array([len(d) for d in docs])
+    base = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(place - base, size)
+    key = mix(np.repeat(keys, size) + mix(at.astype(np.uint64) + (np.uint64(sample) << np.uint64(48))))
+    edges, count = store.walk(store.first[np.concatenate(docs)], key)
+    ends = np.concatenate(([0], np.cumsum(count)))
+    first, last = ends[base], ends[base + size]
+    return [edges[a:z] for a, z in zip(first.tolist(), last.tolist(), strict=True)], [ends[b + 1:b + 1 + m] - a for b, m, a in zip(base.tolist(), size.tolist(), first.tolist(), strict=True)]
+
+
+def _turn(store: Store, region: dict, u: float, key: np.uint64) -> tuple[np.ndarray, list[int]]:
+    """The region's path up to its best place, another edge there and a sampled rest of the word; the edges that are out there."""
+    path, j, cdf = region["path"], region["at"], store.cdf
+    lo = hi = int(path[j])
+    banned = [lo, *(region["banned"] if j == region["since"] else [])]
+    while lo and cdf[lo - 1] != 2.0:
+        lo -= 1
+    while cdf[hi] != 2.0:
+        hi += 1
+    choice = [e for e in range(lo, hi + 1) if e not in banned]
+    q = np.cumsum(store.q[choice])
+    edge = choice[min(int(np.searchsorted(q, u * q[-1], side="right")), len(choice) - 1)]
+    head = [path[:j], [edge]]
+    if store.steps[edge]:
+        node = int(np.searchsorted(store.begin, edge, side="right")) - 1 + int(store.steps[edge])
+        head.append(store.tail(node, key))
+    return np.concatenate(head), banned
 
 
 _loaded: dict = {}
@@ -310,29 +406,22 @@ def segment(texts: list[str], keys: np.ndarray, store: Store, k: int, seed: int)
     normal = v.sp.normalize(texts) if texts else []
     docs = [[n] if v.crossing and n else _CHUNK.findall(n) for n in normal]
     words = store.words(docs)
-    size = np.array([len(d) for d in docs])
+    size = np.array([len(d) for d in docs], np.int64)
     row = mix(keys.astype(np.int64).view(np.uint64) ^ mix(np.array([seed], np.uint64)))
-    place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
-    fresh = []
-    for r in range(k):
-        key = mix(np.repeat(row, size) + mix(place.astype(np.uint64) + (np.uint64(r) << np.uint64(48))))
-        edges, count = store.walk(store.first[words], key)
-        fresh.append((edges, count, np.concatenate(([0], np.cumsum(count)))))
-    for i, at in enumerate(np.cumsum(size) - size):
-        a, z = int(at), int(at) + int(size[i])
-        if a == z:
-            yield normal[i], [([], 0.0, float("inf"), 1.0)]
+    some = np.flatnonzero(size)
+    stop = np.cumsum(size)
+    found, bound = search(store, [words[stop[i] - size[i]:stop[i]] for i in some.tolist()], row[some], k) if len(some) else ([], [])
+    at = iter(zip(found, bound, strict=True))
+    for i, text in enumerate(normal):
+        if not size[i]:
+            yield text, [([], 0.0, float("inf"), 1.0)]
             continue
-        search = Search(store, [(e[c[a]:c[z]], n[a:z]) for e, n, c in fresh], int(row[i]))
-        found, bound = search.run(k)
-        out = []
-        for f in found:
-            ids = store.ids[f["path"]]
-            if len(ids) and ids.min() < 0:
-                ids = [x for e in ids.tolist() for x in ([e] if e >= 0 else v.fallback(-1 - e))]
-            inclusion = 1.0 if np.isneginf(bound) else float(-np.expm1(-np.exp(min(700.0, f["log_prob"] - bound))))
-            out.append((np.asarray(ids, np.int32), f["log_prob"], f["top"], inclusion))
-        yield normal[i], out
+        (paths, limit), out = next(at), []
+        for path, log_prob, perturbed in paths:
+            ids = v.spelled(store.ids[path])
+            inclusion = 1.0 if np.isneginf(limit) else float(-np.expm1(-np.exp(min(700.0, log_prob - limit))))
+            out.append((ids, log_prob, perturbed, inclusion))
+        yield text, out
 
 
 SCHEMA = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, inclusion double, decoded_bytes long, exact boolean"
