@@ -160,6 +160,9 @@ class Store:
 
     def __init__(self, vocabulary: Vocabulary, alpha: float):
         self.v, self.alpha = vocabulary, alpha
+        self.odds, self.odds_unknown = np.exp(alpha * vocabulary.weight), float(np.exp(alpha * vocabulary.unknown))
+        self.short = int(600 / (abs(alpha * vocabulary.unknown) + 2))  # no product of so many pieces leaves the range of doubles
+        self.grow = np.exp(2.0 * np.arange(max(vocabulary.longest, 1) + 1))
         self.clear()
 
     def clear(self) -> None:
@@ -173,60 +176,89 @@ class Store:
             setattr(self, k, self.columns[k].append(x))
 
     def add(self, words: list[str]) -> None:
-        v, text = self.v, "".join(words)
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        lens = np.array([len(w) for w in words])
+        """Appends the lattices of ``words``: short words by plain products, the others by logarithms."""
+        short = np.array([len(w) <= self.short for w in words])
+        first = np.empty(len(words), np.int64)
+        for part, plain in ((np.flatnonzero(short), True), (np.flatnonzero(~short), False)):
+            if len(part):
+                first[part] = self._add([words[i] for i in part.tolist()] if len(part) < len(words) else words, plain)
+        self._append(first=first)
+
+    def _add(self, words: list[str], plain: bool) -> np.ndarray:
+        """Appends nodes and edges; returns the words' first nodes."""
+        v = self.v
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        lens, n = np.array([len(w) for w in words]), len(chars)
         stop = np.cumsum(lens)
-        start = stop - lens
-        room = np.repeat(stop, lens) - np.arange(len(chars))
-        at, node, src, ids, size = np.arange(len(chars)), np.zeros(len(chars), np.int64), [], [], []
-        for k in range(v.longest):
+        room = np.repeat(stop, lens) - np.arange(n)
+        # every node has an edge of one character; longer ones follow in the order of their lengths
+        node = v.step(np.zeros(n, np.int64), chars)
+        one = np.where(node >= 0, v.final[node], -1)
+        degree = np.ones(n, np.int64)
+        src, rank, ids, size = [np.arange(n)], [np.zeros(n, np.int64)], [np.where(one >= 0, one, -1 - chars)], [np.ones(n, np.int64)]
+        at = np.flatnonzero((node >= 0) & (room > 1))
+        node, k = node[at], 1
+        while len(at):
             node = v.step(node, chars[at + k])
+            k += 1
             ok = node >= 0
             at, node = at[ok], node[ok]
             got = v.final[node]
             some = got >= 0
-            src.append(at[some]), ids.append(got[some]), size.append(np.full(some.sum(), k + 1))
-            more = room[at] > k + 1
+            here = at[some]
+            src.append(here), rank.append(degree[here]), ids.append(got[some]), size.append(np.full(len(here), k))
+            degree[here] += 1
+            more = room[at] > k
             at, node = at[more], node[more]
-            if not len(at):
-                break
-        src, ids, size = np.concatenate(src), np.concatenate(ids), np.concatenate(size)
-        bare = np.ones(len(chars), bool)
-        bare[src[size == 1]] = False
-        bare = np.flatnonzero(bare)
-        # in the order of their lengths, so a stable sort by node is all that is left
-        src, size = np.concatenate((bare, src)), np.concatenate((np.ones(len(bare), np.int64), size))
-        w = self.alpha * np.concatenate((np.full(len(bare), v.unknown), v.weight[ids]))
-        ids = np.concatenate((-1 - chars[bare], ids))
-        order = np.argsort(src, kind="stable")
-        src, ids, size, w = src[order], ids[order], size[order], w[order]
-        begin = np.searchsorted(src, np.arange(len(chars) + 1))
-        # backward pass over all words at once, by distance to the word's end
-        logz = np.zeros(len(chars) + 1)
-        far = room[src]
-        by_room = np.argsort(far.astype(np.uint16) if lens.max() < 1 << 16 else far, kind="stable")
-        cuts = np.searchsorted(far[by_room], np.arange(1, int(lens.max()) + 2)) if len(lens) else []
-        total = np.zeros(len(src))
-        for k in range(len(cuts) - 1):
-            e = by_room[cuts[k]:cuts[k + 1]]
-            if not len(e):
-                continue
-            at, length = src[e], size[e]
-            last = length == k + 1
-            sums = w[e] + np.where(last, 0.0, logz[np.where(last, 0, at + length)])
-            head = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            top = np.maximum.reduceat(sums, head)
-            above = np.exp(sums - np.repeat(top, np.diff(np.append(head, len(at)))))
-            logz[at[head]] = top + np.log(np.add.reduceat(above, head))
-            total[e] = sums
-        q = np.exp(total - logz[src])
+        begin = np.cumsum(degree) - degree
+        place = begin[np.concatenate(src)] + np.concatenate(rank)
+
+        def placed(parts, dtype):
+            out = np.empty(len(place), dtype)
+            out[place] = np.concatenate(parts)
+            return out
+
+        ids, size = placed(ids, np.int32), placed(size, np.int32)
+        src = np.repeat(np.arange(n), degree)
+        q = (self._products if plain else self._logarithms)(begin, degree, src, ids, size, room)
         # in whole units of 2^-40, so that sums do not hang on the words before
         units = np.cumsum(np.rint(q * 2.0**40).astype(np.int64))
-        cdf = (units - np.concatenate(([0], units))[begin[src]]) * 2.0**-40
-        cdf[begin[1:][begin[1:] > begin[:-1]] - 1] = 2.0
-        ends = np.where(far == size, 0, size)  # 0: the word ends
-        self._append(first=start + len(self.begin), begin=begin[:-1] + len(self.ids), ids=ids, steps=ends, q=np.minimum(q, 1.0), cdf=cdf)
+        cdf = (units - np.repeat(np.concatenate(([0], units))[begin], degree)) * 2.0**-40
+        cdf[begin + degree - 1] = 2.0
+        nodes, ends = len(self.begin), np.where(room[src] == size, 0, size)  # 0: the word ends
+        self._append(begin=begin + len(self.ids), ids=ids, steps=ends, q=np.minimum(q, 1.0), cdf=cdf)
+        return stop - lens + nodes
+
+    def _rounds(self, begin: np.ndarray, degree: np.ndarray, room: np.ndarray):
+        """Nodes by their distance to the word's end, their edges, and where each node's edges begin among them."""
+        by = np.argsort(room.astype(np.uint16) if room.max() < 1 << 16 else room, kind="stable")
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(room)[1:]))).tolist()
+        for a, z in zip(cuts, cuts[1:]):  # noqa: B905
+            if a < z:
+                nodes = by[a:z]
+                many = degree[nodes]
+                head = np.cumsum(many) - many
+                yield nodes, np.arange(int(many.sum())) + np.repeat(begin[nodes] - head, many), head, many
+
+    def _products(self, begin, degree, src, ids, size, room) -> np.ndarray:
+        """Conditional probability of each edge; a factor of e^2 per character keeps the products in range."""
+        odds = np.where(ids >= 0, self.odds[ids], self.odds_unknown) * self.grow[size]
+        z = np.ones(len(begin) + 1)
+        reach = np.where(room[src] == size, len(begin), src + size)  # the last one: the word's end
+        for nodes, e, head, _ in self._rounds(begin, degree, room):
+            odds[e] = ways = odds[e] * z[reach[e]]
+            z[nodes] = np.add.reduceat(ways, head)
+        return odds / z[src]
+
+    def _logarithms(self, begin, degree, src, ids, size, room) -> np.ndarray:
+        total = self.alpha * np.where(ids >= 0, self.v.weight[ids], self.v.unknown)
+        z = np.zeros(len(begin) + 1)
+        reach = np.where(room[src] == size, len(begin), src + size)
+        for nodes, e, head, many in self._rounds(begin, degree, room):
+            total[e] = sums = total[e] + z[reach[e]]
+            top = np.maximum.reduceat(sums, head)
+            z[nodes] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, many)), head))
+        return np.exp(total - z[src])
 
     def words(self, docs: list[list[str]]) -> np.ndarray:
         """Numbers of all words of ``docs``, adding those not met before."""
@@ -245,7 +277,7 @@ class Store:
         t = 0
         while len(who):
             u = uniform(key[who] + np.uint64(t))
-            e = self.begin[at].copy()
+            e = self.begin[at]
             late = np.flatnonzero(self.cdf[e] <= u)
             while len(late):
                 e[late] += 1
@@ -286,9 +318,8 @@ def uniform(key: np.ndarray) -> np.ndarray:
 
 def truncated(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     """Gumbel draws at ``phi`` that do not exceed ``top``."""
-    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-        out = phi - np.log(np.exp(phi - top) - np.log(np.maximum(u, 1e-300)))
-    return np.where(np.isneginf(phi), -np.inf, np.minimum(out, top))
+    with np.errstate(over="ignore"):
+        return np.minimum(phi - np.log(np.exp(phi - top) - np.log(np.maximum(u, 1e-300))), top)
 
 
 def _regions(store: Store, keys: np.ndarray, sample: int, paths: list[np.ndarray], since: np.ndarray, top: np.ndarray, banned: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -309,11 +340,12 @@ def _regions(store: Store, keys: np.ndarray, sample: int, paths: list[np.ndarray
     rest[start + since] -= banned
     cdf = store.cdf
     rest[(cdf[path] == 2.0) & ((path == 0) | (cdf[path - 1] == 2.0))] = 0.0  # a node's only edge
-    with np.errstate(divide="ignore"):
-        phi = prefix - log + np.log(np.where(rest > 1e-15, rest, 0.0))
     place = np.arange(len(path)) - np.repeat(start, size)
-    score = truncated(phi, np.repeat(top, size), draws(np.repeat(keys, size), sample, place))
-    score[place < np.repeat(since, size)] = -np.inf
+    open_ = np.flatnonzero((rest > 1e-15) & (place >= np.repeat(since, size)))
+    doc = np.repeat(np.arange(len(size)), size)[open_]
+    phi = prefix[open_] - log[open_] + np.log(rest[open_])
+    score = np.full(len(path), -np.inf)
+    score[open_] = truncated(phi, top[doc], draws(keys[doc], sample, place[open_]))
     return np.split(score, stop[:-1]), prefix[stop - 1]
 
 
