@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from .common import slices
 from .recompression import mix
 
 SAMPLES, SEED, ALPHA, SLICE = 2, 20240101, 0.5, 1 << 20
-STORE_NODES = 2_000_000
+STORE_NODES = 2_500_000
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -154,6 +154,17 @@ class Column:
         self.n = stop
         return self.room[:stop]
 
+    def cut(self, n: int) -> np.ndarray:
+        self.n = n
+        return self.room[:n]
+
+
+def chunks(normal: str) -> list[str]:
+    """Words of a normalised text, each with the spaces before it."""
+    if normal[:1] == SPACE and " " not in normal and SPACE * 2 not in normal:
+        return normal.replace(SPACE, " " + SPACE).split(" ")[1:]
+    return _CHUNK.findall(normal)
+
 
 class Store:
     """Lattices of distinct words: for each node the range of its edges; for each edge id, length, probability."""
@@ -166,7 +177,7 @@ class Store:
         self.clear()
 
     def clear(self) -> None:
-        self.index = Index()
+        self.index, self.base = Index(), None
         # first: node of a word's begin; begin: first edge of a node
         self.columns = {k: Column(t) for k, t in (("first", np.int64), ("begin", np.int64), ("ids", np.int32), ("steps", np.int32), ("q", float), ("cdf", float))}
         self._append(first=(), begin=(), ids=(), steps=(), q=(), cdf=())
@@ -263,14 +274,27 @@ class Store:
     def words(self, docs: list[list[str]]) -> np.ndarray:
         """Numbers of all words of ``docs``, adding those not met before."""
         if len(self.begin) > STORE_NODES:
-            self.clear()
+            self.trim()
         index = self.index
         out = np.fromiter(map(index.__getitem__, chain.from_iterable(docs)), np.int64)
         if index.new:
             self.add(index.new)
             index.new = []
+            if self.base is None and len(self.begin) > STORE_NODES // 3:
+                self.base = len(index), {k: c.n for k, c in self.columns.items()}
         return out
 
+    def trim(self) -> None:
+        """Back to the words met first, which are the frequent ones, if they leave room."""
+        if self.base is None or self.base[1]["begin"] > STORE_NODES // 2:
+            return self.clear()
+        words, stops = self.base
+        kept = Index()
+        kept.update(islice(self.index.items(), words))
+        self.index = kept
+        for k, n in stops.items():
+            setattr(self, k, self.columns[k].cut(n))
+
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One sampled path from each node to its word's end: edges in path order, and how many each has."""
         who, at, edges, owner, places, count = np.arange(len(node)), node, [], [], [], np.zeros(len(node), np.int64)
@@ -436,7 +460,7 @@ def segment(texts: list[str], keys: np.ndarray, store: Store, k: int, seed: int)
     """For each text: normalised text, and a list of (ids, log_prob, perturbed score, inclusion)."""
     v = store.v
     normal = v.sp.normalize(texts) if texts else []
-    docs = [[n] if v.crossing and n else _CHUNK.findall(n) for n in normal]
+    docs = [[n] if v.crossing and n else chunks(n) for n in normal]
     words = store.words(docs)
     size = np.array([len(d) for d in docs], np.int64)
     row = mix(keys.astype(np.int64).view(np.uint64) ^ mix(np.array([seed], np.uint64)))
