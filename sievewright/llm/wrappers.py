@@ -44,7 +44,9 @@ APART_WORDS = frozenset(
     "sidebar widget related share sharing social nav navbar navigation menu breadcrumb breadcrumbs footer comment comments disqus respond replies toolbar pagination pager skip".split()
 )
 MAIN = frozenset(("article", "main"))
-CONSTANT_PAGES, FOLD = 4, 1
+CONSTANT_PAGES = 4
+#: Levels of a wrapper; pages are read to any depth.
+DEPTH = 150
 BROADCAST_BYTES = 8 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
@@ -138,18 +140,31 @@ def _hash(text: str) -> str:
     return f"{zlib.crc32(text.encode('utf-8', 'surrogatepass')):08x}{len(text):x}"
 
 
-def expression(node: Node) -> list:
-    """The page's own union-free expression, neighbours folded."""
-    kids: list = []
-    for k in node.kids:
+def _slot(text: str) -> list:
+    t = " ".join(text.split())
+    return [["#", 0, 0, _hash(t), len(t), 1, 0, []]] if t else []
+
+
+def texts_below(node: Node) -> str:
+    """All texts under ``node`` outside of apart items, in page order."""
+    out, todo = [], list(reversed(node.kids))
+    while todo:
+        k = todo.pop()
         if isinstance(k, str):
-            t = " ".join(k.split())
-            if not t:
-                continue
-            item = ["#", 0, 0, _hash(t), len(t), 1, 0, []]
-        else:
-            item = expression(k)
-        kids.append(item)
+            out.append(k)
+        elif not k.apart:
+            todo.extend(reversed(k.kids))
+    return " ".join(out)
+
+
+def expression(node: Node, depth: int = 0) -> list:
+    """The page's own union-free expression, neighbours folded; what nests deeper than ``DEPTH`` is one text slot."""
+    kids: list = []
+    if depth == DEPTH:
+        kids = _slot(texts_below(node))
+    else:
+        for k in node.kids:
+            kids += _slot(k) if isinstance(k, str) else [expression(k, depth + 1)]
     return [node.label, 0, 0, None, 0, 1, node.apart | node.main << 1, fold(kids)]
 
 
@@ -178,6 +193,11 @@ def align(a: list, b: list, same_page: bool) -> list:
     """Longest common subsequence of labels; what is outside of it becomes optional."""
     if [x[LABEL] for x in a] == [x[LABEL] for x in b]:
         return [merge(x, y, same_page) for x, y in zip(a, b, strict=True)]
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x[LABEL] != y[LABEL]), min(len(a), len(b)))
+    rest = min(len(a), len(b)) - head
+    tail = next((i for i in range(rest) if a[-1 - i][LABEL] != b[-1 - i][LABEL]), rest)
+    ends = [merge(x, y, same_page) for x, y in zip(a[:head], b[:head])], [merge(x, y, same_page) for x, y in zip(a[len(a) - tail:], b[len(b) - tail:])]
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -194,7 +214,7 @@ def align(a: list, b: list, same_page: bool) -> list:
         else:
             out.append([b[j][0], 1, *b[j][2:]])
             j += 1
-    return fold_optional(out)
+    return fold_optional(ends[0] + out + ends[1])
 
 
 def fold_optional(items: list) -> list:
@@ -277,16 +297,17 @@ def extract(page: str, rule: dict) -> str:
         if t:
             blocks.append(t)
 
-    def has_main(node: Node) -> bool:
-        return any(not isinstance(k, str) and not k.apart and (k.main or has_main(k)) for k in node.kids)
-
-    by_main = has_main(root)
+    # stacks of their own, as pages may nest deeper than Python's calls
+    by_main, seen = False, [root]
+    while seen and not by_main:
+        below = [k for k in seen.pop().kids if not isinstance(k, str) and not k.apart]
+        by_main = any(k.main for k in below)
+        seen += below
     start = rule["path"]
 
-    # a stack of its own, as pages may nest deeper than Python's calls
-    todo: list = [(root, "", not by_main and start in ("", "/"))]
+    todo: list = [(root, "", 0, not by_main and start in ("", "/"))]
     while todo:
-        node, path, inside = todo.pop()
+        node, path, depth, inside = todo.pop()
         if node is None:
             end()
             continue
@@ -298,7 +319,7 @@ def extract(page: str, rule: dict) -> str:
             if node.tag in BLOCK:
                 end()
             continue
-        here = f"{path}/{node.label}"
+        here = f"{path}/{node.label}" if depth <= DEPTH else path
         inside = inside or (node.main if by_main else here == start)
         if node.tag == "header" and not inside:
             continue
@@ -306,8 +327,8 @@ def extract(page: str, rule: dict) -> str:
             line.append(" ")
         if node.tag in BLOCK:
             end()
-            todo.append((None, "", False))
-        todo.extend((k, here, inside) for k in reversed(node.kids))
+            todo.append((None, "", 0, False))
+        todo.extend((k, here, depth + 1, inside) for k in reversed(node.kids))
     end()
     return "\n".join(blocks)
 

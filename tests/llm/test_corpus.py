@@ -317,6 +317,10 @@ def test_html(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in wrappers.extract_pages(df).collect()}
     assert got[2][0].split("\n") == ["T2", ("first text 2 " * 9).strip(), ("second 4 " * 7).strip()]
     assert got[7] == ("", 0) and got[8] == ("", 0) and got[9] == ("only\nplain", 10)
+    # nesting beyond Python's calls, and many children of a period that does not fold
+    deep = [(1, "http://d", "<div>" * 5000 + "far <b>down</b>" + "</div>" * 5000), (2, "http://d", "<p>x</p><h2>y</h2><ul><li>z</ul>" * 3000), (3, "http://d", "<p>x</p><h2>y</h2><ul><li>z</ul>" * 2999 + "<p>w")]
+    got = {r.page_id: r.text for r in wrappers.extract_pages(spark.createDataFrame(deep, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got[1] == "far down" and got[2] == "\n".join("xyz" * 3000) and got[3].endswith("z\nw")
 
 
 def test_gumbel(spark, edge, empty):
