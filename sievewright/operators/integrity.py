@@ -28,7 +28,8 @@ C.add(
     crossing_papers=lambda d: f"SELECT {TITLE(d)} AS k, count(DISTINCT CASE WHEN silo < 'src15' THEN 0 ELSE 1 END) AS sides FROM papers GROUP BY {TITLE(d)} HAVING count(DISTINCT CASE WHEN silo < 'src15' THEN 0 ELSE 1 END) > 1",
     title_leak_check=lambda d: f"WITH t AS (SELECT DISTINCT lang, silo, {TITLE(d)} AS k FROM papers) SELECT a.silo, count(DISTINCT a.k) AS leaked FROM t a JOIN t b ON a.k = b.k AND a.silo <> b.silo GROUP BY a.silo",
     cross_doi_leak=lambda d: "SELECT md5(text) AS k, count(DISTINCT lang) AS langs FROM labelled GROUP BY md5(text) HAVING count(DISTINCT silo) > 1",
-    fuzzy_title_pairs=lambda d: f"WITH t AS (SELECT paper_id, lang, substring({d.sub(TITLE(d), '[^a-z0-9 ]', '')}, 1, 40) AS k FROM papers), p AS (SELECT a.paper_id AS a, b.paper_id AS b, 1 - {d.edit('a.k', 'b.k')} * 1e0 / greatest(length(a.k), length(b.k), 1) AS sim FROM t a JOIN t b ON a.lang = b.lang AND substring(a.k, 1, 6) = substring(b.k, 1, 6) AND a.paper_id < b.paper_id) SELECT a, b, {R('sim', 4)} AS sim FROM p WHERE round(sim, 9) >= 0.85e0",
+    # equal titles first become one row; a row with a = b tells of its copies
+    fuzzy_title_pairs=lambda d: f"WITH t AS (SELECT lang, k, min(paper_id) AS paper_id, count(*) AS copies FROM (SELECT paper_id, lang, substring({d.sub(TITLE(d), '[^a-z0-9 ]', '')}, 1, 40) AS k FROM papers) q GROUP BY lang, k), p AS (SELECT a.paper_id AS a, b.paper_id AS b, a.copies AS copies_a, b.copies AS copies_b, 1 - {d.edit('a.k', 'b.k')} * 1e0 / greatest(length(a.k), length(b.k), 1) AS sim FROM t a JOIN t b ON a.lang = b.lang AND substring(a.k, 1, 6) = substring(b.k, 1, 6) AND (a.paper_id < b.paper_id OR a.paper_id = b.paper_id AND a.copies > 1)) SELECT a, b, copies_a, copies_b, {R('sim', 4)} AS sim FROM p WHERE round(sim, 9) >= 0.85e0",
     first_author=lambda d: "SELECT paper_id, CASE WHEN trim(split_part(title, ',', 1)) = '' THEN concat('no_author_', CAST(paper_id AS VARCHAR(20))) ELSE lower(trim(split_part(title, ',', 1))) END AS first_author FROM papers",
     n_authors=lambda d: f"SELECT paper_id, CASE WHEN trim(title) <> '' THEN {d.size(d.split('title', ','))} END AS n_authors FROM papers",
     author_frequency=lambda d: f"SELECT lower(trim(a)) AS author, count(*) AS n FROM (SELECT {d.each(d.split('title', ','))} AS a FROM papers) q WHERE trim(a) <> '' GROUP BY lower(trim(a)) HAVING count(*) > 1",
@@ -40,14 +41,14 @@ C.add(
     sampling_gate=lambda d: f"WITH r AS (SELECT silo, y, s, row_number() OVER (PARTITION BY silo, y ORDER BY {DRAW('paper_id')}, paper_id) AS k, count(*) OVER (PARTITION BY silo, y) AS n FROM scored), g AS (SELECT silo, avg(s) AS pop, sum(CASE WHEN y = 1 OR k <= 30 THEN s * CASE WHEN y = 1 THEN 1e0 ELSE n * 1e0 / least(n, 30) END END) / sum(CASE WHEN y = 1 OR k <= 30 THEN CASE WHEN y = 1 THEN 1e0 ELSE n * 1e0 / least(n, 30) END END) AS sam FROM r GROUP BY silo) SELECT silo, {R('abs(pop - sam)')} AS gap, abs(pop - sam) < 0.03 AS passed FROM g",
     stratified_kfold=lambda d: "SELECT paper_id, (row_number() OVER (PARTITION BY silo, y ORDER BY paper_id) - 1) % 5 AS fold FROM scored",
     make_splits=lambda d: f"SELECT paper_id, CASE WHEN h < '9' THEN 'train' WHEN h < 'c' THEN 'val' ELSE 'test' END AS split FROM (SELECT paper_id, substring({DRAW('silo || CAST(paper_id % 200 AS VARCHAR(9))')}, 1, 1) AS h FROM scored) q",
-    logo_rotation=lambda d: "SELECT h.silo AS holdout, CAST(sum(CASE WHEN s.silo = h.silo THEN 1 ELSE 0 END) AS BIGINT) AS n_test, CAST(sum(CASE WHEN s.silo <> h.silo THEN 1 ELSE 0 END) AS BIGINT) AS n_train FROM scored s CROSS JOIN (SELECT DISTINCT silo FROM scored) h GROUP BY h.silo",
+    logo_rotation=lambda d: "SELECT silo AS holdout, count(*) AS n_test, CAST(sum(count(*)) OVER () - count(*) AS BIGINT) AS n_train FROM scored GROUP BY silo",
     fold_viability=lambda d: "SELECT silo, min(p) AS min_pos FROM (SELECT silo, paper_id % 5 AS fold, CAST(sum(y) AS BIGINT) AS p FROM scored GROUP BY silo, paper_id % 5) q GROUP BY silo",
     tier_assignment=lambda d: "SELECT silo, CASE WHEN n_pos >= 40 THEN 'core' WHEN n_pos >= 10 THEN 'thin' ELSE 'quarantine' END AS tier FROM totals",
     min_leak_partition=lambda d: f"WITH t AS (SELECT DISTINCT lang AS silo, split_part(title, ' ', 1) AS k FROM papers), n AS (SELECT silo, row_number() OVER (ORDER BY silo) - 1 AS b FROM (SELECT DISTINCT silo FROM t) q), e AS (SELECT x.b AS a, y.b AS b, count(*) AS w FROM t p JOIN t q ON p.k = q.k AND p.silo < q.silo JOIN n x ON x.silo = p.silo JOIN n y ON y.silo = q.silo GROUP BY x.b, y.b), m AS (SELECT {d.each(d.seq(1, 7))} AS mask) SELECT mask, CAST(coalesce(sum(CASE WHEN CAST(floor(mask / power(2, a)) AS BIGINT) % 2 <> CAST(floor(mask / power(2, b)) AS BIGINT) % 2 THEN w ELSE 0 END), 0) AS BIGINT) AS cut FROM m CROSS JOIN e GROUP BY mask ORDER BY cut, mask LIMIT 1",
     negative_policy=lambda d: "SELECT paper_id, silo, 'hard' AS policy FROM (SELECT paper_id, silo, row_number() OVER (PARTITION BY silo ORDER BY s DESC, paper_id) AS k FROM scored WHERE y = 0) q WHERE k <= 10 UNION ALL SELECT paper_id, silo, 'easy' FROM (SELECT paper_id, silo, row_number() OVER (PARTITION BY silo ORDER BY s, paper_id) AS k FROM scored WHERE y = 0) q WHERE k <= 10",
-    few_shot_select=lambda d: f"SELECT paper_id, silo, y FROM (SELECT paper_id, silo, y, row_number() OVER (PARTITION BY silo, y ORDER BY {DRAW('paper_id', 7)}, paper_id) AS k FROM scored WHERE paper_id % 5 <> 0) q WHERE k <= 2",
+    few_shot_select=lambda d: f"SELECT fold, paper_id, silo, y FROM (SELECT fold, paper_id, silo, y, row_number() OVER (PARTITION BY fold, silo, y ORDER BY {DRAW('paper_id', 7)}, paper_id) AS k FROM scored CROSS JOIN (SELECT {d.each(d.seq(0, 4))} AS fold) g WHERE paper_id % 5 <> fold) q WHERE k <= 2",
     proportional_stratified_subsample=lambda d: f"SELECT paper_id, silo, y FROM (SELECT paper_id, silo, y, row_number() OVER (PARTITION BY silo, y ORDER BY {DRAW('paper_id')}, paper_id) AS k, count(*) OVER (PARTITION BY silo, y) AS n FROM scored) q WHERE k <= greatest(1, {d.half_even('n * 0.1e0')})",
-    deal_batch=lambda d: "WITH r AS (SELECT paper_id, silo, row_number() OVER (PARTITION BY silo ORDER BY s DESC, paper_id) AS k FROM scored WHERE paper_id % 3 <> 0) SELECT paper_id, silo, CAST(k + CASE WHEN k > 9 THEN floor((k - 10) / 7) + 1 ELSE 0 END AS BIGINT) AS place FROM r WHERE k <= 30",
+    deal_batch=lambda d: "WITH r AS (SELECT doc_id AS paper_id, lang AS silo, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 97 DESC, doc_id) AS k FROM documents p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id)) SELECT paper_id, silo, CAST(k + CASE WHEN k > 9 THEN floor((k - 10) / 7) + 1 ELSE 0 END AS BIGINT) AS place FROM r WHERE k <= 30",
     use_case_index=lambda d: f"SELECT silo, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, {R('avg(y * 1e0)')} AS prevalence FROM scored GROUP BY silo",
     population_match=lambda d: "SELECT coalesce(a.silo, b.silo) AS silo, a.n AS have, b.n AS want FROM (SELECT lang AS silo, count(*) AS n FROM documents GROUP BY lang) a FULL OUTER JOIN (SELECT silo, count(*) AS n FROM scored GROUP BY silo) b ON a.silo = b.silo WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)",
     external_reviews=lambda d: f"SELECT item_id, {d.size(d.strings())} AS n_terms, CASE WHEN {d.size(d.strings())} = 0 THEN NULL ELSE 0 END AS overlap FROM benchmark",

@@ -52,7 +52,8 @@ C.add(
     light_stem=lambda d: f"SELECT DISTINCT term, {STEM(d, 'term')} AS stem FROM terms",
     tfidf_binary=lambda d: f"WITH t AS (SELECT DISTINCT silo, paper_id, {STEM(d, 'term')} AS stem FROM terms), n AS (SELECT silo, count(*) AS n FROM papers GROUP BY silo), df AS (SELECT silo, stem, count(*) AS df FROM t GROUP BY silo, stem), w AS (SELECT t.silo, t.paper_id, t.stem, ln(n.n * 1e0 / df.df) AS w FROM t JOIN df ON t.silo = df.silo AND t.stem = df.stem JOIN n ON n.silo = t.silo WHERE df.df >= 2 AND df.df < 0.55 * n.n) SELECT paper_id, stem, {R('w / sqrt(sum(w * w) OVER (PARTITION BY paper_id))')} AS weight FROM w",
     tfidf_coverage=lambda d: f"WITH v AS (SELECT silo, term FROM terms GROUP BY silo, term HAVING count(DISTINCT paper_id) >= 2), q AS (SELECT silo, {d.each(TOKENS(d, 'text'))} AS term FROM briefs) SELECT q.silo, {R('avg(CASE WHEN v.term IS NULL THEN 0e0 ELSE 1e0 END)')} AS coverage FROM q LEFT JOIN v ON q.silo = v.silo AND q.term = v.term GROUP BY q.silo",
-    title_jaccard=lambda d: f"WITH t AS (SELECT paper_id, silo, {d.distinct(TOKENS(d, 'title'))} AS ts FROM papers WHERE paper_id < 100000000) SELECT a.paper_id AS a, b.paper_id AS b, {R(f'''{d.both('a.ts', 'b.ts')} * 1e0 / ({d.size('a.ts')} + {d.size('b.ts')} - {d.both('a.ts', 'b.ts')})''')} AS jaccard FROM t a JOIN t b ON a.silo = b.silo AND a.paper_id < b.paper_id WHERE {d.both('a.ts', 'b.ts')} > 0".replace(" WHERE paper_id < 100000000", ""),
+    # every paper against its silo's seed, the longest paper
+    title_jaccard=lambda d: f"WITH m AS (SELECT silo, {d.arg_max('paper_id', 'n_chars * 1000000000000 - paper_id')} AS seed FROM papers GROUP BY silo), t AS (SELECT p.paper_id, p.silo, m.seed, {d.distinct(TOKENS(d, 'title'))} AS ts FROM papers p JOIN m ON p.silo = m.silo), j AS (SELECT a.paper_id, a.seed, {d.both('a.ts', 'b.ts')} AS i, {d.size('a.ts')} + {d.size('b.ts')} AS n FROM t a JOIN t b ON a.seed = b.paper_id) SELECT paper_id, seed, {R('CASE WHEN n > 0 THEN i * 1e0 / (n - i) ELSE 0e0 END')} AS jaccard FROM j",
     terms_from_text=lambda d: f"WITH b AS (SELECT silo, ws, {d.each(d.seq(1, 10))} AS i FROM brief_words WHERE {d.size('ws')} >= 12) SELECT silo, concat({d.at('ws', 'i')}, ' ', {d.at('ws', 'i + 1')}) AS bigram, count(*) AS n FROM b GROUP BY silo, concat({d.at('ws', 'i')}, ' ', {d.at('ws', 'i + 1')})",
     contrast_words=lambda d: f"WITH t AS (SELECT DISTINCT l.lang, l.paper_id, l.y, {d.each(TOKENS(d, 'text'))} AS term FROM labelled l), c AS (SELECT lang, term, sum(y) AS pos, sum(1 - y) AS neg FROM t GROUP BY lang, term), n AS (SELECT lang, sum(y) AS np FROM labelled GROUP BY lang) SELECT c.lang, term, CAST(pos AS BIGINT) AS pos FROM c JOIN n ON c.lang = n.lang WHERE neg = 0 AND pos >= 0.2 * np",
     exclusion_candidates=lambda d: f"WITH t AS (SELECT DISTINCT paper_id, y, {d.each(TOKENS(d, 'text'))} AS term FROM labelled), c AS (SELECT term, sum(1 - y) AS rejects, sum(y) AS keeps FROM t GROUP BY term) SELECT term, CAST(rejects AS BIGINT) AS rejects FROM c WHERE rejects >= 3 AND keeps = 0",

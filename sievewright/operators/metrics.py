@@ -20,7 +20,7 @@ C.add(
     average_precision=lambda d: f"SELECT b.silo, {R('sum(pos * 1e0 / n_pos * cpos / cn)')} AS ap FROM blocks b JOIN totals t ON b.silo = t.silo GROUP BY b.silo",
     weighted_prf=lambda d: f"WITH c AS (SELECT silo, {CONF} FROM scored GROUP BY silo), p AS (SELECT silo, {SAFE('tp', 'tp + fp')} AS p, {SAFE('tp', 'tp + fn')} AS r, (tp + fp) / w_all AS pos_rate FROM c) SELECT silo, {R('p')} AS prec, {R('r')} AS rec, {R(SAFE('2 * p * r', 'p + r'))} AS f1, {R(SAFE('5 * p * r', '4 * p + r'))} AS f2, {R('pos_rate')} AS pos_rate FROM p",
     precision_recall_f1_f2=lambda d: f"WITH c AS (SELECT silo, sum(CASE WHEN {AT} THEN y ELSE 0 END) * 1e0 AS tp, sum(CASE WHEN {AT} THEN 1 - y ELSE 0 END) AS fp, sum(CASE WHEN NOT ({AT}) THEN y ELSE 0 END) AS fn FROM scored GROUP BY silo) SELECT silo, {R(SAFE('tp', 'tp + fp'))} AS prec, {R(SAFE('tp', 'tp + fn'))} AS rec, {R(SAFE('2 * tp', '2 * tp + fp + fn'))} AS f1, {R(SAFE('5 * tp', '5 * tp + fp + 4 * fn'))} AS f2 FROM c",
-    f2_sweep=lambda d: f"WITH g AS (SELECT x / 1e2 AS t FROM (SELECT {d.each(d.seq(1, 99))} AS x) q), c AS (SELECT silo, t, sum(CASE WHEN s >= t AND y = 1 THEN w ELSE 0 END) AS tp, sum(CASE WHEN s >= t AND y = 0 THEN w ELSE 0 END) AS fp, sum(CASE WHEN s < t AND y = 1 THEN w ELSE 0 END) AS fn FROM scored CROSS JOIN g GROUP BY silo, t), f AS (SELECT silo, t, {SAFE('5 * tp', '5 * tp + fp + 4 * fn')} AS f2 FROM c) SELECT silo, t AS threshold, {R('f2')} AS f2 FROM (SELECT *, row_number() OVER (PARTITION BY silo ORDER BY round(f2, 9) DESC, t) AS k FROM f) q WHERE k = 1",
+    f2_sweep=lambda d: f"WITH g AS (SELECT x / 1e2 AS t FROM (SELECT {d.each(d.seq(1, 99))} AS x) q), c AS (SELECT silo, t, sum(CASE WHEN s >= t AND y = 1 THEN w ELSE 0 END) AS tp, sum(CASE WHEN s >= t AND y = 0 THEN w ELSE 0 END) AS fp, sum(CASE WHEN s < t AND y = 1 THEN w ELSE 0 END) AS fn FROM (SELECT silo, s, y, sum(w) AS w FROM scored GROUP BY silo, s, y) z CROSS JOIN g GROUP BY silo, t), f AS (SELECT silo, t, {SAFE('5 * tp', '5 * tp + fp + 4 * fn')} AS f2 FROM c) SELECT silo, t AS threshold, {R('f2')} AS f2 FROM (SELECT *, row_number() OVER (PARTITION BY silo ORDER BY round(f2, 9) DESC, t) AS k FROM f) q WHERE k = 1",
     all_positive_f2=lambda d: f"SELECT silo, {R('5 * avg(y * 1e0) / (4 * avg(y * 1e0) + 1)')} AS f2 FROM scored GROUP BY silo",
     tie_frac=lambda d: f"SELECT silo, {R('sum(CASE WHEN n > 1 THEN n ELSE 0 END) * 1e0 / sum(n)')} AS tie_frac FROM blocks GROUP BY silo",
     score_blocks=lambda d: "SELECT silo, round(s, 6) AS s, n, CAST(pos AS BIGINT) AS pos, w FROM blocks",
@@ -58,7 +58,7 @@ C.add(
     per_use_case_spread=lambda d: f"WITH m AS (SELECT silo, avg(s) AS a, avg(s2) AS b FROM scored GROUP BY silo) SELECT {R('stddev_samp(a)')} AS sd_before, {R('stddev_samp(b)')} AS sd_after, {R('max(a) - min(a)')} AS range_before, {R('max(b) - min(b)')} AS range_after, {R('min(b)')} AS worst_after FROM m",
     granularity_stats=lambda d: "SELECT silo, count(DISTINCT s) AS n_distinct, count(*) AS n FROM scored GROUP BY silo HAVING count(*) >= 10",
     per_cell_coverage=lambda d: f"SELECT silo, {R('count(s) * 1e0 / count(*)')} AS coverage, CASE WHEN count(s) >= 20 THEN {R('avg(s)')} END AS mean_score FROM scored GROUP BY silo",
-    trivial_policy_f2=lambda d: f"SELECT {R('5 * avg(y * 1e0) / (4 * avg(y * 1e0) + 1)')} AS f2 FROM scored WHERE paper_id % 5 = 0",
+    trivial_policy_f2=lambda d: f"SELECT {R('5 * avg(y * 1e0) / (4 * avg(y * 1e0) + 1)')} AS f2, paper_id % 5 AS holdout FROM scored GROUP BY paper_id % 5",
     variant_deltas=lambda d: f"WITH m AS (SELECT silo, paper_id % 3 AS variant, avg(s) AS m FROM scored GROUP BY silo, paper_id % 3) SELECT a.silo, a.variant, {R('a.m - b.m')} AS delta FROM m a JOIN m b ON a.silo = b.silo AND b.variant = 0 WHERE a.variant <> 0",
     score_row_bundle=lambda d: f"SELECT r.silo, count(*) AS n, {R(AUC)} AS auc, {R('avg(y * 1e0)')} AS prevalence FROM ranked r GROUP BY r.silo",
 )

@@ -21,11 +21,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per labelled document with its lexical features, y = 1 for the rare class and a fold by first words."""
+    """One row per labelled document with its lexical features, y = 1 for the rare class and a fold by title."""
     n = F.length("text") + 1
     return docs.join(labels, "doc_id").select(
         "doc_id", "lang", (1 - F.col("quality")).cast("double").alias("y"), F.log1p(F.length("text").cast("double")).alias("log_chars"), F.size(F.split("text", " ")).cast("double").alias("n_words"),
-        (F.regexp_count("text", F.lit("[A-Z]")) / n).alias("share_upper"), (F.regexp_count("text", F.lit("[!%&$#*|]")) / n).alias("share_marks"), F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(5)).cast("int").alias("fold"),
+        (F.regexp_count("text", F.lit("[A-Z]")) / n).alias("share_upper"), (F.regexp_count("text", F.lit("[!%&$#*|]")) / n).alias("share_marks"), F.pmod(F.xxhash64(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit(5)).cast("int").alias("fold"),
     )
 
 
@@ -167,7 +167,7 @@ def extract_json(text: str | None) -> str | None:
 def extract_json_query(spark, sf_dir):
     udf = F.pandas_udf(lambda s: s.map(extract_json), "string")
     talk = _read(spark, sf_dir, "conversations")
-    made = F.concat(F.substring("text", 1, 20), F.lit(' {"relevance": '), F.col("turn").cast("string"), F.lit(', "label": "relevant"} end'))
+    made = F.concat("text", F.lit(' {"relevance": '), F.col("turn").cast("string"), F.lit(', "label": "relevant"} end'))
     return talk.select("conv_id", "turn", udf(made).alias("answer"))
 
 

@@ -6,18 +6,19 @@ from ..plans.catalogue import CATALOGUE as C
 
 R = lambda x, n=6: f"round(CAST({x} AS DOUBLE), {n})"
 PCT = lambda v, p: f"(rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}, {v}) - 1) / 2e0) / count({v}) OVER (PARTITION BY {p})"
-QUERY_COS = lambda d: f"SELECT v.vec_id, v.label, q.vec_id AS query_id, q.label AS query_label, CASE WHEN v.nrm > 0 AND q.nrm > 0 THEN {d.dot('v.embedding', 'q.embedding')} / (v.nrm * q.nrm) END AS c FROM vectors v CROSS JOIN (SELECT * FROM vectors WHERE vec_id < 10) q"
+QUERY_COS = lambda d: f"SELECT v.vec_id, v.label, q.vec_id AS query_id, q.label AS query_label, CASE WHEN v.nrm > 0 AND q.nrm > 0 THEN {d.dot('v.embedding', 'q.embedding')} / (v.nrm * q.nrm) END AS c FROM vectors v CROSS JOIN (SELECT * FROM vectors WHERE vec_id % 100 = 0) q"  # the stated query set against all rows
 CLASS_SUM = "SELECT label, i, sum(u) AS s, count(*) AS n FROM dims GROUP BY label, i"
 
 C.add(
     pct_rank=lambda d: f"SELECT paper_id, CASE WHEN s IS NOT NULL THEN {R(PCT('s', 'silo'))} END AS pr FROM scored",
     pct_rank_ordinal=lambda d: f"SELECT paper_id, {R('(row_number() OVER (PARTITION BY silo ORDER BY s, paper_id) - 1e0) / (count(*) OVER (PARTITION BY silo) - 1)')} AS pr FROM scored",
-    pct_rank_train_ref=lambda d: f"SELECT a.paper_id, {R('sum(CASE WHEN b.s <= a.s THEN 1e0 ELSE 0e0 END) / count(*)')} AS share FROM scored a JOIN scored b ON a.silo = b.silo WHERE a.paper_id % 5 = 0 AND b.paper_id % 5 <> 0 GROUP BY a.paper_id",
+    # share of the other folds' values that are no larger: all values' cumulative counts less the own fold's, over distinct values
+    pct_rank_train_ref=lambda d: f"WITH g AS (SELECT silo, s, paper_id % 5 AS fold, count(*) AS c FROM scored GROUP BY silo, s, paper_id % 5), a AS (SELECT silo, s, sum(sum(c)) OVER (PARTITION BY silo ORDER BY s) AS le, sum(sum(c)) OVER (PARTITION BY silo) AS n FROM g GROUP BY silo, s), f AS (SELECT silo, s, fold, sum(c) OVER (PARTITION BY silo, fold ORDER BY s) AS le, sum(c) OVER (PARTITION BY silo, fold) AS n FROM g) SELECT p.paper_id, {R('(a.le - f.le) * 1e0 / nullif(a.n - f.n, 0)')} AS share FROM scored p JOIN a ON p.silo = a.silo AND p.s = a.s JOIN f ON p.silo = f.silo AND p.s = f.s AND p.paper_id % 5 = f.fold",
     cosine_to_brief=lambda d: f"WITH q AS ({QUERY_COS(d)}) SELECT vec_id, query_id, {R('c')} AS cosine, {R('rank() OVER (PARTITION BY query_id ORDER BY round(c, 9)) * 1e0 / count(*) OVER (PARTITION BY query_id)')} AS pr FROM q",
     cosine_zero_policy=lambda d: f"SELECT vec_id, {R(d.dot('embedding', 'embedding') + ' / ((CASE WHEN nrm = 0 THEN 1e0 ELSE nrm END) * (nrm + 1e-9))')} AS cosine FROM vectors",
     normalize_rows=lambda d: f"SELECT vec_id, i, {R('u')} AS u FROM dims",
     pairwise_cosine_mean=lambda d: f"WITH s AS (SELECT label, i, sum(u) AS s FROM dims GROUP BY label, i), n AS (SELECT label, count(*) AS n FROM vectors WHERE nrm > 0 GROUP BY label) SELECT s.label, {R('(sum(s * s) - max(n)) / (max(n) * (max(n) - 1e0))')} AS mean_cosine FROM s JOIN n ON s.label = n.label GROUP BY s.label HAVING max(n) > 1",
-    pairwise_cosine_hist=lambda d: f"SELECT CAST(floor({d.dot('a.embedding', 'b.embedding')} / (a.nrm * b.nrm) * 10 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1",
+    pairwise_cosine_hist=lambda d: f"WITH q AS ({QUERY_COS(d)}) SELECT CAST(floor(c * 10 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM q WHERE label = query_label AND vec_id <> query_id GROUP BY 1",
     participation_ratio_full=lambda d: f"WITH m AS (SELECT i, avg(u) AS mu FROM dims GROUP BY i), x AS (SELECT vec_id, dims.i, u - mu AS z FROM dims JOIN m ON dims.i = m.i), c AS (SELECT a.i, b.i AS j, sum(a.z * b.z) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.i, b.i) SELECT {R('power(sum(CASE WHEN i = j THEN c ELSE 0 END), 2) / sum(c * c)', 4)} AS participation FROM c",
     interpret_dispersion=lambda d: "WITH s AS (SELECT label, i, sum(u) AS s FROM dims GROUP BY label, i), n AS (SELECT label, count(*) AS n FROM vectors GROUP BY label), m AS (SELECT s.label, (sum(s * s) - max(n)) / (max(n) * (max(n) - 1e0)) AS c FROM s JOIN n ON s.label = n.label GROUP BY s.label) SELECT label, CASE WHEN c > 0.7 THEN 'tight' WHEN c > 0.35 THEN 'moderate' WHEN c > 0.05 THEN 'loose' ELSE 'spread' END AS verdict FROM m",
     centroid=lambda d: f"SELECT label, i, {R('c')} AS c, n FROM centroids",

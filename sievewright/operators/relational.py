@@ -16,7 +16,8 @@ C.add(
     anti_join_isin=lambda d: "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     semi_join=lambda d: "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
     cross_join_briefs=lambda d: "SELECT b.item_id, t.r_name AS rubric FROM benchmark b CROSS JOIN region t",
-    rank_in_reference=lambda d: f"WITH ref AS (SELECT lang, n_chars, count(*) AS c FROM documents WHERE doc_id % 2 = 0 GROUP BY lang, n_chars), cum AS (SELECT lang, n_chars, sum(c) OVER (PARTITION BY lang ORDER BY n_chars) AS le, sum(c) OVER (PARTITION BY lang) AS n FROM ref) SELECT doc_id, {R('le * 1e0 / n')} AS share FROM (SELECT t.doc_id, max(c.le) AS le, max(c.n) AS n FROM documents t JOIN cum c ON t.lang = c.lang AND c.n_chars <= t.n_chars WHERE t.doc_id % 2 = 1 GROUP BY t.doc_id) q",
+    # the window runs over distinct lengths, not over documents
+    rank_in_reference=lambda d: f"WITH v AS (SELECT lang, n_chars, count(l.doc_id) AS c FROM documents t LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON t.doc_id = l.doc_id GROUP BY lang, n_chars), cum AS (SELECT lang, n_chars, sum(c) OVER (PARTITION BY lang ORDER BY n_chars) AS le, sum(c) OVER (PARTITION BY lang) AS n FROM v) SELECT doc_id, {R('le * 1e0 / nullif(n, 0)')} AS share FROM documents t JOIN cum c ON t.lang = c.lang AND t.n_chars = c.n_chars",
     union_by_name_strict=lambda d: "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region",
     set_difference=lambda d: "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     set_intersect=lambda d: "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0",
@@ -33,7 +34,7 @@ C.add(
     bin_cut=lambda d: "SELECT bin, count(*) AS n FROM (SELECT CASE WHEN n_chars <= 500 THEN '(0,500]' WHEN n_chars <= 2000 THEN '(500,2000]' ELSE '(2000,)' END AS bin FROM documents) q GROUP BY bin",
     quantile_bins=lambda d: f"WITH e AS (SELECT {d.pct('n_chars', 0.25)} AS a, {d.pct('n_chars', 0.5)} AS b, {d.pct('n_chars', 0.75)} AS c FROM documents) SELECT CASE WHEN n_chars <= a THEN 1 WHEN n_chars <= b THEN 2 WHEN n_chars <= c THEN 3 ELSE 4 END AS bin, count(*) AS n FROM documents CROSS JOIN e GROUP BY CASE WHEN n_chars <= a THEN 1 WHEN n_chars <= b THEN 2 WHEN n_chars <= c THEN 3 ELSE 4 END",
     describe_quantile_skew=lambda d: f"WITH m AS (SELECT avg(value) AS mu, count(*) AS n FROM events) SELECT max(n) AS n, {R('avg(value)', 4)} AS mean, {R(d.pct('value', 0.25), 4)} AS p25, {R(d.pct('value', 0.75), 4)} AS p75, {R('sqrt(max(n) * (max(n) - 1e0)) / (max(n) - 2) * (sum(power(value - mu, 3)) / max(n)) / power(sum(power(value - mu, 2)) / max(n), 1.5e0)', 4)} AS skew FROM events CROSS JOIN m",
-    corr_pearson_spearman=lambda d: f"WITH r AS (SELECT quality * 1e0 AS a, n_chars * 1e0 AS b, rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2e0 AS ra, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2e0 AS rb FROM documents d JOIN labels l ON d.doc_id = l.doc_id) SELECT {R('corr(a, b)')} AS pearson, {R('corr(ra, rb)')} AS spearman FROM r",
+    corr_pearson_spearman=lambda d: f"WITH x AS (SELECT quality AS a, n_chars AS b FROM documents d JOIN labels l ON d.doc_id = l.doc_id), ha AS (SELECT a, sum(count(*)) OVER (ORDER BY a) - (count(*) - 1) / 2e0 AS ra FROM x GROUP BY a), hb AS (SELECT b, sum(count(*)) OVER (ORDER BY b) - (count(*) - 1) / 2e0 AS rb FROM x GROUP BY b) SELECT {R('corr(x.a * 1e0, x.b * 1e0)')} AS pearson, {R('corr(ra, rb)')} AS spearman FROM x JOIN ha ON x.a = ha.a JOIN hb ON x.b = hb.b",
     explode_split=lambda d: f"SELECT token, count(*) AS n FROM (SELECT {d.each(d.split('text', ' '))} AS token FROM conversations) q GROUP BY token HAVING count(*) > 1",
     clip_log_ratio=lambda d: f"SELECT doc_id, {R('ln(1 + n_chars)')} AS log_chars, greatest(0, 2000 - n_chars) AS gap FROM documents",
     date_part_year=lambda d: "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY year(o_orderdate)",
@@ -42,7 +43,8 @@ C.add(
     string_functions=lambda d: "SELECT c_custkey, length(c_name) AS n, substring(c_name, 1, 8) AS head, contains(c_name, '00001') AS has, lower(c_name) AS low FROM customer",
     json_props=lambda d: f"SELECT event_id, CAST({d.json('props', 'k')} AS INT) AS k FROM events",
     rollup_pooled=lambda d: "SELECT coalesce(lang, 'all') AS lang, count(*) AS n FROM documents GROUP BY ROLLUP(lang)",
-    asof_join=lambda d: "SELECT p.event_id, max(v.event_id) AS last_view FROM events p JOIN events v ON p.user_id = v.user_id AND v.event_type = 'view' AND v.ts <= p.ts WHERE p.event_type = 'purchase' GROUP BY p.event_id",
+    # one sort per user in place of a range join
+    asof_join=lambda d: f"WITH w AS (SELECT event_id, event_type, max(CASE WHEN event_type = 'view' THEN {d.pair(d.epoch('ts'), 'event_id')} END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM events) SELECT event_id, v.b AS last_view FROM w WHERE event_type = 'purchase' AND v IS NOT NULL",
     rolling_window=lambda d: f"SELECT event_id, {R('avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 4)} AS rolling FROM events",
     sessionise=lambda d: f"WITH g AS (SELECT user_id, event_id, ts, CASE WHEN {d.epoch('ts')} - lag({d.epoch('ts')}) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM events) SELECT user_id, CAST(sum(fresh) AS BIGINT) AS sessions FROM g GROUP BY user_id",
     tumbling_window=lambda d: f"SELECT {d.hour('ts')} AS hour, event_type, count(*) AS n FROM events GROUP BY {d.hour('ts')}, event_type",

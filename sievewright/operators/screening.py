@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from ..plans.catalogue import CATALOGUE as C
-from .inputs import TOKENS
+from .inputs import NORM, TOKENS
 
+#: Jaccard similarity from which two titles count as one.
+TITLE_BOUND = "0.55e0"
 R = lambda x, n=6: f"round(CAST({x} AS DOUBLE), {n})"
 #: Stand-ins for lists that a deployment sets.
 GENERIC, JUDGEMENT, METRIC = "('the', 'of', 'and', 'to', 'a', 'in')", "(^| )(good|better|the|this)( |$)", "[0-9]+"
@@ -45,8 +47,14 @@ C.add(
     phrase_strong=lambda d: f"SELECT p.paper_id, {d.has('t.ts', d.at('b.must', 1))} OR {d.both('t.ts', 'b.must')} = {d.size('b.must')} AS strong FROM papers p JOIN paper_tokens t ON t.paper_id = p.paper_id JOIN briefs b ON b.silo = p.silo",
     autocomplete=lambda d: "SELECT lang, term FROM (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY term) AS k FROM (SELECT DISTINCT p.lang, t.term FROM terms t JOIN papers p ON p.paper_id = t.paper_id WHERE contains(t.term, 'th')) q) z WHERE k <= 5",
     suggestion_gate=lambda d: "WITH r AS (SELECT silo, k, sum(1 - y) OVER (PARTITION BY silo ORDER BY k) AS rejects FROM ranked) SELECT silo, CAST(min(k) AS BIGINT) AS opens FROM r WHERE k >= 25 AND rejects >= 0.25 * k GROUP BY silo",
-    conflict_dup=lambda d: f"WITH t AS (SELECT paper_id, silo, y, {d.distinct(TOKENS(d, 'title'))} AS ts FROM labelled) SELECT a.paper_id AS a, b.paper_id AS b FROM t a JOIN t b ON a.silo = b.silo AND a.paper_id < b.paper_id AND a.y <> b.y WHERE {d.both('a.ts', 'b.ts')} >= 0.25 * ({d.size('a.ts')} + {d.size('b.ts')} - {d.both('a.ts', 'b.ts')}) AND {d.size('a.ts')} > 0",
-    conflict_seed=lambda d: "SELECT paper_id FROM labelled WHERE paper_id % 7 = 0 AND y = 1",
+    # one row per distinct title and answer: the candidates share one of a title's rarest words, enough of them that no pair above the bound is missed
+    conflict_dup=lambda d: f"""WITH t AS (SELECT silo, y, k, min(paper_id) AS paper_id, count(*) AS copies, {d.distinct(d.find('k', '[a-z0-9]+'))} AS ts FROM (SELECT silo, y, paper_id, {NORM(d, 'title')} AS k FROM labelled) q GROUP BY silo, y, k),
+w AS (SELECT silo, paper_id, y, {d.size('ts')} AS n, {d.each('ts')} AS term FROM t), f AS (SELECT silo, term, count(*) AS df FROM w GROUP BY silo, term),
+p AS (SELECT silo, term, paper_id, y FROM (SELECT w.*, row_number() OVER (PARTITION BY w.silo, w.paper_id, w.y ORDER BY df, w.term) AS place FROM w JOIN f ON w.silo = f.silo AND w.term = f.term) z WHERE place <= n - ceil({TITLE_BOUND} * n) + 1),
+c AS (SELECT DISTINCT a.silo, a.paper_id AS a, b.paper_id AS b FROM p a JOIN p b ON a.silo = b.silo AND a.term = b.term AND a.y = 1 AND b.y = 0)
+SELECT c.a, c.b, x.copies AS copies_a, z.copies AS copies_b FROM c JOIN t x ON x.paper_id = c.a AND x.y = 1 JOIN t z ON z.paper_id = c.b AND z.y = 0 WHERE {d.both('x.ts', 'z.ts')} >= {TITLE_BOUND} * ({d.size('x.ts')} + {d.size('z.ts')} - {d.both('x.ts', 'z.ts')})""",
+    # a silo's seed is its longest paper
+    conflict_seed=lambda d: "SELECT paper_id FROM (SELECT paper_id, y, row_number() OVER (PARTITION BY silo ORDER BY n_chars DESC, paper_id) AS k FROM labelled) q WHERE k = 1 AND y = 0",
     conflict_spec_kept=lambda d: f"SELECT l.silo, count(*) AS kept FROM labelled l JOIN paper_tokens t ON t.paper_id = l.paper_id JOIN briefs b ON b.silo = l.silo WHERE l.y = 1 AND {d.both(d.distinct('t.ts'), 'b.exclude')} > 0 GROUP BY l.silo",
     conflict_spec_rejected=lambda d: f"SELECT l.silo, count(*) AS n, count(*) >= 2 AS conflict FROM labelled l JOIN paper_tokens t ON t.paper_id = l.paper_id JOIN briefs b ON b.silo = l.silo WHERE l.y = 0 AND {d.both(d.distinct('t.ts'), 'b.must')} > 0 AND {d.both(d.distinct('t.ts'), 'b.nice')} > 0 GROUP BY l.silo",
     conflict_neighbour=lambda d: f"SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN labels la ON la.doc_id = a.vec_id JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id JOIN labels lb ON lb.doc_id = b.vec_id WHERE la.quality <> lb.quality AND {d.dot('a.embedding', 'b.embedding')} / (a.nrm * b.nrm) >= 0.2",

@@ -36,6 +36,7 @@ class SparkSql:
     epoch = staticmethod(lambda ts: f"unix_micros(CAST({ts} AS TIMESTAMP))")
     values = staticmethod(lambda x: f"collect_list({x})")
     chars = staticmethod(lambda x: f"length({x})")
+    pair = staticmethod(lambda a, b: f"struct({a} AS a, {b} AS b)")
 
 
 class DuckSql:
@@ -71,3 +72,4 @@ class DuckSql:
     epoch = staticmethod(lambda ts: f"epoch_us({ts})")
     values = staticmethod(lambda x: f"list({x})")
     chars = staticmethod(lambda x: f"length({x})")
+    pair = staticmethod(lambda a, b: f"struct_pack(a := {a}, b := {b})")
