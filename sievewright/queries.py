@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import inputs, integrity, lexical, metrics, modelling, plain, ranking, relational, screening  # noqa: F401
+from .operators import inputs, integrity, lexical, metrics, modelling, pairs, plain, ranking, relational, screening  # noqa: F401
 from .plans.catalogue import CATALOGUE
 
-QUERIES = {name: CATALOGUE.query(name) for name in CATALOGUE.plans} | modelling.QUERIES
+QUERIES = {name: CATALOGUE.query(name) for name in CATALOGUE.plans} | modelling.QUERIES | pairs.QUERIES
 SQL = {name: CATALOGUE.oracle(name) for name in CATALOGUE.plans}
