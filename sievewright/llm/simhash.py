@@ -77,13 +77,18 @@ def _fingerprints(batches):
             hashes = [shingle_hashes(t) for t in texts[i:j]]
             sizes = np.array([len(x) for x in hashes])
             fp = fingerprint_bits(np.concatenate(hashes), sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c)[i:j] for c in names], pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _text_key(text: str = "text") -> F.Column:
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
+
+
 def spanning_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges that join whatever is linked within ``fps``: each fingerprint is reached once."""
     left, a, b = fps, [], []
@@ -126,14 +131,19 @@ def linked(fps: DataFrame, scratch: Scratch, direct: int = DIRECT) -> DataFrame:
     return groups.where(F.size("fps") > 1).select("fps").mapInArrow(_bucket_edges, "src long, dst long")
 
 
+def _roots(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """fp, low (its smallest doc_id), root (null where nothing is near) of the distinct fingerprints of ``rows``."""
+    fps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps")
+    roots = connected_components(linked(fps.select("fp"), scratch), scratch)
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", "root")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) for every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     rows = scratch.save(fingerprints(docs), "rows")
-    fps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps")
-    roots = connected_components(linked(fps.select("fp"), scratch), scratch)
-    joined = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", "root")
+    joined = _roots(rows, scratch)
     lows = joined.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id"))
     named = joined.where("root is not null").join(lows, "root").select("fp", "component_id").union(joined.where("root is null").select("fp", "low"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -144,6 +154,15 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id names its component; of rows that repeat such an id one stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` per component, the first by (doc_id, fingerprint, text hash), and every row with a null doc_id."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    known = docs.where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), "text").mapInArrow(_fingerprints, "doc_id long, key string, fp long")
+    rows = scratch.save(rows, "rows")
+    # a fingerprint has one best row; a component the best of its fingerprints
+    best = rows.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "key")).alias("best"))
+    component = F.coalesce("root", "fp")
+    kept = best.join(_roots(rows, scratch), "fp").groupBy(component.alias("component")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"))
+    out = known.join(kept, (F.col("doc_id") == F.col("_id")) & (_text_key() == F.col("_key")), "left_semi")
+    key = "_text_key"
+    return out.withColumn(key, _text_key()).dropDuplicates(["doc_id", key]).drop(key).union(docs.where("doc_id is null"))

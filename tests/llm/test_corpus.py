@@ -101,6 +101,14 @@ def test_simhash(edge, empty):
     assert kept.columns == edge.columns and kept.where("doc_id = 8").count() == 0
 
 
+def test_representatives_without_or_with_repeated_ids(spark):
+    words = lambda k: " ".join(f"{k}w{i * i}" for i in range(40))
+    docs = [(None, words(f"n{i}")) for i in range(20)] + [(None, words("n3")), (1, words("a")), (2, words("b")), (2, words("a")), (2, words("c")), (2, words("c")), (3, words("c")), (4, None), (5, "")]
+    got = sorted(map(tuple, simhash.keep_representatives(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
+    want = docs[:21] + [(1, words("a")), (2, words("b")), (2, words("c")), (4, None)]
+    assert got == sorted(want, key=repr)
+
+
 def test_covering_and_crowded_buckets(spark):
     rng = np.random.default_rng(5)
     for _ in range(300):
