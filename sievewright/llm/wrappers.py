@@ -29,6 +29,8 @@ from .common import Scratch
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title".split())
+#: Those of RAW that run to the end of the page where no end tag follows.
+TO_END = frozenset("script style textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -80,6 +82,7 @@ def parse(page: str) -> Node:
     """A tree of the page's elements; texts are str, with character references still in them."""
     root = Node("", "")
     stack, at = [root], 0
+    endless: set[str] = set()
 
     def close(upto: int) -> None:
         del stack[upto:]
@@ -106,9 +109,13 @@ def parse(page: str) -> Node:
                     break
             continue
         if tag in RAW:
-            end = _raw_end[tag].search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            if tag in ("svg", "math") and raw.endswith("/>"):
+                continue
+            end = None if tag in endless else _raw_end[tag].search(page, at)
+            if end or tag in TO_END:
+                at = end.end() if end else len(page)
+                continue
+            endless.add(tag)  # none follows: what it holds is apart until its parent ends
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
@@ -124,6 +131,7 @@ def parse(page: str) -> Node:
                     close(i)
                     break
         node = _node(tag, raw)
+        node.apart |= tag in RAW
         stack[-1].kids.append(node)
         if tag not in VOID and not raw.endswith("/>"):
             stack.append(node)

@@ -331,6 +331,14 @@ def test_html(spark):
     assert got[1] == "far down" and got[2] == "\n".join("xyz" * 3000) and got[3].endswith("z\nw")
 
 
+def test_html_raw_tags():
+    read = lambda page: wrappers.extract(page, {"path": "", "main": 1, "not": []})
+    assert read('<body><svg width="9"/><article><p>one <math/>two</p><p>three</p></article>') == "one two\nthree"
+    for tag in ("noscript", "canvas", "object", "select", "template"):
+        assert read(f"<article><p>one</p><div><{tag}>away</div><p>two</p></article>") == "one\ntwo"
+    assert read("<article><p>one</p><script>x</script><p>two</p><script>y") == "one\ntwo"
+
+
 def test_gumbel(spark, edge, empty):
     import itertools
     from collections import Counter
