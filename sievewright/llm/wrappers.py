@@ -53,7 +53,6 @@ BROADCAST_BYTES = 8 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_WORD = re.compile(r"[a-z0-9]+")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _raw_end = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
@@ -70,7 +69,7 @@ def _node(tag: str, raw: str) -> Node:
     if len(raw) > len(tag) + 2:
         for m in _ATTR.finditer(raw, len(tag) + 1):
             attrs.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    words = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    words = set(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
     role = attrs.get("role", "").lower()
     main = tag in MAIN or role in ("main", "article") or "articlebody" in attrs.get("itemprop", "").lower()
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
@@ -132,6 +131,10 @@ def parse(page: str) -> Node:
                     break
         node = _node(tag, raw)
         node.apart |= tag in RAW
+        if node.main and not node.apart:
+            for above in stack:  # what holds a main item is not apart
+                if not above.main:
+                    above.apart = False
         stack[-1].kids.append(node)
         if tag not in VOID and not raw.endswith("/>"):
             stack.append(node)

@@ -339,6 +339,13 @@ def test_html_raw_tags():
     assert read("<article><p>one</p><script>x</script><p>two</p><script>y") == "one\ntwo"
 
 
+def test_html_apart_containers():
+    rule = {"path": "", "main": 1, "not": []}
+    for box in ('div class="layout has-sidebar"', 'div class="no-sidebar"', 'div class="sidebar"', 'div id="social-feed"', "form", "div hidden"):
+        assert wrappers.extract(f'<body><{box}><article><p>one</p><div class="post-share">two</div><div class="share">no</div></article></{box.split()[0]}>', rule) == "one\ntwo"
+    assert wrappers.extract('<article><p>one</p><section class="comments"><article class="comment">no</article></section></article>', rule) == "one"
+
+
 def test_gumbel(spark, edge, empty):
     import itertools
     from collections import Counter
