@@ -6,9 +6,9 @@ are aligned one after the other: items that match are merged, items that do not
 texts that differ become slots while equal ones stay constants. The result is the host's wrapper.
 Partial wrappers are built inside each task and merged per host, so a host's rows never meet in one task.
 
-The wrapper then decides what is main text: an article or main item where the host has one, else the item
-that holds most slot text outside of menus, headers, footers, sidebars, notices, adverts, forms and comments; text that is constant
-on ``CONSTANT_PAGES`` pages or more of a host is template there. A page is read against the wrapper item by item.
+The wrapper then decides what is template: a slot that is constant on ``CONSTANT_PAGES`` pages or more of a host. A page is
+read against the wrapper item by item: its article or main items, or all of it where it has none, less the template and less
+menus, footers, sidebars, notices, adverts, forms and comments. An element that holds a main item, or most of the host's slot text, is none of these.
 
 Null html gives an empty text; a null url belongs to the host ""; repeated rows give repeated rows; other
 columns are ignored; an unclosed element ends with its parent; markup that never closes is read to its end.
@@ -262,45 +262,48 @@ def _merge_host(table: pa.Table) -> pa.Table:
 
 
 def rules(wrapper: list) -> dict:
-    """What extraction needs of a wrapper: the path of its main item ("" if main items say so themselves) and its template texts."""
-    main, mass, constants = False, {}, []
+    """What extraction needs of a wrapper: its template texts, and the apart items that hold most of the host's slot text."""
+    constants, apart = [], {}
 
-    def walk(item: list, path: str, inside: bool) -> int:
-        nonlocal main
+    def walk(item: list, path: str, link: bool) -> int:
         here = f"{path}/{item[LABEL]}"
-        if item[FLAGS] & 1:
-            return 0
-        if item[FLAGS] & 2:
-            main = inside = True
         if item[LABEL] == "#":
-            if item[TEXT] != "*" and item[PAGES] >= CONSTANT_PAGES and not inside:
+            if item[TEXT] != "*" and item[PAGES] >= CONSTANT_PAGES:
                 constants.append(f"{path}|{item[TEXT]}")
                 return 0
-            return item[CHARS]
-        if item[LABEL].partition(".")[0] == "a" and not inside:
-            for k in item[KIDS]:
-                walk(k, here, inside)
-            return 0  # links are no evidence of prose
-        got = [(k, walk(k, here, inside)) for k in item[KIDS]]
-        mass[here] = sum(x for _, x in got)
-        return mass[here]
+            return 0 if link else item[CHARS]  # links are no evidence of prose
+        mass = sum(walk(k, here, link or item[LABEL].partition(".")[0] == "a") for k in item[KIDS])
+        if item[FLAGS] & 1:
+            apart[here] = apart.get(here, 0) + mass
+        return mass
 
     total = walk(wrapper, "", False)
-    if main or not total:
-        return {"path": "", "main": int(main), "not": []}
-    # the deepest item that still holds nine tenths of the slot text
-    path = min((p for p, x in mass.items() if 10 * x >= 9 * total), key=lambda p: (-p.count("/"), p))
-    while path.count("/") > 1 and path.rpartition("/")[2].partition(".")[0] not in BLOCK - {"p"}:
-        path = path.rpartition("/")[0]
-    return {"path": path, "main": 0, "not": constants}
+    return {"not": constants if total else [], "open": [p for p, mass in apart.items() if 2 * mass > total]}
 
 
 def extract(page: str, rule: dict) -> str:
-    """Main text of one page, read against its host's rules."""
+    """Main text of one page, read against its host's rules: its main items, or all of it, less apart items and template texts."""
     root = parse(page)
+    opened = frozenset(rule.get("open", ()))
+    # stacks of their own, as pages may nest deeper than Python's calls
+    by_main, seen = False, [root]
+    while seen and not by_main:
+        below = [k for k in seen.pop().kids if not isinstance(k, str) and not k.apart]
+        by_main = any(k.main for k in below)
+        seen += below
+    dropped = frozenset(() if by_main else rule["not"])
+    text, template = _read(root, by_main, dropped, opened)
+    # copies of one page have its whole text in common, which is then no template
+    if dropped and template and (not text or by_main and template > len(text)):
+        text, _ = _read(root, by_main, frozenset(), opened)
+    return text
+
+
+def _read(root: Node, by_main: bool, dropped: frozenset, opened: frozenset) -> tuple[str, int]:
+    """The text and how many characters of template it leaves out."""
     blocks: list[str] = []
     line: list[str] = []
-    dropped = frozenset(rule["not"])
+    template = 0
 
     def end() -> None:
         t = " ".join(entities.unescape("".join(line)).split())
@@ -308,32 +311,24 @@ def extract(page: str, rule: dict) -> str:
         if t:
             blocks.append(t)
 
-    # stacks of their own, as pages may nest deeper than Python's calls
-    by_main, seen = False, [root]
-    while seen and not by_main:
-        below = [k for k in seen.pop().kids if not isinstance(k, str) and not k.apart]
-        by_main = any(k.main for k in below)
-        seen += below
-    start = rule["path"]
-
-    todo: list = [(root, "", 0, not by_main and start in ("", "/"))]
+    todo: list = [(root, "", 0, not by_main)]
     while todo:
         node, path, depth, inside = todo.pop()
         if node is None:
             end()
             continue
         if isinstance(node, str):
-            if inside and f"{path}|{_hash(' '.join(node.split()))}" not in dropped:
+            if inside and dropped and f"{path}|{_hash(' '.join(node.split()))}" in dropped:
+                template += len(node)
+            elif inside:
                 line.append(node)
             continue
-        if node.apart:
+        here = f"{path}/{node.label}" if depth <= DEPTH else path
+        if node.apart and here not in opened:
             if node.tag in BLOCK:
                 end()
             continue
-        here = f"{path}/{node.label}" if depth <= DEPTH else path
-        inside = inside or (node.main if by_main else here == start)
-        if node.tag == "header" and not inside:
-            continue
+        inside = inside or node.main
         if node.tag == "br" and inside:
             line.append(" ")
         if node.tag in BLOCK:
@@ -341,7 +336,7 @@ def extract(page: str, rule: dict) -> str:
             todo.append((None, "", 0, False))
         todo.extend((k, here, depth + 1, inside) for k in reversed(node.kids))
     end()
-    return "\n".join(blocks)
+    return "\n".join(blocks), template
 
 
 def infer(pages: DataFrame) -> DataFrame:
@@ -360,7 +355,7 @@ def _extracting(shared):
             given = batch.column("rules").to_pylist() if told is None else [told.get(h) for h in hosts]
             out = []
             for g, page in zip(given, pages, strict=True):
-                g = g or '{"path":"","main":0,"not":[]}'
+                g = g or '{"not":[],"open":[]}'
                 if g not in parsed:
                     if len(parsed) > 4096:
                         parsed.clear()

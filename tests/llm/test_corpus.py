@@ -346,6 +346,25 @@ def test_html_apart_containers():
     assert wrappers.extract('<article><p>one</p><section class="comments"><article class="comment">no</article></section></article>', rule) == "one"
 
 
+def read_host(pages):
+    w = None
+    for x in pages:
+        e = wrappers.expression(wrappers.parse(x))
+        w = e if w is None else wrappers.merge(w, e)
+    return [wrappers.extract(x, wrappers.rules(w)) for x in pages]
+
+
+def test_html_layouts_without_main_items():
+    post = "<body><div class=top>Our site</div><h1>Title {0}</h1><div class=post><p>{1}</p></div></body>"
+    other = "<body><div class=top>Our site</div><div class=longread><h2>Long {0}</h2><p>{1}</p></div></body>"
+    pages = [post.format(i, f"text {i} " * 200) for i in range(20)] + [other.format(i, f"told {i} " * 9) for i in range(3)]
+    got = read_host(pages)
+    assert got[3] == "Title 3\n" + ("text 3 " * 200).strip()
+    assert got[21] == "Long 1\n" + ("told 1 " * 9).strip()
+    box = "<body><div class=social><p>{0}</p></div><p>{1}</p></body>"  # an apart word over most of the text
+    assert read_host([box.format(f"word {i} " * 50, f"end {i}") for i in range(5)])[2] == ("word 2 " * 50).strip() + "\nend 2"
+
+
 def test_gumbel(spark, edge, empty):
     import itertools
     from collections import Counter
