@@ -365,6 +365,15 @@ def test_html_layouts_without_main_items():
     assert read_host([box.format(f"word {i} " * 50, f"end {i}") for i in range(5)])[2] == ("word 2 " * 50).strip() + "\nend 2"
 
 
+def test_html_template_beside_and_within_main_items():
+    plain = "<body><div class=top>Our site</div><div class=post><p>text {0}</p></div></body>"
+    main = "<body><div class=top>Our site</div><article><p>text {0} of some length</p><div class=hint>Send us mail</div></article></body>"
+    got = read_host([plain.format(i) for i in range(6)] + [main.format(i) for i in range(6)])
+    assert got[2] == "text 2" and got[8] == "text 2 of some length"
+    same = main.format("the same")  # copies of a page keep their text
+    assert read_host([same] * 5) == ["text the same of some length\nSend us mail"] * 5
+
+
 def test_gumbel(spark, edge, empty):
     import itertools
     from collections import Counter
