@@ -5,8 +5,9 @@ the rest, the longest first. Every piece is a sequence of its own: its length is
 two, so it needs no padding, and no sequence crosses documents. Equal lengths form a bucket;
 sequence ids count a bucket's pieces without gaps above ``bucket << 48``.
 
-Null text counts as empty (its one separator makes one piece), null doc_ids are kept, repeated rows
-are packed again, other columns are ignored, an empty table gives no pieces.
+Null text counts as empty (its one separator makes one piece), null and repeated doc_ids are kept, repeated rows
+are packed again (each row is a document of its own), other columns are ignored, an empty table gives no pieces; texts of any length, white space
+alone included, are packed whole, one text at a time.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import Scratch, slices
 SEQ_LEN, SEPARATOR = 2048, 1
 #: Entries that a worker's table of chunk ids holds before it starts anew.
 CACHE = 400_000
+#: Characters of one chunk that go through the ranks' recursive pattern; longer ones go through the tokenizer file.
+CHUNK = 4096
 
 
 class ByteBpe:
@@ -59,6 +62,8 @@ class ByteBpe:
         return np.asarray(ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > CHUNK:  # the ranks' pattern overflows its stack on very long runs
+            return self._pack(self.whole.encode(chunk, add_special_tokens=False).ids)
         return self._pack(self.ranks.encode_ordinary(chunk))
 
     def __call__(self, text: str) -> bytes:
