@@ -12,17 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether a written table's shuffle files are freed at once, by a collection on driver and JVM; without it they stay
+#: until the JVM collects by itself, which costs disk (about the input's size per stage) and changes no result.
+FREE_SHUFFLES = True
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own in a local session where it is unset."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:  # a session without a cluster, as in tests
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievewright-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Written tables that cut lineage; they outlive lost executors and go when the session's driver ends."""
 
@@ -35,8 +54,9 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         schema = df.schema
         del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner free the shuffle files behind the table
+        if FREE_SHUFFLES:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -79,16 +99,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     seen, i = None, 0
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the joins deal both sides anew and a hub's rows can be split
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}low{i}")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.save(large.distinct(), f"{name}large{i}")
+        near = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}near{i}")
         small = large.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         step = small.union(near.select("u", F.col("m").alias("v"))).distinct()
         i += 1
         old, now = now, scratch.save(step, f"{name}{i}")
         del both, low, large, near, small, step, old
-        scratch.drop(f"{name}{i - 1}")
+        for part in (name, f"{name}low", f"{name}large", f"{name}near"):
+            scratch.drop(f"{part}{i - 1}")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -8,7 +8,9 @@ fingerprints are covered again on the bits that their mask dropped, which bounds
 by 2^15 fingerprints whatever the input holds; nothing is capped.
 
 Null or blank texts have fingerprint zero and link like any other; a null ``doc_id`` keeps its row
-and never names a component with other ids; repeated rows give repeated rows.
+and never names a component with other ids; repeated rows give repeated rows (``keep_representatives``
+keeps one of them, and every row without an id); texts are hashed whole, 8 MB of them at a time or one longer text; an empty
+table gives no rows; ties need no rule, as a component is named by its smallest id; other columns are kept by ``keep_representatives``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, connected_components, slices
+from .common import Scratch, as_bytes, connected_components, fresh, slices
 
 RADIUS, SHINGLE, DIRECT = 3, 3, 4096
 _ONES = np.uint64(0x0101010101010101)
@@ -162,7 +164,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     # a fingerprint has one best row; a component the best of its fingerprints
     best = rows.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "key")).alias("best"))
     component = F.coalesce("root", "fp")
-    kept = best.join(_roots(rows, scratch), "fp").groupBy(component.alias("component")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"))
-    out = known.join(kept, (F.col("doc_id") == F.col("_id")) & (_text_key() == F.col("_key")), "left_semi")
-    key = "_text_key"
-    return out.withColumn(key, _text_key()).dropDuplicates(["doc_id", key]).drop(key).union(docs.where("doc_id is null"))
+    at, key, mine = fresh(docs, "_id", "_key", "_mine")
+    kept = best.join(_roots(rows, scratch), "fp").groupBy(component.alias("component")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias(at), F.col("best.key").alias(key))
+    out = known.withColumn(mine, _text_key()).join(kept, (F.col("doc_id") == F.col(at)) & (F.col(mine) == F.col(key)), "left_semi")
+    return out.dropDuplicates(["doc_id", mine]).drop(mine).union(docs.where("doc_id is null"))
