@@ -8,11 +8,12 @@ the *dependency interval* of words that fixes its existence; wherever those word
 the symbol stands too.  A window of ``WINDOW`` words is known by the symbols whose
 dependency intervals it holds; the few windows that hold none stand for themselves.  Spark
 then joins equal symbols across documents, and the windows all of whose symbols are
-shared are verified by a 128-bit hash of their words.
+shared are verified by a 128-bit BLAKE2b digest of their words; symbols' names are hashes that only choose candidates.
 
 Null text counts as empty, a null ``doc_id`` row is passed through untouched (it is neither a
 source nor a target), rows that repeat a ``doc_id`` are treated as parts of that document
-("smaller doc_id" never holds between them), other columns are ignored.
+("smaller doc_id" never holds between them), equal rows give equal rows, an empty table gives none; texts are read whole,
+``SLICE_BYTES`` of them at a time or one longer text; other columns are kept by ``dedup_text``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, slices
+from .common import Scratch, as_bytes, fresh, slices
 
 WINDOW = 50
 #: Rounds after which symbols serve as anchors, the coarsest first.
@@ -242,13 +243,28 @@ def _windows(batches, width: int = WINDOW):
                 yes, no = (tier == t) & mine, (tier == t) & ~mine
                 found |= (tier_of == t) & _held(first[yes], last[yes], len(names)) & ~_held(first[no], last[no], len(names))
             at = np.flatnonzero(found)
-            h, owner = window_hashes(names, width)[at], doc[at] + i
+            h, owner = window_digests(texts[i:j], base, at, doc[at], width), doc[at] + i
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_long(h[:, 0])), pa.array(_long(h[:, 1])), pa.array(doc_id[owner].astype(np.int64)), pa.array(tk[owner].astype(np.int64)), pa.array((at - base[doc[at]]).astype(np.int32))],
                 names=["h1", "h2", "doc_id", "tk", "p"],
             )
 
 
+def window_digests(texts: list[bytes], base: np.ndarray, at: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """Two 64-bit halves of a digest of the words of each window; ``at`` numbers its first word among all texts, ``doc`` its text (rising)."""
+    out = np.empty((len(at), 2), np.uint64)
+    cut = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
+    for a, z in zip(cut, cut[1:]):
+        words = texts[doc[a]].split()
+        flat = b" ".join(words)
+        stop = np.cumsum([len(w) + 1 for w in words])
+        first = at[a:z] - base[doc[a]]
+        begin, end = np.where(first > 0, stop[first - 1], 0).tolist(), (stop[first + width - 1] - 1).tolist()
+        digest = b"".join([hashlib.blake2b(flat[s:e], digest_size=16).digest() for s, e in zip(begin, end, strict=True)])
+        out[a:z] = np.frombuffer(digest, np.uint64).reshape(-1, 2)
+    return out
+
+
 def _held(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))[:n] > 0
 
@@ -286,6 +302,7 @@ def repeated_words(docs: DataFrame, scratch: Scratch | None = None) -> tuple[Dat
     scan = scratch.save(rows.mapInArrow(_scan, "doc_id long, tk long, n_words long, sha string, keys array<long>"), "scan")
     # a document whose whole word sequence starts a smaller document goes whole, and is no source that the smaller one isn't
     first = scan.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("sha", "m")
+    first = scratch.save(first, "first")  # written, so that the join deals both sides anew and a crowded text's partition can be split
     copies = scan.select("doc_id", "tk", "sha", "n_words").join(first, "sha").where("doc_id > m").select("doc_id", "tk", F.col("n_words").alias("n_removed"))
     copies = scratch.save(copies.dropDuplicates(["doc_id", "tk"]), "copies")
     each = scan.select("doc_id", "tk", "keys").join(copies, ["doc_id", "tk"], "left_anti").where("doc_id is not null").select("doc_id", "tk", F.explode("keys").alias("key"))
@@ -320,6 +337,7 @@ def dedup_text(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; rows without one keep their text as it is."""
     _, changed = repeated_words(docs)
     tk = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    found = changed.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("kept").alias("_kept"))
-    out = docs.join(found, (docs["doc_id"] == F.col("_id")) & (tk == F.col("_tk")), "left")
-    return out.withColumn("text", F.coalesce("_kept", "text")).drop("_id", "_tk", "_kept")
+    a, b, c = fresh(docs, "_id", "_tk", "_kept")
+    found = changed.select(F.col("doc_id").alias(a), F.col("tk").alias(b), F.col("kept").alias(c))
+    out = docs.join(found, (F.col("doc_id") == F.col(a)) & (tk == F.col(b)), "left")
+    return out.withColumn("text", F.coalesce(c, "text")).drop(a, b, c)
