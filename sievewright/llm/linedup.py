@@ -3,107 +3,151 @@
 Lines (cut at \\n) that hold a solid character get ids, equal lines the same; the sequence of a
 document's ids is one string of the collection. Prefix doubling ranks the suffixes: ranks of the 2^k lines from
 a position on and from 2^k further give, sorted as pairs by range partitions, ranks of 2^(k+1) lines.
-Suffixes that share a rank at step k form a longest-common-prefix interval of depth 2^k or more;
-suffixes alone in their rank are sorted for good and leave, which ends the rounds once no run
-repeats. In every interval all members but the first in (doc_id, line) order are copies.
+Suffixes alone in their rank are sorted for good and leave, which ends the rounds once no run repeats.
 
-A copied run of ``MIN_LINES`` lines or more loses its lines; windows of two powers cover a run of any length.
-Blank lines are neither copies nor breaks: they stay. Null text stays null; rows with a null
+The ranks of all rounds then give the longest-common-prefix intervals, as a trie walked from the longest
+power of two to the shortest: suffixes that share the next 2^k lines go down to a child interval, whose first member in
+(doc_id, text hash, line) order also stays above for the others. The length at which a suffix was last not the first of
+its interval is the longest run from it on that an earlier place has too. Runs that no longer run covers
+are maximal; every maximal run of ``MIN_LINES`` lines or more that is a later copy loses its lines.
+
+Blank lines are neither copies nor breaks: they stay. Null and empty texts stay as they are; rows with a null
 doc_id are kept as they are and are no source; rows that repeat a doc_id are ordered by a hash of
-their text, and equal rows are equal in result; other columns are kept by ``dedup_text``.
+their text, and equal rows count once and are equal in result; an empty table gives no rows; texts of any number of lines
+are read whole, a line at a time once split; other columns are kept by ``dedup_text``, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
-MIN_LINES = 1
+MIN_LINES = 2
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tk (a hash of the text), pos (among the solid lines), line (place in the text), h (128-bit hash)."""
+    """doc_id, tk (a hash of the text), pos (among the solid lines), h (128-bit hash) of every solid line of the distinct rows."""
     text = F.col("text")
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.split(text, "\n").alias("ls"))
-    solid = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("line"), x.alias("x"))), lambda s: F.rtrim(F.ltrim(F.translate(s["x"], "\t\r\x0b\x0c", "    "))) != "")
-    each = rows.select("doc_id", "tk", F.posexplode(solid).alias("pos", "s"))
-    return each.select("doc_id", "tk", "pos", F.col("s.line").alias("line"), F.substring(F.md5(F.col("s.x").cast("binary")), 1, 32).alias("h"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.transform(_solid(text), lambda x: F.md5(x.cast("binary"))).alias("hs"))
+    each = rows.where(F.size("hs") > 0).dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", F.posexplode("hs").alias("pos", "h"))
+    return each
+
+
+def _is_solid(line):
+    return F.rtrim(F.ltrim(F.translate(line, "\t\r\x0b\x0c", "    "))) != ""
+
+
+def _solid(text):
+    return F.filter(F.split(text, "\n"), _is_solid)
 
 
 def _ranked(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """Rows whose key is shared, with its order-preserving rank and whether an earlier row has it."""
-    at = F.struct("doc_id", "tk", "pos")
-    shared = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(at).alias("low")).where("n > 1")
+    """Rows whose key is shared, with its order-preserving rank."""
+    shared = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     # distinct keys in order: the id of a row in range-sorted partitions rises with its key
     order = shared.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id())
-    order = scratch.save(order.select(*key, "rank", "low"), f"{name}-rank")
-    out = rows.join(order, key).select("doc_id", "tk", "pos", "rank", (at != F.col("low")).alias("copy"))
-    out = scratch.save(out, name)
+    order = scratch.save(order.select(*key, "rank"), f"{name}-rank")
+    out = scratch.save(rows.join(order, key).select("doc_id", "tk", "pos", "rank"), name)
     scratch.drop(f"{name}-rank")
     return out
 
 
-def copied_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """(lines, runs): runs has doc_id, tk, pos, size of every run that is a copy, sizes being powers of two and ``min_lines``."""
-    scratch = Scratch(docs.sparkSession, "linedup")
-    all_lines = scratch.save(lines(docs), "lines")
-    level = _ranked(all_lines.select("doc_id", "tk", "pos", "h"), ["h"], scratch, "level0")
-    size, k, runs = 1, 0, None
-    while True:
-        if size >= min_lines:
-            new = level.where("copy").select("doc_id", "tk", "pos", F.lit(size).alias("size"))
-            runs = new if runs is None else runs.union(new)
-        further = min(size, min_lines - size) if size < min_lines < 2 * size else size
-        nxt = level.select("doc_id", "tk", (F.col("pos") - further).alias("pos"), F.col("rank").alias("r2"))
-        pairs = level.select("doc_id", "tk", "pos", F.col("rank").alias("r1")).join(nxt.where("pos >= 0"), ["doc_id", "tk", "pos"])
-        if size < min_lines < 2 * size:  # the one length between two powers
-            between = _ranked(pairs, ["r1", "r2"], scratch, "between")
-            runs = between.where("copy").select("doc_id", "tk", "pos", F.lit(min_lines).alias("size"))
-            nxt = level.select("doc_id", "tk", (F.col("pos") - size).alias("pos"), F.col("rank").alias("r2"))
-            pairs = level.select("doc_id", "tk", "pos", F.col("rank").alias("r1")).join(nxt.where("pos >= 0"), ["doc_id", "tk", "pos"])
-        k += 1
-        level = _ranked(pairs, ["r1", "r2"], scratch, f"level{k}")
+def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """For k = 0, 1, ...: doc_id, tk, pos, rank of the suffixes whose first 2^k lines occur elsewhere, until none do."""
+    levels, size = [_ranked(lines(docs), ["h"], scratch, "level0")], 1
+    while levels[-1].take(1):
+        level = levels[-1]
+        further = level.select("doc_id", "tk", (F.col("pos") - size).alias("pos"), F.col("rank").alias("r2")).where("pos >= 0")
+        pairs = level.withColumnRenamed("rank", "r1").join(further, ["doc_id", "tk", "pos"])
+        levels.append(_ranked(pairs, ["r1", "r2"], scratch, f"level{len(levels)}"))
         size *= 2
-        if not level.where("copy").take(1):
-            break
-    if runs is None:  # no run reaches min_lines
-        runs = level.where("false").select("doc_id", "tk", "pos", F.lit(size).alias("size"))
-    return all_lines, runs
-
-
-def _dropped(docs: DataFrame, min_lines: int) -> DataFrame:
-    """doc_id, tk, places of the lines to drop, and the largest power-of-two run among them."""
-    all_lines, runs = copied_runs(docs, min_lines)
-    # the lines that a run covers; a longer run at a place covers its shorter ones
-    longest = runs.groupBy("doc_id", "tk", "pos").agg(F.max("size").alias("size"))
-    gone = longest.groupBy("doc_id", "tk").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)))).alias("gone"), F.max("size").alias("run")
-    ) if min_lines > 1 else longest.groupBy("doc_id", "tk").agg(F.collect_list("pos").alias("gone"), F.max("size").alias("run"))
-    places = gone.select("doc_id", "tk", "run", F.explode("gone").alias("pos")).join(all_lines.select("doc_id", "tk", "pos", "line"), ["doc_id", "tk", "pos"])
-    return places.groupBy("doc_id", "tk").agg(F.collect_set("line").alias("lines"), F.max("run").alias("run"))
-
-
-def _kept(text, gone):
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False))), "\n")
-
-
-def dedup_text(docs: DataFrame, min_lines: int = MIN_LINES, counts: bool = False) -> DataFrame:
-    """``docs`` without the lines of later copies; with ``counts`` also _removed and _run."""
-    found = _dropped(docs, min_lines).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("lines").alias("_lines"), F.col("run").alias("_run"))
-    out = docs.join(found, (docs["doc_id"] == F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left")
-    out = out.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("_lines"))))
-    if counts:
-        out = out.withColumn("_removed", F.coalesce(F.size("_lines"), F.lit(0))).withColumn("_run", F.coalesce("_run", F.lit(0)))
-        return out.drop("_id", "_tk", "_lines")
-    return out.drop("_id", "_tk", "_lines", "_run")
-
-
-def dedup_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_removed, longest_run (a power of two), kept_sha256 for every row."""
-    out = dedup_text(docs.select("doc_id", "text"), counts=True)
-    return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_removed").cast("long").alias("n_removed"), F.col("_run").cast("long").alias("longest_run"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
-    )
+    return levels[:-1]
+
+
+def earlier_lengths(levels: list[DataFrame], scratch: Scratch, least: int) -> DataFrame | None:
+    """doc_id, tk, pos, size: the most lines (``least`` or more) from a place on that an earlier place has too; None where no run is as long."""
+    base = max(0, least.bit_length() - 1)  # runs of ``least`` lines share 2^base
+    if base >= len(levels):
+        return None
+    at = ["doc_id", "tk", "pos"]
+    # node and len name an interval: len lines are shared, node tells intervals of one len apart; copy: lines shared with an earlier suffix
+    rows = levels[base].select(*at, F.lit(0).cast("long").alias("node"), F.lit(0).alias("len"), F.lit(0).alias("copy"))
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        ranks = levels[k].select("doc_id", "tk", (F.col("pos")).alias("to"), "rank")
+        placed = scratch.save(rows.withColumn("to", F.col("pos") + F.col("len")).join(ranks, ["doc_id", "tk", "to"], "left").drop("to"), f"placed{k}")
+        child = placed.where("rank is not null").groupBy("len", "node", "rank").agg(F.count("*").alias("n"), F.min(F.struct(*at)).alias("first")).where("n > 1")
+        child = scratch.save(child.withColumn("child", F.monotonically_increasing_id()), f"child{k}")
+        found = placed.join(child.select("len", "node", "rank", "child", "first"), ["len", "node", "rank"], "left")
+        later = F.struct(*at) != F.col("first")
+        down = F.struct(F.col("child").alias("node"), (F.col("len") + step).alias("len"), F.when(later, F.col("len") + step).otherwise(0).alias("copy"))
+        stay = F.struct("node", "len", "copy")
+        # a copy goes down; the first of a child goes down and stays; a suffix without a child stays
+        rows = found.select(*at, F.explode(F.when(F.col("child").isNull(), F.array(stay)).when(later, F.array(down)).otherwise(F.array(stay, down))).alias("i")).select(*at, "i.*")
+        rows = scratch.save(rows, f"rows{k}")
+        for name in (f"placed{k}", f"child{k}", f"rows{k + 1}"):
+            scratch.drop(name)
+    return rows.where(F.col("copy") >= least).groupBy(*at).agg(F.max("copy").alias("size"))
+
+
+def copied_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, tk, runs (pos, size): the maximal runs of ``min_lines`` solid lines or more that an earlier place has too."""
+    scratch = Scratch(docs.sparkSession, "linedup")
+    found = earlier_lengths(suffix_ranks(docs, scratch), scratch, min_lines)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, tk long, runs array<struct<pos: int, size: int>>")
+    # a place whose run ends with that of the place before it is covered by it
+    before = F.lag(F.struct("pos", "size")).over(Window.partitionBy("doc_id", "tk").orderBy("pos"))
+    covered = (before["pos"] == F.col("pos") - 1) & (before["size"] > F.col("size"))
+    runs = found.withColumn("covered", F.coalesce(covered, F.lit(False))).where("not covered")
+    return scratch.save(runs.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("runs")), "runs")
+
+
+def _cut(text: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    """Texts less the solid lines of their runs, and how many those are; nulls for texts without runs."""
+    kept, removed = [], []
+    for t, a, n in zip(text, starts, sizes, strict=True):
+        if t is None or a is None:
+            kept.append(None), removed.append(0)
+            continue
+        mark = np.zeros(int((a + n).max()) + 1, np.int64)
+        np.add.at(mark, a, 1)
+        np.subtract.at(mark, a + n, 1)
+        gone, nth, out = (np.cumsum(mark) > 0).tolist(), -1, []
+        for line in t.split("\n"):
+            if line.strip(" \t\r\x0b\x0c"):
+                nth += 1
+                if nth < len(gone) and gone[nth]:
+                    continue
+            out.append(line)
+        kept.append("\n".join(out)), removed.append(sum(gone))
+    return pd.DataFrame({"kept": kept, "removed": removed})
+
+
+def _with_cuts(docs: DataFrame, min_lines: int, cut: str, run: str) -> DataFrame:
+    """``docs`` with ``cut`` (struct of kept text, null where nothing goes, and removed lines) and ``run`` (lines of the longest maximal run)."""
+    at, key, mine, runs = fresh(docs, "_id", "_tk", "_mine", "_runs")
+    found = copied_runs(docs, min_lines).select(F.col("doc_id").alias(at), F.col("tk").alias(key), F.col("runs").alias(runs))
+    out = docs.withColumn(mine, F.xxhash64("text")).join(found, (F.col("doc_id") == F.col(at)) & (F.col(mine) == F.col(key)), "left")
+    some = F.when(F.col(runs).isNotNull(), F.col("text"))
+    cutter = F.pandas_udf(_cut, "kept string, removed long")
+    out = out.withColumn(cut, cutter(some, F.col(f"{runs}.pos"), F.col(f"{runs}.size")))
+    return out.withColumn(run, F.coalesce(F.array_max(F.col(f"{runs}.size")), F.lit(0)).cast("long")).drop(at, key, mine, runs)
+
+
+def dedup_text(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` without the lines of later copies of runs."""
+    cut, run = fresh(docs, "_cut", "_run")
+    out = _with_cuts(docs, min_lines, cut, run)
+    return out.withColumn("text", F.coalesce(F.col(f"{cut}.kept"), F.col("text"))).drop(cut, run)
+
+
+def dedup_digest(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, n_removed (lines), longest_run (lines of the longest copied run that starts here), kept_sha256 (null text: as empty) for every row."""
+    out = _with_cuts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_lines, "cut", "run")
+    kept = F.coalesce(F.col("cut.kept"), F.col("text"), F.lit(""))
+    return out.select("doc_id", F.col("cut.removed").alias("n_removed"), F.col("run").alias("longest_run"), F.sha2(kept, 256).alias("kept_sha256"))

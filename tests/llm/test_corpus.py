@@ -62,6 +62,26 @@ def test_substring_dedup(spark, edge, empty):
     assert recompression.dedup_text(edge).columns == edge.columns
 
 
+def test_substring_dedup_reads_the_words(spark):
+    a = "a"
+    for _ in range(11):  # Thue-Morse words: polynomial hashes modulo 2^64 do not tell them apart
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"q{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string")
+    assert rows(recompression.dedup_digest(df), "doc_id", "n_removed") == [(1, 0), (2, 0)]
+
+
+def test_clashing_columns(spark):
+    names = ["_id", "_tk", "_kept", "_run", "_lines", "_cut", "_key", "_mine", "_runs", "_text_key", "key", "fp"]
+    docs = [(1, PASSAGE + "\nx\ny"), (2, "x\ny\n" + PASSAGE), (3, "x\ny"), (2, None)]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in docs], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for f in (linedup.dedup_text, recompression.dedup_text, simhash.keep_representatives):
+        got = f(df)
+        assert got.columns == df.columns
+        assert {tuple(r)[2:] for r in got.collect()} == {tuple(range(len(names)))}
+
+
 def test_windows_hold_their_keys():
     rng = np.random.default_rng(1)
     common = rng.integers(0, 40, 70).astype(np.uint64)
@@ -126,23 +146,64 @@ def test_covering_and_crowded_buckets(spark):
     assert set(got.values()) == {low[0]} and len(got) == len(low)
 
 
-def test_line_dedup(edge, empty):
-    for m in (1, 2, 3):
-        solid = [(i, t, [(j, x) for j, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\x0c")]) for i, t in EDGE if i is not None]
-        key = {}
-        for i, t, ls in solid:
-            for p in range(len(ls) - m + 1):
-                k = tuple(x for _, x in ls[p:p + m])
-                key[k] = min(key.get(k, (i, p)), (i, p))
-        want = []
-        for i, t in EDGE:
-            ls = [(j, x) for j, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\x0c")]
-            gone = {ls[q][0] for p in range(len(ls) - m + 1) if i is not None and key[tuple(x for _, x in ls[p:p + m])] < (i, p) for q in range(p, p + m)}
-            want.append((i, t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone)))
-        assert rows(linedup.dedup_text(edge, m), "doc_id", "text") == sorted(want, key=repr)
+def solid_lines(text):
+    return [(j, x) for j, x in enumerate((text or "").split("\n")) if x.strip(" \t\r\x0b\x0c")]
+
+
+def longest_earlier(docs):
+    """(doc_id, text) -> for each solid line the most lines from it on that an earlier place has too."""
+    seqs = sorted({(i, t): [x for _, x in solid_lines(t)] for i, t in docs if i is not None and t}.items(), key=lambda kv: kv[0][0])
+    places = [(k, p) for k, (_, s) in enumerate(seqs) for p in range(len(s))]
+    out = {}
+    for n, (k, p) in enumerate(places):
+        best, s = 0, seqs[k][1]
+        for m, q in places[:n]:
+            r, size = seqs[m][1], 0
+            while p + size < len(s) and q + size < len(r) and s[p + size] == r[q + size]:
+                size += 1
+            best = max(best, size)
+        out.setdefault(seqs[k][0], []).append(best)
+    return out
+
+
+def brute_lines(docs, least):
+    found, out = longest_earlier(docs), []
+    for i, t in docs:
+        runs = [(p, n) for p, n in enumerate(found.get((i, t), [])) if n >= least]
+        gone = {q for p, n in runs for q in range(p, p + n)}
+        places = {solid_lines(t)[q][0] for q in gone}
+        kept = t if not gone else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in places)
+        out.append((i, len(gone), max((n for _, n in runs), default=0), kept))
+    return out
+
+
+def test_line_dedup(spark, edge, empty):
+    rng = np.random.default_rng(4)
+    for n in (0, 2):
+        docs = list(EDGE) if not n else []
+        base = [f"line {rng.integers(0, 5 * n + 1)}" for _ in range(30)]
+        for i in range(14 * bool(n)):  # ids in order; texts of one id would be ordered by hash
+            a, z = sorted(rng.integers(0, 30, 2))
+            docs.append((i, "\n".join([*(f"own {i}" for _ in range(rng.integers(0, 3))), *base[a:z], "", *(f"end {rng.integers(0, 3)}" for _ in range(2))])))
+        df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in docs], "doc_id long, text string, _id int, _tk int, _run int, _cut int, tk int")
+        for least in (1, 2, 3) if n else (2,):
+            want = brute_lines(docs, least)
+            got = linedup.dedup_text(df, least)
+            assert got.columns == df.columns
+            assert rows(got, "doc_id", "text") == sorted([(i, t) for i, _, _, t in want], key=repr)
+            digest = rows(linedup.dedup_digest(df, least), "doc_id", "n_removed", "longest_run", "kept_sha256")
+            assert digest == sorted([(i, g, n, hashlib.sha256((t or "").encode()).hexdigest()) for i, g, n, t in want], key=repr)
     assert linedup.dedup_digest(empty).count() == 0
 
 
+def test_line_dedup_repeated_rows_and_long_runs(spark):
+    text = "\n".join(f"line {i}" for i in range(100))
+    docs = [(1, text), (1, text), (2, text), (3, "x\n" + text), (4, "y\n" * 300), (5, "y\n" * 40 + "z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(linedup.dedup_digest(df), "doc_id", "n_removed", "longest_run")
+    assert got == [(1, 0, 0), (1, 0, 0), (2, 100, 100), (3, 100, 100), (4, 299, 299), (5, 40, 40)]
+
+
 def test_packing(edge, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -160,7 +221,10 @@ def test_packing(edge, empty):
     assert got.sequence_id.is_unique and (got.offset == 0).all()
     assert packing.pack(empty).count() == 0
     e = packing.ByteBpe()
-    for x in ["a  b", "  a b ", "x \n y", "a  b c", "<|endoftext|> a b", "it's 's a 's", "", "  ", " ", "\ta b\n\n c", "a '　 'll b"]:
+    got = packing.pack(edge).groupBy("doc_id").agg({"length": "sum"}).toPandas().set_index("doc_id")
+    ids = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    assert got.loc[8].item() == 2 * ids(EDGE[7][1]) and got[got.index.isna()].values.item() == ids(PASSAGE)  # repeated rows and a null id
+    for x in [" " * 1_000_000, "\n" * 20_000 + "a", "x" * 30_000, " " + "y1" * 9_000 + " z", "a  b", "  a b ", "x \n y", "a  b c", "<|endoftext|> a b", "it's 's a 's", "", "  ", " ", "\ta b\n\n c", "a '　 'll b"]:
         assert np.frombuffer(e(x), "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids
 
 
