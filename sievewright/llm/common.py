@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Whether a written table's shuffle files are freed at once, by a collection on driver and JVM; without it they stay
-#: until the JVM collects by itself, which costs disk (about the input's size per stage) and changes no result.
-FREE_SHUFFLES = True
+#: Seconds between collections on driver and JVM that free the shuffle files behind written tables (None: never); without
+#: them the files stay until the JVM collects by itself, which costs disk (about the input's size per stage) and changes no result.
+FREE_SHUFFLES: float | None = 2.0
+_freed = [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +56,8 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         schema = df.schema
         del df
-        if FREE_SHUFFLES:
+        if FREE_SHUFFLES is not None and time.monotonic() - _freed[0] > FREE_SHUFFLES:
+            _freed[0] = time.monotonic()
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)

@@ -1,3 +1,3 @@
 from sievewright.llm import common
 
-common.FREE_SHUFFLES = False  # small tables need no early freeing
+common.FREE_SHUFFLES = None  # small tables need no early freeing

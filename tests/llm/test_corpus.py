@@ -370,16 +370,39 @@ def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 16))
     vectors = [(i, (base[i % 12] + rng.normal(size=16) * 0.18).tolist()) for i in range(150)]
-    vectors += [(200, vectors[0][1]), (201, vectors[0][1]), (202, None), (203, [0.0] * 16), (204, [float("nan")] * 16), (205, []), (206, [1.0, 2.0]), (207, [2.0, 4.0]), (208, [None, 1.0])]
+    vectors += [(200, vectors[0][1]), (201, vectors[0][1]), (202, None), (203, [0.0] * 16), (204, [float("nan")] * 16), (205, []), (206, [1.0, 2.0]), (208, [None, 1.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<double>, label int")
     want = brute_links(vectors, 0.9)
     assert sum(n for n, _ in want.values()) > 100
-    for leaf in (8192, 20):
-        got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_vectors(df, leaf=leaf).collect()}
+    for leaf, twigs in ((8192, 4), (20, 48)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_vectors(df, leaf=leaf, twigs=twigs).collect()}
         assert got == want
+    again = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.01]), (None, None)], "vec_id long, embedding array<double>")
+    got = rows(covertree.near_vectors(again), "vec_id", "n_links", "component_id", "kept")
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (1, 0, 1, True), (None, 2, 1, False), (None, 0, None, False)], key=repr)
     assert covertree.near_vectors(df.where("false")).count() == 0
 
 
+def test_cover_tree_prunes():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 12))
+    v = np.concatenate([c + rng.normal(size=(25, 12)) * w for c, w in zip(centres, np.tile([0.003, 0.05, 0.2, 0.4], 10), strict=True)])
+    table = lambda x, at: pa.table({"cell": [0] * len(x), "salt": [0] * len(x), "rep": np.arange(at, at + len(x)), "n": np.arange(len(x)) % 3 + 1, "v": x.tolist()})
+    one, two = (covertree.Block(covertree._grow(6)(table(x, at))) for x, at in ((v[::2], 0), (v[1::2], 10_000)))
+    assert len(one.begin) > 60 and len(set(covertree.nested_nets(one.x, 60)[1])) > 2  # several halvings, more nodes for more rows
+    for a, b in ((one, two), (one, one)):
+        links, did = covertree.compare_blocks(a, b, 0.9)
+        near = a.x @ b.x.T >= 0.9
+        if a is b:
+            np.fill_diagonal(near, False)
+            assert (links.count[0] + links.count[1]).tolist() == (near @ b.n).tolist()
+        else:
+            assert links.count[0].tolist() == (near @ b.n).tolist() and links.count[1].tolist() == (near.T @ a.n).tolist()
+        assert did["pruned"] > did["pairs"] / 2 and did["unseen"] > 0 and did["whole"] > 0 and did["compared"] + did["whole"] + did["pruned"] == did["pairs"]
+
+
 def test_html(spark):
     page = '<html><head><title>t</title></head><body><nav>menu</nav><div class="cookie-notice">ok?</div><article><h1>A &amp; B</h1><p>one<b> two</b>\n three<p>four<script>x</script></p><aside>side</aside><section class="comments"><p>me too</p></section></article><footer>f</footer>'
     assert wrappers.extract(page, {"path": "", "main": 1, "not": []}) == "A & B\none two three\nfour"
