@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import re
 import zlib
 
@@ -9,7 +10,9 @@ import numpy as np
 import pytest
 import xxhash
 
+
 from sievewright.llm import covertree, gumbel, linedup, nbsvm, packing, recompression, simhash, warc, webp, wrappers
+from sievewright.llm.common import Scratch
 
 DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,7 +39,8 @@ def rows(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=repr)
 
 
-def passages(docs, width):
+def cut_passages(docs, width):
+    """(doc_id, words, whether each goes) by looking every window up."""
     words = [(i, WORD.findall(t or "")) for i, t in docs]
     first = {}
     for i, w in words:
@@ -50,9 +54,13 @@ def passages(docs, width):
         for p in range(len(w) - width + 1):
             if i is not None and first[tuple(w[p:p + width])] < i:
                 gone[p:p + width] = [True] * width
-        kept = " ".join(x for x, g in zip(w, gone) if not g)
-        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out, key=repr)
+        out.append((i, w, gone))
+    return out
+
+
+def passages(docs, width):
+    kept = [(i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)) for i, w, gone in cut_passages(docs, width)]
+    return sorted([(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in kept], key=repr)
 
 
 def test_substring_dedup(spark, edge, empty):
@@ -105,15 +113,20 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def test_simhash(edge, empty):
-    fps = [(i, fingerprint(t)) for i, t in EDGE]
-    group = {f: {f} for _, f in fps}
-    for _, a in fps:
-        for _, b in fps:
-            if bin(a ^ b).count("1") <= 3:
+def near_groups(fps):
+    group = {f: {f} for f in fps}
+    for a in group:
+        for b in group:
+            if bin(a ^ b).count("1") <= 3 and group[a] is not group[b]:
                 both = group[a] | group[b]
                 for x in both:
                     group[x] = both
+    return group
+
+
+def test_simhash(edge, empty):
+    fps = [(i, fingerprint(t)) for i, t in EDGE]
+    group = near_groups(f for _, f in fps)
     want = sorted([(i, f"{f:016x}", min((j for j, g in fps if g in group[f] and j is not None), default=None)) for i, f in fps], key=repr)
     assert rows(simhash.dedup_digest(edge), "doc_id", "fingerprint", "component_id") == want
     assert simhash.dedup_digest(empty).count() == 0
@@ -152,7 +165,8 @@ def solid_lines(text):
 
 def longest_earlier(docs):
     """(doc_id, text) -> for each solid line the most lines from it on that an earlier place has too."""
-    seqs = sorted({(i, t): [x for _, x in solid_lines(t)] for i, t in docs if i is not None and t}.items(), key=lambda kv: kv[0][0])
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    seqs = sorted({(i, t): [x for _, x in solid_lines(t)] for i, t in docs if i is not None and t}.items(), key=lambda kv: (kv[0][0], signed(kv[0][1])))
     places = [(k, p) for k, (_, s) in enumerate(seqs) for p in range(len(s))]
     out = {}
     for n, (k, p) in enumerate(places):
@@ -405,7 +419,7 @@ def test_cover_tree_prunes():
 
 def test_html(spark):
     page = '<html><head><title>t</title></head><body><nav>menu</nav><div class="cookie-notice">ok?</div><article><h1>A &amp; B</h1><p>one<b> two</b>\n three<p>four<script>x</script></p><aside>side</aside><section class="comments"><p>me too</p></section></article><footer>f</footer>'
-    assert wrappers.extract(page, {"path": "", "main": 1, "not": []}) == "A & B\none two three\nfour"
+    assert read_host([page]) == ["A & B\none two three\nfour"]
     site = "<body><div class=top>Our site</div><div class=story><h2>{0}</h2><p>{1}</p><p>{2}</p></div><div class=end>Write to us</div></body>"
     pages = [(i, "http://h.example/1", site.format(f"T{i}", f"first text {i} " * 9, f"second {i * i} " * 7)) for i in range(6)] + [(7, None, None), (8, "http://x", ""), (9, "http://x", "<p>only<p>plain")]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, host int")
@@ -419,7 +433,7 @@ def test_html(spark):
 
 
 def test_html_raw_tags():
-    read = lambda page: wrappers.extract(page, {"path": "", "main": 1, "not": []})
+    read = lambda page: read_host([page])[0]
     assert read('<body><svg width="9"/><article><p>one <math/>two</p><p>three</p></article>') == "one two\nthree"
     for tag in ("noscript", "canvas", "object", "select", "template"):
         assert read(f"<article><p>one</p><div><{tag}>away</div><p>two</p></article>") == "one\ntwo"
@@ -427,10 +441,10 @@ def test_html_raw_tags():
 
 
 def test_html_apart_containers():
-    rule = {"path": "", "main": 1, "not": []}
     for box in ('div class="layout has-sidebar"', 'div class="no-sidebar"', 'div class="sidebar"', 'div id="social-feed"', "form", "div hidden"):
-        assert wrappers.extract(f'<body><{box}><article><p>one</p><div class="post-share">two</div><div class="share">no</div></article></{box.split()[0]}>', rule) == "one\ntwo"
-    assert wrappers.extract('<article><p>one</p><section class="comments"><article class="comment">no</article></section></article>', rule) == "one"
+        got = read_host([f'<body><{box}><article><p>one</p><div class="post-share">two</div><div class="share">no</div></article></{box.split()[0]}>'])
+        assert got == (["one\ntwo"] if "hidden" not in box else [""])
+    assert read_host(['<article><p>one</p><section class="comments"><article class="comment">no</article></section></article>']) == ["one"]
 
 
 def read_host(pages):
@@ -441,6 +455,63 @@ def read_host(pages):
     return [wrappers.extract(x, wrappers.rules(w)) for x in pages]
 
 
+def test_html_broken_markup_is_linear():
+    for page in ("<a " * 100_000, "<a href='" * 100_001, '<a ">" ' * 100_000, "</i>" * 100_000, "<div>" * 3000 + "</zz>" * 100_000, "<x" + "'" * 99_999, "<svg>" * 50_000):
+        wrappers.extract(page, {})
+    assert read_host(['<p>one</p><p title="oops>two</p><p>three</p>']) == ["one\ntwo\nthree"]
+    labels = [f"p{i * i % 97}" for i in range(30_000)], [f"p{i * i % 89}" for i in range(30_000)]
+    assert len(wrappers.matches(*labels)) > 1000
+
+
+def test_html_alignment_against_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = ("".join(rng.choice(list("abcde"), rng.integers(0, 7))) for _ in range(2))
+        got = wrappers.matches(list(a), list(b))
+        assert all(a[i] == b[j] for i, j in got) and all(p < r and q < t for (p, q), (r, t) in zip(got, got[1:]))
+        if len(set(a)) == len(a) and len(set(b)) == len(b):  # labels that occur once: a longest common subsequence
+            best = max(k for k in range(7) for c in itertools.combinations(a, k) if c in set(itertools.combinations(b, k)))
+            assert len(got) == best
+
+
+def untagged(i, rng):
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+    links = "".join(f"<span><a href=/{k}>{words(1)}</a></span>" for k in range(6))
+    paras = [words(30) for _ in range(3)]
+    page = f"<body><div class=x1>House of text</div><div class=x2>{links}</div><div class=x3><h1>Title {i}</h1>" + "".join(f"<p>{p}</p>" for p in paras) + "</div><div class=x4>Write to us</div></body>"
+    return page, "\n".join([f"Title {i}", *paras])
+
+
+def test_html_without_telling_names(spark):
+    rng = np.random.default_rng(1)
+    made = [untagged(i, rng) for i in range(40)]
+    pages, want = [p for p, _ in made], [t for _, t in made]
+    assert read_host(pages) == want
+    assert all(wrappers.extract(p, {}) != t for p, t in made)  # without the wrapper the template stays
+    df = spark.createDataFrame([(i, "http://u.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    one, two = (wrappers.infer(x, Scratch(spark, "test"), 7, 3).collect() for x in (df.repartition(1), df.repartition(7, "page_id")))
+    assert one == two and len(one) == 1 and [wrappers.extract(p, json.loads(one[0].rules)) for p in pages] == want
+    assert [t for _, t in rows(wrappers.extract_pages(df), "page_id", "text")] == [t for _, t in sorted(enumerate(want), key=repr)]
+    assert wrappers.extract_pages(df.where("false")).count() == 0
+
+
+def test_html_names_are_overruled():
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+    card = lambda: f"<article class=card><a href=/>{words(4)}</a> <a href=/>{words(3)}</a></article>"
+    texts = [words(60) for _ in range(8)]
+    got = read_host([f"<body><article class=story><p>{t}</p></article><div>{card()}{card()}{card()}</div></body>" for t in texts])
+    assert got == texts  # cards of links are articles by name only
+    got = read_host([f"<body><form><div class=box><p>{t}</p></div></form></body>" for t in texts])
+    assert got == texts  # a form around everything
+    got = read_host([f"<body><article><p>{t}</p></article><div class=comments><p>{words(200)}</p></div></body>" for t in texts])
+    assert got == texts  # comments longer than the text
+    got = read_host([f"<body><main>{words(2)}</main><div class=box><p>{t}</p></div></body>" for t in texts])
+    assert all(g.endswith(t) for g, t in zip(got, texts))  # a main item that holds next to nothing
+
+
 def test_html_layouts_without_main_items():
     post = "<body><div class=top>Our site</div><h1>Title {0}</h1><div class=post><p>{1}</p></div></body>"
     other = "<body><div class=top>Our site</div><div class=longread><h2>Long {0}</h2><p>{1}</p></div></body>"
@@ -493,7 +564,7 @@ def test_gumbel(spark, edge, empty):
     assert gumbel.sample_segmentations(empty).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
@@ -501,4 +572,87 @@ def test_pipeline(spark):
         out = stage(spark, docs, DIR)
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.toPandas(), docs.schema)
-    assert corpus_pipeline.run(spark, DIR).toPandas().doc_id.nunique() == docs.count() > 0
+
+
+def plain_pipeline(docs, model):
+    """(doc_id, start, length, ids_crc32, doc_tokens) of the pieces, each stage by brute force."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    features = nbsvm.Indicators()
+    docs = [(i, t) for i, t in docs if model.score(features((t or "").encode())) >= 0.7]
+    docs = [(i, t) for i, _, _, t in brute_lines(docs, linedup.MIN_LINES)]
+    rows_ = [(i, int(np.uint64(fingerprint(t)).astype(np.int64)), hashlib.sha256(t.encode()).hexdigest() if t is not None else "", t) for i, t in docs]
+    group = near_groups(np.int64(f).astype(np.uint64).item() for _, f, _, _ in rows_)
+    best = {}
+    for r in rows_:
+        if r[0] is not None:
+            g = min(group[np.int64(r[1]).astype(np.uint64).item()])
+            best[g] = min(best.get(g, r[:3]), r[:3])
+    kept = set(best.values())
+    docs = [r for r in rows_ if r[0] is None] + list({r[:3]: r for r in rows_ if r[:3] in kept}.values())
+    docs = [(i, t) for i, _, _, t in docs]
+    cut = cut_passages(docs, recompression.WINDOW)
+    docs = [(i, " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else t) for (i, t), (_, w, gone) in zip(docs, cut)]
+    tok, out = Tokenizer.from_file(path("byte_bpe_50k.json")), []
+    for i, t in docs:
+        ids, at = tok.encode(t or "", add_special_tokens=False).ids + [1], 0
+        for n in [2048] * (len(ids) // 2048) + [1 << k for k in range(10, -1, -1) if len(ids) % 2048 >> k & 1]:
+            out.append((i, at, n, zlib.crc32(np.array(ids[at:at + n], "<u4").tobytes()), len(ids)))
+            at += n
+    return sorted(out, key=repr)
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()
+    given = [tuple(r) for r in docs] + [(None if i is None else 10_000 + i, t) for i, t in EDGE] + [tuple(docs[3]), (20_000, docs[3].text), (20_001, docs[5].text + " and one more"), (None, docs[7].text), (20_002, docs[9].text + "\n" + docs[11].text)]
+    frame = spark.createDataFrame([(i, t, "xx", "s", len(t or ""), 5, 6) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long, _id int, _run int")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    labels.union(labels.limit(3)).union(spark.createDataFrame([(None, 1, 0), (10_006, 1, 0), (10_011, 1, None)], labels.schema)).write.parquet(f"{tmp_path}/labels.parquet")
+    model = nbsvm.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    got = rows(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    want = plain_pipeline(given, model)
+    assert len({r[0] for r in want}) > 100 and got == want
+    frame.where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_model_against_dense_forms():
+    texts = [t.encode() for t in ("good words here", "good words there", "fine good text", "bad BAD!! 000", "000 !! bad", "bad bad bad", "", "naïve — 漢字")]
+    y = np.array([1, 1, 1, 0, 0, 0, 0, 1.0])
+    kind = lambda c: 0 if c == 32 or 9 <= c <= 13 else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c < 128 else 5
+
+    def plain(text):
+        b, out = b" " + text + b" ", set()
+        for k in range(len(b) - 2):
+            out.add(b[k] | b[k + 1] << 8 | b[k + 2] << 16)
+        shape = [k for k, _ in __import__("itertools").groupby(map(kind, b))]
+        for k in range(max(1, len(shape) - 5)):
+            out.add(sum(s << 3 * j for j, s in enumerate(shape[k:k + 6])) | 1 << 25)
+        words = text.split()
+        n = len(words)
+        out.add(1 << 26 | min(15, n.bit_length()) << 8 | (20 * len(set(words)) // n if n else 0))
+        out.add(1 << 27 | any(p == q for p, q in zip(words, words[1:])))
+        return {c * 2654435761 % (1 << 32) >> 15 for c in out}
+
+    f = nbsvm.Indicators()
+    found = [f(t) for t in texts]
+    assert [set(x.tolist()) for x in found] == [plain(t) for t in texts] and all(len(set(x.tolist())) == len(x) for x in found)
+    model = nbsvm.fit(found, y)
+    dense = np.zeros((len(texts), nbsvm.BUCKETS))
+    for i, x in enumerate(found):
+        dense[i, x] = 1
+    p, q = 1 + dense[y == 1].sum(0), 1 + dense[y == 0].sum(0)
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    x = dense * ratio / np.sqrt(dense.sum(1, keepdims=True))
+    s = 2 * y - 1
+    cost = np.where(y > 0, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (1 - y).sum())
+    w = np.divide(model.weights, ratio, out=np.zeros_like(ratio), where=ratio != 0)
+    slack = np.maximum(0, 1 - s * (x @ w + model.bias))
+    # the optimum of 0.5 |w|^2 + 0.5 b^2 + sum of cost * slack^2
+    assert np.abs(w - 2 * (cost * s * slack) @ x).max() < 1e-2 and abs(model.bias - 2 * (cost * s * slack).sum()) < 1e-2
+    for t, d, row in zip(texts, x, found):
+        assert abs(model.score(row) - 1 / (1 + np.exp(-(model.slope * (d @ w + model.bias) + model.offset)))) < 1e-9
