@@ -9,8 +9,9 @@ The fit takes at most ``FIT_ROWS`` labelled rows of each class, those whose hash
 (a documented bound; equal texts count once). Scoring takes every row, over its whole text.
 
 Null text counts as empty and gets a score like any other; a null doc_id counts as remainder 0 of
-its empty id text; labels that repeat a doc_id or are null are averaged or ignored; with labels of one class or
-none every row scores 0.5 if nothing is known, else near that class.
+its empty id text; labels that repeat a doc_id or are null are averaged or ignored; of rows that repeat a labelled doc_id the text of lowest
+hash is learned from, and all are scored, equal rows alike; with labels of one class or none every row scores 0.5 if nothing is known, else
+near that class; an empty table gives no rows; texts are read whole, one at a time; other columns are ignored, and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -149,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     order = F.xxhash64(F.col("_id"))
     few = known.where("quality = 1").orderBy(order, "_id").limit(fit_rows).union(known.where("quality = 0").orderBy(order, "_id").limit(fit_rows))
     # of the bounded id table, so that the join may broadcast it
-    picked = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("_id", "quality", "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
+    # one text for each id, so that rows that repeat an id do not add to what is collected
+    picked = picked.groupBy("_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("_id", "quality", "t.text")
     got = picked.mapInArrow(_with_id, "id long, quality double, features array<int>").toPandas().sort_values("id", kind="stable")
     unique = {}
     for q, x in zip(got.quality, got.features, strict=True):
