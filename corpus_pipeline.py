@@ -1,4 +1,9 @@
-"""A training-data pipeline over ``documents``: each stage is one corpus operator."""
+"""A training-data pipeline over ``documents``: each stage is one corpus operator.
+
+Null and empty texts are scored like any other and, where kept, pass all stages (blank ones are near copies of each other; a row without an id is kept by every
+stage that compares documents); repeated rows fall to one in the near-dedup stage; an empty table gives no rows; further columns of ``documents`` go along, whatever
+their names, up to the packing, which returns pieces; ties are settled by doc_id, then by hashes of the texts; texts are read whole by every stage.
+"""
 
 from __future__ import annotations
 
