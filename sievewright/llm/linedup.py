@@ -27,14 +27,18 @@ from pyspark.sql import functions as F
 from .common import Scratch, fresh
 
 MIN_LINES = 2
+# The joins below are sort-merge joins at every size: both sides grow with the input, and AQE splits their skewed partitions.
 
 
-def lines(docs: DataFrame) -> DataFrame:
+def lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, tk (a hash of the text), pos (among the solid lines), h (128-bit hash) of every solid line of the distinct rows."""
     text = F.col("text")
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.transform(_solid(text), lambda x: F.md5(x.cast("binary"))).alias("hs"))
-    each = rows.where(F.size("hs") > 0).dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", F.posexplode("hs").alias("pos", "h"))
-    return each
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.monotonically_increasing_id().alias("row"), _solid(text).alias("ls"))
+    each = rows.select("doc_id", "tk", "row", F.posexplode("ls").alias("pos", "x")).select("doc_id", "tk", "row", "pos", F.md5(F.col("x").cast("binary")).alias("h"))
+    each = scratch.save(each, "lines")
+    # of rows that repeat, one counts
+    twice = each.where("pos = 0").groupBy("doc_id", "tk").agg(F.min("row").alias("one"), F.count("*").alias("n")).where("n > 1").select("doc_id", "tk", "one")
+    return each.join(twice, ["doc_id", "tk"], "left").where("one is null or row = one").select("doc_id", "tk", "pos", "h")
 
 
 def _is_solid(line):
@@ -51,18 +55,18 @@ def _ranked(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> Dat
     # distinct keys in order: the id of a row in range-sorted partitions rises with its key
     order = shared.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id())
     order = scratch.save(order.select(*key, "rank"), f"{name}-rank")
-    out = scratch.save(rows.join(order, key).select("doc_id", "tk", "pos", "rank"), name)
+    out = scratch.save(rows.join(order.hint("merge"), key).select("doc_id", "tk", "pos", "rank"), name)
     scratch.drop(f"{name}-rank")
     return out
 
 
 def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """For k = 0, 1, ...: doc_id, tk, pos, rank of the suffixes whose first 2^k lines occur elsewhere, until none do."""
-    levels, size = [_ranked(lines(docs), ["h"], scratch, "level0")], 1
+    levels, size = [_ranked(lines(docs, scratch), ["h"], scratch, "level0")], 1
     while levels[-1].take(1):
         level = levels[-1]
         further = level.select("doc_id", "tk", (F.col("pos") - size).alias("pos"), F.col("rank").alias("r2")).where("pos >= 0")
-        pairs = level.withColumnRenamed("rank", "r1").join(further, ["doc_id", "tk", "pos"])
+        pairs = level.withColumnRenamed("rank", "r1").join(further.hint("merge"), ["doc_id", "tk", "pos"])
         levels.append(_ranked(pairs, ["r1", "r2"], scratch, f"level{len(levels)}"))
         size *= 2
     return levels[:-1]
@@ -79,10 +83,10 @@ def earlier_lengths(levels: list[DataFrame], scratch: Scratch, least: int) -> Da
     for k in range(len(levels) - 1, -1, -1):
         step = 1 << k
         ranks = levels[k].select("doc_id", "tk", (F.col("pos")).alias("to"), "rank")
-        placed = scratch.save(rows.withColumn("to", F.col("pos") + F.col("len")).join(ranks, ["doc_id", "tk", "to"], "left").drop("to"), f"placed{k}")
+        placed = scratch.save(rows.withColumn("to", F.col("pos") + F.col("len")).join(ranks.hint("merge"), ["doc_id", "tk", "to"], "left").drop("to"), f"placed{k}")
         child = placed.where("rank is not null").groupBy("len", "node", "rank").agg(F.count("*").alias("n"), F.min(F.struct(*at)).alias("first")).where("n > 1")
         child = scratch.save(child.withColumn("child", F.monotonically_increasing_id()), f"child{k}")
-        found = placed.join(child.select("len", "node", "rank", "child", "first"), ["len", "node", "rank"], "left")
+        found = placed.join(child.select("len", "node", "rank", "child", "first").hint("merge"), ["len", "node", "rank"], "left")
         later = F.struct(*at) != F.col("first")
         down = F.struct(F.col("child").alias("node"), (F.col("len") + step).alias("len"), F.when(later, F.col("len") + step).otherwise(0).alias("copy"))
         stay = F.struct("node", "len", "copy")
@@ -132,7 +136,7 @@ def _with_cuts(docs: DataFrame, min_lines: int, cut: str, run: str) -> DataFrame
     """``docs`` with ``cut`` (struct of kept text, null where nothing goes, and removed lines) and ``run`` (lines of the longest maximal run)."""
     at, key, mine, runs = fresh(docs, "_id", "_tk", "_mine", "_runs")
     found = copied_runs(docs, min_lines).select(F.col("doc_id").alias(at), F.col("tk").alias(key), F.col("runs").alias(runs))
-    out = docs.withColumn(mine, F.xxhash64("text")).join(found, (F.col("doc_id") == F.col(at)) & (F.col(mine) == F.col(key)), "left")
+    out = docs.withColumn(mine, F.xxhash64("text")).join(found.hint("merge"), (F.col("doc_id") == F.col(at)) & (F.col(mine) == F.col(key)), "left")
     some = F.when(F.col(runs).isNotNull(), F.col("text"))
     cutter = F.pandas_udf(_cut, "kept string, removed long")
     out = out.withColumn(cut, cutter(some, F.col(f"{runs}.pos"), F.col(f"{runs}.size")))
