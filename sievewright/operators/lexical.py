@@ -5,31 +5,10 @@ from __future__ import annotations
 from ..plans.catalogue import CATALOGUE as C
 from .inputs import NORM, TOKENS
 
-K1, B = 1.5, 0.75
 R = lambda x, n=6: f"round({x}, {n})"
 #: Light stemming rules.
 STEM = lambda d, x: d.sub(d.sub(d.sub(x, "ies$", "y"), "sses$", "ss"), "([^s])s$", "$1" if d.name == "spark" else "\\1")
 
-BM25 = lambda d: f"""WITH lens AS (SELECT paper_id, silo, {d.size('ts')} AS n FROM paper_tokens),
-pool AS (SELECT silo, count(*) AS docs, avg(n) AS avgdl FROM lens GROUP BY silo),
-q AS (SELECT DISTINCT silo, {d.each(TOKENS(d, 'obj'))} AS term FROM briefs),
-tf AS (SELECT t.paper_id, t.silo, t.term, count(*) AS f FROM terms t JOIN q ON t.silo = q.silo AND t.term = q.term GROUP BY t.paper_id, t.silo, t.term),
-df AS (SELECT silo, term, count(*) AS df FROM tf GROUP BY silo, term),
-hit AS (SELECT tf.paper_id, sum(ln(1 + (docs - df.df + 0.5) / (df.df + 0.5)) * f * {K1 + 1} / (f + {K1} * (1 - {B} + {B} * l.n / avgdl))) AS s
-  FROM tf JOIN df ON df.silo = tf.silo AND df.term = tf.term JOIN pool p ON p.silo = tf.silo JOIN lens l ON l.paper_id = tf.paper_id GROUP BY tf.paper_id)
-SELECT l.silo, l.paper_id, {R('coalesce(s, 0)')} AS bm25 FROM lens l LEFT JOIN hit h ON l.paper_id = h.paper_id"""
-
-
-def overlap(field: str):
-    def plan(d) -> str:
-        return f"""WITH t AS (SELECT silo, {d.size(field)} AS nt, {d.each(field)} AS term FROM briefs),
-p AS (SELECT paper_id, silo, concat(' ', {d.join('ts', ' ')}, ' ') AS body, {d.size('ts')} AS n FROM paper_tokens),
-h AS (SELECT p.paper_id, p.silo, p.n, max(nt) AS nt, sum(CASE WHEN body LIKE concat('% ', term, ' %') THEN 1 ELSE 0 END) AS hits FROM p JOIN t ON p.silo = t.silo GROUP BY p.paper_id, p.silo, p.n)
-SELECT paper_id, silo, CAST(hits AS BIGINT) AS n_hits, {R('hits * 1e0 / nt')} AS frac, {R('CASE WHEN n > 0 THEN hits * 1e3 / n END')} AS per_1k FROM h"""
-
-    return plan
-
-
 C.add(
     norm_text=lambda d: f"SELECT paper_id, {NORM(d, 'text')} AS norm FROM papers",
     tokenise=lambda d: f"SELECT paper_id, {d.join('ts', ' ')} AS tokens, {d.size('ts')} AS n FROM paper_tokens",
@@ -39,11 +18,7 @@ C.add(
     phrase_match=lambda d: f"SELECT p.paper_id, b.silo, (concat(' ', {d.join('ts', ' ')}, ' ') LIKE concat('% ', {d.at('must', 1)}, ' ', {d.at('must', 2)}, ' %')) AS hit FROM paper_tokens p JOIN briefs b ON p.silo = b.silo",
     paper_text=lambda d: "SELECT paper_id, concat(coalesce(title, ''), '. ', coalesce(abstract, '')) AS body FROM papers",
     bm25_pool=lambda d: f"WITH tf AS (SELECT DISTINCT silo, paper_id, term FROM terms), n AS (SELECT silo, count(*) AS n FROM papers GROUP BY silo) SELECT tf.silo, term, count(*) AS df, {R('ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5))')} AS idf FROM tf JOIN n ON tf.silo = n.silo GROUP BY tf.silo, term",
-    bm25_score=BM25,
-    bm25_fields=lambda d: "WITH s AS (" + BM25(d).replace("WITH lens", "WITH lens", 1) + f") SELECT silo, paper_id, bm25, {R('(rank() OVER (PARTITION BY silo ORDER BY bm25) + (count(*) OVER (PARTITION BY silo, bm25) - 1) / 2e0) / count(*) OVER (PARTITION BY silo)')} AS bm25_rank FROM s",
     n_tokens=lambda d: f"SELECT paper_id, CAST({d.size('ts')} AS DOUBLE) AS n_tokens FROM paper_tokens",
-    overlap_must=overlap("must"), overlap_nice=overlap("nice"), overlap_excl=overlap("exclude"),
-    lexical_control=lambda d: f"WITH m AS (SELECT silo, lead(silo) OVER (ORDER BY md5(silo)) AS nxt, first_value(silo) OVER (ORDER BY md5(silo)) AS fst FROM briefs), t AS (SELECT m.silo, {d.each('b.must')} AS term FROM m JOIN briefs b ON b.silo = coalesce(m.nxt, m.fst)), p AS (SELECT paper_id, silo, ts FROM paper_tokens) SELECT paper_id, p.silo, CAST(sum(CASE WHEN {d.has('ts', 'term')} THEN 1 ELSE 0 END) AS BIGINT) AS n_hits FROM p JOIN t ON p.silo = t.silo GROUP BY paper_id, p.silo",
     derangement=lambda d: "SELECT silo, coalesce(lead(silo) OVER (ORDER BY md5(concat('7', silo))), first_value(silo) OVER (ORDER BY md5(concat('7', silo)))) AS donor FROM briefs",
     overlap_score=lambda d: f"SELECT paper_id, p.silo, {R(f'''{d.both(d.distinct('ts'), 'must')} * 1e0 / {d.size('must')} + 5e-1 * {d.both(d.distinct('ts'), 'nice')} / {d.size('nice')} - CASE WHEN {d.both(d.distinct('ts'), 'exclude')} > 0 THEN 1 ELSE 0 END''')} AS overlap FROM paper_tokens p JOIN briefs b ON p.silo = b.silo WHERE {d.size('must')} > 0 AND {d.size('nice')} > 0",
     substring_vs_word=lambda d: f"SELECT b.silo, CAST(sum(CASE WHEN lower(p.text) LIKE concat('%', {d.at('must', 1)}, '%') THEN 1 ELSE 0 END) AS BIGINT) AS n_substring, CAST(sum(CASE WHEN {d.has(TOKENS(d, 'p.text'), d.at('must', 1))} THEN 1 ELSE 0 END) AS BIGINT) AS n_word FROM papers p JOIN briefs b ON p.silo = b.silo GROUP BY b.silo",

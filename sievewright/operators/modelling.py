@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -13,6 +10,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import auc
+from ..plans.held import held
+
 FEATURES = ["log_chars", "n_words", "share_upper", "share_marks"]
 
 
@@ -29,6 +29,13 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def prepare_dataset(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled rows with y and their group: a text without a solid title is a group of its own."""
+    title = F.trim(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))))
+    group = F.when(title == "", F.concat(F.lit("no_title_"), F.col("doc_id").cast("string"))).otherwise(title)
+    return docs.join(labels.where("quality is not null"), "doc_id").select("doc_id", F.col("lang").alias("silo"), (1 - F.col("quality")).cast("int").alias("y"), F.md5(group).alias("grp"))
+
+
 def balanced(rows: DataFrame) -> DataFrame:
     """Class weights n / (2 n_c) beside an assembled vector."""
     counts = rows.groupBy("y").agg(F.count("*").alias("c"))
@@ -37,48 +44,38 @@ def balanced(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows.join(F.broadcast(weights), "y"))
 
 
-def fold_scores(rows: DataFrame, estimator, score, fold: int = 0) -> DataFrame:
-    model = estimator.fit(rows.where(F.col("fold") != fold))
-    return model.transform(rows.where(F.col("fold") == fold)).select("doc_id", "lang", "y", score.alias("score"))
+def fold_scores(rows: DataFrame, estimator, score, folds: int = 5) -> DataFrame:
+    """Every row scored once, by the model fitted on the other folds."""
+    out = None
+    for fold in range(folds):
+        part = estimator.fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold)).select("doc_id", "lang", "y", score.alias("score"))
+        out = part if out is None else out.union(part)
+    return out
 
 
-def _model_query(make, score):
-    def run(spark, sf_dir):
-        rows = balanced(features(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
-        return fold_scores(rows, make(), score())
+def platt_scores(rows: DataFrame, estimator, folds: int = 5) -> DataFrame:
+    """Out-of-fold margins turned into probabilities by a logistic curve that is fitted on the other folds' margins."""
+    margins = held(rows.select("doc_id", "fold").join(fold_scores(rows, estimator, _second("rawPrediction"), folds), "doc_id"), "margins")
+    curve = VectorAssembler(inputCols=["score"], outputCol="x").transform(margins.withColumnRenamed("score", "margin").withColumnRenamed("margin", "score"))
+    return fold_scores(curve, LogisticRegression(featuresCol="x", labelCol="y", regParam=1e-6), _second("probability"), folds)
 
-    return run
 
+def _rows(spark, sf_dir) -> DataFrame:
+    return held(balanced(features(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))), "features")
 
-def _second(col: str):
-    from pyspark.ml.functions import vector_to_array
-
-    return lambda: F.element_at(vector_to_array(col), 2)
 
+def _model_query(make, column="probability"):
+    return lambda spark, sf_dir: fold_scores(_rows(spark, sf_dir), make(), _second(column))
 
-def group_auc(y: np.ndarray, s: np.ndarray) -> float | None:
-    n1 = int(y.sum())
-    if n1 in (0, len(y)):
-        return None
-    r = pd.Series(s).rank().to_numpy()
-    return float((r[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1)))
 
+def _second(col: str):
+    """The second entry of a vector column."""
+    from pyspark.ml.functions import vector_to_array
 
-def bootstrap_auc_ci(rows: DataFrame, draws: int = 200, seed: int = 11) -> DataFrame:
-    """Percentile interval of the AUC per silo over resamples; resamples of one class are skipped."""
+    return F.element_at(vector_to_array(col), 2)
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("paper_id")
-        rng, y, s, out = np.random.default_rng(seed), g.y.to_numpy(), g.s.to_numpy(), []
-        for _ in range(draws):
-            i = rng.integers(0, len(g), len(g))
-            a = group_auc(y[i], s[i])
-            if a is not None:
-                out.append(a)
-        lo, hi = np.percentile(out, [2.5, 97.5]) if out else (None, None)
-        return pd.DataFrame({"silo": [g.silo.iloc[0]], "auc": [group_auc(y, s)], "lo": [lo], "hi": [hi]})
 
-    return rows.groupBy("silo").applyInPandas(one, "silo string, auc double, lo double, hi double")
+group_auc = auc
 
 
 def stratified_group_folds(rows: DataFrame, folds: int = 5, seed: int = 3) -> DataFrame:
@@ -98,19 +95,28 @@ def stratified_group_folds(rows: DataFrame, folds: int = 5, seed: int = 3) -> Da
     return rows.sparkSession.createDataFrame(pd.DataFrame({"group": counts["group"].to_numpy(), "fold": fold}))
 
 
-def kcenter_greedy(vectors: DataFrame, k: int = 8) -> DataFrame:
-    """Farthest-point selection: k rounds, each one aggregate over all vectors."""
+def kcenter_greedy(vectors: DataFrame, existing: DataFrame, k: int = 8) -> DataFrame:
+    """``k`` rounds of farthest-point selection among ``vectors``, away from ``existing`` and from what is chosen: unit vectors, cosine distance.
+
+    Each round is one aggregate over all vectors; zero vectors are not eligible, ties go to the smallest id. ``existing`` is a bounded set.
+    """
     spark = vectors.sparkSession
-    first = vectors.orderBy("vec_id").limit(1).collect()
-    chosen = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in first]
-    while chosen and len(chosen) < k:
-        far = None
-        for _, c in chosen:
-            d = F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, c)), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-            far = d if far is None else F.least(far, d)
-        best = vectors.select("vec_id", "embedding", far.alias("d")).agg(F.max_by(F.struct("vec_id", "embedding"), F.struct("d", -F.col("vec_id"))).alias("b")).first()["b"]
-        chosen.append((best["vec_id"], [float(x) for x in best["embedding"]]))
-    return spark.createDataFrame([(i, v) for i, (v, _) in enumerate(chosen)], "step int, vec_id long")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    unit = lambda df: df.withColumn("nrm", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).where("nrm > 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("nrm")).alias("u"))
+    known = [list(r["u"]) for r in unit(existing).orderBy("vec_id").collect()]
+    pool, out = held(unit(vectors), "pool"), []
+    near = F.lit(-2.0)
+    rows = pool.withColumn("near", near)
+    for c in known:
+        rows = rows.withColumn("near", F.greatest("near", dot(F.col("u"), F.array(*map(F.lit, c)))))
+    rows = held(rows, "near")
+    for _ in range(k):
+        best = rows.agg(F.max_by(F.struct("vec_id", "u", "near"), F.struct(-F.round("near", 9), -F.col("vec_id"))).alias("b")).first()["b"]
+        if best is None:
+            break
+        out.append((len(out), best["vec_id"], round(1 - best["near"], 6) if known or out else None))
+        rows = rows.where(F.col("vec_id") != best["vec_id"]).withColumn("near", F.greatest("near", dot(F.col("u"), F.array(*map(F.lit, list(best["u"]))))))
+    return spark.createDataFrame(out, "step int, vec_id long, distance double")
 
 
 def pca_projection(vectors: DataFrame, k: int = 2) -> DataFrame:
@@ -127,50 +133,6 @@ def pca_projection(vectors: DataFrame, k: int = 2) -> DataFrame:
     return model.transform(rows).select("vec_id", *[(p[j] * sign[j]).alias(f"pc{j + 1}") for j in range(k)])
 
 
-def balanced_objects(text: str) -> list[str]:
-    """Substrings that open and close a brace, outermost first, braces inside of JSON strings apart."""
-    out, depth, begin, quoted, skip = [], 0, 0, False, False
-    for i, c in enumerate(text):
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"' and depth:
-            quoted = True
-        elif c == "{":
-            begin, depth = (i if not depth else begin), depth + 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                out.append(text[begin:i + 1])
-    return out
-
-
-def extract_json(text: str | None) -> str | None:
-    """The answer object of a response: the whole text, else the last object with a verdict key, else the first object."""
-    body = re.sub(r"^\s*```(?:json)?|```\s*$", "", text or "").strip()
-    good = []
-    for part in [body, *balanced_objects(body)]:
-        try:
-            value = json.loads(part)
-        except ValueError:
-            continue
-        if isinstance(value, dict):
-            good.append(value)
-            if part is body:
-                break
-    named = [v for v in good if v.keys() & {"relevance", "label"}]
-    pick = named[-1] if named else good[0] if good else None
-    return None if pick is None else json.dumps(pick, sort_keys=True)
-
-
-def extract_json_query(spark, sf_dir):
-    udf = F.pandas_udf(lambda s: s.map(extract_json), "string")
-    talk = _read(spark, sf_dir, "conversations")
-    made = F.concat("text", F.lit(' {"relevance": '), F.col("turn").cast("string"), F.lit(', "label": "relevant"} end'))
-    return talk.select("conv_id", "turn", udf(made).alias("answer"))
-
-
 def streaming_label_counts(spark, sf_dir):
     """An extension without a counterpart: hourly event counts as a stream with a watermark, run until its input is used up."""
     from ..streaming.counts import hourly_counts
@@ -178,21 +140,14 @@ def streaming_label_counts(spark, sf_dir):
     return hourly_counts(spark, f"{sf_dir}/events.parquet")
 
 
-def _scored(spark, sf_dir):
-    from ..plans.catalogue import CATALOGUE
-
-    return CATALOGUE.query("export_slim")(spark, sf_dir)
-
-
 QUERIES = {
-    "logreg_balanced": _model_query(lambda: LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=0.01, standardization=True), _second("probability")),
-    "random_forest": _model_query(lambda: RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=20, seed=1), _second("probability")),
-    "gbt": _model_query(lambda: GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=10, maxDepth=4, seed=1), _second("probability")),
-    "svm_platt": _model_query(lambda: LinearSVC(featuresCol="x", labelCol="y", weightCol="weight", maxIter=30), _second("rawPrediction")),
-    "bootstrap_auc_ci": lambda spark, d: bootstrap_auc_ci(_scored(spark, d)),
+    "prepare_dataset": lambda spark, d: prepare_dataset(_read(spark, d, "documents"), _read(spark, d, "labels")),
+    "logreg_balanced": _model_query(lambda: LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=0.01, standardization=True)),
+    "random_forest": _model_query(lambda: RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=20, seed=1)),
+    "gbt": _model_query(lambda: GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=50, maxDepth=4, seed=1)),
+    "svm_platt": lambda spark, d: platt_scores(_rows(spark, d), LinearSVC(featuresCol="x", labelCol="y", weightCol="weight", maxIter=30)),
     "stratified_group_kfold": lambda spark, d: stratified_group_folds(_read(spark, d, "labels").join(_read(spark, d, "documents"), "doc_id").select(F.col("source").alias("group"), (1 - F.col("quality")).alias("y"))),
-    "kcenter_greedy": lambda spark, d: kcenter_greedy(_read(spark, d, "embeddings")),
+    "kcenter_greedy": lambda spark, d: kcenter_greedy(_read(spark, d, "embeddings").where("label <> 0"), _read(spark, d, "embeddings").where("label = 0 and vec_id < 100")),
     "pca_2d": lambda spark, d: pca_projection(_read(spark, d, "embeddings")),
-    "extract_json": extract_json_query,
     "streaming_label_counts": streaming_label_counts,
 }

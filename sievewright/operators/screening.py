@@ -8,28 +8,11 @@ from .inputs import NORM, TOKENS
 #: Jaccard similarity from which two titles count as one.
 TITLE_BOUND = "0.55e0"
 R = lambda x, n=6: f"round(CAST({x} AS DOUBLE), {n})"
-#: Stand-ins for lists that a deployment sets.
-GENERIC, JUDGEMENT, METRIC = "('the', 'of', 'and', 'to', 'a', 'in')", "(^| )(good|better|the|this)( |$)", "[0-9]+"
-SPANS = lambda d: f"SELECT conv_id, turn, {d.each(d.split('text', '. '))} AS span FROM conversations" if d.name == "duckdb" else "SELECT conv_id, turn, explode(split(text, '[.] ')) AS span FROM conversations"
-KIND = lambda d: f"CASE WHEN {d.like('span', '>=|<=|at least|at most')} THEN 'comparator' WHEN {d.like('span', METRIC)} AND NOT {d.like('lower(span)', JUDGEMENT)} THEN 'metric' WHEN {d.size(d.split('span', ' '))} <= 8 THEN 'bare' WHEN {d.like('lower(span)', JUDGEMENT)} THEN 'judgement' ELSE 'none' END"
-RESP = "SELECT conv_id, turn, text, CAST((conv_id * 7 + turn) % 120 AS INT) AS relevance, CASE WHEN turn % 3 = 0 THEN 'Relevant' WHEN turn % 3 = 1 THEN 'not relevant' ELSE 'unclear' END AS label FROM conversations"
 
 C.add(
-    normalise_spec=lambda d: f"SELECT silo, coalesce(obj, '') AS objective, {d.join('must', ';')} AS must, {d.join('nice', ';')} AS nice, {d.join('exclude', ';')} AS exclude FROM briefs",
-    generic_share=lambda d: f"SELECT silo, {R('sum(CASE WHEN w IN ' + GENERIC + ' THEN 1e0 ELSE 0e0 END) / count(*)')} AS share FROM (SELECT silo, {d.each(TOKENS(d, 'obj'))} AS w FROM briefs) q GROUP BY silo",
-    instruction_shaped=lambda d: f"SELECT silo, {d.like('obj', '^(find|select|list|the) ')} AND {d.count_of('obj', '(the|of|and) ')} >= 2 AS shaped FROM briefs",
-    exclude_asserted=lambda d: f"SELECT silo, obj LIKE concat('%', {d.at('exclude', 1)}, '%') AND NOT obj LIKE concat('%not ', {d.at('exclude', 1)}, '%') AS asserted FROM briefs WHERE {d.size('exclude')} > 0",
-    lint=lambda d: f"SELECT silo, 'must_thin' AS finding FROM briefs WHERE {d.size('must')} < 4 UNION ALL SELECT silo, 'nice_single' FROM briefs WHERE {d.size('nice')} = 1 UNION ALL SELECT silo, 'nice_empty' FROM briefs WHERE {d.size('nice')} = 0 UNION ALL SELECT silo, 'objective_missing' FROM briefs WHERE trim(coalesce(obj, '')) = '' UNION ALL SELECT silo, 'exclude_in_must' FROM briefs WHERE {d.both('must', 'exclude')} > 0 UNION ALL SELECT silo, 'must_single' FROM briefs WHERE {d.size('must')} = 1",
-    escalation=lambda d: f"WITH f AS (SELECT silo, 1 AS x FROM briefs WHERE {d.size('must')} < 4 UNION ALL SELECT silo, 1 FROM briefs WHERE {d.size('nice')} < 4 UNION ALL SELECT silo, 1 FROM briefs WHERE {d.both('must', 'nice')} > 0) SELECT silo, count(*) AS findings, count(*) >= 2 AS compound FROM f GROUP BY silo",
-    spec_variants=lambda d: f"SELECT silo, 'full' AS variant, concat(obj, ' ', {d.join('must', ' ')}) AS body FROM briefs UNION ALL SELECT silo, 'no_objective', {d.join('must', ' ')} FROM briefs UNION ALL SELECT silo, 'no_must', obj FROM briefs UNION ALL SELECT silo, 'must_only_one', concat(obj, ' ', {d.at('must', 1)}) FROM briefs UNION ALL SELECT silo, 'fluff', concat(obj, ' state of the art ', {d.join('must', ' ')}) FROM briefs UNION ALL SELECT silo, 'conflicting', concat(obj, ' ', {d.join('must', ' ')}, ' not ', {d.at('must', 1)}) FROM briefs",
     near_duplicate_term=lambda d: f"WITH t AS (SELECT silo, {d.each('must')} AS t FROM briefs) SELECT a.silo, a.t AS a, b.t AS b FROM t a JOIN t b ON a.silo = b.silo AND a.t <> b.t AND contains(a.t, b.t)",
     arm_diff=lambda d: f"SELECT a.silo, 'obj' AS field FROM briefs a JOIN briefs b ON a.item_id = b.item_id + 1 WHERE a.obj <> b.obj UNION ALL SELECT a.silo, 'must' FROM briefs a JOIN briefs b ON a.item_id = b.item_id + 1 WHERE {d.join('a.must', '|')} <> {d.join('b.must', '|')}",
     text_sha=lambda d: f"SELECT doc_id, substring({d.sha('text')}, 1, 16) AS sha FROM documents",
-    span_extract=lambda d: f"WITH s AS ({SPANS(d)}) SELECT conv_id, turn, count(*) AS spans FROM s GROUP BY conv_id, turn",
-    classify_span=lambda d: f"WITH s AS ({SPANS(d)}) SELECT {KIND(d)} AS kind, count(*) AS n FROM s GROUP BY 1",
-    checkability=lambda d: f"WITH s AS ({SPANS(d)}), k AS (SELECT conv_id, {KIND(d)} AS kind FROM s) SELECT conv_id, {R('sum(CASE WHEN kind IN (' + chr(39) + 'comparator' + chr(39) + ', ' + chr(39) + 'metric' + chr(39) + ') THEN 1e0 ELSE 0e0 END) / count(*)')} AS checkable FROM k WHERE kind <> 'none' GROUP BY conv_id",
-    evidence_availability=lambda d: f"SELECT silo, {R('avg(CASE WHEN ' + d.like('abstract', '[0-9]') + ' THEN 1e0 ELSE 0e0 END)')} AS share FROM papers WHERE abstract <> '' GROUP BY silo",
-    spec_measures=lambda d: f"SELECT silo, {d.size(d.split('obj', ' '))} AS words, {d.size('must')} + {d.size('nice')} AS terms, length(text) AS chars FROM briefs",
     brief_hash_distinct=lambda d: f"SELECT silo, substring({d.sha('obj')}, 1, 8) AS full_sha, substring({d.sha('prob')}, 1, 8) AS other_sha, obj <> prob AS distinct_render FROM briefs",
     brief_swap=lambda d: "SELECT a.silo, coalesce(b.obj, '') AS obj FROM briefs a LEFT JOIN briefs b ON b.item_id = a.item_id + 1",
     brief_catalogue_checks=lambda d: "SELECT silo, count(*) AS n FROM briefs GROUP BY silo HAVING count(*) = 1",
@@ -37,12 +20,12 @@ C.add(
     decompose_arm=lambda d: "SELECT a.silo, b.obj AS obj, a.prob AS prob FROM briefs a JOIN briefs b ON b.item_id = a.item_id + 1",
     bar_verdict=lambda d: "SELECT silo, CASE WHEN avg(s) >= 0.5 THEN 'pass' ELSE 'fail' END AS verdict FROM scored GROUP BY silo",
     build_prompt=lambda d: f"SELECT p.paper_id, concat('Brief: ', b.obj, chr(10), 'Must: ', {d.join('b.must', ', ')}, chr(10), 'Paper: ', p.title) AS prompt FROM papers p JOIN briefs b ON p.silo = b.silo",
-    parse_screening=lambda d: f"WITH r AS ({RESP}) SELECT conv_id, turn, least(1e0, greatest(0e0, relevance / 1e2)) AS score, CASE WHEN lower(label) = 'relevant' THEN 1 WHEN lower(label) = 'not relevant' THEN 0 END AS pred FROM r",
-    parse_llm_response_legacy=lambda d: f"WITH r AS ({RESP}) SELECT conv_id, turn, {R('CASE WHEN lower(label) = ' + chr(39) + 'not relevant' + chr(39) + ' THEN 1 - least(1e0, relevance / 1e2) WHEN lower(label) = ' + chr(39) + 'relevant' + chr(39) + ' THEN least(1e0, relevance / 1e2) ELSE 0.5e0 END')} AS proba FROM r",
+
+
     cache_key=lambda d: f"SELECT conv_id, turn, {d.sha(chr(99) + 'oncat(role, chr(31), text)')} AS k FROM conversations",
     dry_run_cost=lambda d: f"SELECT count(*) AS calls, count(DISTINCT text) AS misses, {R(d.pct('length(text)', 0.5), 2)} AS unit_cost FROM conversations",
-    own_arm_compliance=lambda d: f"WITH r AS ({RESP}) SELECT turn % 4 AS cell, {R('avg(CASE WHEN label <> ' + chr(39) + 'unclear' + chr(39) + ' THEN 1e0 ELSE 0e0 END)')} AS parse_rate, {R(d.pct('length(text)', 0.5), 2)} AS p50 FROM r GROUP BY turn % 4",
-    llm_cell_metrics=lambda d: f"WITH r AS ({RESP}) SELECT label, count(*) AS n, {R('avg(relevance)')} AS mean FROM r GROUP BY label",
+
+
     phrase_key=lambda d: f"WITH df AS (SELECT silo, term, count(DISTINCT paper_id) AS df FROM terms GROUP BY silo, term), q AS (SELECT silo, {d.each('must')} AS term FROM briefs) SELECT silo, term FROM (SELECT q.silo, q.term, row_number() OVER (PARTITION BY q.silo ORDER BY df.df, q.term) AS k FROM q JOIN df ON df.silo = q.silo AND df.term = q.term) z WHERE k = 1",
     phrase_strong=lambda d: f"SELECT p.paper_id, {d.has('t.ts', d.at('b.must', 1))} OR {d.both('t.ts', 'b.must')} = {d.size('b.must')} AS strong FROM papers p JOIN paper_tokens t ON t.paper_id = p.paper_id JOIN briefs b ON b.silo = p.silo",
     autocomplete=lambda d: "SELECT lang, term FROM (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY term) AS k FROM (SELECT DISTINCT p.lang, t.term FROM terms t JOIN papers p ON p.paper_id = t.paper_id WHERE contains(t.term, 'th')) q) z WHERE k <= 5",

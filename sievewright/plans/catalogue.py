@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -55,12 +56,34 @@ class Catalogue:
 
     def run(self, spark: SparkSession, name: str, tables: Callable[[str], DataFrame]) -> DataFrame:
         """The plan over DataFrames: ``tables`` gives each base table (or a stand-in with its columns)."""
-        text = self.sql(name)
-        words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
+        return self._over(spark, self.sql(name), tables)
+
+    def sql_views(self, *names: str, dialect=DuckSql) -> str:
+        """The named views, and those they read, as the inside of a WITH clause."""
+        used, text = [], " ".join(names)
+        for view in reversed(list(self.views)):
+            words = {w.strip("(),;") for w in (text + " " + " ".join(t for _, t in used)).replace("(", " ( ").split()}
+            if view in words:
+                used.append((view, self.views[view](dialect)))
+        return ", ".join(f"{n} AS ({t})" for n, t in reversed(used))
+
+    def view_frame(self, spark: SparkSession, name: str, tables: Callable[[str], DataFrame]) -> DataFrame:
+        """One of the shared views as a DataFrame over the given tables."""
+        return self._over(spark, f"WITH {self.sql_views(name, dialect=SparkSql)} SELECT * FROM {name}", tables)
+
+    def run_frame(self, spark: SparkSession, text: str, tables: Callable[[str], DataFrame]) -> DataFrame:
+        """SQL over the shared views, with the given tables below them."""
+        views = self.sql_views(text, dialect=SparkSql)
+        return self._over(spark, f"WITH {views} {text}" if views else text, tables)
+
+    def _over(self, spark: SparkSession, text: str, tables: Callable[[str], DataFrame]) -> DataFrame:
+        """``text`` over frames passed as arguments, so that no view of the session is touched."""
+        words = {w.strip("(),;") for w in text.replace("(", " ( ").replace(",", " , ").split()}
         given = {t: tables(t) for t in TABLES if t in words}
-        for t, df in given.items():
-            df.createOrReplaceTempView(t)
-        return spark.sql(text)
+        text = text.replace("{", "{{").replace("}", "}}")
+        for t in given:
+            text = re.sub(rf"(?i)\b(from|join)(\s+){t}\b", rf"\1\2{{{t}}}", text)
+        return spark.sql(text, **given)
 
     def query(self, name: str) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: self.run(spark, name, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from .operators import inputs, integrity, lexical, metrics, modelling, pairs, plain, ranking, relational, screening  # noqa: F401
+from .operators import embedding, experiments, inputs, integrity, lexblock, lexical, metrics, modelling, pairs, plain, ranking, relational, responses, screening, specs  # noqa: F401
 from .plans.catalogue import CATALOGUE
 
-QUERIES = {name: CATALOGUE.query(name) for name in CATALOGUE.plans} | modelling.QUERIES | pairs.QUERIES
+#: Modules whose queries are DataFrame code; a plan of the same name is then what they are held against.
+MODULES = (modelling, pairs, lexblock, embedding, experiments, responses, specs)
+QUERIES = {name: CATALOGUE.query(name) for name in CATALOGUE.plans}
 SQL = {name: CATALOGUE.oracle(name) for name in CATALOGUE.plans}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    SQL |= getattr(module, "oracles", dict)()
