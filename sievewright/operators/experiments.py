@@ -369,7 +369,7 @@ def bootstrap_omnibus(rows: DataFrame, draws: int = 400) -> DataFrame:
         return {"n": float(counts[0].sum()), "aucs": counted_auc(f.s.to_numpy(), f.y.to_numpy(), counts).tolist()}
 
     got = resampled(rows, one, ["s", "y"], "silo string, n double, aucs array<double>", draws).orderBy("silo").toPandas()  # a row a silo
-    a, n = np.array(got.aucs.tolist()), got.n.to_numpy()
+    a, n = np.array(got.aucs.map(list).tolist(), float).reshape(len(got), -1), got.n.to_numpy()
     ok = ~np.isnan(a[:, 0])
     a, n = a[ok], n[ok]
     spread = lambda v: (n[:, None] * (v - np.average(v, axis=0, weights=n)) ** 2).sum(0)

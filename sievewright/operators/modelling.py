@@ -78,23 +78,6 @@ def _second(col: str):
 group_auc = auc
 
 
-def stratified_group_folds(rows: DataFrame, folds: int = 5, seed: int = 3) -> DataFrame:
-    """(group, fold): groups in order of their class counts' spread, each to the fold that keeps class shares most even.
-
-    Group and class counts come from one aggregate; the greedy step runs over groups on the driver.
-    """
-    counts = rows.groupBy("group").pivot("y", [0, 1]).count().na.fill(0).toPandas().sort_values("group")
-    table = counts[["0", "1"]].to_numpy(float)
-    order = np.random.default_rng(seed).permutation(len(table))
-    order = order[np.argsort(-table[order].std(axis=1), kind="stable")]
-    held, total, fold = np.zeros((folds, 2)), np.maximum(table.sum(axis=0), 1), np.zeros(len(table), int)
-    for g in order:
-        best = min(range(folds), key=lambda f: (((held + table[g] * (np.arange(folds) == f)[:, None]) / total).std(axis=0).mean(), held[f].sum()))
-        fold[g] = best
-        held[best] += table[g]
-    return rows.sparkSession.createDataFrame(pd.DataFrame({"group": counts["group"].to_numpy(), "fold": fold}))
-
-
 def kcenter_greedy(vectors: DataFrame, existing: DataFrame, k: int = 8) -> DataFrame:
     """``k`` rounds of farthest-point selection among ``vectors``, away from ``existing`` and from what is chosen: unit vectors, cosine distance.
 
@@ -146,7 +129,6 @@ QUERIES = {
     "random_forest": _model_query(lambda: RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=20, seed=1)),
     "gbt": _model_query(lambda: GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=50, maxDepth=4, seed=1)),
     "svm_platt": lambda spark, d: platt_scores(_rows(spark, d), LinearSVC(featuresCol="x", labelCol="y", weightCol="weight", maxIter=30)),
-    "stratified_group_kfold": lambda spark, d: stratified_group_folds(_read(spark, d, "labels").join(_read(spark, d, "documents"), "doc_id").select(F.col("source").alias("group"), (1 - F.col("quality")).alias("y"))),
     "kcenter_greedy": lambda spark, d: kcenter_greedy(_read(spark, d, "embeddings").where("label <> 0"), _read(spark, d, "embeddings").where("label = 0 and vec_id < 100")),
     "pca_2d": lambda spark, d: pca_projection(_read(spark, d, "embeddings")),
     "streaming_label_counts": streaming_label_counts,

@@ -18,12 +18,12 @@ C.plain(
     corr_pearson_spearman=lambda d: f"WITH x AS (SELECT quality AS a, n_chars AS b FROM documents d JOIN labels l ON d.doc_id = l.doc_id), r AS (SELECT a, b, {MEAN_RANK('a')} AS ra, {MEAN_RANK('b')} AS rb FROM x) SELECT {R('corr(a, b)')} AS pearson, {R('corr(ra, rb)')} AS spearman FROM r",
     conflict_dup=lambda d: f"WITH t AS ({TITLES(d)}) SELECT a.paper_id AS a, b.paper_id AS b, a.copies AS copies_a, b.copies AS copies_b FROM t a JOIN t b ON a.silo = b.silo AND a.y = 1 AND b.y = 0 WHERE len(list_intersect(a.ts, b.ts)) > 0 AND len(list_intersect(a.ts, b.ts)) * 1.0 / len(list_distinct(list_concat(a.ts, b.ts))) >= 0.55",
     # the rank sum as a count of ordered pairs, ties half
-    roc_auc=lambda d: f"SELECT p.silo, {R('avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END)')} AS auc FROM scored p JOIN scored n ON p.silo = n.silo AND p.y = 1 AND n.y = 0 GROUP BY p.silo",
-    cold_start=lambda d: f"SELECT p.silo, {R('avg(CASE WHEN p.s2 > n.s2 THEN 1.0 WHEN p.s2 = n.s2 THEN 0.5 ELSE 0.0 END)')} AS auc FROM scored p JOIN scored n ON p.silo = n.silo AND p.y = 1 AND n.y = 0 GROUP BY p.silo",
-    mann_whitney_u=lambda d: f"SELECT p.silo, {R('sum(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END)', 4)} AS u, {R('1 - 2 * avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END)')} AS rank_biserial FROM scored p JOIN scored n ON p.silo = n.silo AND p.y = 1 AND n.y = 0 GROUP BY p.silo",
+    roc_auc=lambda d: f"SELECT k.silo, z.auc FROM (SELECT DISTINCT silo FROM scored) k LEFT JOIN (SELECT p.silo, {R('avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END)')} AS auc FROM scored p JOIN scored n ON p.silo = n.silo AND p.y = 1 AND n.y = 0 GROUP BY p.silo) z ON z.silo = k.silo",
+    cold_start=lambda d: f"SELECT k.silo, z.auc FROM (SELECT DISTINCT silo FROM scored) k LEFT JOIN (SELECT p.silo, {R('avg(CASE WHEN p.s2 > n.s2 THEN 1.0 WHEN p.s2 = n.s2 THEN 0.5 ELSE 0.0 END)')} AS auc FROM scored p JOIN scored n ON p.silo = n.silo AND p.y = 1 AND n.y = 0 GROUP BY p.silo) z ON z.silo = k.silo",
+    mann_whitney_u=lambda d: f"WITH z AS (SELECT silo, n1 * 1e0 AS n1, (n - n1) * 1e0 AS n0, sqrt(n1 * 1e0 * (n - n1) / 12 * (n + 1 - t / (n * 1e0 * (n - 1)))) AS sd FROM (SELECT silo, sum(c) AS n, sum(p) AS n1, sum(c::DOUBLE * c * c - c) AS t FROM (SELECT silo, s, count(*) AS c, sum(y) AS p FROM scored GROUP BY ALL) GROUP BY silo)) SELECT p.silo, {R('abs(sum(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END) - any_value(z.n1 * z.n0) / 2) / any_value(z.sd)', 5)} AS z, {R('sum(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END)', 4)} AS u, {R('1 - 2 * avg(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END)')} AS rank_biserial FROM scored p JOIN scored n ON p.silo = n.silo AND p.y = 1 AND n.y = 0 JOIN z ON z.silo = p.silo GROUP BY p.silo",
     # pair by pair in place of the closed form over sums of unit vectors
     pairwise_cosine_mean=lambda d: f"SELECT a.label, {R('avg(' + d.dot('a.embedding', 'b.embedding') + ' / (a.nrm * b.nrm))')} AS mean_cosine FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.nrm > 0 AND b.nrm > 0 GROUP BY a.label",
     silhouette_cosine=lambda d: f"WITH p AS (SELECT a.vec_id, a.label, b.label AS other, avg(1 - {d.dot('a.embedding', 'b.embedding')} / (a.nrm * b.nrm)) AS dist FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.nrm > 0 AND b.nrm > 0 GROUP BY a.vec_id, a.label, b.label), q AS (SELECT vec_id, min(CASE WHEN label = other THEN dist END) AS a, min(CASE WHEN label <> other THEN dist END) AS b FROM p GROUP BY vec_id) SELECT {R('avg((b - a) / greatest(a, b))')} AS silhouette FROM q",
     pct_rank=lambda d: f"SELECT a.paper_id, {R('(count(*) FILTER (b.s < a.s) + (count(*) FILTER (b.s = a.s) + 1) / 2.0) / count(*)')} AS pr FROM scored a JOIN scored b ON a.silo = b.silo GROUP BY a.paper_id",
-    average_precision=lambda d: f"WITH t AS (SELECT a.silo, a.paper_id, count(*) AS above, sum(b.y) AS hits FROM scored a JOIN scored b ON a.silo = b.silo AND b.s >= a.s WHERE a.y = 1 GROUP BY a.silo, a.paper_id) SELECT silo, {R('avg(hits * 1.0 / above)')} AS ap FROM t GROUP BY silo",
+    average_precision=lambda d: f"SELECT k.silo, z.ap FROM (SELECT DISTINCT silo FROM scored) k LEFT JOIN (WITH t AS (SELECT a.silo, a.paper_id, count(*) AS above, sum(b.y) AS hits FROM scored a JOIN scored b ON a.silo = b.silo AND b.s >= a.s WHERE a.y = 1 GROUP BY a.silo, a.paper_id) SELECT silo, {R('avg(hits * 1.0 / above)')} AS ap FROM t GROUP BY silo) z ON z.silo = k.silo",
 )

@@ -54,7 +54,7 @@ def with_answer(rows: DataFrame, text: str = "raw", out: str = "answer") -> Data
     """``rows`` with the answer as JSON: clean responses are parsed on the JVM, only the others go to Python."""
     clean = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
     parsed = F.try_parse_json(clean)
-    whole = clean.startswith("{") & parsed.isNotNull()
+    whole = clean.rlike(r"^\{[^{}]*\}$") & parsed.isNotNull()  # one flat object and nothing else
     rest = F.pandas_udf(answers, "string")(F.when(~F.coalesce(whole, F.lit(False)), F.col(text)))
     return rows.withColumn(out, F.when(F.coalesce(whole, F.lit(False)), F.to_json(parsed)).otherwise(rest))
 
@@ -65,7 +65,7 @@ def parse_screening(rows: DataFrame) -> DataFrame:
     relevance = F.try_variant_get(value, "$.relevance", "double")
     label = F.lower(F.trim(F.try_variant_get(value, "$.label", "string")))
     verdict = F.create_map(*[F.lit(x) for kv in VERDICTS.items() for x in kv])
-    score = F.when(~F.isnan(relevance), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), relevance)) / 100, 6))
+    score = F.when(relevance.isNotNull() & ~F.isnan(relevance), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), relevance)) / 100, 6))
     return rows.select("*", score.alias("score"), F.try_element_at(verdict, label).alias("pred")).withColumn("parsed", F.col("score").isNotNull() | F.col("pred").isNotNull())
 
 
@@ -74,7 +74,7 @@ def parse_legacy(rows: DataFrame) -> DataFrame:
     value = F.try_parse_json("answer")
     yes = F.try_variant_get(value, "$.relevant", "boolean")
     sure = F.try_variant_get(value, "$.confidence", "double")
-    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), sure))
+    sure = F.when(sure.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), sure)))
     return rows.select("*", F.round(F.when(yes.isNull() | sure.isNull(), 0.5).when(yes, sure).otherwise(1 - sure), 6).alias("proba"), F.coalesce(yes, F.lit(False)).cast("int").alias("pred"))
 
 
@@ -275,7 +275,7 @@ QUERIES = {
 
 _KEYS = "SELECT conv_id, turn, raw, conv_id % 9 AS kind, (conv_id * 7 + turn) % 140 AS r, CASE turn % 3 WHEN 0 THEN 'relevant' WHEN 1 THEN 'not relevant' ELSE 'unclear' END AS l FROM responses"
 _FORM = f"""SELECT *, CASE WHEN kind IN (0, 1, 2, 3) THEN r::DOUBLE WHEN kind = 8 THEN -r::DOUBLE END AS relevance, CASE WHEN kind IN (0, 1, 2, 7, 8) THEN l END AS label, kind IN (0, 1, 2, 3, 7, 8) AS found FROM ({_KEYS})"""
-_SCORED = f"SELECT *, round(least(100, greatest(0, relevance)) / 100, 6) AS score, CASE label WHEN 'relevant' THEN 1 WHEN 'not relevant' THEN 0 END AS pred FROM ({_FORM})"
+_SCORED = f"SELECT *, CASE WHEN relevance IS NOT NULL THEN round(least(100, greatest(0, relevance)) / 100, 6) END AS score, CASE label WHEN 'relevant' THEN 1 WHEN 'not relevant' THEN 0 END AS pred FROM ({_FORM})"
 
 
 def oracles() -> dict[str, str]:
