@@ -51,7 +51,7 @@ C.add(
     sharing_matrix=lambda d: f"WITH i AS (SELECT DISTINCT silo, {TITLE(d)} AS k FROM papers WHERE {TITLE(d)} <> '') SELECT a.silo AS a, b.silo AS b, count(*) AS shared FROM i a JOIN i b ON a.k = b.k AND a.silo < b.silo GROUP BY a.silo, b.silo",
     title_leak_check=lambda d: f"WITH t AS (SELECT DISTINCT lang, silo, {TITLE(d)} AS k FROM papers) SELECT a.silo, count(DISTINCT a.k) AS leaked FROM t a JOIN t b ON a.k = b.k AND a.silo <> b.silo GROUP BY a.silo",
     # equal titles first become one row; a row with a = b tells of its copies
-    fuzzy_title_pairs=lambda d: f"WITH t AS (SELECT lang, k, min(paper_id) AS paper_id, count(*) AS copies FROM (SELECT paper_id, lang, substring({d.sub(TITLE(d), '[^a-z0-9 ]', '')}, 1, 40) AS k FROM papers) q GROUP BY lang, k), p AS (SELECT a.paper_id AS a, b.paper_id AS b, a.copies AS copies_a, b.copies AS copies_b, 1 - {d.edit('a.k', 'b.k')} * 1e0 / greatest(length(a.k), length(b.k), 1) AS sim FROM t a JOIN t b ON a.lang = b.lang AND substring(a.k, 1, 6) = substring(b.k, 1, 6) AND (a.paper_id < b.paper_id OR a.paper_id = b.paper_id AND a.copies > 1)) SELECT a, b, copies_a, copies_b, {R('sim', 4)} AS sim FROM p WHERE round(sim, 9) >= 0.85e0",
+    fuzzy_title_pairs=lambda d: f"WITH t AS (SELECT lang, k, min(paper_id) AS paper_id, count(*) AS copies FROM (SELECT paper_id, lang, {d.sub(TITLE(d), '[^a-z0-9 ]', '')} AS k FROM papers) q GROUP BY lang, k), p AS (SELECT a.paper_id AS a, b.paper_id AS b, a.copies AS copies_a, b.copies AS copies_b, 1 - {d.edit('a.k', 'b.k')} * 1e0 / greatest(length(a.k), length(b.k), 1) AS sim FROM t a JOIN t b ON a.lang = b.lang AND (a.paper_id < b.paper_id OR a.paper_id = b.paper_id AND a.copies > 1)) SELECT a, b, copies_a, copies_b, {R('sim', 4)} AS sim FROM p WHERE round(sim, 9) >= 0.85e0",
     first_author=lambda d: "SELECT paper_id, CASE WHEN trim(split_part(title, ',', 1)) = '' THEN concat('no_author_', CAST(paper_id AS VARCHAR(20))) ELSE lower(trim(split_part(title, ',', 1))) END AS first_author FROM papers",
     n_authors=lambda d: f"SELECT paper_id, CASE WHEN trim(title) <> '' THEN {d.size(d.split('title', ','))} END AS n_authors FROM papers",
     paper_age_velocity=lambda d: f"SELECT o_orderkey, greatest(0, 2000 - year(o_orderdate)) AS age, {R('o_totalprice / (greatest(0, 2000 - year(o_orderdate)) + 1)', 4)} AS velocity FROM orders",

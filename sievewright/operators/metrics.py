@@ -52,7 +52,7 @@ C.add(
     minmax_rescale=lambda d: f"SELECT paper_id, {R('CASE WHEN max(s) OVER (PARTITION BY silo) = min(s) OVER (PARTITION BY silo) THEN 0 ELSE (s - min(s) OVER (PARTITION BY silo)) / (max(s) OVER (PARTITION BY silo) - min(s) OVER (PARTITION BY silo)) END')} AS z FROM scored",
     calibration_bias=lambda d: f"WITH e AS (SELECT silo, {', '.join(d.pct('s', i / 8) + f' AS e{i}' for i in range(1, 8))} FROM scored GROUP BY silo), x AS (SELECT q.silo, {' + '.join(f'CASE WHEN s > e{i} THEN 1 ELSE 0 END' for i in range(1, 8))} AS bin, y, s FROM scored q JOIN e ON q.silo = e.silo), m AS (SELECT silo, bin, avg(y * 1e0) - avg(s) AS g FROM x GROUP BY silo, bin) SELECT silo, {R('avg(g)')} AS bias FROM m GROUP BY silo",
     brier=lambda d: f"SELECT silo, {R('avg((s - y) * (s - y))')} AS brier FROM scored GROUP BY silo",
-    branch_correlation=lambda d: f"SELECT silo, {R('corr(s, s2)')} AS corr FROM scored GROUP BY silo",
+    branch_correlation=lambda d: f"SELECT silo, {R('(covar_pop(s, s2) / nullif(sqrt(var_pop(s) * var_pop(s2)), 0))')} AS corr FROM scored GROUP BY silo",
     blend_weight_grid=lambda d: f"WITH g AS (SELECT x / 2e1 AS a FROM (SELECT {d.each(d.seq(0, 20))} AS x) q), r AS (SELECT silo, a, y, rank() OVER (PARTITION BY silo, a ORDER BY round(a * s + (1 - a) * s2, 9)) + (count(*) OVER (PARTITION BY silo, a, round(a * s + (1 - a) * s2, 9)) - 1) / 2e0 AS r FROM scored CROSS JOIN g) SELECT silo, a AS weight, {R(AUC)} AS auc FROM r GROUP BY silo, a",
     # the weight is chosen on one half of the rows and judged on the other
     blend_nested=lambda d: f"WITH g AS (SELECT x / 2e1 AS a FROM (SELECT {d.each(d.seq(0, 20))} AS x) q), z AS (SELECT silo, paper_id % 2 AS half, a, y, round(a * s + (1 - a) * s2, 9) AS v FROM scored CROSS JOIN g), r AS (SELECT silo, half, a, y, rank() OVER (PARTITION BY silo, half, a ORDER BY v) + (count(*) OVER (PARTITION BY silo, half, a, v) - 1) / 2e0 AS r FROM z), c AS (SELECT silo, half, a, {AUC} AS auc FROM r GROUP BY silo, half, a), k AS (SELECT silo, a, row_number() OVER (PARTITION BY silo ORDER BY round(auc, 9) DESC, a) AS k FROM c WHERE half = 0 AND auc IS NOT NULL) SELECT c.silo, c.a AS weight, {R('c.auc')} AS auc FROM c JOIN k ON k.silo = c.silo AND k.a = c.a WHERE k = 1 AND half = 1",
@@ -61,13 +61,13 @@ C.add(
     # pairs of silos are compared only where the silos differ at all: a spread of means beyond that of chance (Kruskal-Wallis against 2 (k - 1))
     bonferroni_pairwise=lambda d: f"WITH r AS (SELECT silo, {AVG('s', '1')} AS r FROM scored), g AS (SELECT silo, count(*) AS n, sum(r) AS sr FROM r GROUP BY silo), h AS (SELECT 12e0 / (sum(n) * (sum(n) + 1)) * sum(sr * sr / n) - 3 * (sum(n) + 1) AS h, count(*) AS k FROM g) SELECT a.silo AS a, b.silo AS b, {R('0.05e0 / nullif(k * (k - 1) / 2e0, 0)')} AS alpha, {R('h', 4)} AS omnibus, h > 2 * (k - 1) AS compared FROM g a JOIN g b ON a.silo < b.silo CROSS JOIN h",
     paired_t=lambda d: f"SELECT silo, {R('avg(s - s2) / (nullif(stddev_samp(s - s2), 0) / sqrt(count(*)))')} AS t FROM scored GROUP BY silo",
-    within_group_corr_mean=lambda d: f"WITH r AS (SELECT silo, n, r, rank() OVER (PARTITION BY silo ORDER BY s2) + (count(*) OVER (PARTITION BY silo, s2) - 1) / 2e0 AS r2 FROM ranked), c AS (SELECT silo, corr(r, r2) AS c FROM r GROUP BY silo HAVING count(*) >= 50) SELECT {R('avg(c)')} AS mean_rho FROM c",
+    within_group_corr_mean=lambda d: f"WITH r AS (SELECT silo, n, r, rank() OVER (PARTITION BY silo ORDER BY s2) + (count(*) OVER (PARTITION BY silo, s2) - 1) / 2e0 AS r2 FROM ranked), c AS (SELECT silo, (covar_pop(r, r2) / nullif(sqrt(var_pop(r) * var_pop(r2)), 0)) AS c FROM r GROUP BY silo HAVING count(*) >= 50) SELECT {R('avg(c)')} AS mean_rho FROM c",
     # Spearman of the residuals of two rank columns after a linear fit on the control's ranks
-    partial_rho=lambda d: f"WITH r AS (SELECT silo, paper_id, {AVG('s', 'silo')} AS a, {AVG('s2', 'silo')} AS b, {AVG('y', 'silo')} AS c FROM scored), f AS (SELECT silo, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, covar_pop(a, c) / nullif(var_pop(c), 0) AS ka, covar_pop(b, c) / nullif(var_pop(c), 0) AS kb FROM r GROUP BY silo), e AS (SELECT r.silo, round(a - ma - coalesce(ka, 0) * (c - mc), 7) AS ea, round(b - mb - coalesce(kb, 0) * (c - mc), 7) AS eb FROM r JOIN f ON r.silo = f.silo), q AS (SELECT silo, {AVG('ea', 'silo')} AS qa, {AVG('eb', 'silo')} AS qb FROM e) SELECT silo, round(CAST(corr(qa, qb) AS DOUBLE), 4) AS rho FROM q GROUP BY silo",
-    corr_with_label_topk=lambda d: f"WITH r AS (SELECT i, quality * 1e0 AS y, {AVG('u', 'i')} AS r FROM dims JOIN labels l ON l.doc_id = dims.vec_id), c AS (SELECT i, corr(r, y) AS c FROM r GROUP BY i) SELECT i, {R('c')} AS rho FROM c ORDER BY round(abs(c), 9) DESC, i LIMIT 15",
+    partial_rho=lambda d: f"WITH r AS (SELECT silo, paper_id, {AVG('s', 'silo')} AS a, {AVG('s2', 'silo')} AS b, {AVG('y', 'silo')} AS c FROM scored), f AS (SELECT silo, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, covar_pop(a, c) / nullif(var_pop(c), 0) AS ka, covar_pop(b, c) / nullif(var_pop(c), 0) AS kb FROM r GROUP BY silo), e AS (SELECT r.silo, round(a - ma - coalesce(ka, 0) * (c - mc), 7) AS ea, round(b - mb - coalesce(kb, 0) * (c - mc), 7) AS eb FROM r JOIN f ON r.silo = f.silo), q AS (SELECT silo, {AVG('ea', 'silo')} AS qa, {AVG('eb', 'silo')} AS qb FROM e) SELECT silo, round(CAST((covar_pop(qa, qb) / nullif(sqrt(var_pop(qa) * var_pop(qb)), 0)) AS DOUBLE), 4) AS rho FROM q GROUP BY silo",
+    corr_with_label_topk=lambda d: f"WITH r AS (SELECT i, quality * 1e0 AS y, {AVG('u', 'i')} AS r FROM dims JOIN labels l ON l.doc_id = dims.vec_id), c AS (SELECT i, (covar_pop(r, y) / nullif(sqrt(var_pop(r) * var_pop(y)), 0)) AS c FROM r GROUP BY i) SELECT i, {R('c')} AS rho FROM c ORDER BY round(abs(c), 9) DESC, i LIMIT 15",
     jackknife_iqr_min=lambda d: f"WITH v AS (SELECT silo, avg(s) AS m FROM scored GROUP BY silo), j AS (SELECT a.silo AS gone, {d.pct('b.m', 0.75)} - {d.pct('b.m', 0.25)} AS iqr FROM v a JOIN v b ON a.silo <> b.silo GROUP BY a.silo) SELECT {R('min(iqr)')} AS min_iqr FROM j",
     pooled_iqr=lambda d: f"SELECT {R(d.pct('s', 0.75) + ' - ' + d.pct('s', 0.25))} AS iqr, {R(d.pct('s - m', 0.75) + ' - ' + d.pct('s - m', 0.25))} AS centred_iqr FROM (SELECT s, avg(s) OVER (PARTITION BY silo) AS m FROM scored) q",
-    loo_spearman=lambda d: f"WITH v AS (SELECT silo, avg(s) AS a, avg(s2) AS b FROM scored GROUP BY silo), r AS (SELECT g.silo AS gone, {AVG('v.a', 'g.silo')} AS a, {AVG('v.b', 'g.silo')} AS b FROM v g JOIN v ON g.silo <> v.silo) SELECT gone, {R('corr(a, b)')} AS rho FROM r GROUP BY gone",
+    loo_spearman=lambda d: f"WITH v AS (SELECT silo, avg(s) AS a, avg(s2) AS b FROM scored GROUP BY silo), r AS (SELECT g.silo AS gone, {AVG('v.a', 'g.silo')} AS a, {AVG('v.b', 'g.silo')} AS b FROM v g JOIN v ON g.silo <> v.silo) SELECT gone, {R('(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0))')} AS rho FROM r GROUP BY gone",
     seed_sd=lambda d: f"WITH f AS (SELECT silo, paper_id % 5 AS seed, avg(s) AS m FROM scored GROUP BY silo, paper_id % 5) SELECT silo, {R('avg(m)')} AS mean, {R('stddev_samp(m)')} AS sd FROM f GROUP BY silo",
     # train, validation and hold-out means of a silo side by side, and the fall between them
     stage_table=lambda d: f"WITH f AS (SELECT silo, CASE WHEN paper_id % 5 < 3 THEN 'train' WHEN paper_id % 5 = 3 THEN 'val' ELSE 'holdout' END AS stage, avg(s) AS m FROM scored GROUP BY 1, 2), w AS (SELECT silo, max(CASE WHEN stage = 'train' THEN m END) AS train, max(CASE WHEN stage = 'val' THEN m END) AS val, max(CASE WHEN stage = 'holdout' THEN m END) AS holdout FROM f GROUP BY silo) SELECT silo, {R('train')} AS train, {R('val')} AS val, {R('holdout')} AS holdout, {R('train - holdout')} AS fall FROM w",

@@ -14,7 +14,7 @@ C.add(
     # share of the other folds' values that are no larger: all values' cumulative counts less the own fold's, over distinct values
     pct_rank_train_ref=lambda d: f"WITH g AS (SELECT silo, s, paper_id % 5 AS fold, count(*) AS c FROM scored GROUP BY silo, s, paper_id % 5), a AS (SELECT silo, s, sum(sum(c)) OVER (PARTITION BY silo ORDER BY s) AS le, sum(sum(c)) OVER (PARTITION BY silo) AS n FROM g GROUP BY silo, s), f AS (SELECT silo, s, fold, sum(c) OVER (PARTITION BY silo, fold ORDER BY s) AS le, sum(c) OVER (PARTITION BY silo, fold) AS n FROM g) SELECT p.paper_id, {R('(a.le - f.le) * 1e0 / nullif(a.n - f.n, 0)')} AS share FROM scored p JOIN a ON p.silo = a.silo AND p.s = a.s JOIN f ON p.silo = f.silo AND p.s = f.s AND p.paper_id % 5 = f.fold",
     pairwise_cosine_mean=lambda d: f"WITH s AS (SELECT label, i, sum(u) AS s FROM dims GROUP BY label, i), n AS (SELECT label, count(*) AS n FROM vectors WHERE nrm > 0 GROUP BY label) SELECT s.label, {R('(sum(s * s) - max(n)) / (max(n) * (max(n) - 1e0))')} AS mean_cosine FROM s JOIN n ON s.label = n.label GROUP BY s.label HAVING max(n) > 1",
-    pairwise_cosine_hist=lambda d: f"WITH q AS ({QUERY_COS(d)}) SELECT CAST(floor(c * 10 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM q WHERE label = query_label AND vec_id <> query_id GROUP BY 1",
+    pairwise_cosine_hist=lambda d: f"SELECT CAST(floor(c * 10 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM (SELECT {d.dot('a.embedding', 'b.embedding')} / nullif(a.nrm * b.nrm, 0) AS c FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id) q GROUP BY 1",
     interpret_dispersion=lambda d: "WITH s AS (SELECT label, i, sum(u) AS s FROM dims GROUP BY label, i), n AS (SELECT label, count(*) AS n FROM vectors GROUP BY label), m AS (SELECT s.label, (sum(s * s) - max(n)) / nullif(max(n) * (max(n) - 1e0), 0) AS c FROM s JOIN n ON s.label = n.label GROUP BY s.label) SELECT label, CASE WHEN c > 0.7 THEN 'tight' WHEN c > 0.35 THEN 'moderate' WHEN c > 0.05 THEN 'loose' ELSE 'spread' END AS verdict FROM m",
     pct_rank_ordinal=lambda d: f"SELECT paper_id, {R('(row_number() OVER (PARTITION BY silo ORDER BY s, paper_id) - 1e0) / nullif(count(*) OVER (PARTITION BY silo) - 1, 0)')} AS pr FROM scored",
     cosine_to_brief=lambda d: f"WITH q AS ({QUERY_COS(d)}), z AS (SELECT vec_id, query_id, round(c, 9) AS c FROM q) SELECT vec_id, query_id, {R('c')} AS cosine, CASE WHEN c IS NOT NULL THEN {R(PCT('c', 'query_id, c IS NULL'))} END AS pr FROM z",

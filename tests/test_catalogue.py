@@ -7,7 +7,6 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sievewright.operators import modelling
 from sievewright.queries import QUERIES, SQL
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -40,22 +39,11 @@ def test_plan(spark, con, name):
     assert canon(mine) == canon(theirs)
 
 
-@pytest.mark.parametrize("name", ["logreg_balanced", "stratified_group_kfold", "kcenter_greedy", "pca_2d", "extract_json", "bootstrap_auc_ci", "streaming_label_counts"])
+@pytest.mark.parametrize("name", ["logreg_balanced", "kcenter_greedy", "pca_2d", "within_silo_cv", "stack_meta", "paired_bootstrap", "hierarchical_linkage", "optimise_spec", "induce_rule_set"])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
 
-def test_extract_json():
-    assert modelling.extract_json('x {"a": "}"} y {"label": "no", "b": {"c": 1}} z') == '{"b": {"c": 1}, "label": "no"}'
-    assert modelling.extract_json('```json\n{"relevance": 3}\n```') == '{"relevance": 3}'
-    assert modelling.extract_json("none") is None and modelling.extract_json(None) is None
-
-
-def test_group_auc():
-    assert modelling.group_auc(np.array([0, 1, 1]), np.array([0.1, 0.1, 0.9])) == 0.75
-    assert modelling.group_auc(np.array([1, 1]), np.array([0.1, 0.2])) is None
-
-
 def test_imports_without_corpus_operators(tmp_path):
     import shutil
     import subprocess
