@@ -43,7 +43,7 @@ def nearest(vectors: np.ndarray, centroids: list[list[int]]) -> tuple[np.ndarray
     v = vectors if small else np.array([[int(x) for x in row] for row in vectors.tolist()], object).reshape(len(vectors), -1)
     c = np.array(centroids, np.float64 if small else object)
     vv, cc = (v * v).sum(axis=1), (c * c).sum(axis=1)
-    root = np.sqrt if small else np.vectorize(lambda x: math.sqrt(x) if x < 1 << 1000 else math.isqrt(x), otypes=[object])
+    root = np.sqrt if small else np.vectorize(math.isqrt, otypes=[object])
     norms, mine = root(cc), root(vv)
     order = np.lexsort((np.arange(len(c)), norms)) if small else np.array(sorted(range(len(c)), key=lambda i: (norms[i], i)))
     ring = norms[order]
@@ -59,7 +59,7 @@ def nearest(vectors: np.ndarray, centroids: list[list[int]]) -> tuple[np.ndarray
         rows = np.flatnonzero(first == j)
         best[rows] = apart(rows, j)
     bound = root(best)
-    slack = (bound + mine + ring[-1]) * 1e-9 + 1 if small else bound // 10**9 + mine // 10**9 + ring[-1] // 10**9 + 2
+    slack = (bound + mine + ring[-1]) * 1e-9 + 1 if small else 4  # what rounding, or roots cut to integers, may hide
     low, high = np.searchsorted(ring, mine - bound - slack, "left"), np.searchsorted(ring, mine + bound + slack, "right")
     for p, j in enumerate(order.tolist()):
         rows = np.flatnonzero((low <= p) & (p < high) & (first != j))
