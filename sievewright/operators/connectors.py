@@ -13,7 +13,7 @@ from ..plans.catalogue import CATALOGUE as C
 from ..plans.held import fresh_path, held
 from ..sources.scans import scan, scan_glob, scan_json_docs, scan_jsonl_meta
 from ..sources.sinks import append_jsonl, sink_csv, sink_json, sink_parquet
-from .experiments import grouped_folds, seed_of
+from .folds import group_folds
 
 
 def _table(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -139,22 +139,6 @@ def source_flags(papers: DataFrame, tokens: str, most: int = 1000) -> DataFrame:
     return lists.select("paper_id", *[F.array_contains("ts", n).alias(f"from_{n}") for n in names])
 
 
-#: Hashed groups that the greedy dealing of folds sees at most; a group goes with its bucket.
-BUCKETS = 4096
-
-
-def group_folds(rows: DataFrame, group: str = "grp", folds: int = 5, seed: int = 3, buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with ``fold``: whole groups, class shares kept even. Counts of hashed groups come to the driver: at most ``buckets`` rows, whatever the groups."""
-    keyed = rows.withColumn("_b", F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy("_b").agg(F.sum("y").alias("p"), F.count("*").alias("n")).orderBy("_b").toPandas()
-    if not len(counts):
-        return rows.withColumn("fold", F.lit(0))
-    y = np.concatenate([np.repeat([1, 0], [int(p), int(n - p)]) for p, n in zip(counts.p, counts.n)])
-    grp = np.repeat(counts["_b"].to_numpy(), counts.n.astype(int))
-    fold = pd.DataFrame({"_b": grp, "fold": grouped_folds(y, grp, folds, seed_of(seed))}).drop_duplicates("_b")
-    return keyed.join(F.broadcast(rows.sparkSession.createDataFrame(fold.astype("int32"))), "_b").drop("_b")
-
-
 def _labelled(s, d):
     from .modelling import prepare_dataset
 

@@ -44,7 +44,8 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
 
-def test_imports_without_corpus_operators(tmp_path):
+@pytest.mark.parametrize("left", ["nothing", "byte code"])
+def test_imports_without_corpus_operators(tmp_path, left):
     import shutil
     import subprocess
     import sys
@@ -52,5 +53,7 @@ def test_imports_without_corpus_operators(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/sievewright", tmp_path / "sievewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and not any(k.startswith('op1_') for k in e.queries())"
+    if left == "byte code":
+        os.makedirs(tmp_path / "sievewright/llm/__pycache__")
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and len(e.oracle_sql()) > 200 and not any(k.startswith('op1_') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
