@@ -16,7 +16,7 @@ C.view("labelled")(lambda d: "SELECT p.*, 1 - l.quality AS y, l.toxic FROM paper
 C.view("scored")(lambda d: "SELECT paper_id, lang AS silo, y, CASE WHEN y = 1 THEN 1.0D ELSE 3.0D END AS w, CAST(n_chars % 97 AS DOUBLE) / 97 AS s, CAST((paper_id * 37) % 101 AS DOUBLE) / 101 AS s2 FROM labelled".replace("1.0D", "CAST(1 AS DOUBLE)").replace("3.0D", "CAST(3 AS DOUBLE)"))
 C.view("brief_words")(lambda d: f"SELECT item_id, concat('src', CAST(item_id AS STRING)) AS silo, text, {TOKENS(d, 'text')} AS ws FROM benchmark".replace("AS STRING", "AS VARCHAR(40)" if d.name == "duckdb" else "AS STRING"))
 C.view("briefs")(lambda d: f"""SELECT item_id, silo, text, {d.join(d.slice('ws', 1, 12), ' ')} AS obj, {d.join(d.slice('ws', 13, 12), ' ')} AS prob,
-  {d.distinct(d.slice('ws', 1, 4))} AS must, {d.distinct(d.slice('ws', 5, 4))} AS nice, {d.distinct(d.slice('ws', 9, 2))} AS exclude, {d.join(d.slice('ws', 11, 2), ' ')} AS dom FROM brief_words""")
+  {d.in_order(d.slice('ws', 1, 4))} AS must, {d.in_order(d.slice('ws', 5, 4))} AS nice, {d.in_order(d.slice('ws', 9, 2))} AS exclude, {d.join(d.slice('ws', 11, 2), ' ')} AS dom FROM brief_words""")
 C.view("paper_tokens")(lambda d: f"SELECT paper_id, silo, {TOKENS(d, 'text')} AS ts FROM papers")
 C.view("terms")(lambda d: f"SELECT paper_id, silo, {d.each('ts')} AS term FROM paper_tokens")
 C.view("vectors")(lambda d: f"SELECT vec_id, label, embedding, sqrt({d.dot('embedding', 'embedding')}) AS nrm FROM embeddings")

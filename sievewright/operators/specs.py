@@ -23,28 +23,40 @@ FLUFF = (
 VAGUE = "Find interesting and relevant recent work in this area that could be useful to us."
 GENERIC = "used using analysis data results significant study based approach effects factors use different higher important".split()
 GENERIC_BAR = 0.07
-#: Patterns of requests, of praise and of negation.
+#: Patterns of requests and of praise.
 IMPERATIVE = r"(?i)^\s*(find|identify|get|look|search|show|give|fetch|retrieve|locate)\b"
 SELF = r"\b(us|we|our|me|my|I)\b"
 PRAISE = r"(?i)\b(interesting|relevant|useful|promising|suitable|nice|good)\b"
-NEGATED = r"non[- ]?|not |no |excluding |except |other than |without |rather than |exclude[sd]? "
 #: What makes a span of prose checkable or a judgement.
 METRIC_HEADS = (
     "strength efficiency capacity accuracy yield selectivity conductivity density lifetime cost consumption emissions penalty loss latency throughput purity durability stability "
     "reduction rate time temperature pressure power energy resistance toughness permeability porosity absorption adsorption degradation conversion recovery performance voltage "
     "current sensitivity specificity mortality prevalence adherence bioavailability tolerance endurance retention shrinkage workability productivity metallization corrosion"
 ).split()
-COMPARATOR = r"(?i)(>=|<=|>|<|\bat least\b|\bno more than\b|\bno less than\b)"
-ENUM = r"(?i)(?:\be\.g\.,?|\bi\.e\.,?|\bsuch as\b)"
-CONDITIONAL = r"(?i)\b(if|unless|address(?:es)?|relates?\s+to|concerns?)\b"
+COMPARATOR = r"(>=|<=|>|<|\bat least\b|\bno more than\b|\bno less than\b)"
+COMPARATOR_BROAD = r"(>=|<=|≥|≤|>|<|\bat least\b|\bno more than\b|\bno less than\b)"
+ENUM = r"(?:\be\.g\.,?|\bi\.e\.,?|\bsuch as\b)"
+CONDITIONAL = r"\b(if|unless|address(?:es)?|relates?\s+to|concerns?)\b"
+CONDITIONAL_BROAD = r"\b(if|unless|address(?:es)?|relates?\s+to|concerns?|promising|suitable|directly\s+transferable)\b"
 VERB = (
-    r"(?i)\b(is|are|was|were|be|been|being|am|has|have|had|does|do|did|can|could|may|might|must|shall|should|will|would|address(?:es)?|relates?|concerns?|requires?|reports?|presents?|covers?|"
+    r"\b(is|are|was|were|be|been|being|am|has|have|had|does|do|did|can|could|may|might|must|shall|should|will|would|address(?:es)?|relates?|concerns?|requires?|reports?|presents?|covers?|"
     r"includes?|benchmarks?|evaluates?|identif(?:y|ies)|predicts?|explores?|reasons?|measures?|improves?|operates?|sustains?|allows?|enables?|uses?|needs?|targets?|exceeds?|achieves?|"
     r"reaches?|focus(?:es)?|screens?|scouts?)\b"
 )
 UNIT = (
-    r"(?i)\b\d+(?:\.\d+)?\s?(?:%|mpa|gpa|kpa|w/g|w/kg|kw|mw|gw|wh|kwh|mwh|mj|gj|kj|mg/dl|mmol/l|mg|kg|g/l|ml|°c|tops/w|gops/w|pj|nj|ms|ns|hz|khz|mhz|ghz|mol/kg|mmol/g|m2/g|cm2|nm|mm|years?|months?|weeks?|days?|cycles?)\b"
+    r"\b\d+(?:\.\d+)?\s?(?:%|mpa|gpa|kpa|w/g|w/kg|kw|mw|gw|wh|kwh|mwh|mj|gj|kj|mg/dl|mmol/l|mg|kg|g/l|ml|°c|tops/w|gops/w|pj|nj|ms|ns|hz|khz|mhz|ghz|mol/kg|mmol/g|m2/g|cm2|nm|mm|years?|months?|weeks?|days?|cycles?)\b"
 )
+UNIT_BROAD = (
+    r"\b\d+(?:\.\d+)?\s?(?:%|mpa|gpa|kpa|w/g|w/kg|kw|mw|gw|wh|kwh|mwh|mj|gj|kj|mg/dl|mmol/l|mg|kg|g/l|ml|°c|k\b|tops/w|gops/w|pj|nj|ms|µs|ns|hz|khz|mhz|ghz|mol/kg|mmol/g|m2/g|cm2|nm|µm|mm|years?|months?|weeks?|days?|hours?|cycles?)\b"
+)
+#: The judgement words, and those of the broad reading.
+JUDGEMENT = (
+    "the a an of in on at to for with and or as by this these those that their its our which such both from high higher low lower good better best improved increased "
+    "decreased reduced excellent superior optimal significant various different several many most some other also however while review paper study studies research results article recent"
+).split()
+JUDGEMENT_BROAD = [*JUDGEMENT, "if", "unless", "addresses", "relates to", "promising", "suitable", "directly transferable"]
+#: The narrow and the broad reading of a span: judgement words, comparators, conditionals, units.
+READINGS = {"narrow": (JUDGEMENT, COMPARATOR, CONDITIONAL, UNIT), "broad": (JUDGEMENT_BROAD, COMPARATOR_BROAD, CONDITIONAL_BROAD, UNIT_BROAD)}
 #: Rewriting. Metrics that any paper may report, openings of a request, notes on the process.
 GENERIC_METRICS = ("precision", "recall", "f1", "f1 score", "f-score", "f score", "accuracy", "auc", "roc-auc", "roc auc", "auroc", "p-value", "error rate", "rmse", "mae", "mse", "sensitivity", "specificity", "throughput", "latency")
 LEADING = r"(?i)^\s*(find|identify|scout|explore|improve|discover|search for|look for|locate|retrieve)\s+"
@@ -241,13 +253,19 @@ def spans(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return rows.select(*key, F.posexplode(clean).alias("place", "span"))
 
 
-def classified(found: DataFrame, lexicon: list[str]) -> DataFrame:
+def _like(text, pattern: str) -> F.Column:
+    """Whatever its case, with letters of all alphabets as letters."""
+    return F.rlike(text, F.lit(f"(?iU){pattern}"))
+
+
+def classified(found: DataFrame, reading: str = "narrow") -> DataFrame:
     """``found`` with label, rule and dual_fire: the first rule that fires, and whether one of the other camp fires too."""
-    t, like = F.col("span"), lambda p: F.rlike(F.col("span"), F.lit(p))
-    judged = like(r"(?i)\b(?:" + "|".join(lexicon) + r")\b")
-    metric = F.rlike(F.lower(t), F.lit(r"\b(?:" + "|".join(sorted(METRIC_HEADS, key=len, reverse=True)) + r")\b")) & ~judged
+    lexicon, comparator, conditional, _ = READINGS[reading]
+    t, like = F.col("span"), lambda p: _like(F.col("span"), p)
+    judged = like(r"\b(?:" + "|".join(lexicon) + r")\b")
+    metric = like(r"\b(?:" + "|".join(sorted(METRIC_HEADS, key=len, reverse=True)) + r")\b") & ~judged
     verb = like(VERB)
-    fires = {"comparator": like(COMPARATOR) & like(r"\d"), "enum": like(ENUM), "metric": metric, "bare": (F.size(F.split(t, r"\s+")) <= 8) & ~verb, "judgement": judged, "conditional": like(CONDITIONAL) & verb}
+    fires = {"comparator": like(comparator) & like(r"\d"), "enum": like(ENUM), "metric": metric, "bare": (F.size(F.split(t, r"\s+")) <= 8) & ~verb, "judgement": judged, "conditional": like(conditional) & verb}
     rule = reduce(lambda acc, kv: acc.when(kv[1], kv[0]), list(fires.items())[1:], F.when(fires["comparator"], "comparator")).otherwise("none")
     predicate = fires["comparator"] | fires["enum"] | fires["metric"] | fires["bare"]
     out = found.select("*", rule.alias("rule"), (predicate & (fires["judgement"] | fires["conditional"])).alias("dual_fire"))
@@ -261,11 +279,11 @@ def checkability(found: DataFrame, key: list[str], least: int = 3) -> DataFrame:
     return found.groupBy(*key).agg(n.alias("n"), F.round(F.when(n >= least, share), 6).alias("checkable"), F.count(F.when(F.col("dual_fire"), 1)).alias("n_dual"))
 
 
-def evidence(papers: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def evidence(papers: DataFrame, vocabulary: DataFrame, reading: str = "narrow") -> DataFrame:
     """silo, n, share of non-null abstracts with a quantity and a word of the silo's vocabulary (silo, words) in one sentence; null without words."""
     rows = papers.where("abstract is not null").join(vocabulary, "silo")
     said = lambda s: F.arrays_overlap(tokens(s), F.col("words"))
-    hit = F.exists(F.split("abstract", r"(?<=[.!?])\s+"), lambda s: F.rlike(s, F.lit(UNIT)) & said(s))
+    hit = F.exists(F.split("abstract", r"(?<=[.!?])\s+"), lambda s: _like(s, READINGS[reading][3]) & said(s))
     return rows.groupBy("silo").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.size("words") > 0, hit.cast("double"))), 6).alias("share"))
 
 
@@ -278,15 +296,20 @@ def _specs(s: SparkSession, d: str) -> DataFrame:
                     F.when(k == 2, none).when(k == 4, F.slice("nice", 1, 1)).when(k == 7, F.concat("nice", F.array(F.lit("Data")))).otherwise(F.col("nice")).alias("nice"), "exclude", F.col("dom").alias("industry"), F.lit("").alias("application"), F.array("dom").alias("focus"))
 
 
-#: A stand-in lexicon of judgement words for the fixture's prose.
-LEXICON = ["better", "good", "high", "low", "significant", "excellent"]
-
-
 def _spans(s, d):
     text = F.concat(F.col("text"), F.when(F.col("conv_id") % 4 == 0, F.lit("\n- at least 5 cycles. A good yield such as this")).when(F.col("conv_id") % 4 == 1, F.lit("\nIt concerns the good of the many who may read it at length.")).otherwise(""))
     return spans(s.read.parquet(f"{d}/conversations.parquet").withColumn("t", text), ["conv_id", "turn"], "t")
 
 
+def _read_both(s, d):
+    found = held(_spans(s, d), "spans")
+    return reduce(DataFrame.union, [classified(found, r).withColumn("reading", F.lit(r)) for r in READINGS])
+
+
+def _readings(s, d, *by):
+    return _read_both(s, d).groupBy("reading", *by)
+
+
 def _labels(s, d):
     return s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("paper_id"), (1 - F.col("quality")).alias("y"))
 
@@ -308,8 +331,8 @@ QUERIES = {
     "lint": lambda s, d: lint(_specs(s, d)), "escalation": lambda s, d: escalation(_specs(s, d)), "linter_selftest": lambda s, d: selftest(s), "spec_variants": lambda s, d: variants(_specs(s, d)).select("silo", "variant", F.md5(F.concat_ws("|", *TEXTS, *[F.array_join(c, ";") for c in LISTS])).alias("body")),
     "ablation_eval": lambda s, d: ablation(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("silo"), "text"), _specs(s, d), _labels(s, d), ["full", "no_obj", "no_nice", "must_only_one"]),
     "optimise_spec": lambda s, d: optimise(_specs(s, d)).select("silo", "objective", "industry", "application", *[F.array_join(c, ";").alias(c) for c in ("must", "nice", "exclude")], F.size("provenance").alias("steps")),
-    "span_extract": lambda s, d: _spans(s, d).groupBy("conv_id", "turn").agg(F.count("*").alias("spans")), "classify_span": lambda s, d: classified(_spans(s, d), LEXICON).groupBy("label", "rule", "dual_fire").agg(F.count("*").alias("n")),
-    "checkability": lambda s, d: checkability(classified(_spans(s, d), LEXICON), ["conv_id"]), "evidence_availability": _evidence, "spec_measures": _measures,
+    "span_extract": lambda s, d: _spans(s, d).groupBy("conv_id", "turn").agg(F.count("*").alias("spans")), "classify_span": lambda s, d: _readings(s, d, "label", "rule", "dual_fire").agg(F.count("*").alias("n")),
+    "checkability": lambda s, d: checkability(_read_both(s, d), ["reading", "conv_id"]), "evidence_availability": _evidence, "spec_measures": _measures,
 }
 
 
@@ -324,10 +347,57 @@ CASE item_id % 11 WHEN 3 THEN must[1:1] WHEN 10 THEN must || exclude[1:1] ELSE m
              ("terms_generic", "warn", f"len(list_filter(must || nice, lambda t: lower(t) IN ({g}))) > 0"), ("must_thin", "warn", "len(must) IN (2, 3, 4)"), ("exclude_asserted_in_prose", "warn", f"len({bad}) > 0"), ("exclude_in_must", "note", "len(list_intersect(must, exclude)) > 0")]
     found = f"{spec}, f AS (" + " UNION ALL ".join(f"SELECT silo, {i} AS n, '{sev}' AS severity, '{name}' AS finding FROM s WHERE {test}" for i, (name, sev, test) in enumerate(tests)) + ")"
     joined = "array_to_string({0}, ';')"
-    return {
+    return _span_oracles() | {
+        "spec_variants": _variants_sql(spec),
         "normalise_spec": f"{spec} SELECT silo, name, objective, problem, industry, application, {', '.join(joined.format(c) + ' AS ' + c for c in LISTS)} FROM s", "generic_share": f"{spec} SELECT silo, round({share}, 6) AS share FROM s", "instruction_shaped": f"{spec} SELECT silo, {shaped} AS shaped FROM s",
         "exclude_asserted": f"{spec} SELECT silo, array_to_string({bad}, '|') AS asserted FROM s", "lint": f"{found} SELECT silo, row_number() OVER (PARTITION BY silo ORDER BY n) - 1 AS place, severity, finding FROM f",
         "escalation": f"{found} SELECT silo, count(CASE WHEN severity <> 'note' THEN 1 END) AS findings, count(CASE WHEN severity <> 'note' THEN 1 END) >= 2 AS compound FROM f GROUP BY silo",
         "linter_selftest": "SELECT unnest([" + ", ".join(f"'{n}'" for n, _, _ in (*tests, ("only_name", 0, 0))) + "]) AS finding, true AS fires, 0 AS on_sound",
         "spec_measures": f"{found} SELECT s.silo, len(regexp_extract_all(lower(translate(objective, '-/', '  ')), '[a-z0-9]+')) AS words, len(must) + len(nice) + len(exclude) AS terms, length(objective) AS chars, (SELECT count(*) FROM f WHERE f.silo = s.silo) AS findings FROM s",
     }
+
+
+def _variants_sql(spec: str) -> str:
+    """Each mutation spelled out as what it sets, over the specs as they are."""
+    generic, flood = "[" + ", ".join(f"'{w}'" for w in GENERIC) + "]", {}
+    prose = "CASE WHEN len(exclude) = 0 THEN objective ELSE regexp_replace(objective, '[.]+$', '') || '. Note that work on ' || array_to_string(exclude, ', ') || ' is directly relevant here and should be treated as a positive signal.' END"
+    none, vague, fluff = "CAST([] AS VARCHAR[])", {"objective": f"'{VAGUE}'"}, {"objective": f"'{FLUFF}'", "problem": f"'{FLUFF}'"}
+    flood = {"must": f"must || {generic}", "nice": f"nice || {generic}"}
+    table = {
+        "full": {}, "no_obj": {"objective": "''"}, "no_prob": {"problem": "''"}, "no_must": {"must": none}, "no_nice": {"nice": none}, "no_exclude": {"exclude": none}, "no_domain": {"industry": "''", "application": "''", "focus": none},
+        "only_name": {"objective": "''", "problem": "''", "industry": "''", "application": "name", "must": none, "nice": none, "exclude": none, "focus": none}, "fluff_replace": fluff,
+        "fluff_added": {"objective": f"objective || ' {FLUFF}'", "problem": f"problem || ' {FLUFF}'"}, "vague_objective": vague, "conflicting": {"must": "must || exclude", "exclude": none}, "keyword_flood": flood,
+        "must_only_one": {"must": "must[1:1]"}, "nice_only_one": {"nice": "nice[1:1]"}, "conflicting_prose": {"objective": prose}, "fluff_and_flood": fluff | flood, "vague_and_flood": vague | flood, "fluff_and_no_must": fluff | {"must": none},
+    }
+    parts = [f"SELECT silo, '{n}' AS variant, {', '.join(f'{m.get(c, c)} AS {c}' for c in TEXTS + LISTS)} FROM s" for n, m in table.items()]
+    body = ", ".join([*TEXTS, *[f"coalesce(array_to_string({c}, ';'), '')" for c in LISTS]])
+    return f"{spec}, v AS ({' UNION ALL '.join(parts)}) SELECT silo, variant, md5(concat_ws('|', {body})) AS body FROM v"
+
+
+def _span_oracles() -> dict[str, str]:
+    """Readings of their own: sentences by marks set behind stops, word limits spelled out for letters of all alphabets."""
+    edge = lambda words: f"(?i)(?:^|[^\\pL\\pN_])(?:{words})(?:$|[^\\pL\\pN_])"
+    found = """WITH z AS (SELECT conv_id, turn, text || CASE conv_id % 4 WHEN 0 THEN chr(10) || '- at least 5 cycles. A good yield such as this' WHEN 1 THEN chr(10) || 'It concerns the good of the many who may read it at length.' ELSE '' END AS t FROM conversations),
+p AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))) AS raw FROM z),
+s AS (SELECT * FROM (SELECT conv_id, turn, trim(regexp_replace(raw, '^\\s*(?:[-*•]|\\d+[.)])\\s+', '')) AS span FROM p) WHERE span <> '')"""
+    each = []
+    for name, (lexicon, comparator, conditional, _) in READINGS.items():
+        signs = "[><≥≤]" if name == "broad" else "[><]"
+        words = "if|unless|address(?:es)?|relates?\\s+to|concerns?" + ("|promising|suitable|directly\\s+transferable" if name == "broad" else "")
+        flags = {
+            "comparator": f"(regexp_matches(span, '{signs}') OR regexp_matches(span, '{edge('at least|no more than|no less than')}')) AND regexp_matches(span, '[0-9]')",
+            "enum": "regexp_matches(span, '(?i)(?:^|[^\\pL\\pN_])(?:e\\.g\\.|i\\.e\\.)') OR regexp_matches(span, '" + edge("such as") + "')",
+            "metric": f"regexp_matches(span, '{edge('|'.join(METRIC_HEADS))}')", "judged": f"regexp_matches(span, '{edge('|'.join(lexicon))}')", "verb": f"regexp_matches(span, '{edge(VERB[3:-3])}')", "cond": f"regexp_matches(span, '{edge(words)}')",
+        }
+        each.append(f"SELECT '{name}' AS reading, conv_id, span, len(regexp_split_to_array(span, '\\s+')) <= 8 AS short, {', '.join(f'{v} AS {k}' for k, v in flags.items())} FROM s")
+    told = f"""{found}, f AS ({' UNION ALL '.join(each)}), c AS (SELECT reading, conv_id, CASE WHEN comparator THEN 'comparator' WHEN enum THEN 'enum' WHEN metric AND NOT judged THEN 'metric' WHEN short AND NOT verb THEN 'bare' WHEN judged THEN 'judgement' WHEN cond AND verb THEN 'conditional' ELSE 'none' END AS rule,
+(comparator OR enum OR (metric AND NOT judged) OR (short AND NOT verb)) AND (judged OR (cond AND verb)) AS dual_fire FROM f), l AS (SELECT *, CASE WHEN rule IN ('judgement', 'conditional') THEN 'judgement' WHEN rule = 'none' THEN 'unclassified' ELSE 'predicate' END AS label FROM c)"""
+    quantity = "(?i)(?:^|[^\\pL\\pN_])" + UNIT[2:-2] + "(?:$|[^\\pL\\pN_])"
+    return {
+        "span_extract": f"{found} SELECT conv_id, turn, count(*) AS spans FROM s GROUP BY conv_id, turn", "classify_span": f"{told} SELECT reading, label, rule, dual_fire, count(*) AS n FROM l GROUP BY ALL",
+        "checkability": f"{told} SELECT reading, conv_id, count(*) FILTER (label <> 'unclassified') AS n, CASE WHEN count(*) FILTER (label <> 'unclassified') >= 3 THEN round(count(*) FILTER (label = 'predicate') / (count(*) FILTER (label <> 'unclassified')), 6) END AS checkable, count(*) FILTER (dual_fire) AS n_dual FROM l GROUP BY reading, conv_id",
+        "evidence_availability": f"""WITH {C.sql_views('briefs')}, w AS (SELECT silo, flatten([regexp_extract_all(lower(translate(x, '-/', '  ')), '[a-z0-9]+') FOR x IN must || nice]) AS words FROM briefs),
+p AS (SELECT source AS silo, doc_id, unnest(string_split(regexp_replace(text || ' The of and 12 days in.', '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS said FROM documents WHERE doc_id % 10 <> 0 AND text IS NOT NULL),
+h AS (SELECT p.silo, doc_id, bool_or(regexp_matches(said, '{quantity}') AND len(list_intersect(regexp_extract_all(lower(translate(said, '-/', '  ')), '[a-z0-9]+'), words)) > 0) AS hit, any_value(len(words)) AS k FROM p JOIN w USING (silo) GROUP BY p.silo, doc_id)
+SELECT silo, count(*) AS n, round(avg(CASE WHEN k > 0 THEN hit::INT END), 6) AS share FROM h GROUP BY silo""",
+    }

@@ -20,6 +20,7 @@ class SparkSql:
     has = staticmethod(lambda x, v: f"array_contains({x}, {v})")
     both = staticmethod(lambda a, b: f"size(array_intersect({a}, {b}))")
     distinct = staticmethod(lambda x: f"array_distinct({x})")
+    in_order = distinct
     keep = staticmethod(lambda x, v, p: f"filter({x}, {v} -> {p})")
     map = staticmethod(lambda x, v, e: f"transform({x}, {v} -> {e})")
     slice = staticmethod(lambda x, a, n: f"slice({x}, {a}, {n})")
@@ -55,7 +56,8 @@ class DuckSql:
     half_even = staticmethod(lambda x: f"round_even({x}, 0)")
     has = staticmethod(lambda x, v: f"list_contains({x}, {v})")
     both = staticmethod(lambda a, b: f"CAST(len(list_intersect({a}, {b})) AS INT)")
-    distinct = staticmethod(lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)")  # in order of first appearance
+    distinct = staticmethod(lambda x: f"list_distinct({x})")  # in no order
+    in_order = staticmethod(lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)")  # distinct entries of a short list as they first appear
     keep = staticmethod(lambda x, v, p: f"list_filter({x}, lambda {v}: {p})")
     map = staticmethod(lambda x, v, e: f"list_transform({x}, lambda {v}: {e})")
     slice = staticmethod(lambda x, a, n: f"({x})[{a}:{a} + {n} - 1]")
