@@ -121,7 +121,7 @@ def _registered(s, d):
 
 def _udtf(s, d):
     register(s)
-    return s.sql("SELECT c.conv_id, c.turn, t.place, t.span FROM {talk} c, LATERAL spans(c.text) t", talk=_table(s, d, "conversations").where("role = 'user'"))
+    return s.sql("SELECT c.conv_id, c.turn, t.place, t.span FROM {talk} c, LATERAL spans(c.text) t", talk=_table(s, d, "conversations"))
 
 
 def _range(s, d):
@@ -191,16 +191,43 @@ QUERIES = {
 }
 
 
+LABELLED_SQL = """r AS (SELECT d.doc_id, (1 - quality)::INT AS y, md5(CASE WHEN k = '' THEN 'no_title_' || d.doc_id ELSE k END) AS grp
+FROM (SELECT doc_id, trim(lower(split_part(text, chr(10), 1))) AS k FROM documents) d JOIN labels l USING (doc_id) WHERE quality IS NOT NULL)"""
+
+
+def _dealt_sql(name: str, rows: str, seed: int) -> str:
+    """CTEs that deal the groups of ``rows`` one by one: <name> has grp and fold (from 1)."""
+    cost = "sqrt(5 * ({q} + {v} * (2 * d.{a}[f] + {v})) - ({s} + {v}) * ({s} + {v})) / {t}"
+    one = lambda a, v, t: cost.format(a=a, v=v, t=t, s=f"list_sum(d.{a})", q=f"list_sum([x * x FOR x IN d.{a}])")
+    add = lambda a, v: f"[CASE WHEN f = pick THEN d.{a}[f] + {v} ELSE d.{a}[f] END FOR f IN range(1, 6)]"
+    return f"""{name}_g AS (SELECT grp, sum(y)::BIGINT AS p, (count(*) - sum(y))::BIGINT AS q, md5('{seed}:0:' || grp) AS k FROM {rows} GROUP BY grp),
+{name}_o AS (SELECT *, row_number() OVER (ORDER BY -abs(p - q), p, p + q, k) AS i, greatest(1, sum(p) OVER ()) AS tp, greatest(1, sum(q) OVER ()) AS tq FROM {name}_g),
+{name}_d AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS a, [0, 0, 0, 0, 0]::BIGINT[] AS b, 0::BIGINT AS pick UNION ALL
+  SELECT i, {add('a', 'p')}, {add('b', 'q')}, pick FROM (SELECT o.i, o.p, o.q, d.a, d.b, list_min([{{'s': round(({one('a', 'o.p', 'o.tp')} + {one('b', 'o.q', 'o.tq')}) / 10, 12), 'n': d.a[f] + d.b[f], 'f': f}} FOR f IN range(1, 6)]).f AS pick FROM {name}_d d JOIN {name}_o o ON o.i = d.i + 1) d),
+{name} AS (SELECT grp, pick AS fold FROM {name}_d JOIN {name}_o USING (i))"""
+
+
+def _split_oracles() -> dict[str, str]:
+    begin = f"WITH RECURSIVE {LABELLED_SQL}, {_dealt_sql('f', 'r', 3)}"
+    crossing = "(SELECT count(*) FROM (SELECT grp FROM s GROUP BY grp HAVING count(DISTINCT part) > 1))"
+    inner = _dealt_sql("h", "e", 4)
+    return {
+        "stratified_group_kfold": f"{begin} SELECT doc_id, y, (fold - 1)::INT AS fold FROM r JOIN f USING (grp)",
+        "make_splits": f"{begin}, s AS (SELECT grp, CASE WHEN fold <= 3 THEN 'train' WHEN fold = 4 THEN 'val' ELSE 'test' END AS part FROM r JOIN f USING (grp)) SELECT part AS split, count(*) AS n, {crossing} AS crossing FROM s GROUP BY part",
+        "outer_inner_split": f"{begin}, e AS (SELECT r.* FROM r JOIN f USING (grp) WHERE fold > 1), {inner}, s AS (SELECT grp, 'holdout' AS part FROM r JOIN f USING (grp) WHERE fold = 1 UNION ALL SELECT grp, 'fold' || (fold - 1) FROM e JOIN h USING (grp)) SELECT part, count(*) AS n, {crossing} AS crossing FROM s GROUP BY part",
+    }
+
+
 def oracles() -> dict[str, str]:
     b = C.sql_views("briefs")
     flags = ", ".join(f"lang = '{x}' AS from_{x}" for x in ("de", "en", "es", "fr"))
-    return {
+    return _split_oracles() | {
         "scan_csv_or_parquet": "SELECT n_nationkey, n_name FROM nation", "sink_json": "SELECT n_nationkey, n_name, n_regionkey FROM nation", "sink_parquet": "SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 3",
         "append_jsonl": "SELECT r_regionkey, r_name, k AS run FROM region CROSS JOIN (SELECT unnest([0, 1]) AS k)", "scan_jsonl_meta": "SELECT count(*) AS said, count(*) AS n, sum(n_nationkey) AS keys FROM nation",
         "scan_json_docs": f"WITH {b} SELECT silo AS name, dom AS industry, array_to_string(must, '|') AS must, CASE WHEN item_id % 3 <> 0 THEN 9 END AS trl_max FROM briefs WHERE silo = 'src1'", "scan_glob": "SELECT n_regionkey, n_nationkey FROM nation",
         "flatten_brief": f"WITH {b}, x AS (SELECT *, array_to_string(must, '|') AS m, array_to_string(nice, '|') AS n, array_to_string(exclude, '|') AS e, item_id % 3 <> 0 AS c FROM briefs) SELECT silo AS name, prob AS problem, obj AS objective, dom AS industry, NULL AS application, dom AS focus, m AS must, n AS nice, e AS exclude, 'yield' AS metrics, '> 3 %' AS targets, CASE WHEN c THEN item_id % 4 END AS trl_min, CASE WHEN c THEN 9 END AS trl_max, CASE WHEN c THEN 'pilot' END AS scale, NULL AS cost, m AS must_have, n AS nice_have, e AS exclusions, NULL AS notes FROM x",
         "registered_functions": f"WITH {C.sql_views('ranked')} SELECT silo, round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2e0) / nullif(sum(y) * 1e0 * (count(*) - sum(y)), 0), 6) AS auc, silo || 'ss' AS stem FROM ranked GROUP BY silo",
         "range_join": "SELECT r_name AS band, count(*) AS n, min(doc_id) AS first_id FROM region JOIN documents ON n_chars >= r_regionkey * 400 AND n_chars < r_regionkey * 400 + 500 GROUP BY r_name",
-        "streaming_label_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS count FROM events GROUP BY ALL", "registered_udtf": "WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])[ \t\n\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM conversations WHERE role = 'user') SELECT conv_id, turn, unnest(range(len(s)))::INT AS place, unnest(s) AS span FROM t",
+        "streaming_label_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS count FROM events GROUP BY ALL", "registered_udtf": "WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])[ \t\n\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM conversations) SELECT conv_id, turn, unnest(range(len(s)))::INT AS place, unnest(s) AS span FROM t",
         "source_flags": f"SELECT doc_id AS paper_id, {flags}, doc_id % 2 = 0 AS from_web FROM documents", "load_vectors_two_layouts": "SELECT label, vec_id FROM embeddings WHERE label IN (1, 2)",
     }
