@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import fit_logit
 from ..plans.held import held
 from . import manymodels, resampling
+from .boosting import ordered_gbt
 from .evaluation import running_counts, tied_auc
 from .folds import class_folds, draw_order, group_folds
 
@@ -373,7 +374,15 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    """doc_id, lang, y, score: whole groups to five folds, each scored by the trees of the others."""
+    rows = held(group_folds(rows, "grp", FOLDS), "folded")
+    got = ordered_gbt(rows.select(F.col("paper_id").alias("id"), "fold", "y", "x"), FOLDS)
+    return got.join(rows.select(F.col("paper_id").alias("id"), F.col("silo").alias("lang")), "id").select(F.col("id").alias("doc_id"), "lang", "y", "score")
+
+
 QUERIES = {
+    "gbt": lambda s, d: _ordered(labelled_table(s, d)),
     "oof_proba": lambda s, d: _rounded(within_silo_oof(labelled_table(s, d), seeds=1)), "cv_roc_auc": lambda s, d: cv_summary(within_silo_oof(labelled_table(s, d))),
     "within_silo_cv": lambda s, d: seed_summary(within_silo_oof(labelled_table(s, d))), "within_review_cv": lambda s, d: seed_summary(within_silo_oof(labelled_table(s, d), groups=False)),
     "shuffled_label_sanity": lambda s, d: seed_summary(within_silo_oof(labelled_table(s, d), shuffled=True)), "warm_start_budgets": lambda s, d: warm_start(labelled_table(s, d)),

@@ -57,7 +57,7 @@ C.add(
     # the weight is chosen on one half of the rows and judged on the other
     blend_nested=lambda d: f"WITH g AS (SELECT x / 2e1 AS a FROM (SELECT {d.each(d.seq(0, 20))} AS x) q), z AS (SELECT silo, paper_id % 2 AS half, a, y, round(a * s + (1 - a) * s2, 9) AS v FROM scored CROSS JOIN g), r AS (SELECT silo, half, a, y, rank() OVER (PARTITION BY silo, half, a ORDER BY v) + (count(*) OVER (PARTITION BY silo, half, a, v) - 1) / 2e0 AS r FROM z), c AS (SELECT silo, half, a, {AUC} AS auc FROM r GROUP BY silo, half, a), k AS (SELECT silo, a, row_number() OVER (PARTITION BY silo ORDER BY round(auc, 9) DESC, a) AS k FROM c WHERE half = 0 AND auc IS NOT NULL) SELECT c.silo, c.a AS weight, {R('c.auc')} AS auc FROM c JOIN k ON k.silo = c.silo AND k.a = c.a WHERE k = 1 AND half = 1",
     mann_whitney_u=lambda d: f"{MWU} SELECT silo, {R('u', 4)} AS u, {R('1 - 2 * u / (n1 * n0)')} AS rank_biserial, {R('abs(u - n1 * n0 / 2) / nullif(sd, 0)', 5)} AS z FROM m",
-    benjamini_hochberg=lambda d: f"WITH p AS (SELECT paper_id, s AS p, row_number() OVER (ORDER BY s, paper_id) AS r, count(*) OVER () AS m FROM scored WHERE s > 0) SELECT paper_id, {R('least(1e0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS q FROM p",
+    benjamini_hochberg=lambda d: f"WITH p AS (SELECT paper_id, s AS p, row_number() OVER (ORDER BY s, paper_id) AS r, count(*) OVER () AS m FROM scored WHERE s IS NOT NULL) SELECT paper_id, {R('least(1e0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS q FROM p",
     # pairs of silos are compared only where the silos differ at all: a spread of means beyond that of chance (Kruskal-Wallis against 2 (k - 1))
     bonferroni_pairwise=lambda d: f"WITH r AS (SELECT silo, {AVG('s', '1')} AS r FROM scored), g AS (SELECT silo, count(*) AS n, sum(r) AS sr FROM r GROUP BY silo), h AS (SELECT 12e0 / (sum(n) * (sum(n) + 1)) * sum(sr * sr / n) - 3 * (sum(n) + 1) AS h, count(*) AS k FROM g) SELECT a.silo AS a, b.silo AS b, {R('0.05e0 / nullif(k * (k - 1) / 2e0, 0)')} AS alpha, {R('h', 4)} AS omnibus, h > 2 * (k - 1) AS compared FROM g a JOIN g b ON a.silo < b.silo CROSS JOIN h",
     paired_t=lambda d: f"SELECT silo, {R('avg(s - s2) / (nullif(stddev_samp(s - s2), 0) / sqrt(count(*)))')} AS t FROM scored GROUP BY silo",

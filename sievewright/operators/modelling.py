@@ -127,7 +127,7 @@ QUERIES = {
     "prepare_dataset": lambda spark, d: prepare_dataset(_read(spark, d, "documents"), _read(spark, d, "labels")),
     "logreg_balanced": _model_query(lambda: LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=0.01, standardization=True)),
     "random_forest": _model_query(lambda: RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=20, seed=1)),
-    "gbt": _model_query(lambda: GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=20, maxDepth=4, seed=1)),
+    "gbt_histogram": _model_query(lambda: GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=20, maxDepth=4, seed=1)),
     "svm_platt": lambda spark, d: platt_scores(_rows(spark, d), LinearSVC(featuresCol="x", labelCol="y", weightCol="weight", maxIter=30)),
     "kcenter_greedy": lambda spark, d: kcenter_greedy(_read(spark, d, "embeddings").where("label <> 0"), _read(spark, d, "embeddings").where("label = 0 and vec_id < 100")),
     "pca_2d": lambda spark, d: pca_projection(_read(spark, d, "embeddings")),

@@ -229,3 +229,75 @@ def test_omnibus_and_empty_tables(spark):
 
 def test_plain_pairs_agree_with_ranks():
     assert nv.auc(np.array([1, 0, 1, 0]), np.array([2.0, 1.0, 1.0, 0.0])) == np.mean([1.0 if p > q else 0.5 if p == q else 0.0 for p, q in itertools.product([2.0, 1.0], [1.0, 0.0])])
+
+
+# ---- ordered boosting
+
+
+def boosted_plainly(x, y, fold, place, borders, m, trees, depth, rate, penalty):
+    """One model row by row: residuals from the largest prefix before a row, prefix models of their own."""
+    n, levels = len(y), max(1, int(np.log2(max(1, len(y) - 1))) + 1)
+    bins = np.array([[0 if np.isnan(v) else int(np.searchsorted(b, v, side="left")) + 1 for v, b in zip(row, borders)] for row in x])
+    train = [i for i in range(n) if fold[i] != m]
+    weight = {c: len(train) / (2 * max(1, sum(y[i] == c for i in train))) for c in (0, 1)}
+    f = np.zeros((levels + 1, n))
+    grad = lambda i, v: (weight[y[i]] * (y[i] - 1 / (1 + np.exp(-v))), weight[y[i]] / (1 + np.exp(-v)) * (1 - 1 / (1 + np.exp(-v))))
+    made = []
+    for _ in range(trees):
+        told = {i: grad(i, f[int(np.log2(place[i])), i] if place[i] else 0.0) for i in train}
+        splits = []
+        leaf = lambda i: sum(int(bins[i, c] > b) << k for k, (c, b) in enumerate(splits))
+        for _ in range(depth):
+            gains = {}
+            for c in range(x.shape[1]):
+                for b in range(len(borders[c]) + 2):
+                    sides = defaultdict(lambda: [0.0, 0.0])
+                    for i in train:
+                        s = sides[leaf(i), bool(bins[i, c] > b)]
+                        s[0], s[1] = s[0] + told[i][0], s[1] + told[i][1]
+                    gains[c, b] = round(sum(g * g / (h + penalty) for g, h in sides.values()), 9)
+            splits.append(max(gains, key=lambda k: (gains[k], -k[0], -k[1])))
+        values = np.zeros((levels + 1, 1 << depth))
+        for j in range(levels + 1):
+            for k in range(1 << depth):
+                both = [grad(i, f[j, i]) for i in train if leaf(i) == k and (j == levels or place[i] < 2**j)]
+                values[j, k] = sum(g for g, _ in both) / (sum(h for _, h in both) + penalty)
+        for i in range(n):
+            f[:, i] += rate * values[:, leaf(i)]
+        made.append(splits)
+    return made, 1 / (1 + np.exp(-f[-1]))
+
+
+def test_ordered_boosting_equals_a_plain_ordered_fit(spark):
+    from sievewright.operators import boosting
+
+    x, y = labelled(200, 4, 4)
+    fold = np.arange(200) % 2
+    rows = spark.createDataFrame([(i, int(fold[i]), int(y[i]), v) for i, v in enumerate(listed(x))], "id long, fold int, y int, x array<double>").repartition(3)
+    model = boosting.OrderedBoosting(2, trees=6, depth=2, bins=8)
+    got = model.fit(rows).toPandas().sort_values("id")
+    placed = folds.draw_order(rows.selectExpr("*", "0 AS _all"), ["_all"], "id", "ordered", "place").toPandas().sort_values("id")
+    borders = model._borders(rows, 4)
+    for m in (0, 1):
+        splits, scores = boosted_plainly(x, y, fold, placed.place.to_numpy(), borders[m], m, 6, 2, model.rate, model.penalty)
+        assert [t.splits[m] for t in model.trees] == splits
+        own = fold == m
+        assert np.abs(got.score.to_numpy()[own] - scores[own]).max() < 1e-9
+
+
+def test_a_label_never_enters_its_own_residual():
+    from sievewright.operators import boosting
+
+    place = np.arange(70)
+    level = boosting.level_of(place)
+    assert level[0] == -1 and all(2 ** level[p] <= p < 2 ** (level[p] + 1) for p in range(1, 70))
+
+
+def test_ordered_boosting_learns_missing_values(spark):
+    from sievewright.operators import boosting
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 5, int(i % 3 == 0), [None if i % 3 == 0 else float(rng.normal()), float(rng.normal())]) for i in range(400)]
+    got = boosting.ordered_gbt(spark.createDataFrame(rows, "id long, fold int, y int, x array<double>"), trees=4, depth=1).toPandas()
+    assert len(got) == 400 and nv.auc(got.y.to_numpy(), got.score.to_numpy()) == 1.0
+    assert boosting.ordered_gbt(spark.createDataFrame([], "id long, fold int, y int, x array<double>")).count() == 0
