@@ -78,30 +78,6 @@ def _second(col: str):
 group_auc = auc
 
 
-def kcenter_greedy(vectors: DataFrame, existing: DataFrame, k: int = 8) -> DataFrame:
-    """``k`` rounds of farthest-point selection among ``vectors``, away from ``existing`` and from what is chosen: unit vectors, cosine distance.
-
-    Each round is one aggregate over all vectors; zero vectors are not eligible, ties go to the smallest id. ``existing`` is a bounded set.
-    """
-    spark = vectors.sparkSession
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda df: df.withColumn("nrm", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).where("nrm > 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("nrm")).alias("u"))
-    known = [list(r["u"]) for r in unit(existing).orderBy("vec_id").collect()]
-    pool, out = held(unit(vectors), "pool"), []
-    near = F.lit(-2.0)
-    rows = pool.withColumn("near", near)
-    for c in known:
-        rows = rows.withColumn("near", F.greatest("near", dot(F.col("u"), F.array(*map(F.lit, c)))))
-    rows = held(rows, "near")
-    for _ in range(k):
-        best = rows.agg(F.max_by(F.struct("vec_id", "u", "near"), F.struct(-F.round("near", 9), -F.col("vec_id"))).alias("b")).first()["b"]
-        if best is None:
-            break
-        out.append((len(out), best["vec_id"], round(1 - best["near"], 6) if known or out else None))
-        rows = rows.where(F.col("vec_id") != best["vec_id"]).withColumn("near", F.greatest("near", dot(F.col("u"), F.array(*map(F.lit, list(best["u"]))))))
-    return spark.createDataFrame(out, "step int, vec_id long, distance double")
-
-
 def pca_projection(vectors: DataFrame, k: int = 2) -> DataFrame:
     """Centred vectors on their first components; a component's largest loading is made positive."""
     from pyspark.ml.functions import vector_to_array
@@ -129,7 +105,6 @@ QUERIES = {
     "random_forest": _model_query(lambda: RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=20, seed=1)),
     "gbt_histogram": _model_query(lambda: GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=20, maxDepth=4, seed=1)),
     "svm_platt": lambda spark, d: platt_scores(_rows(spark, d), LinearSVC(featuresCol="x", labelCol="y", weightCol="weight", maxIter=30)),
-    "kcenter_greedy": lambda spark, d: kcenter_greedy(_read(spark, d, "embeddings").where("label <> 0"), _read(spark, d, "embeddings").where("label = 0 and vec_id < 100")),
     "pca_2d": lambda spark, d: pca_projection(_read(spark, d, "embeddings")),
     "streaming_label_counts": streaming_label_counts,
 }
