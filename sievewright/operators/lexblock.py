@@ -1,15 +1,18 @@
 """The query-conditioned lexical block: 22 columns of every paper against one brief of its silo.
 
-One pass over the texts counts, per silo, papers, tokens and the papers of each brief term; a second pass scores each paper
-within its row, next to its brief and those counts (a row per silo, which Spark broadcasts where its size allows).
-Ranks come from counts of distinct values, dealt by ranges. Blocks of empty term lists are NULL, not zero.
+Each text is read once: an automaton over its silo's brief gives its length, the brief's terms it holds and how often, and the phrases that occur. Everything else
+comes from these short rows: papers per term and lengths per silo are counts over them, scores a fold over a paper's own terms. The briefs that a pass looks
+up are bounded (``TERMS`` terms; more briefs take more passes). Ranks come from counts of distinct values, dealt by ranges, for the columns asked for alone.
+Blocks of empty term lists are NULL, not zero.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.automaton import Vocabulary
 from ..plans.catalogue import CATALOGUE as C
 from ..plans.held import held
 from .evaluation import share_ranks, tied_auc
@@ -17,6 +20,10 @@ from .evaluation import share_ranks, tied_auc
 #: The ranking function's constants.
 K1, B = 1.5, 0.75
 FIELDS = ("obj", "prob", "must", "nice", "dom")
+LISTS = ("must", "nice", "exclude")
+RANKED = [f"bm25_{f}" for f in FIELDS] + ["overlap_must_frac", "overlap_nice_frac"]
+#: Terms and phrases of briefs that one pass over the texts looks up: some tens of MB in each worker.
+TERMS = 500_000
 
 
 def norm_text(text) -> F.Column:
@@ -41,47 +48,79 @@ def prepared_briefs(briefs: DataFrame) -> DataFrame:
     return out.withColumn("every", F.array_distinct(F.concat(*[F.col(f"q.{f}") for f in FIELDS])))
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """Per silo: papers, mean length, and the weight of each brief term; the row of term "" counts the papers."""
-    seen = F.concat(F.array(F.lit("")), F.array_intersect("every", "ts"))
-    each = rows.select("silo", F.size("ts").alias("n"), F.explode(seen).alias("term")).groupBy("silo", "term").agg(F.count("*").alias("df"), F.sum("n").alias("len"))
-    pool = each.groupBy("silo").agg(F.max(F.when(F.col("term") == "", F.col("df"))).alias("docs"), F.max(F.when(F.col("term") == "", F.col("len"))).alias("len"), F.collect_list(F.when(F.col("term") != "", F.struct("term", "df"))).alias("dfs"))
-    idf = F.transform("dfs", lambda t: F.struct(t["term"].alias("key"), F.log1p((F.col("docs") - t["df"] + 0.5) / (t["df"] + 0.5)).alias("value")))
-    return pool.select("silo", (F.col("len") / F.col("docs")).alias("avgdl"), F.map_from_entries(idf).alias("idf"))
+READ = "n int, terms array<struct<id:int,f:int>>, hits array<int>"
 
 
-def _bm25(field: str) -> F.Column:
-    """Sum over the field's matched terms; 0 for empty papers, fields and silos."""
-    n = F.size("ts")
+def _reader(known: dict, columns: list[str]):
+    """``columns`` of every row with what its silo's vocabulary (None: that of all silos) finds in its text."""
 
-    def term(acc, t):
-        f = n - F.size(F.array_remove("ts", t))
-        return acc + F.col("idf")[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * n / F.col("avgdl")))
+    def run(batches):
+        vocabularies = {silo: Vocabulary(*v) for silo, v in known.items()}
+        for batch in batches:
+            every = vocabularies.get(None)
+            silos = batch.column("silo").to_pylist() if every is None else []
+            read = [(vocabularies[silos[i]] if every is None else every).read(t) for i, t in enumerate(batch.column("text").to_pylist())]
+            terms = [[{"id": i, "f": f} for i, f in r[1]] for r in read]
+            arrays = [pa.array([r[0] for r in read], pa.int32()), pa.array(terms, pa.list_(pa.struct([("id", pa.int32()), ("f", pa.int32())]))), pa.array([r[2] for r in read], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *arrays], [*columns, "n", "terms", "hits"])
+
+    return run
 
-    return F.aggregate(F.array_intersect(f"q.{field}", "ts"), F.lit(0.0), term)
 
+def read_papers(papers: DataFrame, briefs: DataFrame, columns: list[str], terms: int = TERMS) -> DataFrame:
+    """``columns`` of papers (silo, text, ...) of silos with a prepared brief, with n tokens, (id, f) of the brief's terms (numbered as in ``every``), phrases found of each list."""
+    size = briefs.agg(F.sum(F.size("every") + F.size(F.concat(*LISTS)) + 1)).first()[0] or 0
+    passes, out = max(1, -(-size // terms)), None
+    schema = ", ".join(f"{c} {t}" for c, t in papers.select(*columns).dtypes) + ", " + READ
+    for i in range(passes):
+        part = briefs if passes == 1 else briefs.where(F.pmod(F.xxhash64("silo"), F.lit(passes)) == i)
+        known = {r["silo"]: (r["every"], [r[c] for c in LISTS]) for r in part.select("silo", "every", *LISTS).collect()}  # ``terms`` entries, about
+        rows = papers.join(part.select("silo"), "silo").select(*dict.fromkeys([*columns, "silo", "text"]))
+        read = rows.mapInArrow(_reader(known, columns), schema)
+        out = read if out is None else out.union(read)
+    return out
 
-def matched_rows(papers: DataFrame, briefs: DataFrame) -> DataFrame:
-    """Papers with their tokens beside their silo's prepared brief (papers of silos without one go)."""
-    return papers.select("paper_id", "silo", tokens("text").alias("ts")).join(prepared_briefs(briefs), "silo")
 
+def _pools(read: DataFrame, briefs: DataFrame) -> DataFrame:
+    """silo, avgdl and idf by term number; terms that no paper holds weigh as if none did."""
+    papers = read.groupBy("silo").agg(F.count("*").alias("docs"), F.avg("n").alias("avgdl"))
+    df = read.select("silo", F.explode("terms.id").alias("id")).groupBy("silo", "id").agg(F.count("*").alias("df"))
+    every = briefs.select("silo", F.posexplode("every").alias("id", "term")).drop("term").join(df, ["silo", "id"], "left").join(papers, "silo")
+    df = F.coalesce(F.col("df"), F.lit(0))
+    idf = every.select("silo", F.struct("id", F.log1p((F.col("docs") - df + 0.5) / (df + 0.5)).alias("w")).alias("e")).groupBy("silo").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    return papers.join(idf.select("silo", F.col("e.w").alias("idf")), "silo", "left")
 
-def lexical_block(papers: DataFrame, briefs: DataFrame, ranks: bool = True) -> DataFrame:
-    """paper_id, silo and the block's columns for papers (paper_id, silo, text) and briefs (silo, item_id, obj, prob, dom, must, nice, exclude)."""
-    rows = matched_rows(papers, briefs)
-    rows = rows.join(_counts(rows), "silo")
-    body, n = F.concat(F.lit(" "), F.array_join("ts", " "), F.lit(" ")), F.size("ts")
-    out = [*[F.round(_bm25(f), 9).alias(f"bm25_{f}") for f in FIELDS], n.cast("double").alias("n_tokens")]
-    for name, terms in (("must", "must"), ("nice", "nice"), ("excl", "exclude")):
-        some = F.size(terms) > 0
-        hits = F.size(F.filter(terms, lambda t: (F.trim(t) != "") & F.contains(body, t)))
-        out += [F.when(some, hits.cast("double")).alias(f"overlap_{name}_n"), F.when(some, hits / F.size(terms)).alias(f"overlap_{name}_frac")]
+
+def _bm25(chosen) -> F.Column:
+    """Sum over the paper's terms for which ``chosen(id)`` holds; 0 for empty papers, fields and silos."""
+
+    def term(acc, t):
+        weight = F.get("idf", t["id"]) * t["f"] * (K1 + 1) / (t["f"] + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
+        return acc + F.when(chosen(t["id"]), weight).otherwise(0.0)
+
+    return F.aggregate("terms", F.lit(0.0), term)
+
+
+def lexical_block(papers: DataFrame, briefs: DataFrame, ranks: bool | list[str] = True, terms: int = TERMS) -> DataFrame:
+    """paper_id, silo and the block's columns for papers (paper_id, silo, text) and briefs (silo, item_id, obj, prob, dom, must, nice, exclude).
+
+    ``ranks``: rank columns of all of ``RANKED``, of those named, or of none."""
+    prepared = held(prepared_briefs(briefs), "briefs")
+    read = held(read_papers(papers, prepared, ["paper_id", "silo"], terms), "read")
+    fields = F.transform("every", lambda t: sum((F.array_contains(f"q.{f}", t).cast("int") * (1 << i) for i, f in enumerate(FIELDS)), F.lit(0)))
+    facts = prepared.select("silo", fields.alias("fields"), *[F.size(c).alias(f"of_{c}") for c in LISTS]).join(_pools(read, prepared), "silo")
+    rows, n = read.join(facts, "silo"), F.col("n")
+    out = [*[F.round(_bm25(lambda i, b=1 << k: F.get("fields", i).bitwiseAND(b) > 0), 9).alias(f"bm25_{f}") for k, f in enumerate(FIELDS)], n.cast("double").alias("n_tokens")]
+    for k, (name, listed) in enumerate(zip(("must", "nice", "excl"), LISTS)):
+        some, hits = F.col(f"of_{listed}") > 0, F.get("hits", F.lit(k))
+        out += [F.when(some, hits.cast("double")).alias(f"overlap_{name}_n"), F.when(some, hits / F.col(f"of_{listed}")).alias(f"overlap_{name}_frac")]
         if name != "excl":
             out.append(F.when(some & (n > 0), hits * 1000.0 / n).alias(f"overlap_{name}_per_1k"))
-    out.append((F.size("exclude") > 0).alias("has_exclude_terms"))
+    out.append((F.col("of_exclude") > 0).alias("has_exclude_terms"))
     rows = rows.select("paper_id", "silo", *out)
-    if ranks:
-        rows = share_ranks(rows, "silo", "paper_id", [f"bm25_{f}" for f in FIELDS] + ["overlap_must_frac", "overlap_nice_frac"])
+    ranked = RANKED if ranks is True else list(ranks or [])
+    if ranked:
+        rows = share_ranks(rows, "silo", "paper_id", ranked)
     return rows.select("paper_id", "silo", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes if c not in ("paper_id", "silo")])
 
 
@@ -97,20 +136,27 @@ def deranged(briefs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def transfer_matrix(papers: DataFrame, briefs: DataFrame, labels: DataFrame) -> DataFrame:
-    """brief, silo, AUC of each brief's objective score and must share over each silo's labels: one pass per text, all briefs within its row.
+    """brief, silo, AUC of each brief's objective score and must share over each silo's labels: one walk per text for the terms of all briefs.
 
-    briefs: a bounded set (tens); labels: paper_id, y.
+    labels: paper_id, y. A row is scored against every brief, which is what the matrix asks for; a worker holds the terms of all (at most ``TERMS``, else an error).
     """
-    rows = papers.join(labels, "paper_id").select("paper_id", "silo", "y", tokens("text").alias("ts"))
-    prepared = prepared_briefs(briefs)
-    every = prepared.select(F.explode("every").alias("t")).agg(F.collect_set("t").alias("every"))
-    pool = papers.select("silo", tokens("text").alias("ts")).crossJoin(F.broadcast(every))
-    rows = rows.join(_counts(pool), "silo")
-    each = prepared.agg(F.collect_list(F.struct(F.col("silo").alias("brief"), "q", "must")).alias("briefs"))
-    rows = rows.crossJoin(F.broadcast(each)).select("silo", "y", "ts", "idf", "avgdl", F.explode("briefs").alias("b")).select("silo", "y", "ts", "idf", "avgdl", "b.*")
-    body = F.concat(F.lit(" "), F.array_join("ts", " "), F.lit(" "))
-    must = F.when(F.size("must") > 0, F.size(F.filter("must", lambda t: F.contains(body, t))) / F.size("must"))
-    scored = held(rows.select("brief", "silo", "y", F.round(_bm25("obj"), 9).alias("bm25"), F.round(must, 9).alias("must")))
+    prepared = held(prepared_briefs(briefs), "briefs")
+    size = prepared.agg(F.sum(F.size("every") + F.size("must") + 1)).first()[0] or 0
+    if size > TERMS:
+        raise ValueError(f"{size} terms of briefs; a pass looks up {TERMS} at most")
+    listed = prepared.select("silo", "q.obj", "must").orderBy("silo").collect()  # ``TERMS`` entries at most
+    terms = sorted({t for r in listed for t in r["obj"]})
+    number = {t: i for i, t in enumerate(terms)}
+    columns = ["paper_id", "silo"]
+    schema = ", ".join(f"{c} {t}" for c, t in papers.select(*columns).dtypes) + ", " + READ
+    read = held(papers.select(*columns, "text").mapInArrow(_reader({None: (terms, [r["must"] for r in listed])}, columns), schema), "read")
+    every = read.sparkSession.createDataFrame([(i,) for i in range(len(terms))], "id int")
+    numbered = read.select("silo").distinct().join(F.broadcast(every.agg(F.sort_array(F.collect_list("id")).alias("every"))))  # one row of numbers beside each silo
+    rows = read.join(labels, "paper_id").join(_pools(read, numbered), "silo")
+    asked = read.sparkSession.createDataFrame([(i, r["silo"], [number[t] for t in r["obj"]], len(r["must"])) for i, r in enumerate(listed)], "at int, brief string, obj array<int>, of_must int")
+    rows = rows.join(F.broadcast(asked))  # each labelled row against each brief
+    must = F.when(F.col("of_must") > 0, F.get("hits", F.col("at")) / F.col("of_must"))
+    scored = held(rows.select("brief", "silo", "y", F.round(_bm25(lambda i: F.array_contains("obj", i)), 9).alias("bm25"), F.round(must, 9).alias("must")))
     out = tied_auc(scored, ["brief", "silo"], "bm25").withColumnRenamed("auc", "auc_bm25_obj").join(tied_auc(scored, ["brief", "silo"], "must").withColumnRenamed("auc", "auc_overlap_must"), ["brief", "silo"], "left")
     return out.select("brief", "silo", "auc_bm25_obj", "auc_overlap_must")
 
@@ -125,9 +171,12 @@ def _block(spark, sf_dir):
     return lexical_block(*_inputs(spark, sf_dir))
 
 
-def _columns(*names: str, ranks: bool = False):
+def _columns(*names: str):
+    """The named columns, and no ranks but theirs."""
+    ranked = [n.removeprefix("rank_") for n in names if n.startswith("rank_")]
+
     def run(spark, sf_dir):
-        return lexical_block(*_inputs(spark, sf_dir), ranks=ranks).select("paper_id", "silo", *names)
+        return lexical_block(*_inputs(spark, sf_dir), ranks=ranked).select("paper_id", "silo", *names)
 
     return run
 
@@ -146,9 +195,9 @@ def _transfer(spark, sf_dir):
 QUERIES = {
     "lexical_block": _block, "lexical_control": _control, "lexical_transfer_matrix": _transfer,
     "bm25_score": lambda s, d: lexical_block(*_inputs(s, d), ranks=False).select("silo", "paper_id", F.col("bm25_obj").alias("bm25")),
-    "bm25_fields": _columns(*[f"{p}bm25_{f}" for p in ("", "rank_") for f in FIELDS], ranks=True),
-    "overlap_must": _columns("overlap_must_n", "overlap_must_frac", "overlap_must_per_1k", "rank_overlap_must_frac", ranks=True),
-    "overlap_nice": _columns("overlap_nice_n", "overlap_nice_frac", "overlap_nice_per_1k", "rank_overlap_nice_frac", ranks=True),
+    "bm25_fields": _columns(*[f"{p}bm25_{f}" for p in ("", "rank_") for f in FIELDS]),
+    "overlap_must": _columns("overlap_must_n", "overlap_must_frac", "overlap_must_per_1k", "rank_overlap_must_frac"),
+    "overlap_nice": _columns("overlap_nice_n", "overlap_nice_frac", "overlap_nice_per_1k", "rank_overlap_nice_frac"),
     "overlap_excl": _columns("overlap_excl_n", "overlap_excl_frac", "has_exclude_terms"),
 }
 
