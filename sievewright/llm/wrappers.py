@@ -3,12 +3,13 @@
 A page's token stream becomes an expression of nested items: an element is one item with the items of its
 content, neighbours that match are folded into one repeated item, and text is a slot. The pages of a host
 are aligned one after the other, in the order of their expressions: items that match are merged, items that do not become optional,
-texts that differ become slots while equal ones stay constants. The result is the host's wrapper. A host's pages are dealt into
-buckets of about ``BUCKET_PAGES`` by a hash of their expressions, and buckets' wrappers are merged ``FAN_IN`` at a time, so
+texts that differ become slots while equal ones stay constants. The result is the host's wrapper. Pages of one expression count once, so copies of a page change
+nothing. A host's distinct expressions are dealt into buckets of about ``BUCKET_PAGES`` by their digest, and buckets' wrappers are merged ``FAN_IN`` at a time, so
 neither a host's rows nor its wrappers meet in one task, and the wrapper does not depend on how rows are dealt to tasks.
 
 The wrapper decides what of a page is main text, item by item (an item is known by its path of labels):
-- constants on ``CONSTANT_PAGES`` pages or more are template;
+- constants on ``CONSTANT_PAGES`` distinct pages or more, and on most of those that have the item around them, are template, but not the headings, paragraphs, list
+  items, ... of main items: what an article says on every page (a heading, a byline) is its own;
 - items most of whose varying text stands in two links or more a page are menus, unless most of the host's prose is below them;
 - items that HTML or their class names call apart (nav, footer, aside, adverts, forms, comments, ...) are template, unless the wrapper
   shows that nearly all prose of the host, or its main items, are below them (reader comments never are main);
@@ -56,6 +57,8 @@ APART_WORDS = frozenset(
     "sidebar widget related share sharing social nav navbar navigation menu breadcrumb breadcrumbs footer comment comments disqus respond replies toolbar pagination pager skip".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Blocks of prose: constants in them stay within main items.
+PROSE = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 CONSTANT_PAGES = 4
 #: Levels of a wrapper; pages are read to any depth.
 DEPTH = 150
@@ -70,7 +73,8 @@ _TOKEN = re.compile(_OTHER + r"|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(
 #: Tags that end at the next >, from the first such tag on: quotes can no longer be trusted there.
 _LOOSE = re.compile(_OTHER + r"|</?[a-zA-Z][^>]*+(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_DIGITS = re.compile(r"\d{3,}")  # numbers in class names, which differ from page to page
+#: What differs from page to page in class names: letters mixed with digits (generated names), numbers.
+_GENERATED = re.compile(r"(?<![a-z0-9])(?=[a-z]*\d)(?=\d*[a-z])[a-z0-9]{5,}(?![a-z0-9])|\d{3,}")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _raw_end = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
@@ -96,7 +100,7 @@ def _node(tag: str, raw: str) -> Node:
     comments = not body and bool(words & COMMENT_WORDS) and (not main or "comment" in words)
     apart = tag in APART or tag in RAW or role in APART_ROLES or not body and not main and bool(words & APART_WORDS)
     mark = "?" if comments else "!" if apart else "*" if main else ""
-    return Node(tag + "".join(f".{w}" for w in sorted({_DIGITS.sub("0", w) for w in attrs.get("class", "").split()})) + mark, tag, hidden)
+    return Node(tag + "".join(f".{w}" for w in sorted({_GENERATED.sub("0", w) for w in attrs.get("class", "").split()})) + mark, tag, hidden)
 
 
 def parse(page: str) -> Node:
@@ -339,12 +343,12 @@ def rules(wrapper: list) -> dict:
     """What extraction needs of a wrapper: template texts ("not"), paths of template items ("drop") and of main items ("main")."""
     constants, masses = [], {}
 
-    def walk(item: list, path: str, link: bool) -> _Mass:
+    def walk(item: list, path: str, link: bool, around: int) -> _Mass:
         here = f"{path}/{item[LABEL]}"
         below = _Mass()
         if item[LABEL] == "#":
-            if item[TEXT] != "*" and item[PAGES] >= CONSTANT_PAGES:
-                constants.append(f"{path}|{item[TEXT]}")
+            if item[TEXT] != "*" and item[PAGES] >= CONSTANT_PAGES and 2 * item[PAGES] > around:
+                constants.append((path, item[TEXT]))
             elif link:
                 below.link = item[CHARS]
             else:
@@ -352,7 +356,7 @@ def rules(wrapper: list) -> dict:
             return below
         is_link = item[LABEL].partition(".")[0].rstrip("!?*") == "a"
         for k in item[KIDS]:
-            m = walk(k, here, link or is_link)
+            m = walk(k, here, link or is_link, item[PAGES])
             below.prose, below.link, below.links = below.prose + m.prose, below.link + m.link, below.links + m.links
         below.links = item[PAGES] if is_link else below.links
         if item[REPEATED]:
@@ -361,7 +365,7 @@ def rules(wrapper: list) -> dict:
         known.prose, known.link, known.links, known.pages = known.prose + below.prose, known.link + below.link, known.links + below.links, known.pages + item[PAGES]
         return below
 
-    walk(wrapper, "", False)
+    walk(wrapper, "", False, wrapper[PAGES])
     every = masses[f"/{wrapper[LABEL]}"]
     total = every.prose
     menus = {p for p, m in masses.items() if m.menu() and 2 * m.prose <= total} if total else set()
@@ -381,7 +385,16 @@ def rules(wrapper: list) -> dict:
     other = (total - sum(masses[p].prose for p in first if not any(q in main for q in above(p)))) * min(1.0, pages / max(1, every.pages))
     if 2 * held < other:
         main = []
-    return {"not": constants if total else [], "drop": sorted(first), "main": sorted(p for p in main if not any(q in first for q in [*above(p), p]))}
+    main = sorted(p for p in main if not any(q in first for q in [*above(p), p]))
+    own = set(main)
+
+    def said(path: str) -> bool:
+        """Whether a text there belongs to a main item: its nearest block is one of prose."""
+        tags = [x.partition(".")[0].rstrip("!?*") for x in path.split("/")]
+        return any(q in own for q in [*above(path), path]) and next((t for t in reversed(tags) if t in BLOCK), "") in PROSE
+
+    outside = [f"{p}|{t}" for p, t in constants if not said(p)]
+    return {"not": outside if total else [], "drop": sorted(first), "main": main}
 
 
 def extract(page: str, rule: dict) -> str:
@@ -446,11 +459,13 @@ def _read(root: Node, main: frozenset | None, dropped: frozenset, drop: frozense
 
 def infer(pages: DataFrame, scratch: Scratch, bucket_pages: int = BUCKET_PAGES, fan_in: int = FAN_IN) -> DataFrame:
     """host, rules, wrapper: one row per host."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html")
-    counts = scratch.save(rows.groupBy("host").agg(F.ceil(F.count("*") / bucket_pages).cast("long").alias("buckets")), "counts")
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_expressions, "host string, wrapper string")
+    # copies of a page have one expression: each counts once, whatever its rows
+    parts = rows.withColumn("mark", F.md5("wrapper")).groupBy("host", "mark").agg(F.first("wrapper").alias("wrapper"))
+    parts = scratch.save(parts, "expressions")
+    counts = scratch.save(parts.groupBy("host").agg(F.ceil(F.count("*") / bucket_pages).cast("long").alias("buckets")), "counts")
     most = counts.agg(F.max("buckets")).first()[0] or 1
-    parts = rows.mapInArrow(_expressions, "host string, wrapper string").join(counts, "host")
-    parts = parts.select("host", F.pmod(F.xxhash64("wrapper"), F.col("buckets")).alias("bucket"), "wrapper")
+    parts = parts.join(counts, "host").select("host", F.pmod(F.xxhash64("mark"), F.col("buckets")).alias("bucket"), "wrapper")
     schema = "host string, bucket long, wrapper string"
     parts = scratch.save(parts.groupBy("host", "bucket").applyInArrow(_merged, schema), "merged0")
     step = 0

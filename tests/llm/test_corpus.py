@@ -485,6 +485,34 @@ def untagged(i, rng):
     return page, "\n".join([f"Title {i}", *paras])
 
 
+def test_html_copies_and_fixed_lines_of_articles(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+    frame = "<body><nav>{0}</nav><div class=top>House of text</div><article><h1>{1}</h1><p class=by>By Jane Doe</p>{2}<h3>Conclusion</h3><p>{3}</p></article><footer>Write to us</footer></body>"
+    made = [(frame.format("home", f"Title {i}", f"<p>{words(30)}</p>", words(20)), i) for i in range(30)]
+    odd = frame.format("home", "Odd one", f"<blockquote>{words(25)}</blockquote><pre>{words(9)}</pre>", words(20))
+    read = lambda pages: {r.page_id: r.text for r in wrappers.extract_pages(spark.createDataFrame([(i, "http://c.example/x", p) for p, i in pages], "page_id long, url string, html string")).collect()}
+    one, four = read([*made, (odd, 100)]), read([*made, *[(odd, 100 + k) for k in range(5)], *[made[3]] * 1])
+    assert one[100] == four[100] == four[104] and [len(one[i].split("\n")) for i in (0, 29, 100)] == [5, 5, 6]
+    assert all(one[i] == four[i] for i in range(30))  # copies of a page change no other page's text
+    assert all(t.split("\n")[1] == "By Jane Doe" and "\nConclusion\n" in t and "House" not in t and "Write" not in t and "home" not in t for t in one.values())
+    few = read(made[:3])
+    assert all(few[i] == one[i] for i in range(3))  # however many pages a host has
+
+
+def test_html_generated_class_names_keep_a_wrapper_small():
+    rng = np.random.default_rng(12)
+    name = lambda: "".join(rng.choice(list("abcdef0123456789"), 6)) + "4a"
+    page = lambda i: f"<body><div class='css-{name()} box'><p class='{name()}'>text {i}</p></div><div class=x{name()}-q>Write</div></body>"
+    sizes, w = [], None
+    for i in range(400):
+        e = wrappers.expression(wrappers.parse(page(i)))
+        w = e if w is None else wrappers.merge(w, e)
+        if i in (20, 399):
+            sizes.append(len(json.dumps(w)))
+    assert sizes[1] < sizes[0] + 40
+
+
 def test_html_without_telling_names(spark):
     rng = np.random.default_rng(1)
     made = [untagged(i, rng) for i in range(40)]
