@@ -45,7 +45,7 @@ def prepared_briefs(briefs: DataFrame) -> DataFrame:
     q = F.struct(*[F.array_distinct(tokens(texts[f])).alias(f) for f in FIELDS])
     phrases = lambda c: F.transform(F.col(f"b.{c}"), lambda x: F.concat(F.lit(" "), F.array_join(tokens(x), " "), F.lit(" ")))
     out = one.select("silo", q.alias("q"), *[phrases(c).alias(c) for c in ("must", "nice", "exclude")])
-    return out.withColumn("every", F.array_distinct(F.concat(*[F.col(f"q.{f}") for f in FIELDS])))
+    return out.withColumn("every", F.array_distinct(F.concat(*[F.col(f"q.{f}") for f in FIELDS]))).withColumn("lists", F.array(*LISTS))
 
 
 READ = "n int, terms array<struct<id:int,f:int>>, hits array<int>"
@@ -68,13 +68,13 @@ def _reader(known: dict, columns: list[str]):
 
 
 def read_papers(papers: DataFrame, briefs: DataFrame, columns: list[str], terms: int = TERMS) -> DataFrame:
-    """``columns`` of papers (silo, text, ...) of silos with a prepared brief, with n tokens, (id, f) of the brief's terms (numbered as in ``every``), phrases found of each list."""
-    size = briefs.agg(F.sum(F.size("every") + F.size(F.concat(*LISTS)) + 1)).first()[0] or 0
+    """``columns`` of papers (silo, text, ...) of silos with a prepared brief (silo, every, lists), with n tokens, (id, f) of its terms ``every``, phrases found of each of its ``lists``."""
+    size = briefs.agg(F.sum(F.size("every") + F.size(F.flatten("lists")) + 1)).first()[0] or 0
     passes, out = max(1, -(-size // terms)), None
     schema = ", ".join(f"{c} {t}" for c, t in papers.select(*columns).dtypes) + ", " + READ
     for i in range(passes):
         part = briefs if passes == 1 else briefs.where(F.pmod(F.xxhash64("silo"), F.lit(passes)) == i)
-        known = {r["silo"]: (r["every"], [r[c] for c in LISTS]) for r in part.select("silo", "every", *LISTS).collect()}  # ``terms`` entries, about
+        known = {r["silo"]: (r["every"], r["lists"]) for r in part.select("silo", "every", "lists").collect()}  # ``terms`` entries, about
         rows = papers.join(part.select("silo"), "silo").select(*dict.fromkeys([*columns, "silo", "text"]))
         read = rows.mapInArrow(_reader(known, columns), schema)
         out = read if out is None else out.union(read)
@@ -107,9 +107,19 @@ def lexical_block(papers: DataFrame, briefs: DataFrame, ranks: bool | list[str]
     ``ranks``: rank columns of all of ``RANKED``, of those named, or of none."""
     prepared = held(prepared_briefs(briefs), "briefs")
     read = held(read_papers(papers, prepared, ["paper_id", "silo"], terms), "read")
+    facts = prepared.select("silo", *_facts()).join(_pools(read, prepared), "silo")
+    return _columns_of(read.join(facts, "silo").withColumn("unit", F.col("silo")).withColumn("row", F.col("paper_id")), ranks)
+
+
+def _facts() -> list[F.Column]:
+    """Which fields hold each term of ``every`` (a bit each), and the lists' lengths."""
     fields = F.transform("every", lambda t: sum((F.array_contains(f"q.{f}", t).cast("int") * (1 << i) for i, f in enumerate(FIELDS)), F.lit(0)))
-    facts = prepared.select("silo", fields.alias("fields"), *[F.size(c).alias(f"of_{c}") for c in LISTS]).join(_pools(read, prepared), "silo")
-    rows, n = read.join(facts, "silo"), F.col("n")
+    return [fields.alias("fields"), *[F.size(c).alias(f"of_{c}") for c in LISTS]]
+
+
+def _columns_of(rows: DataFrame, ranks: bool | list[str], keep: tuple[str, ...] = ("paper_id", "silo")) -> DataFrame:
+    """``keep`` and the block's columns of read papers beside the facts of a brief; ranks within ``unit`` of each ``row``."""
+    n = F.col("n")
     out = [*[F.round(_bm25(lambda i, b=1 << k: F.get("fields", i).bitwiseAND(b) > 0), 9).alias(f"bm25_{f}") for k, f in enumerate(FIELDS)], n.cast("double").alias("n_tokens")]
     for k, (name, listed) in enumerate(zip(("must", "nice", "excl"), LISTS)):
         some, hits = F.col(f"of_{listed}") > 0, F.get("hits", F.lit(k))
@@ -117,11 +127,27 @@ def lexical_block(papers: DataFrame, briefs: DataFrame, ranks: bool | list[str]
         if name != "excl":
             out.append(F.when(some & (n > 0), hits * 1000.0 / n).alias(f"overlap_{name}_per_1k"))
     out.append((F.col("of_exclude") > 0).alias("has_exclude_terms"))
-    rows = rows.select("paper_id", "silo", *out)
+    rows = rows.select("unit", "row", *[c for c in keep if c not in ("unit", "row")], *out)
     ranked = RANKED if ranks is True else list(ranks or [])
     if ranked:
-        rows = share_ranks(rows, "silo", "paper_id", ranked)
-    return rows.select("paper_id", "silo", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes if c not in ("paper_id", "silo")])
+        rows = share_ranks(rows, "unit", "row", ranked)
+    return rows.select(*keep, *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes if c not in ("unit", "row", *keep)])
+
+
+def block_variants(papers: DataFrame, briefs: DataFrame, ranks: bool | list[str] = False) -> DataFrame:
+    """paper_id, silo, variant and the block's columns for every variant of a silo's brief: briefs as for ``lexical_block`` and variant, one row each. A text is read once for all."""
+    each = held(prepared_briefs(briefs.withColumn("_silo", F.col("silo")).withColumn("silo", F.to_json(F.struct("_silo", "variant")))), "briefs")
+    each = each.withColumn("key", F.from_json("silo", "_silo string, variant string")).select(F.col("key._silo").alias("silo"), "key.variant", "q", *LISTS, "every")
+    own = F.sort_array(F.collect_list(F.struct("variant", "every", *LISTS)))
+    joint = each.groupBy("silo").agg(own.alias("v"))  # as many entries as variants
+    joint = joint.select("silo", F.array_distinct(F.flatten("v.every")).alias("every"), F.flatten(F.transform("v", lambda x: F.array(*[x[c] for c in LISTS]))).alias("lists"), F.col("v.variant").alias("variants"))
+    joint = held(joint, "joint")
+    read = held(read_papers(papers, joint, ["paper_id", "silo"]), "read")
+    pools = _pools(read, joint)
+    facts = joint.select("silo", "every", F.posexplode("variants").alias("at", "variant")).join(each.select("silo", "variant", "q", *LISTS), ["silo", "variant"])
+    rows = read.join(facts.select("silo", "variant", "at", *_facts()).join(pools, "silo"), "silo").withColumn("hits", F.slice("hits", F.col("at") * len(LISTS) + 1, len(LISTS)))
+    rows = rows.withColumn("unit", F.to_json(F.struct("silo", "variant"))).withColumn("row", F.to_json(F.struct("paper_id", "variant")))
+    return _columns_of(rows, ranks, ("paper_id", "silo", "variant"))
 
 
 def deranged(briefs: DataFrame, seed: int = 7) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalogue import CATALOGUE as C
 from ..plans.held import held
-from .lexblock import _inputs, lexical_block, tokens
+from .lexblock import _inputs, block_variants, tokens
 
 #: Filler prose, a vague request, words that match almost any paper.
 FLUFF = (
@@ -176,24 +176,59 @@ def variants(specs: DataFrame, names: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def as_briefs(specs: DataFrame, key: str = "silo") -> DataFrame:
-    """The lexical block's view of specs: the domain is industry, application and focus."""
-    return specs.select(F.col(key).alias("silo"), F.lit(0).alias("item_id"), F.col("objective").alias("obj"), F.col("problem").alias("prob"), F.concat_ws(" ", "industry", "application", F.array_join("focus", " ")).alias("dom"), "must", "nice", "exclude")
+def as_briefs(specs: DataFrame, *more: str) -> DataFrame:
+    """The lexical block's view of specs, with ``more`` columns: the domain is industry, application and focus."""
+    return specs.select("silo", *more, F.lit(0).alias("item_id"), F.col("objective").alias("obj"), F.col("problem").alias("prob"), F.concat_ws(" ", "industry", "application", F.array_join("focus", " ")).alias("dom"), "must", "nice", "exclude")
 
 
-def ablation(papers: DataFrame, specs: DataFrame, labels: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """variant, feature, n_silos, mean AUC over silos of unfitted rankers (null where no silo has a value), one pass per variant."""
+UNFITTED = ("bm25_nice", "bm25_obj", "overlap_must_frac")
+
+
+def variant_blocks(papers: DataFrame, specs: DataFrame, ranks: bool | list[str] = False) -> DataFrame:
+    """The lexical block of every paper under each of the 19 variants of its silo's spec."""
+    return block_variants(papers, as_briefs(held(variants(specs), "variants"), "variant"), ranks)
+
+
+def ablation(papers: DataFrame, specs: DataFrame, labels: DataFrame, least: int = 5) -> DataFrame:
+    """variant, feature, n_silos, mean AUC over silos of unfitted rankers on the held-out labels (paper_id, y, held).
+
+    A silo counts with ``least`` positives or more among them; a ranker that is null for any of its rows is undefined there."""
     from .evaluation import tied_auc
 
-    features = ("bm25_nice", "bm25_obj", "overlap_must_frac")
-    out = None
-    for name in names or _mutations():
-        block = lexical_block(papers, as_briefs(variants(specs, [name])), ranks=False).join(labels, "paper_id")
-        long = block.select(F.lit(name).alias("variant"), "silo", "y", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("score")) for f in features])).alias("v")).select("variant", "silo", "y", "v.*")
-        out = long if out is None else out.union(long)
-    got = tied_auc(held(out, "ablation"), ["variant", "silo", "feature"])
-    every = out.select("variant", "feature").distinct()
-    return every.join(got.groupBy("variant", "feature").agg(F.count("auc").alias("n_silos"), F.round(F.avg("auc"), 6).alias("mean_auc")), ["variant", "feature"], "left")
+    block = held(variant_blocks(papers, specs).select("paper_id", "silo", "variant", *UNFITTED).join(labels.where("held"), "paper_id"), "ablation")
+    enough = block.groupBy("silo", "variant").agg(F.sum("y").alias("p"), *[F.count_if(F.col(c).isNull()).alias(f"none_{c}") for c in UNFITTED]).where(F.col("p") >= least)
+    rows = block.join(enough, ["silo", "variant"])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("score"), (F.col(f"none_{c}") == 0).alias("whole")) for c in UNFITTED]))
+    long = rows.select("variant", "silo", "y", each.alias("f")).select("variant", "silo", "y", "f.*").where("whole")
+    got = tied_auc(long, ["variant", "silo", "feature"]).groupBy("variant", "feature").agg(F.count("auc").alias("n_silos"), F.round(F.avg("auc"), 6).alias("mean_auc"))
+    every = block.select("variant").distinct().select("variant", F.explode(F.array(*map(F.lit, UNFITTED))).alias("feature"))
+    return every.join(got, ["variant", "feature"], "left").withColumn("n_silos", F.coalesce("n_silos", F.lit(0).cast("long")))
+
+
+def ablation_fitted(papers: DataFrame, specs: DataFrame, labels: DataFrame, n_pos: int = 30, n_neg: int = 30, seeds: int = 3, c: float = 0.0005, least: int = 5) -> DataFrame:
+    """variant, silo, n_seeds, AUC on the held-out labels of a logistic model over the block, fitted on ``n_pos`` and ``n_neg`` drawn labels of the rest; one pass for all variants.
+
+    The draws are the same for every variant; silos with fewer labels of a class are left out."""
+    from . import manymodels
+    from .evaluation import tied_auc
+    from .folds import draw_order
+
+    block = variant_blocks(papers, specs, True).drop("has_exclude_terms")
+    numbers = [x for x in block.columns if x not in ("paper_id", "silo", "variant")]
+    rows = held(block.join(labels, "paper_id").select("paper_id", "silo", "variant", "y", "held", F.array(*numbers).alias("x")), "blocks")
+    known = rows.select("paper_id", "silo", "y", "held").distinct()
+    sizes = known.groupBy("silo").agg(F.count_if(~F.col("held") & (F.col("y") == 1)).alias("p"), F.count_if(~F.col("held") & (F.col("y") == 0)).alias("n"), F.count_if(F.col("held") & (F.col("y") == 1)).alias("k"))
+    silos = held(sizes.where((F.col("p") >= n_pos) & (F.col("n") >= n_neg) & (F.col("k") >= least)).select("silo"), "silos")
+    drawn = draw_order(known.where("not held").join(silos, "silo").select("*", F.explode(F.array(*[F.lit(s) for s in range(seeds)])).alias("seed")), ["silo", "seed", "y"], "paper_id", "ablation")
+    drawn = drawn.where(F.col("at") < F.when(F.col("y") == 1, n_pos).otherwise(n_neg)).select("paper_id", "seed")
+    key = lambda *parts: F.concat_ws("|", *[F.col(p).cast("string") for p in parts])
+    cells = rows.join(drawn, "paper_id").select(key("variant", "silo", "seed").alias("cell"), F.col("paper_id").alias("id"), "y", "x")
+    packed = manymodels.blocks(cells.union(rows.where("held").join(silos, "silo").select(key("variant", "silo"), "paper_id", "y", "x")))
+    models = rows.select("variant", "silo").distinct().join(silos, "silo").select("*", F.explode(F.array(*[F.lit(s) for s in range(seeds)])).alias("seed"))
+    models = held(models.withColumn("model", key("variant", "silo", "seed")), "designs")
+    state = manymodels.fit(packed, models.select("model", F.lit(c).alias("c"), F.lit(None).cast("array<int>").alias("cols")), models.select("model", F.col("model").alias("cell")))
+    got = manymodels.scores(packed, state, models.select("model", key("variant", "silo").alias("cell"))).join(models, "model")
+    return tied_auc(got, ["variant", "silo", "seed"]).groupBy("variant", "silo").agg(F.count("auc").alias("n_seeds"), F.round(F.avg("auc"), 6).alias("auc"))
 
 
 def near_duplicate(a, b) -> F.Column:
@@ -258,9 +293,10 @@ def _like(text, pattern: str) -> F.Column:
     return F.rlike(text, F.lit(f"(?iU){pattern}"))
 
 
-def classified(found: DataFrame, reading: str = "narrow") -> DataFrame:
-    """``found`` with label, rule and dual_fire: the first rule that fires, and whether one of the other camp fires too."""
-    lexicon, comparator, conditional, _ = READINGS[reading]
+def classified(found: DataFrame, lexicon: list[str] | None = None, reading: str = "narrow") -> DataFrame:
+    """``found`` with label, rule and dual_fire: the first rule that fires, and whether one of the other camp fires too. ``lexicon``: other judgement words than the reading's."""
+    words, comparator, conditional, _ = READINGS[reading]
+    lexicon = words if lexicon is None else lexicon
     t, like = F.col("span"), lambda p: _like(F.col("span"), p)
     judged = like(r"\b(?:" + "|".join(lexicon) + r")\b")
     metric = like(r"\b(?:" + "|".join(sorted(METRIC_HEADS, key=len, reverse=True)) + r")\b") & ~judged
@@ -303,7 +339,7 @@ def _spans(s, d):
 
 def _read_both(s, d):
     found = held(_spans(s, d), "spans")
-    return reduce(DataFrame.union, [classified(found, r).withColumn("reading", F.lit(r)) for r in READINGS])
+    return reduce(DataFrame.union, [classified(found, reading=r).withColumn("reading", F.lit(r)) for r in READINGS])
 
 
 def _readings(s, d, *by):
@@ -311,7 +347,22 @@ def _readings(s, d, *by):
 
 
 def _labels(s, d):
-    return s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("paper_id"), (1 - F.col("quality")).alias("y"))
+    """Labels, every other one held out."""
+    return s.read.parquet(f"{d}/labels.parquet").where("quality is not null").select(F.col("doc_id").alias("paper_id"), (1 - F.col("quality")).alias("y"), (F.col("doc_id") % 2 == 1).alias("held"))
+
+
+def _papers(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("silo"), "text")
+
+
+def _fitted(s, d):
+    """Languages as silos, so that they have labels enough, each with one of the sources' specs; every fifth label is held out."""
+    from pyspark.sql import Window
+
+    docs = s.read.parquet(f"{d}/documents.parquet").where("lang is not null")
+    names = docs.select("lang").distinct().withColumn("of", F.concat(F.lit("src"), F.row_number().over(Window.orderBy("lang")) - 1))  # a row a language
+    specs = _specs(s, d).withColumnRenamed("silo", "of").join(names, "of").withColumnRenamed("lang", "silo").drop("of")
+    return ablation_fitted(docs.select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("silo"), "text"), specs, _labels(s, d).withColumn("held", F.col("paper_id") % 5 == 1))
 
 
 def _evidence(s, d):
@@ -329,7 +380,7 @@ QUERIES = {
     "normalise_spec": lambda s, d: normalise(_specs(s, d)).select("silo", *TEXTS, *[F.array_join(c, ";").alias(c) for c in LISTS]), "generic_share": lambda s, d: normalise(_specs(s, d)).select("silo", F.round(generic_share(F.col("objective")), 6).alias("share")),
     "instruction_shaped": lambda s, d: normalise(_specs(s, d)).select("silo", instruction_shaped(F.col("objective")).alias("shaped")), "exclude_asserted": lambda s, d: normalise(_specs(s, d)).select("silo", F.array_join(asserted(F.col("objective"), F.col("exclude")), "|").alias("asserted")),
     "lint": lambda s, d: lint(_specs(s, d)), "escalation": lambda s, d: escalation(_specs(s, d)), "linter_selftest": lambda s, d: selftest(s), "spec_variants": lambda s, d: variants(_specs(s, d)).select("silo", "variant", F.md5(F.concat_ws("|", *TEXTS, *[F.array_join(c, ";") for c in LISTS])).alias("body")),
-    "ablation_eval": lambda s, d: ablation(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("silo"), "text"), _specs(s, d), _labels(s, d), ["full", "no_obj", "no_nice", "must_only_one"]),
+    "ablation_eval": lambda s, d: ablation(_papers(s, d), _specs(s, d), _labels(s, d)), "ablation_fitted": _fitted,
     "optimise_spec": lambda s, d: optimise(_specs(s, d)).select("silo", "objective", "industry", "application", *[F.array_join(c, ";").alias(c) for c in ("must", "nice", "exclude")], F.size("provenance").alias("steps")),
     "span_extract": lambda s, d: _spans(s, d).groupBy("conv_id", "turn").agg(F.count("*").alias("spans")), "classify_span": lambda s, d: _readings(s, d, "label", "rule", "dual_fire").agg(F.count("*").alias("n")),
     "checkability": lambda s, d: checkability(_read_both(s, d), ["reading", "conv_id"]), "evidence_availability": _evidence, "spec_measures": _measures,
@@ -348,7 +399,7 @@ CASE item_id % 11 WHEN 3 THEN must[1:1] WHEN 10 THEN must || exclude[1:1] ELSE m
     found = f"{spec}, f AS (" + " UNION ALL ".join(f"SELECT silo, {i} AS n, '{sev}' AS severity, '{name}' AS finding FROM s WHERE {test}" for i, (name, sev, test) in enumerate(tests)) + ")"
     joined = "array_to_string({0}, ';')"
     return _span_oracles() | {
-        "spec_variants": _variants_sql(spec),
+        "spec_variants": _variants_sql(spec), "ablation_eval": _ablation_sql(spec),
         "normalise_spec": f"{spec} SELECT silo, name, objective, problem, industry, application, {', '.join(joined.format(c) + ' AS ' + c for c in LISTS)} FROM s", "generic_share": f"{spec} SELECT silo, round({share}, 6) AS share FROM s", "instruction_shaped": f"{spec} SELECT silo, {shaped} AS shaped FROM s",
         "exclude_asserted": f"{spec} SELECT silo, array_to_string({bad}, '|') AS asserted FROM s", "lint": f"{found} SELECT silo, row_number() OVER (PARTITION BY silo ORDER BY n) - 1 AS place, severity, finding FROM f",
         "escalation": f"{found} SELECT silo, count(CASE WHEN severity <> 'note' THEN 1 END) AS findings, count(CASE WHEN severity <> 'note' THEN 1 END) >= 2 AS compound FROM f GROUP BY silo",
@@ -374,6 +425,22 @@ def _variants_sql(spec: str) -> str:
     return f"{spec}, v AS ({' UNION ALL '.join(parts)}) SELECT silo, variant, md5(concat_ws('|', {body})) AS body FROM v"
 
 
+def _ablation_sql(spec: str) -> str:
+    """Scores from exploded tokens, AUC as a count of pairs, variant by variant."""
+    tok = "regexp_extract_all(trim(regexp_replace(translate(lower(coalesce({0}, '')), '-/', '  '), '[ \\t\\n\\r]+', ' ', 'g')), '[a-z0-9]+')"
+    v = _variants_sql(spec).rsplit(" SELECT silo, variant, md5", 1)[0]
+    return f"""{v}, p AS (SELECT doc_id, source AS silo, {tok.format('text')} AS ts FROM documents), pool AS (SELECT silo, count(*) AS docs, avg(len(ts)) AS avgdl FROM p GROUP BY silo),
+t AS (SELECT doc_id, silo, len(ts) AS n, unnest(ts) AS term FROM p), tf AS (SELECT doc_id, silo, n, term, count(*) AS f FROM t GROUP BY ALL), df AS (SELECT silo, term, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT DISTINCT silo, variant, 'bm25_obj' AS feature, unnest({tok.format('objective')}) AS term FROM v UNION SELECT DISTINCT silo, variant, 'bm25_nice', unnest({tok.format("array_to_string(nice, ' ; ')")}) FROM v),
+sc AS (SELECT doc_id, variant, feature, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n / avgdl))) AS s FROM tf JOIN q USING (silo, term) JOIN df USING (silo, term) JOIN pool USING (silo) GROUP BY ALL),
+l AS (SELECT p.doc_id, p.silo, ts, 1 - quality AS y FROM p JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND doc_id % 2 = 1),
+b AS (SELECT l.doc_id, l.silo, y, v.variant, feature, round(coalesce(s, 0), 6) AS s FROM l JOIN v USING (silo) CROSS JOIN (SELECT unnest(['bm25_obj', 'bm25_nice']) AS feature) LEFT JOIN sc USING (doc_id, variant, feature)
+  UNION ALL SELECT doc_id, l.silo, y, variant, 'overlap_must_frac', round(len(list_filter(must, lambda m: contains(' ' || array_to_string(ts, ' ') || ' ', ' ' || array_to_string({tok.format('m')}, ' ') || ' '))) / nullif(len(must), 0), 6) FROM l JOIN v USING (silo)),
+k AS (SELECT silo FROM l GROUP BY silo HAVING sum(y) >= 5), w AS (SELECT silo, variant, feature FROM b JOIN k USING (silo) GROUP BY ALL HAVING count(s) = count(*)),
+a AS (SELECT x.silo, x.variant, x.feature, round(avg(CASE WHEN x.s > z.s THEN 1.0 WHEN x.s = z.s THEN 0.5 ELSE 0 END), 6) AS auc FROM b x JOIN w ON x.silo = w.silo AND x.variant = w.variant AND x.feature = w.feature JOIN b z ON x.silo = z.silo AND x.variant = z.variant AND x.feature = z.feature AND x.y = 1 AND z.y = 0 GROUP BY ALL)
+SELECT b.variant, b.feature, count(DISTINCT a.silo) AS n_silos, round(avg(DISTINCT_AUC), 6) AS mean_auc FROM (SELECT DISTINCT variant, feature FROM b) b LEFT JOIN a USING (variant, feature) GROUP BY b.variant, b.feature""".replace("DISTINCT_AUC", "auc")
+
+
 def _span_oracles() -> dict[str, str]:
     """Readings of their own: sentences by marks set behind stops, word limits spelled out for letters of all alphabets."""
     edge = lambda words: f"(?i)(?:^|[^\\pL\\pN_])(?:{words})(?:$|[^\\pL\\pN_])"

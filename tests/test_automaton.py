@@ -34,3 +34,13 @@ def test_block_in_several_passes(spark):
     assert len(one) == sum(i % 7 < 6 for i in range(80))
     assert sorted(map(tuple, lexblock.lexical_block(papers, briefs, terms=9).collect())) == one
     assert lexblock.lexical_block(papers.limit(0), briefs).count() == lexblock.lexical_block(papers, briefs.limit(0)).count() == 0
+
+
+def test_variants_of_a_brief_equal_blocks_of_their_own(spark):
+    papers = spark.createDataFrame([(i, f"s{i % 3}", f"alpha beta w{i % 5} gamma delta " * (i % 4)) for i in range(40)], "paper_id long, silo string, text string")
+    schema = "silo string, variant string, item_id int, obj string, prob string, dom string, must array<string>, nice array<string>, exclude array<string>"
+    briefs = spark.createDataFrame([(f"s{i}", v, 0, o, "beta", "delta", m, ["gamma"], ["zeta"]) for i in range(3) for v, o, m in (("full", f"alpha w{i}", ["alpha beta"]), ("no_must", f"alpha w{i}", []), ("bare", "", ["w1", "beta w2"]))], schema)
+    got = lexblock.block_variants(papers, briefs, ["bm25_obj"])
+    for v in ("full", "no_must", "bare"):
+        one = lexblock.lexical_block(papers, briefs.where(briefs.variant == v), ["bm25_obj"])
+        assert sorted(map(tuple, got.where(got.variant == v).drop("variant").collect()), key=repr) == sorted(map(tuple, one.collect()), key=repr)
