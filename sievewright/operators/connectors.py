@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,10 +88,10 @@ def _documents(s, d) -> DataFrame:
 
 
 def _json_docs(s, d):
-    """One document to a file, over many lines, read as such."""
+    """Every document in a file of its own, over many lines, read as such."""
     folder = fresh_path(s, "document")
-    text = _documents(s, d).where("name = 'src1'").select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
-    text.coalesce(1).write.text(folder)
+    text = _documents(s, d).select(F.col("name").alias("of"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
+    text.repartition("of").write.partitionBy("of").text(folder)  # a folder a document: its name is unique
     got = scan_json_docs(s, folder, DOC, {k: FIELDS[k] for k in ("name", "industry", "must", "trl_max")})
     return got.withColumn("must", F.array_join("must", "|"))
 
@@ -171,7 +171,9 @@ def _two_layouts(s, d):
     folder, rows = fresh_path(s, "vectors"), _table(s, d, "embeddings")
     rows.where("label = 1").select(F.col("vec_id").cast("string").alias("id"), "embedding").write.parquet(f"{folder}/1.parquet")
     rows.where("label <> 1").select(F.concat(F.col("label").cast("string"), F.lit("__"), F.col("vec_id").cast("string")).alias("id"), "embedding").write.parquet(f"{folder}/pooled.parquet")
-    return vectors_of(s, folder, "1").select(F.lit(1).alias("label"), F.col("id").cast("long").alias("vec_id")).union(vectors_of(s, folder, "2").select(F.lit(2), F.col("id").cast("long")))
+    labels = [r[0] for r in rows.select("label").where("label is not null").distinct().orderBy("label").collect()]  # a row a silo
+    parts = [vectors_of(s, folder, str(k)).select(F.lit(k).alias("label"), F.col("id").cast("long").alias("vec_id")) for k in labels]
+    return reduce(DataFrame.union, parts)
 
 
 def _leaks(splits: DataFrame, part: str) -> DataFrame:
@@ -224,10 +226,10 @@ def oracles() -> dict[str, str]:
     return _split_oracles() | {
         "scan_csv_or_parquet": "SELECT n_nationkey, n_name FROM nation", "sink_json": "SELECT n_nationkey, n_name, n_regionkey FROM nation", "sink_parquet": "SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 3",
         "append_jsonl": "SELECT r_regionkey, r_name, k AS run FROM region CROSS JOIN (SELECT unnest([0, 1]) AS k)", "scan_jsonl_meta": "SELECT count(*) AS said, count(*) AS n, sum(n_nationkey) AS keys FROM nation",
-        "scan_json_docs": f"WITH {b} SELECT silo AS name, dom AS industry, array_to_string(must, '|') AS must, CASE WHEN item_id % 3 <> 0 THEN 9 END AS trl_max FROM briefs WHERE silo = 'src1'", "scan_glob": "SELECT n_regionkey, n_nationkey FROM nation",
+        "scan_json_docs": f"WITH {b} SELECT silo AS name, dom AS industry, array_to_string(must, '|') AS must, CASE WHEN item_id % 3 <> 0 THEN 9 END AS trl_max FROM briefs", "scan_glob": "SELECT n_regionkey, n_nationkey FROM nation",
         "flatten_brief": f"WITH {b}, x AS (SELECT *, array_to_string(must, '|') AS m, array_to_string(nice, '|') AS n, array_to_string(exclude, '|') AS e, item_id % 3 <> 0 AS c FROM briefs) SELECT silo AS name, prob AS problem, obj AS objective, dom AS industry, NULL AS application, dom AS focus, m AS must, n AS nice, e AS exclude, 'yield' AS metrics, '> 3 %' AS targets, CASE WHEN c THEN item_id % 4 END AS trl_min, CASE WHEN c THEN 9 END AS trl_max, CASE WHEN c THEN 'pilot' END AS scale, NULL AS cost, m AS must_have, n AS nice_have, e AS exclusions, NULL AS notes FROM x",
         "registered_functions": f"WITH {C.sql_views('ranked')} SELECT silo, round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2e0) / nullif(sum(y) * 1e0 * (count(*) - sum(y)), 0), 6) AS auc, silo || 'ss' AS stem FROM ranked GROUP BY silo",
         "range_join": "SELECT r_name AS band, count(*) AS n, min(doc_id) AS first_id FROM region JOIN documents ON n_chars >= r_regionkey * 400 AND n_chars < r_regionkey * 400 + 500 GROUP BY r_name",
         "streaming_label_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS count FROM events GROUP BY ALL", "registered_udtf": "WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])[ \t\n\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM conversations) SELECT conv_id, turn, unnest(range(len(s)))::INT AS place, unnest(s) AS span FROM t",
-        "source_flags": f"SELECT doc_id AS paper_id, {flags}, doc_id % 2 = 0 AS from_web FROM documents", "load_vectors_two_layouts": "SELECT label, vec_id FROM embeddings WHERE label IN (1, 2)",
+        "source_flags": f"SELECT doc_id AS paper_id, {flags}, doc_id % 2 = 0 AS from_web FROM documents", "load_vectors_two_layouts": "SELECT label, vec_id FROM embeddings WHERE label IS NOT NULL",
     }

@@ -65,10 +65,10 @@ def embed_texts(rows: DataFrame, embedder: Embedder, key: str, text: str = "text
     return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<float>")
 
 
-def paper_texts(papers: DataFrame, separator: str = " [SEP] ") -> DataFrame:
-    """paper_id, text: title and abstract, one of them alone where the other is blank; rows with neither go."""
+def paper_texts(papers: DataFrame, separator: str = " [SEP] ", limit: int | None = None) -> DataFrame:
+    """paper_id, text: title and abstract, one of them alone where the other is blank; rows with neither go. ``limit``: characters of the abstract that an embedder takes."""
     title, abstract = (F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "abstract"))
-    text = F.when(abstract == "", title).when(title == "", abstract).otherwise(F.concat(title, F.lit(separator), F.substring(abstract, 1, 4000)))
+    text = F.when(abstract == "", title).when(title == "", abstract).otherwise(F.concat(title, F.lit(separator), abstract if limit is None else F.substring(abstract, 1, limit)))
     return papers.select("paper_id", text.alias("text")).where("text <> ''")
 
 
@@ -189,21 +189,47 @@ def dispersion(vectors: DataFrame) -> DataFrame:
     return vectors.sparkSession.createDataFrame([row], "n_dims int, participation double, top1 double")
 
 
-def power_iteration(vectors: DataFrame, k: int = 2, rounds: int = 300) -> DataFrame:
-    """component, eigenvalue share by deterministic power iteration with deflation on the covariance's spectrum."""
-    e = spectrum(vectors)
-    m, out = np.diag(e), []
-    for j in range(min(k, len(e))):
-        v = np.ones(len(e)) / np.sqrt(len(e))
+def power_iteration(vectors: DataFrame, k: int = 2, rounds: int = 30, tolerance: float = 1e-9) -> DataFrame:
+    """component, share of the spread of unit vectors about their mean: power iteration with deflation from a fixed start.
+
+    Every round is one product of the centred rows' cross-product with a vector, summed over the executors; a vector of d numbers is all the driver holds."""
+    dim = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
+    rows = held(vectors.where(F.size("embedding") == dim).select("embedding"), "rows")
+
+    def summed(work) -> np.ndarray:
+        def run(frames):
+            total = 0.0
+            for f in frames:
+                v = np.array(f.embedding.tolist(), float).reshape(-1, dim)
+                size = np.linalg.norm(v, axis=1)
+                total = total + work(v[size > 0] / size[size > 0, None])
+            if not np.isscalar(total):
+                yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+        got = rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()  # d + 2 rows
+        return got.v.to_numpy()
+
+    base = summed(lambda u: np.concatenate([u.sum(0), [len(u)]]))
+    if not len(base) or not base[-1]:
+        return vectors.sparkSession.createDataFrame([], "component int, share double")
+    mean = base[:-1] / base[-1]
+    spread, found, out = None, [], []
+    for j in range(min(k, dim)):
+        v = np.cos(np.arange(dim) + 1.0)
+        v, value = v / np.linalg.norm(v), 0.0
         for _ in range(rounds):
-            w = m @ v
+            got = summed(lambda u, v=v: np.append((u - mean).T @ ((u - mean) @ v), ((u - mean) ** 2).sum()))
+            w, spread = got[:-1], got[-1]
+            for x, y in found:
+                w = w - y * x * (x @ v)
             size = np.linalg.norm(w)
-            if size == 0:
+            if size <= 1e-12:
+                break
+            moved, v, value = np.abs(w / size - v).max(), w / size, size
+            if moved < tolerance:
                 break
-            v = w / size
-        value = float(v @ m @ v)
-        out.append((j + 1, round(value / float(e.sum()), 6)))
-        m = m - value * np.outer(v, v)
+        found.append((v, value))
+        out.append((j + 1, round(float(value / spread), 6) if spread else None))
     return vectors.sparkSession.createDataFrame(out, "component int, share double")
 
 
@@ -299,7 +325,7 @@ def oracles() -> dict[str, str]:
     norm = lambda x: f"CASE WHEN len({tok.format(x)}) > 0 THEN 1e0 ELSE 0e0 END"
     papers = C.sql_views("papers")
     return {
-        "embed_corpus_and_use_case": f"WITH {papers}, t AS (SELECT paper_id, CASE WHEN trim(abstract) = '' THEN trim(title) WHEN trim(title) = '' THEN trim(abstract) ELSE trim(title) || ' sep ' || substring(trim(abstract), 1, 4000) END AS b FROM papers) SELECT paper_id, 'passage' AS kind, 64 AS dim, {norm('b')} AS norm FROM t WHERE b <> '' UNION ALL SELECT NULL, 'query', 64, 1e0",
+        "embed_corpus_and_use_case": f"WITH {papers}, t AS (SELECT paper_id, CASE WHEN trim(abstract) = '' THEN trim(title) WHEN trim(title) = '' THEN trim(abstract) ELSE trim(title) || ' sep ' || trim(abstract) END AS b FROM papers) SELECT paper_id, 'passage' AS kind, 64 AS dim, {norm('b')} AS norm FROM t WHERE b <> '' UNION ALL SELECT NULL, 'query', 64, 1e0",
         "resolve_paper_vectors": "SELECT 'export' AS origin, count(*) AS n FROM embeddings JOIN documents ON doc_id = vec_id UNION ALL SELECT 'embedded', count(*) FROM documents",
         "incremental_theme_vectors": f"WITH {C.sql_views('briefs')} SELECT length(silo) <> 4 AS made, count(*) AS n FROM briefs GROUP BY 1",
         "use_case_text": "SELECT lang || ' case' AS use_case FROM documents WHERE doc_id > 2 ORDER BY doc_id LIMIT 1",

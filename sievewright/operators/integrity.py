@@ -22,7 +22,7 @@ C.add(
     crossing_papers=lambda d: f"WITH o AS (SELECT silo, rank() OVER (ORDER BY silo) <= (count(*) OVER ()) / 2 AS early FROM (SELECT DISTINCT silo FROM papers) q) SELECT {TITLE(d)} AS k, count(DISTINCT early) AS sides, count(*) AS n FROM papers p JOIN o ON o.silo = p.silo WHERE {TITLE(d)} <> '' GROUP BY {TITLE(d)} HAVING count(DISTINCT early) > 1",
     cross_doi_leak=lambda d: f"SELECT lower(trim({DOI})) AS doi, count(DISTINCT silo) AS silos, count(DISTINCT y) AS answers FROM labelled WHERE trim(coalesce({DOI}, '')) <> '' AND y IS NOT NULL GROUP BY lower(trim({DOI})) HAVING count(DISTINCT silo) > 1",
     # the name that a key is shown by is its most frequent spelling
-    author_frequency=lambda d: f"WITH a AS (SELECT trim(a) AS name, lower(trim(a)) AS author FROM (SELECT {d.each(d.split('title', ','))} AS a FROM papers) q WHERE trim(a) <> ''), c AS (SELECT author, name, count(*) AS n FROM a GROUP BY author, name), k AS (SELECT author, name, sum(n) OVER (PARTITION BY author) AS n, row_number() OVER (PARTITION BY author ORDER BY n DESC, name) AS k FROM c) SELECT author, name, CAST(n AS BIGINT) AS n FROM k WHERE k = 1 AND n > 1",
+    author_frequency=lambda d: f"WITH a AS (SELECT trim(a) AS name, lower(trim(a)) AS author FROM (SELECT {d.each(d.split('title', ','))} AS a FROM papers) q WHERE trim(a) <> ''), c AS (SELECT author, name, count(*) AS n FROM a GROUP BY author, name), k AS (SELECT author, name, sum(n) OVER (PARTITION BY author) AS n, row_number() OVER (PARTITION BY author ORDER BY n DESC, name) AS k FROM c) SELECT author, name, CAST(n AS BIGINT) AS n FROM k WHERE k = 1",
     # rows, columns without a value, infinite values, blocks that are null together, widths of vectors
     feature_sanity=lambda d: f"SELECT count(*) AS n, CAST(sum(CASE WHEN s IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_s, count(s) = 0 AS all_null, CAST(sum(CASE WHEN abs(s) < 1e300 THEN 0 WHEN s IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS infinite, CAST(sum(CASE WHEN (s IS NULL) <> (s2 IS NULL) THEN 1 ELSE 0 END) AS BIGINT) AS half_blocks, (SELECT count(DISTINCT {d.size('embedding')}) FROM embeddings) AS widths FROM scored",
     # the groups of columns that go out, what is left behind, mean null rate of each group
@@ -57,7 +57,7 @@ C.add(
     paper_age_velocity=lambda d: f"SELECT o_orderkey, greatest(0, 2000 - year(o_orderdate)) AS age, {R('o_totalprice / (greatest(0, 2000 - year(o_orderdate)) + 1)', 4)} AS velocity FROM orders",
     export_slim=lambda d: "SELECT paper_id, silo, y, s FROM scored".replace("s FROM", "round(s, 6) AS s FROM"),
     case_control_sample=lambda d: f"WITH r AS (SELECT paper_id, silo, y, row_number() OVER (PARTITION BY silo, y ORDER BY {DRAW('paper_id')}, paper_id) AS k, count(*) OVER (PARTITION BY silo, y) AS n FROM scored) SELECT paper_id, silo, y, CASE WHEN y = 1 THEN 1e0 ELSE {R('n * 1e0 / least(n, 30)')} END AS w FROM r WHERE y = 1 OR k <= 30",
-    stratified_kfold=lambda d: "SELECT paper_id, (row_number() OVER (PARTITION BY silo, y ORDER BY paper_id) - 1) % 5 AS fold FROM scored",
+    stratified_kfold=lambda d: "WITH k AS (SELECT silo, least(5, sum(y), count(*) - sum(y)) AS k FROM scored GROUP BY silo), r AS (SELECT paper_id, silo, row_number() OVER (PARTITION BY silo, y ORDER BY paper_id) - 1 AS r FROM scored) SELECT paper_id, CASE WHEN k >= 2 THEN CAST(r % k AS BIGINT) END AS fold FROM r JOIN k ON r.silo = k.silo",
     logo_rotation=lambda d: "SELECT silo AS holdout, count(*) AS n_test, CAST(sum(count(*)) OVER () - count(*) AS BIGINT) AS n_train FROM scored GROUP BY silo",
     tier_assignment=lambda d: "SELECT silo, CASE WHEN n_pos >= 40 THEN 'core' WHEN n_pos >= 10 THEN 'thin' ELSE 'quarantine' END AS tier FROM totals",
     few_shot_select=lambda d: f"SELECT fold, paper_id, silo, y FROM (SELECT fold, paper_id, silo, y, row_number() OVER (PARTITION BY fold, silo, y ORDER BY {DRAW('paper_id', 7)}, paper_id) AS k FROM scored CROSS JOIN (SELECT {d.each(d.seq(0, 4))} AS fold) g WHERE paper_id % 5 <> fold) q WHERE k <= 2",

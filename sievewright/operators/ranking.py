@@ -7,6 +7,8 @@ from ..plans.catalogue import CATALOGUE as C
 R = lambda x, n=6: f"round(CAST({x} AS DOUBLE), {n})"
 PCT = lambda v, p: f"(rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}, {v}) - 1) / 2e0) / count({v}) OVER (PARTITION BY {p})"
 QUERY_COS = lambda d: f"SELECT v.vec_id, v.label, q.vec_id AS query_id, q.label AS query_label, CASE WHEN v.nrm > 0 AND q.nrm > 0 THEN {d.dot('v.embedding', 'q.embedding')} / (v.nrm * q.nrm) END AS c FROM vectors v CROSS JOIN (SELECT * FROM vectors WHERE vec_id % 100 = 0) q"  # the stated query set against all rows
+# the second block over again, as wide as the first
+WIDE = lambda d: f"SELECT vec_id, embedding AS a, {d.tiled('b', d.size('embedding'))} AS b FROM vectors JOIN letters USING (vec_id)"
 CLASS_SUM = "SELECT label, i, sum(u) AS s, count(*) AS n FROM dims GROUP BY label, i"
 
 C.add(
@@ -19,12 +21,12 @@ C.add(
     pct_rank_ordinal=lambda d: f"SELECT paper_id, {R('(row_number() OVER (PARTITION BY silo ORDER BY s, paper_id) - 1e0) / nullif(count(*) OVER (PARTITION BY silo) - 1, 0)')} AS pr FROM scored",
     cosine_to_brief=lambda d: f"WITH q AS ({QUERY_COS(d)}), z AS (SELECT vec_id, query_id, round(c, 9) AS c FROM q) SELECT vec_id, query_id, {R('c')} AS cosine, CASE WHEN c IS NOT NULL THEN {R(PCT('c', 'query_id, c IS NULL'))} END AS pr FROM z",
     # the same cosine under four treatments of zero vectors
-    cosine_zero_policy=lambda d: f"WITH x AS (SELECT vec_id, {d.dot(d.slice('a', 1, 8), 'b')} AS p, sqrt({d.dot(d.slice('a', 1, 8), d.slice('a', 1, 8))}) AS na, nb FROM blocks2) SELECT vec_id, {R('p / nullif(na * nb, 0)')} AS as_null, {R('p / ((CASE WHEN na = 0 THEN 1e0 ELSE na END) * (CASE WHEN nb = 0 THEN 1e0 ELSE nb END))')} AS as_one, {R('p / (na * nb + 1e-9)')} AS plus_1e9, {R('p / greatest(na * nb, 1e-12)')} AS least_1e12 FROM x",
-    cosine_1e12=lambda d: f"SELECT vec_id, {R(d.dot(d.slice('a', 1, 8), 'b') + ' / (sqrt(' + d.dot(d.slice('a', 1, 8), d.slice('a', 1, 8)) + ') * nb + 1e-12)')} AS cosine FROM blocks2",
+    cosine_zero_policy=lambda d: f"WITH w AS ({WIDE(d)}), x AS (SELECT vec_id, {d.dot('a', 'b')} AS p, sqrt({d.dot('a', 'a')}) AS na, sqrt({d.dot('b', 'b')}) AS nb FROM w) SELECT vec_id, {R('p / nullif(na * nb, 0)')} AS as_null, {R('p / ((CASE WHEN na = 0 THEN 1e0 ELSE na END) * (CASE WHEN nb = 0 THEN 1e0 ELSE nb END))')} AS as_one, {R('p / (na * nb + 1e-9)')} AS plus_1e9, {R('p / greatest(na * nb, 1e-12)')} AS least_1e12 FROM x",
+    cosine_1e12=lambda d: f"WITH w AS ({WIDE(d)}) SELECT vec_id, {R(d.dot('a', 'b') + ' / (sqrt(' + d.dot('a', 'a') + ') * sqrt(' + d.dot('b', 'b') + ') + 1e-12)')} AS cosine FROM w",
     # another arm of queries: each query's vector against the next query's, on the same rows
     add_cos_brief=lambda d: f"WITH q AS ({QUERY_COS(d)}), n AS (SELECT query_id, coalesce(lead(query_id) OVER (ORDER BY query_id), first_value(query_id) OVER (ORDER BY query_id)) AS arm_id FROM (SELECT DISTINCT query_id FROM q) z) SELECT q.vec_id, q.query_id, {R('q.c')} AS cos_brief, {R('o.c')} AS cos_arm, {R('o.c - q.c')} AS delta FROM q JOIN n ON n.query_id = q.query_id JOIN q o ON o.query_id = n.arm_id AND o.vec_id = q.vec_id",
     normalize_rows=lambda d: f"SELECT vec_id, {d.size('embedding')} AS dim, {R('CASE WHEN nrm = 0 THEN 0 ELSE sqrt(' + d.dot('embedding', 'embedding') + ') / nrm END')} AS norm_after, {R('CAST(' + d.at('embedding', 1) + ' AS DOUBLE) / CASE WHEN nrm = 0 THEN 1 ELSE nrm END')} AS first_u FROM vectors",
-    mean_normalized_combo=lambda d: f"WITH x AS (SELECT vec_id, {d.slice('a', 1, 8)} AS a, b, sqrt({d.dot(d.slice('a', 1, 8), d.slice('a', 1, 8))}) AS na, nb FROM blocks2), p AS (SELECT vec_id, a, b, na, nb, {d.each(d.seq(1, 8))} AS i FROM x) SELECT vec_id, i, {R('(CAST(' + d.at('a', 'i') + ' AS DOUBLE) / CASE WHEN na = 0 THEN 1 ELSE na END + ' + d.at('b', 'i') + ' / CASE WHEN nb = 0 THEN 1 ELSE nb END) / 2')} AS u FROM p",
+    mean_normalized_combo=lambda d: f"WITH x AS (SELECT vec_id, a, b, sqrt({d.dot('a', 'a')}) AS na, sqrt({d.dot('b', 'b')}) AS nb FROM ({WIDE(d)}) z), p AS (SELECT vec_id, a, b, na, nb, {d.each(d.seq(1, d.size('a')))} AS i FROM x) SELECT vec_id, i, {R('(CAST(' + d.at('a', 'i') + ' AS DOUBLE) / CASE WHEN na = 0 THEN 1 ELSE na END + ' + d.at('b', 'i') + ' / CASE WHEN nb = 0 THEN 1 ELSE nb END) / 2')} AS u FROM p",
     block_concat=lambda d: f"WITH p AS (SELECT vec_id, a, b, na, nb, {d.each(d.seq(1, d.size('a') + ' + 8'))} AS i FROM blocks2) SELECT vec_id, i AS place, {R('CASE WHEN i <= ' + d.size('a') + ' THEN CAST(' + d.at('a', 'least(i, ' + d.size('a') + ')') + ' AS DOUBLE) / CASE WHEN na = 0 THEN 1 ELSE na END ELSE ' + d.at('b', 'greatest(1, i - ' + d.size('a') + ')') + ' / CASE WHEN nb = 0 THEN 1 ELSE nb END END')} AS u FROM p",
     vector_quality_check=lambda d: f"SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, min({d.size('embedding')}) AS min_dim, max({d.size('embedding')}) AS max_dim, CAST(sum(CASE WHEN nrm = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(CASE WHEN nrm < 1e300 THEN 0 ELSE 1 END) AS BIGINT) AS not_finite, (SELECT count(*) FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = e.vec_id)) AS unknown_ids, (SELECT count(*) FROM documents x WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE x.doc_id = e.vec_id)) AS missing_ids FROM vectors",
     centroid_analysis=lambda d: f"WITH cn AS (SELECT label, sqrt(sum(c * c)) AS cn FROM centroids GROUP BY label), g AS (SELECT x.label, x.i, avg(CASE WHEN quality = 1 THEN u END) AS cp, avg(CASE WHEN quality = 0 THEN u END) AS cq FROM dims x JOIN labels l ON l.doc_id = x.vec_id GROUP BY x.label, x.i), gn AS (SELECT label, sqrt(sum(cp * cp)) AS np, sqrt(sum(cq * cq)) AS nq FROM g GROUP BY label), s AS (SELECT x.vec_id, x.label, round(sum(u * c) / max(cn), 9) AS sim, sum(u * cp) / nullif(max(np), 0) AS pos, sum(u * cq) / nullif(max(nq), 0) AS neg FROM dims x JOIN centroids z ON x.label = z.label AND x.i = z.i JOIN cn ON cn.label = x.label LEFT JOIN g ON g.label = x.label AND g.i = x.i LEFT JOIN gn ON gn.label = x.label GROUP BY x.vec_id, x.label) SELECT vec_id, {R('sim')} AS to_centroid, {R(PCT('sim', 'label'))} AS percentile, {R('pos')} AS to_positive, {R('neg')} AS to_negative, {R('pos - neg')} AS gap FROM s",

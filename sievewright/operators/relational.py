@@ -47,7 +47,7 @@ C.add(
     quantile_bins=lambda d: f"WITH e AS (SELECT {d.pct('n_chars', 0.25)} AS a, {d.pct('n_chars', 0.5)} AS b, {d.pct('n_chars', 0.75)} AS c FROM documents) SELECT CASE WHEN n_chars <= a THEN 1 WHEN n_chars <= b THEN 2 WHEN n_chars <= c THEN 3 ELSE 4 END AS bin, count(*) AS n FROM documents CROSS JOIN e GROUP BY CASE WHEN n_chars <= a THEN 1 WHEN n_chars <= b THEN 2 WHEN n_chars <= c THEN 3 ELSE 4 END",
     describe_quantile_skew=lambda d: f"WITH m AS (SELECT avg(value) AS mu, count(*) AS n FROM events) SELECT max(n) AS n, {R('avg(value)', 4)} AS mean, {R(d.pct('value', 0.25), 4)} AS p25, {R(d.pct('value', 0.75), 4)} AS p75, {R('sqrt(max(n) * (max(n) - 1e0)) / (max(n) - 2) * (sum(power(value - mu, 3)) / max(n)) / power(sum(power(value - mu, 2)) / max(n), 1.5e0)', 4)} AS skew FROM events CROSS JOIN m",
     corr_pearson_spearman=lambda d: f"WITH x AS (SELECT quality AS a, n_chars AS b FROM documents d JOIN labels l ON d.doc_id = l.doc_id), ha AS (SELECT a, sum(count(*)) OVER (ORDER BY a) - (count(*) - 1) / 2e0 AS ra FROM x GROUP BY a), hb AS (SELECT b, sum(count(*)) OVER (ORDER BY b) - (count(*) - 1) / 2e0 AS rb FROM x GROUP BY b) SELECT {R('corr(x.a * 1e0, x.b * 1e0)')} AS pearson, {R('corr(ra, rb)')} AS spearman FROM x JOIN ha ON x.a = ha.a JOIN hb ON x.b = hb.b",
-    explode_split=lambda d: f"SELECT token, count(*) AS n FROM (SELECT {d.each(d.split('text', ' '))} AS token FROM conversations) q GROUP BY token HAVING count(*) > 1",
+    explode_split=lambda d: f"SELECT token, count(*) AS n FROM (SELECT {d.each(d.split('text', ' '))} AS token FROM conversations) q GROUP BY token",
     clip_log_ratio=lambda d: f"SELECT doc_id, {R('ln(1 + n_chars)')} AS log_chars, greatest(0, 2000 - n_chars) AS gap FROM documents",
     date_part_year=lambda d: "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY year(o_orderdate)",
     sample_per_stratum=lambda d: "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('42-', CAST(doc_id AS VARCHAR(20)))), doc_id) AS k FROM documents) q WHERE k <= 25",

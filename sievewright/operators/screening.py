@@ -38,7 +38,7 @@ C.add(
     # bars that were set beforehand, per silo
     bar_verdict=lambda d: "WITH b AS (SELECT DISTINCT silo, CASE WHEN silo = 'en' THEN 0.45e0 ELSE 0.5e0 END AS bar FROM scored) SELECT s.silo, max(bar) AS bar, CASE WHEN avg(s) >= max(bar) THEN 'pass' WHEN count(s) = 0 THEN 'no data' ELSE 'fail' END AS verdict FROM scored s JOIN b ON b.silo = s.silo GROUP BY s.silo",
     # the prompt with the silo's brief, or with the override given for a silo
-    build_prompt=lambda d: f"WITH o AS (SELECT 'src2' AS silo, 'Only field trials.' AS override) SELECT p.paper_id, concat('Brief: ', coalesce(o.override, b.obj), chr(10), CASE WHEN o.override IS NULL THEN concat('Must: ', {d.join('b.must', ', ')}, chr(10), 'Nice: ', {d.join('b.nice', ', ')}, chr(10), 'Exclude: ', {d.join('b.exclude', ', ')}, chr(10)) ELSE '' END, 'Title: ', p.title, chr(10), 'Abstract: ', substring(p.abstract, 1, 4000)) AS prompt FROM papers p JOIN briefs b ON p.silo = b.silo LEFT JOIN o ON o.silo = p.silo",
+    build_prompt=lambda d: f"WITH o AS (SELECT 'src2' AS silo, 'Only field trials.' AS override) SELECT p.paper_id, concat('Brief: ', coalesce(o.override, b.obj), chr(10), CASE WHEN o.override IS NULL THEN concat('Must: ', {d.join('b.must', ', ')}, chr(10), 'Nice: ', {d.join('b.nice', ', ')}, chr(10), 'Exclude: ', {d.join('b.exclude', ', ')}, chr(10)) ELSE '' END, 'Title: ', p.title, chr(10), 'Abstract: ', p.abstract) AS prompt FROM papers p JOIN briefs b ON p.silo = b.silo LEFT JOIN o ON o.silo = p.silo",
     # the request as JSON with its keys in order
     cache_key=lambda d: f"SELECT conv_id, turn, {d.sha(KEYED)} AS k FROM (SELECT conv_id, turn, role, {d.sub('text', '[^a-zA-Z0-9 ]', '')} AS clean FROM conversations) q",
     # requests that a cache of the even conversations would answer, median price of the others, projection

@@ -22,6 +22,7 @@ class SparkSql:
     distinct = staticmethod(lambda x: f"array_distinct({x})")
     in_order = distinct
     keep = staticmethod(lambda x, v, p: f"filter({x}, {v} -> {p})")
+    tiled = staticmethod(lambda x, n: f"slice(flatten(array_repeat({x}, {n})), 1, greatest(1, {n}))")
     map = staticmethod(lambda x, v, e: f"transform({x}, {v} -> {e})")
     slice = staticmethod(lambda x, a, n: f"slice({x}, {a}, {n})")
     sha = staticmethod(lambda x: f"sha2({x}, 256)")
@@ -59,6 +60,7 @@ class DuckSql:
     distinct = staticmethod(lambda x: f"list_distinct({x})")  # in no order
     in_order = staticmethod(lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)")  # distinct entries of a short list as they first appear
     keep = staticmethod(lambda x, v, p: f"list_filter({x}, lambda {v}: {p})")
+    tiled = staticmethod(lambda x, n: f"(flatten([{x} FOR _i IN range({n})]))[1:greatest(1, {n})]")
     map = staticmethod(lambda x, v, e: f"list_transform({x}, lambda {v}: {e})")
     slice = staticmethod(lambda x, a, n: f"({x})[{a}:{a} + {n} - 1]")
     sha = staticmethod(lambda x: f"sha256({x})")
