@@ -99,7 +99,26 @@ def streaming_label_counts(spark, sf_dir):
     return hourly_counts(spark, f"{sf_dir}/events.parquet")
 
 
+def label_stream(spark, sf_dir):
+    """Every user's label by the stateful stream over all events, run until its input is used up: an event is a label, every seventh takes the last one back."""
+    from ..plans.held import fresh_path
+    from ..streaming.counts import events_stream
+    from ..streaming.labels import UNDO, run
+
+    events = events_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, UNDO).otherwise(F.col("event_type")).alias("label"), "ts")
+    root = fresh_path(spark, "labels")
+    return run(events, f"{root}/out", f"{root}/state").select(F.col("key").alias("user_id"), F.col("seq").alias("last_event"), "label", "versions")
+
+
+def oracles() -> dict[str, str]:
+    return {
+        "label_stream": "WITH g AS (SELECT CAST(user_id AS VARCHAR) AS user_id, list([CASE WHEN event_id % 7 = 0 THEN 'undo' ELSE event_type END] ORDER BY event_id) AS l, max(event_id) AS last_event, count(*) FILTER (event_id % 7 <> 0) AS versions FROM events GROUP BY user_id), "
+        "s AS (SELECT *, list_reduce([CAST([] AS VARCHAR[])] || l, lambda a, b: CASE WHEN b[1] = 'undo' THEN a[1:len(a) - 1] ELSE a || b END) AS stands FROM g) SELECT user_id, last_event, stands[-1] AS label, versions FROM s",
+    }
+
+
 QUERIES = {
+    "label_stream": label_stream,
     "prepare_dataset": lambda spark, d: prepare_dataset(_read(spark, d, "documents"), _read(spark, d, "labels")),
     "logreg_balanced": _model_query(lambda: LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=0.01, standardization=True)),
     "random_forest": _model_query(lambda: RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=20, seed=1)),

@@ -31,9 +31,7 @@ def run_to_table(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 def hourly_counts(spark: SparkSession, path: str, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """hour, event_type, count of a parquet table read as a stream; the windows still open at its end are counted from the table itself."""
-    folder, _, name = path.rpartition("/")
-    source = spark.readStream.schema(spark.read.parquet(path).schema)
-    events = source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", name).parquet(folder)
+    events = events_stream(spark, path)
     root = fresh_path(spark, "counts")
     closed = run_to_table(windowed_counts(events, late, size), f"{root}/out", f"{root}/state")
     last = closed.agg(F.max("start")).first()[0]
@@ -42,6 +40,13 @@ def hourly_counts(spark: SparkSession, path: str, late: str = "10 minutes", size
     return out.select(F.col("start").alias("hour"), "event_type", F.col("n").alias("count"))
 
 
+def events_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table, a file or a folder of files, as a stream."""
+    folder, _, name = path.rpartition("/")
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    return source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", name).parquet(folder)
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
