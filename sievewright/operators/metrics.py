@@ -17,6 +17,10 @@ FB = lambda b2: f"(CASE WHEN p + r = 0 THEN 0 ELSE (1 + {b2}) * p * r / ({b2} *
 PR = "WITH c AS (SELECT silo, paper_id, k, sum(y) OVER (PARTITION BY silo ORDER BY k) * 1e0 / k AS p, sum(y) OVER (PARTITION BY silo ORDER BY k) * 1e0 / nullif(sum(y) OVER (PARTITION BY silo), 0) AS r FROM ranked)"
 MWU = "WITH b AS (SELECT silo, sum(n) AS n, sum(pos) AS n1, sum(CAST(n AS DOUBLE) * n * n - n) AS ties FROM blocks GROUP BY silo), q AS (SELECT silo, sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2e0 AS u FROM ranked GROUP BY silo), m AS (SELECT b.silo, u, n1 * 1e0 AS n1, (n - n1) * 1e0 AS n0, sqrt(n1 * 1e0 * (n - n1) / 12 * (n + 1 - ties / (n * 1e0 * (n - 1)))) AS sd FROM b JOIN q ON q.silo = b.silo WHERE n1 > 0 AND n1 < n)"
 
+CUT = lambda at, w: f"sum(CASE WHEN {at} AND y = 1 THEN {w} ELSE 0 END) AS tp, sum(CASE WHEN {at} THEN {w} ELSE 0 END) AS called, sum(CASE WHEN y = 1 THEN {w} ELSE 0 END) AS real, sum({w}) AS w_all"
+ONE = lambda kind, x: f"max(CASE WHEN kind = '{kind}' THEN b.{x} END)"
+KIND = lambda k: ", ".join(f"{R(ONE('sweep' if k == 'best' else k, x))} AS {name}_{k}" for x, name in (("p", "prec"), ("r", "rec"), ("f2", "f2"), ("rd", "read")))
+
 C.add(
     roc_auc=lambda d: f"SELECT silo, {R(AUC)} AS auc FROM ranked GROUP BY silo",
     auc_nan_policy=lambda d: f"SELECT silo, CASE WHEN count(*) < 10 OR min(y) = max(y) THEN NULL ELSE {R(AUC)} END AS auc FROM ranked WHERE s IS NOT NULL GROUP BY silo",
@@ -77,5 +81,6 @@ C.add(
     trivial_policy_f2=lambda d: f"SELECT {R('5 * avg(y * 1e0) / (4 * avg(y * 1e0) + 1)')} AS f2, paper_id % 5 AS holdout FROM scored GROUP BY paper_id % 5",
     # arms of a score against the full one, and the worst of three (null if one is missing)
     variant_deltas=lambda d: f"WITH v AS (SELECT silo, y, 'full' AS variant, s AS x FROM scored UNION ALL SELECT silo, y, 'no_s', s2 FROM scored UNION ALL SELECT silo, y, 'coarse', floor(s * 5) FROM scored UNION ALL SELECT silo, y, 'mixed', s * s2 FROM scored), r AS (SELECT silo, variant, y, {AVG('x', 'silo, variant')} AS r FROM v), a AS (SELECT silo, variant, {AUC} AS auc FROM r GROUP BY silo, variant), p AS (SELECT silo, max(CASE WHEN variant = 'full' THEN auc END) AS f, max(CASE WHEN variant = 'no_s' THEN auc END) AS a, max(CASE WHEN variant = 'coarse' THEN auc END) AS b, max(CASE WHEN variant = 'mixed' THEN auc END) AS c FROM a GROUP BY silo) SELECT silo, {R('a - f')} AS d_no_s, {R('b - f')} AS d_coarse, {R('c - f')} AS d_mixed, CASE WHEN a + b + c IS NOT NULL THEN {R('least(a, b, c) - f')} END AS worst FROM p",
-    score_row_bundle=lambda d: f"WITH a AS (SELECT silo, count(*) AS n, {AUC} AS auc, avg(y * 1e0) AS prev FROM ranked GROUP BY silo), p AS (SELECT b.silo, sum(pos * 1e0 / nullif(n_pos, 0) * cpos / cn) AS ap FROM blocks b JOIN totals t ON b.silo = t.silo GROUP BY b.silo), c AS (SELECT silo, {CONF} FROM scored GROUP BY silo), t AS ({TO('ceil(0.95e0 * t.n_pos)')}), ws AS (SELECT silo, 0.95e0 - ({READ}) / w_all AS wss FROM t WHERE k = 1), f AS (SELECT silo, sum(CASE WHEN n > 1 THEN n ELSE 0 END) * 1e0 / sum(n) AS tf FROM blocks GROUP BY silo) SELECT a.silo, n, {R('auc')} AS auc, {R('prev')} AS prevalence, {R('ap')} AS ap, {R('wss')} AS wss, {R('tf')} AS tie_frac, {R(SAFE('tp', 'tp + fp'))} AS prec, {R(SAFE('tp', 'tp + fn'))} AS rec, {R(SAFE('5 * tp', '5 * tp + fp + 4 * fn'))} AS f2 FROM a JOIN p ON p.silo = a.silo JOIN c ON c.silo = a.silo JOIN f ON f.silo = a.silo LEFT JOIN ws ON ws.silo = a.silo",
+    # everything a report row has: ranking, the cut at one half, the best of 99 cuts (ties: the lowest), the verdict that came with the scores; silos of one class give none
+    score_row_bundle=lambda d: f"WITH a AS (SELECT silo, count(*) AS n, {AUC} AS auc, avg(y * 1e0) AS prev FROM ranked GROUP BY silo), p AS (SELECT b.silo, sum(pos * 1e0 / nullif(n_pos, 0) * cpos / cn) AS ap, sum(CASE WHEN n > 1 THEN n ELSE 0 END) * 1e0 / sum(n) AS tf, least(1e0, sum(pos * greatest(0e0, least(1e0, (0.1e0 * t.w_all - (b.cw - b.w)) / b.w))) / nullif(max(t.n_pos), 0)) AS rc FROM blocks b JOIN totals t ON b.silo = t.silo GROUP BY b.silo), t AS ({TO('ceil(0.95e0 * t.n_pos)')}), ws AS (SELECT silo, 0.95e0 - ({READ}) / w_all AS wss FROM t WHERE k = 1), g AS (SELECT x / 1e2 AS t FROM (SELECT {d.each(d.seq(1, 99))} AS x) q), z AS (SELECT silo, s, y, sum(w) AS w FROM scored GROUP BY silo, s, y), m AS (SELECT silo, 'half' AS kind, 0.5e0 AS t, {CUT('s >= 0.5', 'w')} FROM scored GROUP BY silo UNION ALL SELECT silo, 'own', NULL, {CUT('s2 >= 0.5', 'w')} FROM scored GROUP BY silo UNION ALL SELECT silo, 'sweep', t, {CUT('s >= t', 'w')} FROM z CROSS JOIN g GROUP BY silo, t), f AS (SELECT silo, kind, t, {SAFE('tp', 'called')} AS p, {SAFE('tp', 'real')} AS r, {SAFE('5 * tp', '4 * real + called')} AS f2, called / w_all AS rd, real / w_all AS share FROM m), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY silo, kind ORDER BY round(f2, 9) DESC, t) AS k FROM f) q WHERE k = 1) SELECT a.silo, max(a.n) AS n, {R('max(auc)')} AS auc, {R('max(prev)')} AS prevalence, {R('max(ap)')} AS ap, {R('max(wss)')} AS wss, {R('max(tf)')} AS tie_frac, {R('max(rc)')} AS recall_10, {R('max(5 * share / (4 * share + 1))')} AS floor_f2, {', '.join(KIND(k) for k in ('half', 'best', 'own'))}, {R(ONE('sweep', 't'))} AS t_star FROM a JOIN p ON p.silo = a.silo JOIN b ON b.silo = a.silo LEFT JOIN ws ON ws.silo = a.silo WHERE a.auc IS NOT NULL GROUP BY a.silo",
 )

@@ -67,6 +67,18 @@ a AS (SELECT p.silo, sum(p.w * n.w * CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s
 SELECT g.silo, {R('f.auc')} AS auc, {R('a.auc')} AS sample_auc, {R('g.prev')} AS prevalence, {R('b.prev')} AS sample_prevalence, abs(f.auc - a.auc) < 0.03 AND abs(g.prev - b.prev) < 0.005 AS passed FROM g JOIN b USING (silo) LEFT JOIN f USING (silo) LEFT JOIN a USING (silo)""",
 )
 
+VERDICT = lambda name, at: f"{name} AS (SELECT silo, coalesce(sum(w) FILTER ({at} AND y = 1), 0) / nullif(coalesce(sum(w) FILTER ({at}), 0), 0) AS p0, coalesce(sum(w) FILTER ({at} AND y = 1), 0) / sum(w) FILTER (y = 1) AS r, coalesce(sum(w) FILTER ({at}), 0) / sum(w) AS rd FROM scored GROUP BY silo), {name}_f AS (SELECT silo, coalesce(p0, 0) AS p, r, rd FROM {name})"
+COLUMNS = lambda t, k: f"{R(f'{t}.p')} AS prec_{k}, {R(f'{t}.r')} AS rec_{k}, {R(f'coalesce(5 * {t}.p * {t}.r / nullif(4 * {t}.p + {t}.r, 0), 0)')} AS f2_{k}, {R(f'{t}.rd')} AS read_{k}"
+C.plain(
+    score_row_bundle=lambda d: f"""WITH {TIES}, a AS ({PAIRS('SELECT silo, y, s FROM scored', 'silo', 's')}), w95 AS (SELECT silo, 0.95 - (above + own * (ceil(0.95 * n_pos) - found) / more) / w_all AS wss FROM z JOIN g USING (silo) WHERE found < ceil(0.95 * n_pos) AND found + more >= ceil(0.95 * n_pos)),
+rc AS (SELECT silo, sum(more * greatest(0, least(1, (0.1 * w_all - above) / own))) / any_value(n_pos) AS rc FROM z JOIN g USING (silo) GROUP BY silo), ap AS (SELECT silo, avg(hits / n) AS ap FROM (SELECT p.silo, p.paper_id, count(*) AS n, sum(o.y) AS hits FROM scored p JOIN scored o ON p.silo = o.silo AND o.s >= p.s WHERE p.y = 1 GROUP BY ALL) GROUP BY silo),
+tf AS (SELECT silo, avg((EXISTS (SELECT 1 FROM scored o WHERE o.silo = x.silo AND o.s = x.s AND o.paper_id <> x.paper_id))::INT) AS tf FROM scored x GROUP BY silo), {VERDICT('half', 's >= 0.5')}, {VERDICT('mine', 's2 >= 0.5')},
+cuts AS (SELECT unnest([i / 100 FOR i IN range(1, 100)]) AS t), sw AS (SELECT silo, t, coalesce(coalesce(sum(w) FILTER (s >= t AND y = 1), 0) / nullif(coalesce(sum(w) FILTER (s >= t), 0), 0), 0) AS p, coalesce(sum(w) FILTER (s >= t AND y = 1), 0) / sum(w) FILTER (y = 1) AS r, coalesce(sum(w) FILTER (s >= t), 0) / sum(w) AS rd FROM scored CROSS JOIN cuts GROUP BY ALL),
+best AS (SELECT DISTINCT ON (silo) * FROM sw ORDER BY silo, round(coalesce(5 * p * r / nullif(4 * p + r, 0), 0), 9) DESC, t), pr AS (SELECT silo, count(*) AS n, avg(y) AS prev, sum(w) FILTER (y = 1) / sum(w) AS share FROM scored GROUP BY silo)
+SELECT silo, n, {R('auc')} AS auc, {R('prev')} AS prevalence, {R('ap')} AS ap, {R('wss')} AS wss, {R('tf')} AS tie_frac, {R('rc')} AS recall_10, {R('5 * share / (4 * share + 1)')} AS floor_f2, {COLUMNS('half_f', 'half')}, {COLUMNS('best', 'best')}, {COLUMNS('mine_f', 'own')}, {R('best.t')} AS t_star
+FROM pr JOIN a USING (silo) LEFT JOIN w95 USING (silo) JOIN rc USING (silo) JOIN ap USING (silo) JOIN tf USING (silo) JOIN half_f USING (silo) JOIN mine_f USING (silo) JOIN best USING (silo)""",
+)
+
 # Words and titles: a term is looked up by itself, a shared title counted by its holders.
 C.plain(
     overlap_score=lambda d: f"""WITH h AS (SELECT paper_id, p.silo, [t FOR t IN must IF list_contains(ts, t)] AS m, [t FOR t IN nice IF list_contains(ts, t)] AS n, [t FOR t IN exclude IF list_contains(ts, t)] AS e, must, nice FROM paper_tokens p JOIN briefs b USING (silo))
