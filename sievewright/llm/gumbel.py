@@ -13,7 +13,8 @@ are read as a Zipf law, log-probabilities of a unigram vocabulary are taken as t
 piece fall back to byte pieces, as one edge.
 
 Null text counts as empty: one segmentation without tokens; where a text has fewer than k segmentations all of
-them come, with inclusion 1; null row keys hash as 0; repeated rows repeat their results; other columns are ignored.
+them come, with inclusion 1; null row keys hash as 0; repeated rows repeat their results; texts of any length are segmented whole, word by word; of equal perturbed
+scores the region found first is taken; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,11 +4,13 @@ A capture is written as a request, a response (or a revisit, where a record with
 the response) and a metadata record; request and metadata name the capture by WARC-Concurrent-To.
 Files are gzip members of whole record sequences, written by Spark's own committer, so tasks
 can run again. Reading cuts records by Content-Length; assembly follows the concurrent-to
-identifiers, in either direction and over one record between, and emits one nested row per capture.
+identifiers, in either direction and over one record between, and emits one nested row per capture. What a revisit refers to is found by its record id among the
+captures read; an id that no capture has gives null.
 
 Null html is an empty payload; a null url is written as an empty target; a null page_id is written empty
 and read back as null, and counts as smaller than any id. Rows that repeat page_id and payload
-are captures of their own with equal ids. Other columns are ignored.
+are captures of their own with equal ids; of equal payloads the largest page_id is the response, ties are such rows. Payloads of any length are written and read whole (a record
+is in memory at once); an empty table writes no record and gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, min_bytes: int
     beside = F.concat(text("\r\nWARC-Concurrent-To: "), F.col("me"))
     host, rest = F.regexp_extract("uri", "^[a-z]+://([^/?#]*)", 1), F.regexp_extract("uri", "^[a-z]+://[^/?#]*([^#]*)", 1)
     get = F.concat(text("GET "), F.when(rest == "", "/").otherwise(rest), text(" HTTP/1.1\r\nHost: "), host, text("\r\n\r\n"))
-    note = F.concat(text("page-id: "), F.coalesce(F.col("page_id").cast("string"), text("")), text("\r\nrefers-to-page-id: "), F.coalesce(F.col("first").cast("string"), text("")), text("\r\n"))
+    note = F.concat(text("page-id: "), F.coalesce(F.col("page_id").cast("string"), text("")), text("\r\n"))
     records = F.array(
         _record(text("request"), _id("request"), beside, text("application/http;msgtype=request"), get),
         F.when(revisit, _record(text("revisit"), F.col("me"), F.concat(digest, refers), text("application/http;msgtype=response"), http)).otherwise(
@@ -179,9 +181,13 @@ def archive_digest(pages: DataFrame) -> DataFrame:
     path = f"{scratch.root}/archives"
     write_archives(pages, path, scratch)
     records = scratch.save(read_records(spark, path, with_payload=False), "records")
-    found = assemble(records).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("captures").cast("int"))))
-    number = lambda k: F.nullif(F.col("metadata.fields")[k], F.lit("")).cast("long")
-    return found.select(
-        number("page-id").alias("page_id"), F.col("main.payload_bytes").alias("payload_bytes"),
-        F.coalesce("main.payload_digest", "main.header_digest").alias("payload_digest"), F.col("main.type").alias("record_type"), number("refers-to-page-id").alias("refers_to"), F.col("main.uri").alias("url"),
+    page = F.nullif(F.col("metadata.fields")["page-id"], F.lit("")).cast("long")
+    found = assemble(records).select(
+        "capture_id", "captures", page.alias("page_id"), F.col("main.payload_bytes").alias("payload_bytes"), F.coalesce("main.payload_digest", "main.header_digest").alias("payload_digest"),
+        F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("to"), F.col("main.uri").alias("url"),
     )
+    found = scratch.save(found, "found")
+    named = scratch.save(found.where("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to")), "named")
+    found = found.join(named, "to", "left")  # both sides written: the revisits of one response can be split
+    each = found.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("captures").cast("int"))))
+    return each.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
