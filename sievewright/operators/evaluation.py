@@ -19,8 +19,12 @@ def running_counts(cells: DataFrame, by: list[str], value: str, count: str) -> D
     sums = dealt.groupBy("_task", *by).agg(F.sum(count).alias("_sum"))
     offsets = sums.withColumn("_off", F.sum("_sum").over(Window.partitionBy(*by).orderBy("_task")) - F.col("_sum")).withColumn("total", F.sum("_sum").over(Window.partitionBy(*by)))
     inside = F.sum(count).over(Window.partitionBy("_task", *by).orderBy(value)) - F.col(count)
-    out = dealt.withColumn("_in", inside).join(offsets.drop("_sum"), ["_task", *by])
-    return out.withColumn("before", F.col("_in") + F.col("_off")).drop("_task", "_in", "_off")
+    offsets = offsets.select(F.col("_task").alias("_of"), *[F.col(c).alias(f"_of_{c}") for c in by], "_off", "total")
+    same = F.col("_task") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))  # a null group is a group
+    out = dealt.withColumn("_in", inside).join(offsets, same)
+    return out.withColumn("before", F.col("_in") + F.col("_off")).drop("_task", "_in", "_off", "_of", *[f"_of_{c}" for c in by])
 
 
 def share_ranks(rows: DataFrame, by: str, key: str, values: list[str]) -> DataFrame:
@@ -40,3 +44,15 @@ def tied_auc(rows: DataFrame, by: list[str], score: str = "score", y: str = "y")
     n1, n = F.sum("p"), F.sum("c")
     auc = (F.sum(F.col("p") * F.col("r")) - n1 * (n1 + 1) / 2) / F.nullif((n1 * (n - n1)).cast("double"), F.lit(0.0))
     return cells.groupBy(*by).agg(n.alias("n"), n1.cast("long").alias("n_pos"), F.round(auc, 6).alias("auc"))
+
+
+def places(rows: DataFrame, by: list[str], order: list, before: str = "before", total: str = "total") -> DataFrame:
+    """``rows`` with the number of rows of their ``by`` that come before in ``order`` (columns or names, nulls first), and of all; rows that are equal there share it."""
+    keyed = rows.withColumn("_at", F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]))
+    keyed = held(keyed, "placed")
+    cells = running_counts(keyed.groupBy(*by, "_at").agg(F.count("*").alias("_c")), by, "_at", "_c")
+    cells = held(cells.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_at").alias("_key"), F.col("before").alias(before), F.col("total").alias(total)), "places")
+    same = F.col("_at") == F.col("_key")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return keyed.join(cells, same).drop("_at", "_key", *[f"_of_{c}" for c in by])
