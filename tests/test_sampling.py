@@ -41,3 +41,29 @@ def test_samples_and_folds(spark):
     for y in (0, 1):
         ids = sorted(r[0] for r in rows if r[1] == "a" and r[2] == y)
         assert [folds[i] for i in ids] == [k % 5 for k in range(len(ids))]
+
+
+def test_dealing_cards_and_negatives(spark):
+    cards = spark.createDataFrame([(i, "a", float(i % 10)) for i in range(30)] + [(100, "b", 1.0)], "paper_id long, silo string, score double")
+    known = spark.createDataFrame([(200 + i, "a", float(i)) for i in range(9)] + [(300, "b", 0.0)], "paper_id long, silo string, score double")
+    got = sorted((r.place, r.control, r.paper_id) for r in sampling.dealt_cards(cards, known).where("silo = 'a'").collect())
+    assert [g[0] for g in got] == list(range(1, len(got) + 1)) and [g[0] for g in got if g[1]] == [9, 16, 23, 30] and [g[2] for g in got if g[1]] == [200, 201, 202, 203]
+    assert [g[2] for g in got if not g[1]] == sorted(range(30), key=lambda i: (-(i % 10), i))
+    rows = spark.createDataFrame([(i, "a", 0, i / 50) for i in range(50)] + [(60, "a", 1, 2.0), (61, "a", 0, None)], "paper_id long, silo string, y int, s double")
+    by = defaultdict(set)
+    for r in sampling.negatives(rows, 4).collect():
+        by[r.policy].add(r.paper_id)
+    assert by["hard"] == {49, 48, 47, 46} and by["easy"] == {61, 0, 1, 2} and by["mixed"] == {49, 48, 61, 0} and len(by["random"]) == 4
+
+
+def test_shares_and_shots(spark):
+    rows = [r for r in table(spark) if r[1]]
+    frame = spark.createDataFrame(rows, "paper_id long, silo string, y int, s double")
+    order = lambda seed: lambda i: (hashlib.md5(f"{seed}-{i}".encode()).hexdigest(), i)
+    groups = defaultdict(list)
+    for i, silo, y, _ in rows:
+        groups[silo, y].append(i)
+    want = {i for g in groups.values() for i in sorted(g, key=order(42))[:max(1, round(0.1 * len(g)))]}
+    assert {r.paper_id for r in sampling.stratified_share(frame).collect()} == want
+    shots = {(f, i) for f in range(5) for g in groups.values() for i in sorted((i for i in g if i % 5 != f), key=order(7))[:2]}
+    assert {(r.fold, r.paper_id) for r in sampling.few_shots(frame).collect()} == shots
