@@ -85,6 +85,23 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+#: Copies counted by digest; eight groups of five hex digits give four letters each.
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, translate(coalesce(url, ''), chr(13) || chr(10), '') AS url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * g + 1, 5))::BIGINT >> b) & 31) + 1)::INT, 1) FOR b IN [15, 10, 5, 0]] FOR g IN range(8)]), '') AS payload_digest,
+  CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < first THEN first END AS refers_to, url FROM p JOIN f USING (h)
+"""
+
+#: Every pair of vectors, and all that links reach.
+OP8_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, [x / n FOR x IN e] AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])) AS n FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE n > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) WHERE list_sum([z[1] * z[2] FOR z IN list_zip(a.u, b.u)]) >= 0.9),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, least(vec_id, (SELECT min(b) FROM r WHERE r.a = e.vec_id)) AS component_id, vec_id <= coalesce((SELECT min(b) FROM r WHERE r.a = e.vec_id), vec_id) AS kept FROM embeddings e
+"""
+
 #: The level is read off the sources in order of cap over weight: one is clamped where filling all up to its level takes less than the total.
 OP11_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -142,4 +159,4 @@ def _op13_sql(k: int = annulus.K, rounds: int = annulus.ROUNDS) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": OP9_SQL, "op11_mixing": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_centroids": _op13_sql()}
+    return {"op3_warc": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op11_mixing": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_centroids": _op13_sql()}
