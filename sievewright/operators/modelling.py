@@ -112,6 +112,7 @@ def label_stream(spark, sf_dir):
 
 def oracles() -> dict[str, str]:
     return {
+        "prepare_dataset": "SELECT doc_id, lang AS silo, (1 - quality)::INT AS y, md5(coalesce(nullif(trim(lower(string_split(text, chr(10))[1])), ''), 'no_title_' || doc_id)) AS grp FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL",
         "label_stream": "WITH g AS (SELECT CAST(user_id AS VARCHAR) AS user_id, list([CASE WHEN event_id % 7 = 0 THEN 'undo' ELSE event_type END] ORDER BY event_id) AS l, max(event_id) AS last_event, count(*) FILTER (event_id % 7 <> 0) AS versions FROM events GROUP BY user_id), "
         "s AS (SELECT *, list_reduce([CAST([] AS VARCHAR[])] || l, lambda a, b: CASE WHEN b[1] = 'undo' THEN a[1:len(a) - 1] ELSE a || b END) AS stands FROM g) SELECT user_id, last_event, stands[-1] AS label, versions FROM s",
     }
