@@ -2,7 +2,7 @@
 
 A row is a label, or takes back the last one that stands ("undo"), in the order of its sequence number. The state of a key is the stack of labels up to what is settled
 and the rows since; rows that come late take their place among these. A timer folds rows into the stack once the watermark has passed them by ``late``, so the rows
-kept are those of the last ``late`` alone; what comes later than that is dropped and counted. Every batch gives out the keys it touched, latest wins.
+kept are those of the last ``late`` alone; a key has one timer, that of the first row kept, and a timer settles all that the watermark has passed; what comes later than that is dropped and counted. Every batch gives out the keys it touched, latest wins.
 """
 
 from __future__ import annotations
@@ -68,23 +68,39 @@ class History(StatefulProcessor):
                     continue
                 kept.append((int(seq), int(at), str(label)))
                 last, versions = max(last, int(seq)), versions + (label != UNDO)
-                self.handle.registerTimer(int(at) + self.late)
         self.sums.update((settled, last, versions, dropped))
         if kept:
             self.rows.put(kept)
+            self._wait_for(min(kept))
         stands = folded(self._stack(), [(s, x) for s, _, x in kept])
         yield pd.DataFrame({"key": [str(key[0])], "seq": [last], "label": [stands[-1] if stands else None], "versions": [versions], "dropped": [dropped]})
 
+    def _wait_for(self, first: tuple[int, int, str]) -> None:
+        """The one timer of the key is that of its first row: no later row can be settled before it."""
+        due, known = first[1] + self.late, list(self.handle.listTimers())
+        for timer in known:
+            if timer != due:
+                self.handle.deleteTimer(timer)
+        if due not in known:
+            self.handle.registerTimer(due)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Rows whose time has passed are settled, up to the first that has not."""
-        upto, kept = expiredTimerInfo.getExpiryTimeInMs() - self.late, sorted(self._rows())
+        passed, kept = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), sorted(self._rows())
+        upto = passed - self.late
         n = next((i for i, r in enumerate(kept) if r[1] > upto), len(kept))
         if n:
             settled, last, versions, dropped = self._known()
             stack = folded(self._stack(), [(s, x) for s, _, x in kept[:n]])
             self.stack.put([(x,) for x in stack]) if stack else self.stack.clear()
-            self.rows.put(kept[n:]) if kept[n:] else self.rows.clear()
+            if kept[n:]:
+                self.rows.put(kept[n:])
+                self.handle.registerTimer(kept[n][1] + self.late)
+            else:
+                self.rows.clear()
             self.sums.update((kept[n - 1][0], last, versions, dropped))
+        elif kept:
+            self._wait_for(kept[0])
         return iter([])
 
     def close(self) -> None:
