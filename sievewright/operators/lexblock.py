@@ -24,6 +24,8 @@ LISTS = ("must", "nice", "exclude")
 RANKED = [f"bm25_{f}" for f in FIELDS] + ["overlap_must_frac", "overlap_nice_frac"]
 #: Terms and phrases of briefs that one pass over the texts looks up: some tens of MB in each worker.
 TERMS = 500_000
+#: Texts that are read before what was found in them leaves Python.
+TEXTS = 256
 
 
 def norm_text(text) -> F.Column:
@@ -56,13 +58,21 @@ def _reader(known: dict, columns: list[str]):
 
     def run(batches):
         vocabularies = {silo: Vocabulary(*v) for silo, v in known.items()}
+        every = vocabularies.get(None)
         for batch in batches:
-            every = vocabularies.get(None)
-            silos = batch.column("silo").to_pylist() if every is None else []
-            read = [(vocabularies[silos[i]] if every is None else every).read(t) for i, t in enumerate(batch.column("text").to_pylist())]
-            terms = [[{"id": i, "f": f} for i, f in r[1]] for r in read]
-            arrays = [pa.array([r[0] for r in read], pa.int32()), pa.array(terms, pa.list_(pa.struct([("id", pa.int32()), ("f", pa.int32())]))), pa.array([r[2] for r in read], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *arrays], [*columns, "n", "terms", "hits"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                silos = part.column("silo") if every is None else None
+                sizes, ends, ids, times, hits = [], [0], [], [], []
+                for i, text in enumerate(part.column("text")):
+                    n, terms, found = (vocabularies[silos[i].as_py()] if every is None else every).read(text.as_py())
+                    sizes.append(n)
+                    ids += [t for t, _ in terms]
+                    times += [f for _, f in terms]
+                    ends.append(len(ids))
+                    hits.append(found)
+                terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array(times, pa.int32())], ["id", "f"]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(sizes, pa.int32()), terms, pa.array(hits, pa.list_(pa.int32()))], [*columns, "n", "terms", "hits"])
 
     return run
 
