@@ -1,7 +1,8 @@
 """Tie-aware ranks and metrics of scores by group, without gathering a group's rows in one task.
 
 Distinct values are counted, dealt by ranges of (group, value) and summed up within a task; the totals of the tasks before
-(a row for each task and group) are added. Null scores are left out; one class gives a null AUC.
+(a row for each task and group) are added. Null scores are left out; one class gives a null AUC. Tables that grow with the rows are
+joined by sort and merge: written tables are far smaller than what they hold, and a broadcast of one by its size in files overflows the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def running_counts(cells: DataFrame, by: list[str], value: str, count: str) -> D
     same = F.col("_task") == F.col("_of")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))  # a null group is a group
-    out = dealt.withColumn("_in", inside).join(offsets, same)
+    out = dealt.withColumn("_in", inside).join(offsets.hint("merge"), same)
     return out.withColumn("before", F.col("_in") + F.col("_off")).drop("_task", "_in", "_off", "_of", *[f"_of_{c}" for c in by])
 
 
@@ -32,9 +33,9 @@ def share_ranks(rows: DataFrame, by: str, key: str, values: list[str]) -> DataFr
     rows = held(rows, "rows")
     long = rows.select(key, by, F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])).alias("s")).select(key, by, "s.name", "s.v").where("v is not null")
     cells = running_counts(long.groupBy(by, "name", "v").agg(F.count("*").alias("c")), [by, "name"], "v", "c")
-    ranks = long.join(cells.select(by, "name", "v", ((F.col("before") + (F.col("c") + 1) / 2) / F.col("total")).alias("r")), [by, "name", "v"])
+    ranks = long.join(cells.select(by, "name", "v", ((F.col("before") + (F.col("c") + 1) / 2) / F.col("total")).alias("r")).hint("merge"), [by, "name", "v"])
     wide = ranks.groupBy(key).agg(*[F.max(F.when(F.col("name") == v, F.col("r"))).alias(f"rank_{v}") for v in values])
-    return rows.join(wide, key, "left")
+    return rows.join(wide.hint("merge"), key, "left")
 
 
 def tied_auc(rows: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
@@ -55,4 +56,4 @@ def places(rows: DataFrame, by: list[str], order: list, before: str = "before",
     same = F.col("_at") == F.col("_key")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    return keyed.join(cells, same).drop("_at", "_key", *[f"_of_{c}" for c in by])
+    return keyed.join(cells.hint("merge"), same).drop("_at", "_key", *[f"_of_{c}" for c in by])

@@ -155,7 +155,7 @@ def block_variants(papers: DataFrame, briefs: DataFrame, ranks: bool | list[str]
     read = held(read_papers(papers, joint, ["paper_id", "silo"]), "read")
     pools = _pools(read, joint)
     facts = joint.select("silo", "every", F.posexplode("variants").alias("at", "variant")).join(each.select("silo", "variant", "q", *LISTS), ["silo", "variant"])
-    rows = read.join(facts.select("silo", "variant", "at", *_facts()).join(pools, "silo"), "silo").withColumn("hits", F.slice("hits", F.col("at") * len(LISTS) + 1, len(LISTS)))
+    rows = read.join(F.broadcast(facts.select("silo", "variant", "at", *_facts()).join(pools, "silo")), "silo").withColumn("hits", F.slice("hits", F.col("at") * len(LISTS) + 1, len(LISTS)))
     rows = rows.withColumn("unit", F.to_json(F.struct("silo", "variant"))).withColumn("row", F.to_json(F.struct("paper_id", "variant")))
     return _columns_of(rows, ranks, ("paper_id", "silo", "variant"))
 

@@ -215,7 +215,7 @@ def ablation_fitted(papers: DataFrame, specs: DataFrame, labels: DataFrame, n_po
 
     block = variant_blocks(papers, specs, True).drop("has_exclude_terms")
     numbers = [x for x in block.columns if x not in ("paper_id", "silo", "variant")]
-    rows = held(block.join(labels, "paper_id").select("paper_id", "silo", "variant", "y", "held", F.array(*numbers).alias("x")), "blocks")
+    rows = held(block.join(labels.hint("merge"), "paper_id").select("paper_id", "silo", "variant", "y", "held", F.array(*numbers).alias("x")), "blocks")
     known = rows.select("paper_id", "silo", "y", "held").distinct()
     sizes = known.groupBy("silo").agg(F.count_if(~F.col("held") & (F.col("y") == 1)).alias("p"), F.count_if(~F.col("held") & (F.col("y") == 0)).alias("n"), F.count_if(F.col("held") & (F.col("y") == 1)).alias("k"))
     silos = held(sizes.where((F.col("p") >= n_pos) & (F.col("n") >= n_neg) & (F.col("k") >= least)).select("silo"), "silos")
