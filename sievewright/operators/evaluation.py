@@ -40,7 +40,11 @@ def share_ranks(rows: DataFrame, by: str, key: str, values: list[str]) -> DataFr
 
 def tied_auc(rows: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """``by``, n, n_pos, auc."""
-    cells = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("c"), F.sum(y).alias("p"))
+    return counted_auc(rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("c"), F.sum(y).alias("p")), by, score)
+
+
+def counted_auc(cells: DataFrame, by: list[str], score: str) -> DataFrame:
+    """``tied_auc`` of distinct scores with c, their rows, and p, their sum of y."""
     cells = running_counts(cells, by, score, "c").withColumn("r", F.col("before") + (F.col("c") + 1) / 2)
     n1, n = F.sum("p"), F.sum("c")
     auc = (F.sum(F.col("p") * F.col("r")) - n1 * (n1 + 1) / 2) / F.nullif((n1 * (n - n1)).cast("double"), F.lit(0.0))

@@ -8,14 +8,16 @@ Blocks of empty term lists are NULL, not zero.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.automaton import Vocabulary
 from ..plans.catalogue import CATALOGUE as C
 from ..plans.held import held
-from .evaluation import share_ranks, tied_auc
+from .evaluation import counted_auc, share_ranks
 
 #: The ranking function's constants.
 K1, B = 1.5, 0.75
@@ -26,6 +28,8 @@ RANKED = [f"bm25_{f}" for f in FIELDS] + ["overlap_must_frac", "overlap_nice_fra
 TERMS = 500_000
 #: Texts that are read before what was found in them leaves Python.
 TEXTS = 256
+#: Scores of rows against briefs that a task holds at a time.
+SCORES = 1_000_000
 
 
 def norm_text(text) -> F.Column:
@@ -101,14 +105,13 @@ def _pools(read: DataFrame, briefs: DataFrame) -> DataFrame:
     return papers.join(idf.select("silo", F.col("e.w").alias("idf")), "silo", "left")
 
 
-def _bm25(chosen) -> F.Column:
-    """Sum over the paper's terms for which ``chosen(id)`` holds; 0 for empty papers, fields and silos."""
+def _weight(t) -> F.Column:
+    return F.get("idf", t["id"]) * t["f"] * (K1 + 1) / (t["f"] + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
 
-    def term(acc, t):
-        weight = F.get("idf", t["id"]) * t["f"] * (K1 + 1) / (t["f"] + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
-        return acc + F.when(chosen(t["id"]), weight).otherwise(0.0)
 
-    return F.aggregate("terms", F.lit(0.0), term)
+def _bm25(chosen) -> F.Column:
+    """Sum over the paper's terms for which ``chosen(id)`` holds; 0 for empty papers, fields and silos."""
+    return F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + F.when(chosen(t["id"]), _weight(t)).otherwise(0.0))
 
 
 def lexical_block(papers: DataFrame, briefs: DataFrame, ranks: bool | list[str] = True, terms: int = TERMS) -> DataFrame:
@@ -171,10 +174,61 @@ def deranged(briefs: DataFrame, seed: int = 7) -> DataFrame:
     return donors.join(briefs.withColumnRenamed("silo", "donor"), "donor").drop("donor")
 
 
+CELL = "at int, silo {silo}, name string, v double, c long, p double"
+
+
+def _scorer(asked: list[tuple[list[int], int]], terms: int):
+    """Rows (silo, y, ids, w, hits) to counts of equal scores: brief's place, silo, bm25 or must, score, rows, and their sum of y.
+
+    ``asked``: each brief's term numbers and how many phrases it lists. A row's weights are added to the briefs that hold the term, in the order of the row's terms.
+    """
+    briefs = len(asked)
+    holders = [[] for _ in range(terms)]
+    for at, (of, _) in enumerate(asked):
+        for t in of:
+            holders[t].append(at)
+    many = np.array([len(h) for h in holders], np.int64)
+    first, flat = many.cumsum() - many, np.array([at for h in holders for at in h], np.int64)
+    listed = np.array([m for _, m in asked], float)
+
+    def cells(name, v, silo, y, silos):
+        """v: rows by briefs; NaN is no score."""
+        group = (silo[:, None] * briefs + np.arange(briefs)).ravel()
+        some = np.flatnonzero(~np.isnan(v.ravel()))
+        order = some[np.lexsort((v.ravel()[some], group[some]))]
+        v, group, y = v.ravel()[order], group[order], np.repeat(y, briefs)[order]
+        if not len(v):
+            return None
+        new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (group[1:] != group[:-1])]))
+        columns = [pa.array(group[new] % briefs, pa.int32()), silos.take(pa.array(group[new] // briefs)), pa.repeat(name, len(new)), pa.array(v[new]), pa.array(np.diff(np.append(new, len(v)))), pa.array(np.add.reduceat(y, new))]
+        return pa.RecordBatch.from_arrays(columns, ["at", "silo", "name", "v", "c", "p"])
+
+    def run(batches):
+        for batch in batches:
+            step = max(1, SCORES // max(1, briefs))
+            for begin in range(0, batch.num_rows if briefs else 0, step):
+                part = batch.slice(begin, step)
+                n, coded = part.num_rows, part.column("silo").dictionary_encode()
+                silos = pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)])
+                silo = coded.indices.fill_null(len(silos) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                y = part.column("y").fill_null(0.0).to_numpy(zero_copy_only=False)
+                ids = part.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                rows = np.repeat(np.arange(n), pc.list_value_length(part.column("ids")).to_numpy(zero_copy_only=False))
+                w, times = part.column("w").flatten().to_numpy(zero_copy_only=False), many[ids]
+                place = np.repeat(first[ids] - (times.cumsum() - times), times) + np.arange(times.sum())
+                bm25 = np.bincount(np.repeat(rows, times) * briefs + flat[place], np.repeat(w, times), n * briefs).reshape(n, briefs)
+                hits = part.column("hits").flatten().to_numpy(zero_copy_only=False).reshape(n, briefs)
+                must = np.where(listed > 0, hits / np.where(listed > 0, listed, 1), np.nan)
+                yield from filter(None, (cells("bm25", bm25, silo, y, silos), cells("must", must, silo, y, silos)))
+
+    return run
+
+
 def transfer_matrix(papers: DataFrame, briefs: DataFrame, labels: DataFrame) -> DataFrame:
     """brief, silo, AUC of each brief's objective score and must share over each silo's labels: one walk per text for the terms of all briefs.
 
-    labels: paper_id, y. A row is scored against every brief, which is what the matrix asks for; a worker holds the terms of all (at most ``TERMS``, else an error).
+    labels: paper_id, y. A row is scored against every brief, which is what the matrix asks for, in the order of its own terms; only counts of equal scores leave the
+    task. A worker holds the terms of all briefs (at most ``TERMS``, else an error).
     """
     prepared = held(prepared_briefs(briefs), "briefs")
     size = prepared.agg(F.sum(F.size("every") + F.size("must") + 1)).first()[0] or 0
@@ -188,13 +242,15 @@ def transfer_matrix(papers: DataFrame, briefs: DataFrame, labels: DataFrame) ->
     read = held(papers.select(*columns, "text").mapInArrow(_reader({None: (terms, [r["must"] for r in listed])}, columns), schema), "read")
     every = read.sparkSession.createDataFrame([(i,) for i in range(len(terms))], "id int")
     numbered = read.select("silo").distinct().join(F.broadcast(every.agg(F.sort_array(F.collect_list("id")).alias("every"))))  # one row of numbers beside each silo
-    rows = read.join(labels, "paper_id").join(_pools(read, numbered), "silo")
-    asked = read.sparkSession.createDataFrame([(i, r["silo"], [number[t] for t in r["obj"]], len(r["must"])) for i, r in enumerate(listed)], "at int, brief string, obj array<int>, of_must int")
-    rows = rows.join(F.broadcast(asked))  # each labelled row against each brief
-    must = F.when(F.col("of_must") > 0, F.get("hits", F.col("at")) / F.col("of_must"))
-    scored = held(rows.select("brief", "silo", "y", F.round(_bm25(lambda i: F.array_contains("obj", i)), 9).alias("bm25"), F.round(must, 9).alias("must")))
-    out = tied_auc(scored, ["brief", "silo"], "bm25").withColumnRenamed("auc", "auc_bm25_obj").join(tied_auc(scored, ["brief", "silo"], "must").withColumnRenamed("auc", "auc_overlap_must"), ["brief", "silo"], "left")
-    return out.select("brief", "silo", "auc_bm25_obj", "auc_overlap_must")
+    rows = read.join(labels, "paper_id").join(held(_pools(read, numbered), "pools"), "silo", "left")
+    weights = F.transform("terms", lambda t: F.coalesce(_weight(t), F.lit(0.0)))
+    rows = rows.select("silo", F.col("y").cast("double").alias("y"), F.col("terms.id").alias("ids"), weights.alias("w"), "hits")
+    score = _scorer([([number[t] for t in r["obj"]], len(r["must"])) for r in listed], len(terms))
+    counted = rows.mapInArrow(score, CELL.format(silo=dict(papers.dtypes)["silo"])).groupBy("at", "silo", "name", F.round("v", 9).alias("v")).agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+    auc = counted_auc(held(counted, "scores"), ["at", "silo", "name"], "v")
+    out = auc.groupBy("at", "silo").agg(*[F.max(F.when(F.col("name") == name, F.col("auc"))).alias(c) for name, c in (("bm25", "auc_bm25_obj"), ("must", "auc_overlap_must"))])
+    names = read.sparkSession.createDataFrame([(i, r["silo"]) for i, r in enumerate(listed)], "at int, brief string")
+    return out.join(F.broadcast(names), "at").select("brief", "silo", "auc_bm25_obj", "auc_overlap_must")
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
