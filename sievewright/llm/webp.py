@@ -1,9 +1,9 @@
 """Lossless WebP: a decoder for the whole bit stream, and an encoder that stores bytes in it.
 
 Texts are kept as images 16 pixels wide: four bytes make a pixel's green, red, blue and alpha. The encoder
-gives each channel a prefix code of one length over as few values as it holds, so decoding is array work; the decoder also reads what
-other encoders write: prefix codes of any lengths, meta prefix codes, back-references, the
-colour cache, and the predictor, cross-colour, subtract-green and palette transforms.
+takes back-references to equal pixels, chooses by estimated size among no transform, the predictor (left or top), cross-colour, subtract-green
+and palette transforms, and the colour cache or none, and gives each channel a Huffman code. The decoder inverts all of these; it also reads meta prefix codes
+and transforms that other encoders write. The encoder works in arrays, the decoder looks every symbol up by the bits that follow.
 
 Null and empty texts are stored as one block of zeros; other columns are ignored; repeated rows give equal rows; an empty table gives none;
 null and repeated doc_ids are kept; payloads over ``IMAGE_BYTES`` go to several images, one after the other, so texts of any length are stored whole.
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,14 @@ class Prefix:
                 code <<= 1
         return self.table
 
+    def windows(self, most: int, shift: int) -> memoryview:
+        """By the next ``most`` bits, the first one highest: the symbol, shifted, times 16, and its length."""
+        if self.only is not None:
+            return memoryview(np.full(1 << most, self.only << shift + 4))
+        sizes = self.lengths[self.symbols]
+        order = np.argsort(sizes, kind="stable")
+        return memoryview(np.repeat(self.symbols[order] << shift + 4 | sizes[order], 1 << (most - sizes[order])))
+
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
@@ -91,6 +101,23 @@ class Prefix:
         raise ValueError("no such prefix code")
 
 
+REVERSED = [int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)]
+
+
+def small_codes(lengths: list[int]) -> dict[int, tuple[int, int]]:
+    """Each used symbol's bits, the first one lowest, and their number: none where one symbol is used."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) == 1:
+        return {used[0][1]: (0, 0)}
+    out, at = {}, 0
+    for n, s in used:
+        out[s] = REVERSED[at], n
+        at += 1 << (15 - n)
+    if at != 1 << 15:
+        raise ValueError("a prefix code is not complete")
+    return out
+
+
 def read_prefix(bits: Bits, alphabet: int) -> Prefix:
     lengths = np.zeros(alphabet, np.int64)
     if bits.take(1):
@@ -99,29 +126,52 @@ def read_prefix(bits: Bits, alphabet: int) -> Prefix:
         if two:
             lengths[bits.take(8)] = 1
         return Prefix(lengths)
-    of = np.zeros(19, np.int64)
-    for i in range(4 + bits.take(4)):
-        of[LENGTH_ORDER[i]] = bits.take(3)
-    inner, most = Prefix(of), alphabet
+    of, n = [0] * 19, 4 + bits.take(4)
+    if n > 19:
+        raise ValueError("too many lengths of lengths")
+    for i in range(0, n, 5):
+        word = bits.take(3 * min(5, n - i))
+        for k in range(i, min(i + 5, n)):
+            of[LENGTH_ORDER[k]], word = word & 7, word >> 3
+    inner, most = small_codes(of), alphabet
     if bits.take(1):
         most = 2 + bits.take(2 + 2 * bits.take(3))
-    used = np.flatnonzero(of)
-    if inner.even == 1 and used[-1] < 16 and most >= alphabet:
-        lengths[:] = used[bits.array(alphabet)]
+    if len(inner) == 2 and max(inner) < 16 and most >= alphabet:
+        lengths[:] = np.array(sorted(inner))[bits.array(alphabet)]
         return Prefix(lengths)
-    at, last = 0, 8
+    table = [(0, 0)] * 128
+    for s, (code, size) in inner.items():
+        table[code::1 << size] = [(s, size)] * (128 >> size)
+    at, last, data, p, found, word, rest = 0, 8, bits.data, bits.at, [], 0, 0
     while at < alphabet and most:
         most -= 1
-        s = inner.read(bits)
+        if rest < 14:
+            word, rest = int.from_bytes(data[p >> 3:(p >> 3) + 64], "little") >> (p & 7), 504
+        s, size = table[word & 127]
+        p += size
+        rest -= size
+        word >>= size
         if s < 16:
-            lengths[at] = s
-            at, last = at + 1, s or last
+            if s:
+                found.append((at, s))
+                last = s
+            at += 1
         else:
-            n = 3 + bits.take(2) if s == 16 else 3 + bits.take(3) if s == 17 else 11 + bits.take(7)
+            n, size = (3 + (word & 3), 2) if s == 16 else (3 + (word & 7), 3) if s == 17 else (11 + (word & 127), 7)
+            p += size
+            rest -= size
+            word >>= size
             if at + n > alphabet:
                 raise ValueError("too many code lengths")
-            lengths[at:at + n] = last if s == 16 else 0
+            if s == 16:
+                found += [(k, last) for k in range(at, at + n)]
             at += n
+    if p > 8 * len(data):
+        raise ValueError("the image ends early")
+    bits.at = p
+    if found:
+        places, sizes = zip(*found)
+        lengths[list(places)] = sizes
     return Prefix(lengths)
 
 
@@ -132,6 +182,81 @@ def _extra(bits: Bits, s: int) -> int:
     return ((2 + (s & 1)) << n) + bits.take(n) + 1
 
 
+#: Bits that are made windows at a time.
+BITS = 1 << 17
+#: Extra bits and least value of each length and distance symbol.
+EXTRA = np.array([0 if s < 4 else (s - 2) >> 1 for s in range(40)])
+LEAST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)])
+HASH = 0x1E35A7BD
+NEAR = near_distances()
+
+
+@lru_cache(64)
+def near_table(w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distance of each near code, and the first code of each distance (0: none), in an image so wide."""
+    near = np.array([max(1, dx + dy * w) for dx, dy in NEAR])
+    codes = np.zeros(int(near.max()) + 1, np.int64)
+    codes[near[::-1]] = np.arange(120, 0, -1)
+    return near, codes
+
+
+def read_pixels(bits: Bits, group: list[Prefix], w: int, h: int, cache_bits: int) -> np.ndarray:
+    """The pixels of an image with one group of prefix codes."""
+    left, out, shift, begin = w * h, [], 32 - cache_bits, bits.at
+    most = max([1, *(int(p.lengths.max()) for p in group if p.only is None)])
+    greens, reds, blues, alphas, distances = (p.windows(most, c) for p, c in zip(group, (0, 16, 0, 24, 0), strict=True))
+    data, cache, near, add = bits.data, [0] * (1 << cache_bits), near_table(w)[0].tolist(), out.append
+    last = 8 * len(data)
+    while left:
+        if begin > last:
+            raise ValueError("the image ends early")
+        raw = np.unpackbits(np.frombuffer(data[begin >> 3:(begin >> 3) + (BITS >> 3) + 24] + bytes(20), np.uint8), bitorder="little")[begin & 7:]
+        x = raw.astype(np.uint16)
+        for k in (1, 2, 4, 8):  # the next 2, 4, 8 and 16 bits
+            x = (x[:-k] << k) | x[k:]
+        x, at, end = memoryview(x >> (16 - most)), 0, min(BITS, last - begin + 1)
+        while left and at < end:
+            e = greens[x[at]]
+            at += e & 15
+            s = e >> 4
+            if s < 256:
+                e = reds[x[at]]
+                at += e & 15
+                f = blues[x[at]]
+                at += f & 15
+                a = alphas[x[at]]
+                at += a & 15
+                v = s << 8 | e >> 4 | f >> 4 | a >> 4
+                add(v)
+                left -= 1
+                if cache_bits:
+                    cache[(v * HASH & 0xFFFFFFFF) >> shift] = v
+            elif s >= 280:
+                add(cache[s - 280])
+                left -= 1
+            else:
+                bits.at = begin + at
+                size = _extra(bits, s - 256)
+                e = distances[x[bits.at - begin]]
+                bits.at += e & 15
+                back = _extra(bits, e >> 4)
+                at, back, left = bits.at - begin, back - 120 if back > 120 else near[back - 1], left - size
+                if back > len(out) or left < 0:
+                    raise ValueError("a back-reference leaves the image")
+                part = out[len(out) - back:len(out) - back + size]
+                if size > back:
+                    part = (part * -(-size // back))[:size]
+                out += part
+                if cache_bits:
+                    for v in part if size <= 2 * back else part[-back:]:  # of pixels that repeat, the last ones
+                        cache[(v * HASH & 0xFFFFFFFF) >> shift] = v
+        begin += at
+    bits.at = begin
+    if bits.at > last:
+        raise ValueError("the image ends early")
+    return np.array(out, "<u4").view(np.uint8).reshape(h, w, 4)[..., [1, 2, 0, 3]]
+
+
 def read_image(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
     """Pixels (h, w, 4) in the order green, red, blue, alpha, before inverse transforms."""
     cache_bits = bits.take(4) if bits.take(1) else 0
@@ -158,6 +283,8 @@ def read_image(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
                 out[:, c] = p.only
             at += n
         return out.reshape(h, w, 4)
+    if meta is None and (groups[0][0].only is None or groups[0][0].only < 256):
+        return read_pixels(bits, groups[0], w, h, cache_bits)
     near, out, at, n = near_distances(), np.zeros((w * h, 4), np.uint8), 0, w * h
     cache, cached = np.zeros((1 << cache_bits, 4), np.uint8), 0
 
@@ -304,47 +431,334 @@ def decode_stream(data: bytes) -> np.ndarray:
     return px
 
 
-def _prefix_bits(used: np.ndarray, alphabet: int) -> tuple[list[np.ndarray], int, np.ndarray]:
-    """Bits that declare the code, its length, and each value's rank."""
-    rank = np.zeros(256, np.uint8)
-    number = lambda x, n: np.array([x >> k & 1 for k in range(n)], np.uint8)
-    if len(used) == 1:
-        return [number(1 | 0 << 1 | 1 << 2, 3), number(int(used[0]), 8)], 0, rank
-    size = max(1, int(len(used) - 1).bit_length())
-    if size == 1:
-        rank[used] = np.arange(2)
-        return [number(1 | 1 << 1 | 1 << 2, 3), number(int(used[0]), 8), number(int(used[1]), 8)], 1, rank
-    mark = np.zeros(256, bool)
-    mark[used] = True
-    mark[np.flatnonzero(~mark)[: (1 << size) - len(used)]] = True
-    symbols = np.flatnonzero(mark)
-    rank[symbols] = np.arange(1 << size)
-    place = LENGTH_ORDER.index(size)
-    order = [number(int(s in (0, size)), 3) for s in LENGTH_ORDER[: place + 1]]
-    lengths = np.zeros(alphabet, np.uint8)
-    lengths[symbols] = 1
-    if size == 8 and alphabet == 256:  # every value: the length code has one symbol and takes no bits
-        order = [number(int(s == size), 3) for s in LENGTH_ORDER[: place + 1]]
-        lengths = lengths[:0]
-    return [number(0, 1), number(place + 1 - 4, 4), *order, number(0, 1), lengths], size, rank
+REVERSE = np.array(REVERSED)
+CHANNELS = 256 * np.arange(4)
+
+
+def code_lengths(count: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a Huffman code, at most ``most``: counts are evened until it fits."""
+    lengths, used = np.zeros(len(count), np.int64), np.flatnonzero(count)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
+    used = used[np.argsort(count[used], kind="stable")]
+    first, m = count[used].tolist(), len(used)
+    while True:
+        q, above, i, j = list(first), [0] * (2 * m - 1), 0, m
+        for k in range(m, 2 * m - 1):
+            # the lightest two of the leaves and of the nodes made so far
+            if i < m and (j >= k or q[i] <= q[j]):
+                both, above[i], i = q[i], k, i + 1
+            else:
+                both, above[j], j = q[j], k, j + 1
+            if i < m and (j >= k or q[i] <= q[j]):
+                both, above[i], i = both + q[i], k, i + 1
+            else:
+                both, above[j], j = both + q[j], k, j + 1
+            q.append(both)
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth[:m]) <= most:
+            lengths[used] = depth[:m]
+            return lengths
+        first = [x // 2 + 1 for x in first]
+
+
+def codes_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol's bits, the first one lowest, and how many; none where one symbol is used."""
+    bits, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    if len(used) < 2:
+        return bits, np.zeros(len(lengths), np.int64)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    size = 1 << (15 - lengths[used])
+    bits[used] = REVERSE[size.cumsum() - size]
+    return bits, lengths
+
+
+class Out:
+    """Fields of a stream, their first bit lowest and 64 bits at most."""
+
+    def __init__(self):
+        self.parts, self.values, self.sizes = [], [], []
+
+    def put(self, value: int, n: int) -> None:
+        self.values.append(value)
+        self.sizes.append(n)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        if self.values:
+            self.parts.append((np.array(self.values, np.uint64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
+        self.parts.append((values.astype(np.uint64), sizes))
+
+    def tobytes(self) -> bytes:
+        self.add(np.zeros(1), np.zeros(1, np.int64))
+        values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        ends = sizes.cumsum()
+        begin = ends - sizes
+        word, off = begin >> 6, (begin & 63).astype(np.uint64)
+        words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words[word[first]] = np.bitwise_or.reduceat(values << off, first)
+        over = np.flatnonzero((begin & 63) + sizes > 64)
+        words[word[over] + 1] |= values[over] >> (np.uint64(64) - off[over])
+        return words.astype("<u8").tobytes()[: (int(ends[-1]) + 7) >> 3]
+
+
+def _runs(lengths: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code lengths as symbols with the value and number of their extra bits: zeros before each used one, it, and the zeros at the end."""
+    symbol, extra, bits, before = [], [], [], -1
+    for s, size in [*zip(used.tolist(), lengths[used].tolist(), strict=True), (len(lengths), 0)]:
+        n, before = s - before - 1, s
+        while n > 10:
+            most = min(n, 138)
+            symbol.append(18)
+            extra.append(most - 11)
+            bits.append(7)
+            n -= most
+        some = 1 if n > 2 else n
+        if some:
+            symbol += [17 if n > 2 else 0] * some
+            extra += [n - 3 if n > 2 else 0] * some
+            bits += [3 if n > 2 else 0] * some
+        symbol.append(size)
+        extra.append(0)
+        bits.append(0)
+    return np.array(symbol[:-1]), np.array(extra[:-1]), np.array(bits[:-1])
+
+
+def declare(out: Out, lengths: np.ndarray) -> None:
+    used = np.flatnonzero(lengths)
+    if not len(used):
+        out.put(1, 4)
+    elif len(used) < 3 and used[-1] < 256:
+        out.put(1 | (len(used) - 1) << 1 | 1 << 2, 3)
+        for s in used.tolist():
+            out.put(s, 8)
+    else:
+        symbol, extra, n = _runs(lengths, used)
+        inner = code_lengths(np.bincount(symbol, minlength=19), 7)
+        inner = inner.tolist()
+        bits, sizes = np.zeros(19, np.int64), np.zeros(19, np.int64)
+        for s, code in small_codes(inner).items():
+            bits[s], sizes[s] = code
+        order = [inner[s] for s in LENGTH_ORDER]
+        while len(order) > 4 and not order[-1]:
+            order.pop()
+        out.put((len(order) - 4) << 1, 5)
+        for size in order:
+            out.put(size, 3)
+        out.put(0, 1)
+        sizes = sizes[symbol]
+        out.add(bits[symbol] | extra << sizes, sizes + n)
+
+
+def _argb(px: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(px[:, [2, 0, 1, 3]]).view("<u4").ravel().astype(np.int64)
+
+
+def _before(key: np.ndarray) -> np.ndarray:
+    """The last place before with an equal key, or -1."""
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    before = np.full(len(key), -1)
+    before[order[1:][same]] = order[:-1][same]
+    return before
+
+
+def copies(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of back-references: from left to right, to the last place where this pixel and the next stood."""
+    before = _before(v[:-1] << 32 | v[1:]) if len(v) > 1 else np.zeros(0, np.int64)
+    some = np.flatnonzero(before >= 0)
+    found, end, pixels, n = [], 0, v.tolist(), len(v)
+    for at, old in zip(some.tolist(), before[some].tolist(), strict=True):
+        if at >= end:
+            size, most = 2, min(4096, n - at)
+            while size < most and pixels[old + size] == pixels[at + size]:
+                size += 1
+            end = at + size
+            found.append((at, size, at - old))
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+
+def alone(n: int, spans) -> np.ndarray:
+    """Places of the pixels that no back-reference gives."""
+    edge = np.zeros(n + 1, np.int64)
+    edge[spans[0]] += 1
+    edge[spans[0] + spans[1]] -= 1
+    return np.flatnonzero(edge.cumsum()[:n] == 0)
+
+
+def _entropy(count: np.ndarray) -> float:
+    """Bits of symbols so often used, with about six a symbol for its code."""
+    some = count[count > 0].astype(float)
+    return float(some.sum() * np.log2(some.sum()) - (some * np.log2(some)).sum()) + 6 * len(some) if len(some) else 0.0
+
+
+X_LOG_X = np.concatenate([[0.0], (lambda x: x * np.log2(x))(np.arange(1.0, 1 << 12))])
+
+
+def costs_of(choices: list[np.ndarray]) -> list[float]:
+    """Bits of each choice of pixels, about."""
+    ends = np.cumsum([len(px) for px in choices])
+    every = np.concatenate(choices) + CHANNELS
+    for i, end in enumerate(ends[:-1], 1):
+        every[end:] += 1024
+    count = np.bincount(every.ravel(), minlength=1024 * len(choices))
+    logs = X_LOG_X.take(count) if ends[-1] < len(X_LOG_X) else count * np.log2(np.maximum(count, 1))
+    logs, used = logs.reshape(len(choices), 1024).sum(axis=1).tolist(), np.count_nonzero(count.reshape(len(choices), 1024), axis=1).tolist()
+    return [4 * len(px) * log2(max(1, len(px))) - x + 6 * n for px, x, n in zip(choices, logs, used, strict=True)]
+
+
+def _symbol(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, value of the extra bits and their number of lengths or distance codes."""
+    s = np.searchsorted(LEAST, x, side="right") - 1
+    return s, x - LEAST[s], EXTRA[s]
+
+
+def write_image(out: Out, px: np.ndarray, w: int, main: bool, spans=None, known: float | None = None) -> None:
+    """Puts an image's codes and pixels to ``out``; known: its back-references, and the estimate for the other pixels."""
+    v, n = _argb(px), len(px)
+    at, size, back = copies(v) if spans is None else spans
+    single = alone(n, (at, size))
+    lone, hit, cache_bits = px[single], np.zeros(len(single), bool), 0
+    if len(single) >= 16:
+        k = min(10, max(1, len(single).bit_length() - 2))
+        slot = (v * HASH & 0xFFFFFFFF) >> (32 - k)
+        old = _before(slot.astype(np.uint16))[single]
+        hits = (old >= 0) & (v[old] == v[single])
+        if hits.any():
+            rest = costs_of([lone[~hits]])[0] + _entropy(np.bincount(slot[single[hits]])) + _entropy(np.bincount(hits))
+            if rest < (costs_of([lone])[0] if known is None else known):
+                hit, cache_bits = hits, k
+    green = np.zeros(n, np.int64)
+    green[single] = lone[:, 0]
+    if cache_bits:
+        green[single[hit]] = 280 + slot[single[hit]]
+    length, length_bits, length_n = _symbol(size)
+    table = near_table(w)[1]
+    d = np.where(back < len(table), table[np.minimum(back, len(table) - 1)], 0)
+    dist, dist_bits, dist_n = _symbol(np.where(d > 0, d, back + 120))
+    green[at] = 256 + length
+    literal = single[~hit]
+    place = np.sort(np.concatenate([single, at]))
+    counts = [np.bincount(green[place], minlength=280 + (1 << cache_bits if cache_bits else 0)), *[np.bincount(px[literal, c], minlength=256) for c in (1, 2, 3)], np.bincount(dist, minlength=40)]
+    lengths = [code_lengths(c, 15) for c in counts]
+    out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+    if main:
+        out.put(0, 1)
+    for x in lengths:
+        declare(out, x)
+    codes = [codes_of(x) for x in lengths]
+    value, bits = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    fields = [(place, codes[0][0][green[place]], codes[0][1][green[place]]), *[(literal, codes[c][0][px[literal, c]], codes[c][1][px[literal, c]]) for c in (1, 2, 3)]]
+    fields += [(at, length_bits, length_n), (at, codes[4][0][dist], codes[4][1][dist]), (at, dist_bits, dist_n)]
+    for where, x, m in fields:
+        if len(where):
+            value[where] |= x << bits[where]
+            bits[where] += m
+    out.add(value[place], bits[place])
+
+
+def _flat(out: Out, *pixel: int) -> None:
+    """A small image of one colour."""
+    out.put(0, 1)
+    for x in (*pixel, 0):
+        out.put(0b101 | x << 3, 11)
+
+
+def _signed(px: np.ndarray) -> tuple[np.ndarray, ...]:
+    return tuple(px[:, c].astype(np.int8).astype(np.int64) for c in (0, 1, 2))
+
+
+def crossed(px: np.ndarray, factors: tuple[int, int, int]) -> np.ndarray:
+    """Red less green, blue less green and blue less red, by 32nds."""
+    (g, r, b), out = _signed(px), px.copy()
+    out[:, 1] = (r - (factors[0] * g >> 5)) & 255
+    out[:, 2] = (b - (factors[1] * g >> 5) - (factors[2] * r >> 5)) & 255
+    return out
+
+
+def slopes(px: np.ndarray) -> tuple[int, int, int]:
+    g, r, b = _signed(px)
+    n, sums = max(1, len(px)), {id(x): int(x.sum()) for x in (g, r, b)}
+    both = lambda x, y: int((x * y).sum()) - sums[id(x)] * sums[id(y)] / n
+    slope = lambda x, y, square: max(-127, min(127, round(32 * both(x, y) / max(1.0, square))))
+    green = both(g, g)
+    return slope(g, r, green), slope(g, b, green), slope(r, b, both(r, r))
+
+
+def predicted(px: np.ndarray, mode: int) -> np.ndarray:
+    """Differences from the pixel to the left (1) or above (2)."""
+    grid = px.reshape(-1, WIDTH, 4)
+    p = np.empty_like(grid)
+    p[0, 0], p[0, 1:], p[1:, 0] = (0, 0, 0, 255), grid[0, :-1], grid[:-1, 0]
+    p[1:, 1:] = grid[1:, :-1] if mode == 1 else grid[:-1, 1:]
+    return (grid - p).reshape(-1, 4)
+
+
+def indexed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """Palette, its indices packed into green, and the width; None for too many colours to gain by it."""
+    some = np.sort(v[:600])
+    if 256 < 1 + np.count_nonzero(some[1:] != some[:-1]):
+        return None
+    colours, index = np.unique(v, return_inverse=True)
+    m = len(colours)
+    if m > 256 or 2 * m > len(v):
+        return None
+    shift = 3 if m <= 2 else 2 if m <= 4 else 1 if m <= 16 else 0
+    packed = (index.reshape(-1, 1 << shift) << ((8 >> shift) * np.arange(1 << shift))).sum(axis=1)
+    px = np.zeros((len(packed), 4), np.uint8)
+    px[:, 0], px[:, 3] = packed, 255
+    table = colours.astype("<u4").view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]]
+    return np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)), px, WIDTH >> shift
+
+
+#: Bits that a back-reference takes, about.
+COPY = 20
 
 
 def encode_image(payload: bytes) -> bytes:
     """A WebP file of a payload whose length is a multiple of ``PAD`` and at most ``IMAGE_BYTES``."""
     px = np.frombuffer(payload, np.uint8).reshape(-1, 4)
-    head = 0x2F | WIDTH - 1 << 8 | len(px) // WIDTH - 1 << 22 | 1 << 36
-    parts = [np.array([head >> k & 1 for k in range(40)], np.uint8), np.zeros(3, np.uint8)]  # no transform, cache or meta codes
-    columns = []
-    for c in range(4):
-        used = np.flatnonzero(np.bincount(px[:, c], minlength=256))
-        declared, size, rank = _prefix_bits(used, ALPHABETS[c])
-        parts += declared
-        if size:
-            columns.append(np.unpackbits((rank[px[:, c]] << (8 - size)).astype(np.uint8)[:, None], axis=1)[:, :size])
-    parts.append(np.array([1, 0, 0, 0], np.uint8))  # distances: the one symbol 0
-    if columns:
-        parts.append(np.concatenate(columns, axis=1).ravel())
-    data = np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+    v, out, width = _argb(px), Out(), WIDTH
+    out.put(0x2F | WIDTH - 1 << 8 | len(px) // WIDTH - 1 << 22 | 1 << 36, 40)
+    spans = copies(v)
+    lone, given = px[alone(len(px), spans)], COPY * len(spans[0])
+    factors = slopes(lone)
+    green = lone.copy()
+    green[:, 1:3] -= green[:, :1]
+    names, choices = ["none", "green", 1, 2], [lone, green, predicted(px, 1), predicted(px, 2)]
+    if any(factors):
+        names, choices = [*names, "cross"], [*choices, crossed(lone, factors)]
+    more = {"none": given, "green": given + 3, "cross": given + 61, 1: 61, 2: 61}  # bits besides the pixels'
+    costs = {name: c + more[name] for name, c in zip(names, costs_of(choices), strict=True)}
+    palette = indexed(v)
+    if palette is not None:
+        own = spans if palette[2] == WIDTH else copies(_argb(palette[1]))
+        costs["palette"] = COPY * len(own[0]) + sum(costs_of([palette[1][alone(len(palette[1]), own)], palette[0]])) + 40
+    best = min(costs, key=costs.get)
+    if best in (1, 2):
+        out.put(1 | 7 << 3, 6)
+        _flat(out, best, 0, 0, 255)
+        px, spans = predicted(px, best), None
+    elif best == "cross":
+        out.put(1 | 1 << 1 | 7 << 3, 6)
+        _flat(out, factors[1] & 255, factors[2] & 255, factors[0] & 255, 255)
+        px = crossed(px, factors)
+    elif best == "green":
+        out.put(1 | 2 << 1, 3)
+        px = px.copy()
+        px[:, 1:3] -= px[:, :1]
+    elif best == "palette":
+        table, px, width = palette
+        out.put(1 | 3 << 1 | len(table) - 1 << 3, 11)
+        write_image(out, table, len(table), False)
+        spans = own
+    out.put(0, 1)
+    write_image(out, px, width, True, spans, costs[best] - more[best] if best in ("none", "green", "cross") else None)
+    data = out.tobytes()
     chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
